@@ -183,6 +183,17 @@ def episode_lengths(frames: DataFrame, keys: Sequence[str] = EPISODE) -> DataFra
     return frames.groupBy(*keys).agg(F.count("*").alias("length"))
 
 
+def attach(frames: DataFrame, per_episode: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
+    """Add the columns of ``per_episode`` (one row per episode, with ``length``) to every frame.
+
+    The small side is repeated once per block of the episode, so that the join key is (episode, block) and a hot
+    episode is spread like any other data.
+    """
+    blocks = per_episode.withColumn("_blk", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.floor((F.greatest(F.col("length"), F.lit(1)) - 1) / BLOCK).cast("bigint"))))
+    return frames.withColumn("_blk", block_of("frame_index").cast("bigint")).join(blocks, [*keys, "_blk"]).drop("_blk")
+
+
 def with_offsets(episodes: DataFrame, dataset: Sequence[str] = ("dataset_id",), order: str = "episode_index") -> DataFrame:
     """Running ``dataset_from_index/dataset_to_index`` of episodes laid end to end."""
     done = running(episodes, dataset, order, F.col("length"), "dataset_to_index")
@@ -239,8 +250,8 @@ def reindex(frames: DataFrame, bounds: DataFrame, fps: float) -> DataFrame:
     cut = bounds.withColumn("_kept", F.col("end") - F.col("start"))
     cut = running(cut, ["dataset_id"], "output_index", F.col("_kept"), "_from", inclusive=False)
     trimmed = (F.col("start") > 0) | (F.col("end") < F.col("length"))
-    joined = frames.join(
-        cut.select(*EPISODE, "output_index", "start", "end", "_from", trimmed.alias("_trimmed")), EPISODE
+    joined = attach(
+        frames, cut.select(*EPISODE, "length", "output_index", "start", "end", "_from", trimmed.alias("_trimmed"))
     ).filter((F.col("frame_index") >= F.col("start")) & (F.col("frame_index") < F.col("end")))
     local = F.col("frame_index") - F.col("start")
     kept = [c for c in frames.columns if c not in ("dataset_id", "episode_index", "frame_index", "index", "timestamp")]
@@ -260,4 +271,4 @@ def reindex(frames: DataFrame, bounds: DataFrame, fps: float) -> DataFrame:
 def chart_time(frames: DataFrame, lengths: DataFrame, duration: Column) -> DataFrame:
     """Row position stretched over the video duration: ``row / (n - 1) * duration``."""
     n = F.greatest(F.col("length") - 1, F.lit(1))
-    return frames.join(lengths, EPISODE).withColumn("chart_time", F.col("frame_index") / n * duration)
+    return attach(frames, lengths).withColumn("chart_time", F.col("frame_index") / n * duration)

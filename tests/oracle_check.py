@@ -61,7 +61,7 @@ def compare(spark, con, name, sf_dir):
 
 def main(names):
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     failed = []
