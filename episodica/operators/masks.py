@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.operators.series import carry, lagged, running, runs
+from episodica.operators.series import BLOCK, carry, lagged, running, runs
+from episodica.session import materialize
 
 
 def visible_ranges(areas: DataFrame, keys: Sequence[str], frame: str = "frame_index") -> DataFrame:
@@ -30,6 +31,8 @@ def coverage_steps(ranges: DataFrame, keys: Sequence[str], edges: DataFrame | No
     if edges is not None:
         ends = ends.unionByName(edges.select(*keys, F.col("pos").cast("bigint").alias("pos"), F.lit(0).alias("d"), F.lit(1).alias("edge")))
     steps = ends.groupBy(*keys, "pos").agg(F.sum("d").alias("d"), F.max("edge").alias("edge")).filter("d <> 0 or edge = 1")
+    # two rows per range at most, read several times below
+    steps = materialize(steps, "range_ends")
     steps = running(steps, keys, "pos", F.col("d"), "cover")
     return carry(steps, keys, ["pos"], F.col("pos"), "to", reverse=True, inclusive=False).select(
         *keys, F.col("pos").alias("from"), "to", "cover")
@@ -129,59 +132,75 @@ def review_signals(areas: DataFrame, keys: Sequence[str], full_area: Column | in
 
 
 def unmatched_prompts(prompts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Prompts without a visible candidate of the same object and target."""
+    """Prompts without a visible candidate of the same target and, where the prompt names one, the same object."""
     seen = candidates.filter("area_pixels > 0").select("object_id", "target").distinct()
-    return prompts.join(seen, ["object_id", "target"], "left_anti")
+    named = prompts.filter("object_id is not null").join(seen, ["object_id", "target"], "left_anti")
+    free = prompts.filter("object_id is null").join(seen.select("target").distinct(), "target", "left_anti")
+    return named.unionByName(free)
 
 
 def _accept(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy acceptance inside one set of tracks that overlap in time."""
-    cuts = np.unique(np.concatenate([pdf["start"].to_numpy(), pdf["end"].to_numpy() + 1]))
+    """Greedy acceptance inside one set of crowded frames."""
+    starts, stops = pdf["start"].to_numpy(), pdf["end"].to_numpy() + 1
+    cuts = np.unique(np.concatenate([starts, stops]))
     occupied = np.zeros(len(cuts), dtype=np.int64)
-    spans = {}
-    for track, part in pdf.groupby("track_id", sort=False):
-        low = np.searchsorted(cuts, part["start"].to_numpy())
-        high = np.searchsorted(cuts, part["end"].to_numpy() + 1)
-        spans[track] = (int(part["start"].min()), bool(part["initial"].iloc[0]), np.concatenate([np.arange(a, b) for a, b in zip(low, high)]))
-    for first, initial, places in spans.values():
-        if initial:
-            occupied[places] += 1
-    capacity = pdf["capacity"].iloc[0]
+    low, high = np.searchsorted(cuts, starts), np.searchsorted(cuts, stops)
+    for a, b in zip(low[pdf["initial"]], high[pdf["initial"]]):
+        occupied[a:b] += 1
+    late = pdf.assign(low=low, high=high)[~pdf["initial"]].sort_values(["first_visible_frame", "track_id"])
     out = []
-    for track, (first, initial, places) in sorted(spans.items(), key=lambda item: (item[1][0], item[0])):
-        if initial:
-            continue
-        accepted = bool(pd.isna(capacity)) or bool((occupied[places] < capacity).all())
+    for track, part in late.groupby("track_id", sort=False):
+        places = [slice(a, b) for a, b in zip(part["low"], part["high"])]
+        accepted = all((occupied[p] < part["capacity"].iloc[0]).all() for p in places)
         if accepted:
-            occupied[places] += 1
-        out.append((pdf["group_id"].iloc[0], track, first, accepted, accepted and not pd.isna(capacity)))
-    return pd.DataFrame(out, columns=["group_id", "track_id", "first_visible_frame", "accepted", "reentry"])
+            for p in places:
+                occupied[p] += 1
+        out.append((pdf["group_id"].iloc[0], track, accepted))
+    return pd.DataFrame(out, columns=["group_id", "track_id", "_ok"])
 
 
 def late_tracks(ranges: DataFrame) -> DataFrame:
     """Accept late tracks by first visible frame while every visible frame has room.
 
-    ``ranges(group_id, track_id, start, end, initial, capacity)``; a NULL capacity accepts all. The greedy rule is
-    sequential, but tracks only compete while their time hulls meet, so each group is first split into stretches of
-    time that no track crosses; one stretch is one task.
+    ``ranges(group_id, track_id, start, end, initial, capacity)``; a NULL capacity accepts all. Where no more tracks
+    are visible than the capacity allows, a track cannot be refused, so only stretches with more tracks matter. The
+    greedy rule is sequential, but two tracks influence each other only through such a stretch: each group is split into
+    sets of crowded frames that share no track, and one set is one task.
     """
-    hulls = ranges.groupBy("group_id", "track_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    steps = coverage_steps(hulls, ["group_id"])
-    # a stretch begins where the cover rises from zero
-    opened = lagged_cover(steps)
-    starts = running(opened, ["group_id"], "from", F.col("opens"), "stretch").filter("opens = 1").select(
-        "group_id", F.col("from").alias("pos"), "stretch")
-    tagged = hulls.select("group_id", F.col("start").cast("bigint").alias("pos"), "track_id", F.lit(None).cast("bigint").alias("stretch")).unionByName(
-        starts.select("group_id", "pos", F.lit(None).cast("bigint").alias("track_id"), F.col("stretch").cast("bigint").alias("stretch")))
-    placed = carry(tagged.withColumn("_o", F.when(F.col("track_id").isNull(), 0).otherwise(1)), ["group_id"], ["pos", "_o", "track_id"],
-                   F.col("stretch"), "part").filter("track_id is not null").select("group_id", "track_id", "part")
-    rows = ranges.join(placed, ["group_id", "track_id"]).select(
-        "group_id", "track_id", "start", "end", "initial", F.col("capacity").cast("double").alias("capacity"), "part")
-    return rows.groupBy("group_id", "part").applyInPandas(
-        _accept, "group_id bigint, track_id bigint, first_visible_frame bigint, accepted boolean, reentry boolean")
-
-
-def lagged_cover(steps: DataFrame) -> DataFrame:
+    group = ["group_id"]
+    tracks = ranges.groupBy("group_id", "track_id").agg(
+        F.min("start").cast("bigint").alias("first_visible_frame"), F.first("initial").alias("initial"),
+        F.first("capacity").cast("double").alias("capacity"))
+    limits = ranges.groupBy("group_id").agg(F.first("capacity").alias("_cap")).filter("_cap is not null")
+    crowded = coverage_steps(ranges, group).join(limits, group).filter(F.col("cover") > F.col("_cap")).select("group_id", "from", "to")
+    pieces = materialize(overlaps(ranges, crowded, group), "crowded")
+    hulls = pieces.groupBy("group_id", "track_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    opened = materialize(_opening(coverage_steps(hulls, group)), "stretches")
+    starts = running(opened, group, "from", F.col("opens"), "part").filter("opens = 1").select(
+        "group_id", F.col("from").alias("pos"), F.lit(0).alias("_o"), F.lit(None).cast("bigint").alias("track_id"), F.col("part").cast("bigint").alias("_part"))
+    tagged = starts.unionByName(hulls.select(
+        "group_id", F.col("start").cast("bigint").alias("pos"), F.lit(1).alias("_o"), "track_id", F.lit(None).cast("bigint").alias("_part")))
+    placed = carry(tagged, group, ["pos", "_o", "track_id"], F.col("_part"), "part").filter("track_id is not null").select("group_id", "track_id", "part")
+    rows = pieces.join(placed, ["group_id", "track_id"]).join(tracks, ["group_id", "track_id"])
+    decided = rows.groupBy("group_id", "part").applyInPandas(_accept, "group_id bigint, track_id bigint, _ok boolean")
+    return tracks.filter("not initial").join(decided, ["group_id", "track_id"], "left").select(
+        "group_id", "track_id", "first_visible_frame", F.coalesce("_ok", F.lit(True)).alias("accepted"),
+        (F.coalesce("_ok", F.lit(True)) & F.col("capacity").isNotNull()).alias("reentry"))
+
+
+def overlaps(ranges: DataFrame, segments: DataFrame, keys: Sequence[str], cell: int = BLOCK) -> DataFrame:
+    """Inclusive parts of ``ranges`` inside ``segments`` ([from, to)), joined on cells of frames, each part once."""
+    keys = list(keys)
+    low, high = F.floor(F.col("start") / cell), F.floor(F.col("end") / cell)
+    left = ranges.withColumn("_cell", F.explode(F.sequence(low, high)))
+    right = segments.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("from") / cell), F.floor((F.col("to") - 1) / cell))))
+    meet = left.join(right, [*keys, "_cell"]).filter((F.col("start") < F.col("to")) & (F.col("end") >= F.col("from")))
+    begin = F.greatest("start", "from")
+    return meet.filter(F.floor(begin / cell) == F.col("_cell")).select(
+        *keys, "track_id", begin.alias("start"), F.least(F.col("end"), F.col("to") - 1).alias("end"))
+
+
+def _opening(steps: DataFrame) -> DataFrame:
     """Mark steps at which the cover rises from zero (or from nothing)."""
     before = carry(steps, ["group_id"], ["from"], F.col("cover"), "_before", inclusive=False)
     return before.withColumn("opens", ((F.col("cover") > 0) & (F.coalesce("_before", F.lit(0)) == 0)).cast("int"))

@@ -8,6 +8,7 @@ far smaller step works on one row per block.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,25 +146,47 @@ def running(
         *df.columns, (F.col("_sum") + F.col("_base")).alias(name))
 
 
+@dataclass(frozen=True)
+class Carry:
+    """One value to carry along an order: forwards from the past, or with ``reverse`` backwards from the future."""
+
+    name: str
+    value: Column
+    order: Sequence[str]
+    reverse: bool = False
+    inclusive: bool = True
+
+
+def carry_all(df: DataFrame, keys: Sequence[str], block: str, carries: Sequence[Carry], size: float = BLOCK) -> DataFrame:
+    """Add the nearest non-null value before (or after) each row for every ``Carry``, in one pass over ``df``.
+
+    Windows run inside blocks of ``block / size``; one row per block is carried to the blocks that follow.
+    """
+    keys = list(keys)
+    rows = df.withColumn("_blk", block_of(block, size))
+    for i, c in enumerate(carries):
+        rows = rows.withColumn(f"_v{i}", c.value)
+    local, edges, carried = rows, [], []
+    for i, c in enumerate(carries):
+        sides = [F.col(o).desc() if c.reverse else F.col(o).asc() for o in c.order]
+        w = Window.partitionBy(*keys, "_blk").orderBy(*sides).rowsBetween(Window.unboundedPreceding, 0 if c.inclusive else -1)
+        local = local.withColumn(f"_l{i}", F.last(f"_v{i}", True).over(w))
+        place = F.when(F.col(f"_v{i}").isNotNull(), F.struct(*c.order))
+        edges.append((F.min_by if c.reverse else F.max_by)(f"_v{i}", place).alias(f"_e{i}"))
+        wb = Window.partitionBy(*keys).orderBy(F.col("_blk").desc() if c.reverse else F.col("_blk").asc()).rowsBetween(Window.unboundedPreceding, -1)
+        carried.append(F.last(f"_e{i}", True).over(wb).alias(f"_c{i}"))
+    # per block the edge is the value nearest to the blocks that look at it
+    blocks = rows.groupBy(*keys, "_blk").agg(*edges).select(*keys, "_blk", *carried)
+    return local.join(blocks, [*keys, "_blk"]).select(
+        *df.columns, *[F.coalesce(f"_l{i}", f"_c{i}").alias(c.name) for i, c in enumerate(carries)])
+
+
 def carry(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str,
     size: float = BLOCK, reverse: bool = False, inclusive: bool = True,
 ) -> DataFrame:
     """Last non-null ``value`` up to each row (or the next one with ``reverse``), blocks cut on ``order[0]``."""
-    keys = list(keys)
-    rows = df.withColumn("_blk", block_of(order[0], size)).withColumn("_v", value)
-    sides = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
-    w = Window.partitionBy(*keys, "_blk").orderBy(*sides).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1)
-    local = rows.withColumn("_local", F.last("_v", True).over(w))
-    place = F.when(F.col("_v").isNotNull(), F.struct(*order))
-    edge = (F.min_by if reverse else F.max_by)("_v", place)
-    ends = rows.groupBy(*keys, "_blk").agg(edge.alias("_end"))
-    block_side = F.col("_blk").desc() if reverse else F.col("_blk").asc()
-    wb = Window.partitionBy(*keys).orderBy(block_side).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*keys, "_blk", F.last("_end", True).over(wb).alias("_carry"))
-    return local.join(carried, [*keys, "_blk"]).select(
-        *df.columns, F.coalesce("_local", "_carry").alias(name))
+    return carry_all(df, keys, order[0], [Carry(name, value, order, reverse, inclusive)], size)
 
 
 def runs(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from episodica.functions.numeric import hold_frames, is_finite, max_abs_difference
 from episodica.operators import ranks
 from episodica.operators.series import EPISODE, attach, episode_lengths, lagged, runs
+from episodica.session import materialize
 
 
 @dataclass(frozen=True)
@@ -82,7 +83,8 @@ def motion(frames: DataFrame, fps: float, pairs: Sequence[tuple[int, int]], conf
         *EPISODE, F.when(F.col("_first").isNull(), F.lit(0)).otherwise(start).cast("bigint").alias("start"),
         F.when(F.col("_last").isNull(), F.col("length")).otherwise(end).cast("bigint").alias("end"), "length",
         F.when(F.col("_first").isNull() & F.col("_last").isNull(), "no_sustained_motion").otherwise("motion").alias("method"))
-    return with_overrides(bounds, overrides) if overrides is not None else bounds
+    # one row per episode from a scan of all frames, used several times by every consumer
+    return materialize(with_overrides(bounds, overrides) if overrides is not None else bounds, "bounds")
 
 
 def with_overrides(bounds: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -127,4 +129,4 @@ def stationary(frames: DataFrame, fps: float, epsilon: float = 5e-4, start_margi
         text = F.concat(F.lit("stationary trim: "), "method", F.lit(" in episode "), F.col("episode_index").cast("string"))
         bounds = bounds.withColumn("start", F.when(F.col("method") == "stationary", F.col("start")).otherwise(
             F.raise_error(text).cast("bigint")))
-    return bounds
+    return materialize(bounds, "bounds")

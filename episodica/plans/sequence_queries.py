@@ -275,4 +275,4 @@ def a27(spark, sf):
     rows = ranges.join(cand, "candidate_id").join(nation, "object_id")
     # an order is one track of its nation
     return masks.late_tracks(rows.select("group_id", F.col("candidate_id").alias("track_id"), "start", "end",
-                                         (F.col("target") == "protect").alias("initial"), F.lit(40).alias("capacity")))
+                                         (F.col("target") == "protect").alias("initial"), F.lit(12).alias("capacity")))
