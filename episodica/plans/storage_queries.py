@@ -1 +1,277 @@
+"""Source and sink queries: the derived frames are written in both layouts, scanned again and compared with SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from episodica.operators import curate, series, stats
+from episodica.operators import validate as v
+from episodica.plans import tables as t
+from episodica.plans.language_queries import styled
+from episodica.plans.registry import query, r
+from episodica.plans.statistics_queries import TEN, ten_sql
+from episodica.session import new_path
+from episodica.sources import readers, writers
+
+EP = series.EPISODE
+_ROOTS: dict[tuple[str, str, str], str] = {}
+CAMERAS = ["top", "side"]
+
+# Declaration of the written data set; its totals are filled in from the data.
+FEATURES = {
+    "action": {"dtype": "float64", "shape": [2], "names": ["value", "k"]},
+    "observation.state": {"dtype": "float64", "shape": [2], "names": {"motors": ["value", "k"]}},
+    "timestamp": {"dtype": "float64", "shape": [1], "names": None},
+    "frame_index": {"dtype": "int64", "shape": [1], "names": None},
+    "episode_index": {"dtype": "int64", "shape": [1], "names": None},
+    "index": {"dtype": "int64", "shape": [1], "names": None},
+    "task_index": {"dtype": "int64", "shape": [1], "names": None},
+    "observation.images.top": {"dtype": "video", "shape": [48, 64, 3], "names": None},
+}
+
+
+def _once(spark, sf, name, build):
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _ROOTS:
+        root = new_path(spark, name)
+        build(root)
+        _ROOTS[key] = root
+    return _ROOTS[key]
+
+
+def header(spark, sf, version):
+    totals = t.episodes(spark, sf).agg(F.count("*").alias("e"), F.sum("length").alias("f")).first()
+    return {"codebase_version": version, "robot_type": "events", "fps": t.FPS, "total_episodes": totals.e, "total_frames": totals.f,
+            "total_tasks": t.tasks(spark, sf).count(), "chunks_size": 1000, "splits": {"train": f"0:{totals.e}"}, "features": FEATURES}
+
+
+def episode_table(spark, sf):
+    fr = t.frames(spark, sf)
+    named = t.episodes(spark, sf).join(curate.episode_tasks(fr, t.tasks(spark, sf)), EP)
+    return writers.with_video_segments(writers.plan_shards(named, rows_per_file=4000), CAMERAS, t.FPS)
+
+
+def v3_root(spark, sf):
+    def build(root):
+        fr = t.frames(spark, sf).drop("seconds")
+        shards = episode_table(spark, sf)
+        writers.write_frames(fr, shards, root)
+        writers.write_episodes(shards, root)
+        writers.write_tasks(t.tasks(spark, sf), root)
+        writers.write_stats_json(stats.feature_stats(t.frames(spark, sf), ["action"]), root)
+        writers.write_header(spark, root, header(spark, sf, "v3.0"))
+    return _once(spark, sf, "layout_v3", build)
+
+
+def v2_root(spark, sf):
+    def build(root):
+        fr = t.frames(spark, sf).drop("seconds")
+        writers.convert_to_v2(fr, t.episodes(spark, sf).join(curate.episode_tasks(fr, t.tasks(spark, sf)), EP), t.tasks(spark, sf), header(spark, sf, "v3.0"), root)
+        writers.write_episode_stats_jsonl(stats.feature_stats_by_episode(t.frames(spark, sf), ["action"]), root)
+    return _once(spark, sf, "layout_v2", build)
+
+
+_FRAME_ROWS = """SELECT episode_index, frame_index, idx AS "index", task_index, event_id, round(tstamp,6) AS timestamp, round(a0,6) AS a0, round(s1,6) AS s1 FROM frames"""
+
+
+def _rows(frames):
+    return frames.select("episode_index", "frame_index", "index", "task_index", "event_id", *r("timestamp"), F.round(F.get("action", F.lit(0)), 6).alias("a0"),
+                         F.round(F.get("state", F.lit(1)), 6).alias("s1"))
+
+
+@query("s02_scan_frames_v3", f"WITH {t.FRAMES_SQL} {_FRAME_ROWS}")
+def s02(spark, sf):
+    return _rows(readers.scan_frames(spark, v3_root(spark, sf), "events"))
+
+
+@query("k02_write_frames_v2", f"WITH {t.FRAMES_SQL} {_FRAME_ROWS}")
+def k02(spark, sf):
+    return _rows(readers.scan_frames(spark, v2_root(spark, sf), "events"))
+
+
+@query("k01_shard_layout", f"""WITH {t.FRAMES_SQL}, e AS (SELECT episode_index, count(*) AS n, min(idx) AS f FROM frames GROUP BY 1)
+  SELECT CAST(f // 4000 // 1000 AS INTEGER) AS chunk, CAST(f // 4000 % 1000 AS INTEGER) AS file, count(*) AS episodes, CAST(sum(n) AS BIGINT) AS frames FROM e GROUP BY ALL""")
+def k01(spark, sf):
+    fr = readers.scan_frames(spark, v3_root(spark, sf), "events", columns=["episode_index"])
+    place = fr.select("episode_index", F.regexp_extract("_file", r"chunk=(\d+)", 1).cast("int").alias("chunk"), F.regexp_extract("_file", r"file=(\d+)", 1).cast("int").alias("file"))
+    return place.groupBy("chunk", "file").agg(F.count_distinct("episode_index").alias("episodes"), F.count("*").alias("frames"))
+
+
+@query("c11_convert_to_v2", f"""WITH {t.FRAMES_SQL} SELECT episode_index, CAST(episode_index // 1000 AS INTEGER) AS chunk, count(*) AS frames FROM frames GROUP BY 1""")
+def c11(spark, sf):
+    fr = readers.scan_frames(spark, v2_root(spark, sf), "events", columns=["episode_index"])
+    return fr.groupBy("episode_index", F.regexp_extract("_file", r"chunk=(\d+)", 1).cast("int").alias("chunk")).agg(F.count("*").alias("frames"))
+
+
+@query("s01_read_features", """SELECT * FROM (VALUES (0,'action','float64',2,'value,k'),(1,'observation.state','float64',2,'value,k'),(2,'timestamp','float64',1,NULL),(3,'frame_index','int64',1,NULL),
+  (4,'episode_index','int64',1,NULL),(5,'index','int64',1,NULL),(6,'task_index','int64',1,NULL),(7,'observation.images.top','video',9216,NULL)) x(ord, feature, dtype, width, names)""")
+def s01(spark, sf):
+    f = readers.read_features(readers.read_header(spark, v3_root(spark, sf), "events"))
+    return f.select("ord", "feature", "dtype", F.aggregate("shape", F.lit(1), lambda a, n: a * n).alias("width"), F.array_join("names", ",").alias("names"))
+
+
+@query("s01_read_header", """SELECT 'v3.0' AS codebase_version, 10.0::DOUBLE AS fps, count(DISTINCT user_id) AS total_episodes, count(*) AS total_frames, count(DISTINCT event_type) AS total_tasks FROM events""")
+def s01_header(spark, sf):
+    return readers.read_header(spark, v3_root(spark, sf), "events").select("codebase_version", "fps", "total_episodes", "total_frames", "total_tasks")
+
+
+@query("p01_numeric_features", """SELECT * FROM (VALUES ('action',2),('observation.state',2),('timestamp',1),('frame_index',1),('episode_index',1),('index',1),('task_index',1)) x(feature, width)""")
+def p01(spark, sf):
+    f = readers.read_features(readers.read_header(spark, v3_root(spark, sf), "events"))
+    return stats.numeric_features(f).select("feature", F.col("width").cast("int").alias("width"))
+
+
+@query("p02_chart_features", """SELECT * FROM (VALUES ('action','dtype'),('observation.state','dtype'),('timestamp','bookkeeping'),('frame_index','bookkeeping'),('episode_index','bookkeeping'),
+  ('index','bookkeeping'),('task_index','bookkeeping'),('observation.images.top','dimensions')) x(feature, ignored)""")
+def p02(spark, sf):
+    f = readers.read_features(readers.read_header(spark, v3_root(spark, sf), "events"))
+    return readers.chart_features(f, "v3.0", ["timestamp", "frame_index", "episode_index", "index", "task_index"]).select("feature", "ignored")
+
+
+_TASKS = "SELECT dense_rank() OVER (ORDER BY event_type) - 1 AS task_index, event_type AS task FROM (SELECT DISTINCT event_type FROM events)"
+
+
+@query("s03_scan_tasks_v3", _TASKS)
+def s03(spark, sf):
+    return readers.scan_tasks(spark, v3_root(spark, sf), "events", "v3.0").select("task_index", "task")
+
+
+@query("k04_write_tasks_v2", _TASKS)
+def k04(spark, sf):
+    return readers.scan_tasks(spark, v2_root(spark, sf), "events", "v2.1").select("task_index", "task")
+
+
+@query("s04_scan_episodes_v3", f"""WITH {t.FRAMES_SQL} SELECT episode_index, count(*) AS length, min(idx) AS dataset_from_index, max(idx)+1 AS dataset_to_index,
+  string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS tasks FROM frames GROUP BY 1""")
+def s04(spark, sf):
+    e = readers.scan_episodes(spark, v3_root(spark, sf), "events", "v3.0")
+    return e.select("episode_index", "length", "dataset_from_index", "dataset_to_index", F.array_join("tasks", ",").alias("tasks"))
+
+
+@query("k03_write_episodes_v2", f"""WITH {t.FRAMES_SQL} SELECT episode_index, count(*) AS length, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS tasks FROM frames GROUP BY 1""")
+def k03(spark, sf):
+    e = readers.scan_episodes(spark, v2_root(spark, sf), "events", "v2.1")
+    return e.select("episode_index", "length", F.array_join("tasks", ",").alias("tasks"))
+
+
+@query("s05_episode_slice", f"""WITH {t.FRAMES_SQL} SELECT frame_index, event_id FROM frames WHERE episode_index = 7""")
+def s05(spark, sf):
+    root = v3_root(spark, sf)
+    where = readers.scan_episodes(spark, root, "events", "v3.0").filter("episode_index = 7").select("dataset_from_index", "dataset_to_index").first()
+    return readers.episode_slice(readers.scan_frames(spark, root, "events"), where[0], where[1]).select("frame_index", "event_id")
+
+
+@query("s06_project_at_scan", f"""WITH {t.FRAMES_SQL} SELECT task_index, count(*) AS frames, round(sum(tstamp),6) AS seconds FROM frames GROUP BY 1""")
+def s06(spark, sf):
+    fr = readers.scan_frames(spark, v3_root(spark, sf), "events", columns=["task_index", "timestamp"])
+    return fr.groupBy("task_index").agg(F.count("*").alias("frames"), F.round(F.sum("timestamp"), 6).alias("seconds"))
+
+
+@query("s10_read_stats", f"""WITH {t.FRAMES_SQL}, s AS (SELECT dim, {ten_sql()} FROM vals GROUP BY dim) SELECT 'action' AS feature, dim, min, max, mean, std, count, q01, q10, q50, q90, q99 FROM s""")
+def s10(spark, sf):
+    s = readers.read_stats(spark, f"{v3_root(spark, sf)}/meta/stats.json", "events")
+    at = lambda n: F.round(F.max(F.when(F.col("statistic") == n, F.col("value"))), 6).alias(n)
+    wide = s.filter("statistic <> 'count'").groupBy("feature", "dim").agg(*[at(n) for n in TEN])
+    return wide.join(s.filter("statistic = 'count'").select("feature", F.col("value").cast("bigint").alias("count")), "feature")
+
+
+@query("s12_read_episode_stats", f"WITH {t.FRAMES_SQL} SELECT episode_index, 'action' AS feature, dim, {ten_sql(digits=8)} FROM vals GROUP BY episode_index, dim")
+def s12(spark, sf):
+    s = readers.read_episode_stats(spark, f"{v2_root(spark, sf)}/meta/episodes_stats.jsonl", "events")
+    at = lambda n: F.round(F.max(F.when(F.col("statistic") == n, F.col("value"))), 8).alias(n)
+    wide = s.filter("statistic <> 'count'").groupBy("episode_index", "feature", "dim").agg(*[at(n) for n in TEN])
+    counts = s.filter("statistic = 'count'").select("episode_index", "feature", F.col("value").cast("bigint").alias("count"))
+    return wide.join(counts, ["episode_index", "feature"])
+
+
+@query("k06_episode_stats_columns", f"WITH {t.FRAMES_SQL} SELECT episode_index, count(*) AS length, round(avg(a0),8) AS mean0, round(avg(a1),8) AS mean1, round(quantile_cont(a0,0.5),8) AS median0 FROM frames GROUP BY 1")
+def k06(spark, sf):
+    wide = writers.with_episode_stats(t.episodes(spark, sf), stats.feature_stats_by_episode(t.frames(spark, sf), ["action"]), ["action"])
+    at = lambda s, i, n: F.round(F.get(F.col(f"`stats/action/{s}`"), F.lit(i)), 8).alias(n)
+    return wide.select("episode_index", "length", at("mean", 0, "mean0"), at("mean", 1, "mean1"), at("q50", 0, "median0"))
+
+
+@query("k05_stats_json", f"WITH {t.FRAMES_SQL} SELECT 'action' AS feature, count(*) AS frames, round(min(a0),6) AS min0, round(max(a1),6) AS max1 FROM frames")
+def k05(spark, sf):
+    nested = writers.nested_stats(stats.feature_stats(t.frames(spark, sf), ["action"]))
+    return nested.select("feature", F.get("count", F.lit(0)).alias("frames"), F.round(F.get("min", F.lit(0)), 6).alias("min0"), F.round(F.get("max", F.lit(1)), 6).alias("max1"))
+
+
+@query("s11_annotation_sidecar", """SELECT conv_id AS episode_index, turn AS ord, role, text AS content, CAST(turn AS DOUBLE) AS ts FROM conversations""")
+def s11(spark, sf):
+    """Written as version 2 and read back."""
+    def build(root):
+        none = F.lit(None)
+        from episodica.functions import language as rules
+        atoms = styled(spark, sf).withColumn("camera", none.cast("string")).withColumn("tool_calls", none.cast(rules.TOOL_CALLS))
+        writers.write_annotation_sidecar(atoms, f"{root}/annotations.json")
+    root = _once(spark, sf, "sidecar", build)
+    atoms = readers.read_annotation_sidecar(spark, f"{root}/annotations.json", "conversations", lines=True)
+    # list order equals turn order; the turn number itself is kept as time
+    return atoms.select("episode_index", F.col("ts").cast("bigint").alias("ord"), "role", "content", "ts")
+
+
+@query("s11_sidecar_migration", """SELECT user_id AS episode_index, 'subtask' AS style, 'assistant' AS role, count(*) AS atoms FROM events WHERE event_type = 'click' GROUP BY 1
+  UNION ALL SELECT user_id, 'interjection', 'user', count(*) FROM events WHERE event_type = 'view' GROUP BY 1 UNION ALL SELECT user_id, NULL, 'assistant', count(*) FROM events WHERE event_type = 'error' GROUP BY 1""")
+def s11_old(spark, sf):
+    """Records of the first format: labelled segments, user prompts and robot utterances."""
+    def build(root):
+        e = t.table(spark, sf, "events")
+        kind = F.col("event_type")
+        record = F.struct(F.when(kind == "click", F.array(F.struct(kind.alias("label"), F.col("value").alias("start")))).alias("subtasks"),
+                          F.when(kind.isin("view", "error"), F.array(F.struct(F.col("value").alias("start"), F.when(kind == "view", kind).alias("user_prompt"),
+                                                                              F.when(kind == "error", kind).alias("robot_utterance")))).alias("high_levels"))
+        e.select(F.map_from_arrays(F.array(F.col("user_id").cast("string")), F.array(record)).alias("episodes")).write.json(f"{root}/annotations.json")
+    root = _once(spark, sf, "sidecar_v1", build)
+    atoms = readers.read_annotation_sidecar(spark, f"{root}/annotations.json", "events", lines=True)
+    return atoms.groupBy("episode_index", "style", "role").agg(F.count("*").alias("atoms"))
+
+
+@query("s09_progress_series", """WITH p AS (SELECT user_id, event_id, CASE WHEN event_type = 'click' THEN value END AS sparse, value AS dense, count(*) FILTER (event_type = 'click' AND value > 0) OVER (PARTITION BY user_id) AS c FROM events),
+  v AS (SELECT user_id, event_id, CASE WHEN c > 0 THEN sparse ELSE dense END AS progress, CASE WHEN c > 0 THEN 'progress_sparse' ELSE 'progress_dense' END AS "column" FROM p),
+  n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS point, count(*) OVER (PARTITION BY user_id) AS k FROM v WHERE progress IS NOT NULL)
+  SELECT user_id AS episode_index, "column", point, round(point / greatest(k - 1, 1) * 30, 6) AS timestamp, round(progress, 6) AS progress FROM n""")
+def s09(spark, sf):
+    e = t.table(spark, sf, "events").select(F.lit("events").alias("dataset_id"), F.col("user_id").alias("episode_index"), F.col("event_id").alias("index"), F.col("event_id").alias("_row"),
+                                            F.when(F.col("event_type") == "click", F.col("value").cast("string")).otherwise("none").alias("progress_sparse"), F.col("value").alias("progress_dense"))
+    durations = e.select(*EP).distinct().withColumn("duration", F.lit(30.0))
+    return readers.progress_series(e, durations).select("episode_index", "column", "point", *r("timestamp", "progress"))
+
+
+@query("p17_video_segments", f"""WITH {t.FRAMES_SQL}, e AS (SELECT episode_index, count(*) AS n, min(idx) AS f FROM frames GROUP BY 1)
+  SELECT episode_index, c.camera, f // 4000 // 1000 AS chunk_index, f // 4000 % 1000 AS file_index, 0.0::DOUBLE AS first_time, round(greatest(0, n/10.0 - 0.05),6) AS last_time FROM e, (VALUES ('top'),('side')) c(camera)""")
+def p17(spark, sf):
+    e = readers.scan_episodes(spark, v3_root(spark, sf), "events", "v3.0")
+    return readers.episode_videos(e).select("episode_index", "camera", "chunk_index", "file_index", "first_time", *r("last_time"))
+
+
+@query("k09_typed_sink", f"WITH {t.FRAMES_SQL} SELECT episode_index, frame_index, round(CAST(CAST(a0 AS FLOAT) AS DOUBLE),6) AS a0, CAST(task_index AS INTEGER) AS task_index FROM frames")
+def k09(spark, sf):
+    schema = T.StructType([T.StructField("episode_index", T.LongType()), T.StructField("frame_index", T.LongType()), T.StructField("action", T.ArrayType(T.FloatType())), T.StructField("task_index", T.IntegerType())])
+    typed = writers.typed(t.frames(spark, sf), schema)
+    return typed.select("episode_index", "frame_index", F.round(F.get("action", F.lit(0)).cast("double"), 6).alias("a0"), "task_index")
+
+
+@query("p16_drop_legacy_columns", f"WITH {t.FRAMES_SQL} SELECT episode_index, frame_index, 0 AS annotations FROM frames")
+def p16(spark, sf):
+    from episodica.operators import language
+    legacy = t.frames(spark, sf).select(*EP, "frame_index", F.lit(1).alias("subtask_index"), F.lit("[]").alias("tools"))
+    none = styled(spark, sf).limit(0).select(*EP, F.lit("language_persistent").alias("column"), F.lit(0).cast("bigint").alias("frame_index"), F.lit(0.0).cast("float").alias("ts"), "ord", "role", "content", "style")
+    out = language.nest(none, legacy)
+    if {"subtask_index", "tools"} & set(out.columns):
+        raise ValueError("legacy columns were kept")
+    return out.select("episode_index", "frame_index", (F.size("language_persistent") + F.size("language_events")).alias("annotations"))
+
+
+@query("v00_full_run", """SELECT 0 AS failures, 0 AS warnings, true AS passed FROM events LIMIT 1""")
+def v00(spark, sf):
+    """All rules over the written v3 data set, which is sound."""
+    root = v3_root(spark, sf)
+    head = readers.read_header(spark, root, "events")
+    features = readers.read_features(head).filter("dtype <> 'video'")
+    stored = readers.read_stats(spark, f"{root}/meta/stats.json", "events")
+    data = v.Dataset("events", head, features, readers.read_splits(head), readers.scan_tasks(spark, root, "events", "v3.0"),
+                     readers.scan_episodes(spark, root, "events", "v3.0"), readers.scan_frames(spark, root, "events"))
+    issues = v.run(data, "full").unionByName(v.stats_issues(data.frames, stored, {"action": "action"}, "events"))
+    return v.summary(issues)
