@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from episodica.functions.numeric import round_half_up, vector_distance
 from episodica.operators.ranks import kth_values
-from episodica.operators.series import EPISODE, block_of, deltas, episode_lengths, halo, lagged, running, to_values
+from episodica.operators.series import EPISODE, block_of, deltas, episode_lengths, halo, lagged, to_values
 
 DISCRETE_VALUES = 4
 ACTIVITY_SHARE = 0.001
@@ -257,26 +257,35 @@ def _lag_products(centred: pd.Series, own: pd.Series, lags: pd.Series) -> pd.Ser
 
 
 def autocorrelation(frames: DataFrame, feature: str = "action", max_lag: int = 100) -> DataFrame:
-    """Mean autocorrelation over episodes per (dim, lag), lags up to half of the shortest episode.
+    """Mean autocorrelation over episodes per (dim, lag), lags up to half of the shortest episode."""
+    shortest_ = episode_lengths(frames).agg(F.least(F.lit(max_lag), F.floor(F.min("length") / 2)).cast("int").alias("lags"))
+    per = _autocorrelation(frames, feature, max_lag, shortest_.filter("lags >= 2"), [])
+    # every episode has at least 2 * lags frames, so all of them count
+    return per.groupBy("dim", "lag").agg(F.avg("acf").alias("acf"))
 
-    A block of rows plus ``max_lag`` following ones yields all lag products at once; only one array of sums per block
-    leaves the task.
-    """
-    lengths = episode_lengths(frames)
-    shortest_ = lengths.agg(F.least(F.lit(max_lag), F.floor(F.min("length") / 2)).cast("int").alias("lags"))
+
+def episode_autocorrelation(frames: DataFrame, feature: str = "action", max_lag: int = 100) -> DataFrame:
+    """Autocorrelation of each episode by itself, lags up to half of its own length."""
+    lags = episode_lengths(frames).select(*EPISODE, F.least(F.lit(max_lag), F.floor(F.col("length") / 2)).cast("int").alias("lags")).filter("lags >= 1")
+    return _autocorrelation(frames, feature, max_lag, lags, EPISODE)
+
+
+def _autocorrelation(frames: DataFrame, feature: str, max_lag: int, lags: DataFrame, keys: list[str]) -> DataFrame:
+    """A block of rows plus ``max_lag`` following ones yields all lag products; one array of sums leaves each block."""
     blocks = vector_blocks(frames, {"x": feature}, after=max_lag)
     means = to_values(frames, [feature]).groupBy(*EPISODE, "dim").agg(
         F.avg("value").alias("_mean"), F.var_pop("value").alias("_var"), F.count("*").alias("_n"))
-    rows = blocks.join(means, [*EPISODE, "dim"]).crossJoin(F.broadcast(shortest_)).filter("lags >= 2")
+    rows = blocks.join(means, [*EPISODE, "dim"])
+    rows = rows.join(lags, keys) if keys else rows.crossJoin(F.broadcast(lags))  # a single row without keys
     kernel = F.pandas_udf(_lag_products, "array<double>")
     sums = rows.select(
         *EPISODE, "dim", "lags", (F.col("_var") * F.col("_n")).alias("_energy"),
         F.posexplode(kernel(F.transform("x", lambda v: v - F.col("_mean")), "own", "lags")).alias("_p", "_s"))
     per = sums.groupBy(*EPISODE, "dim", (F.col("_p") + 1).alias("lag")).agg(
         F.sum("_s").alias("_s"), F.first("_energy").alias("_energy"))
-    # every episode has at least 2 * lags frames; constant series count with 0
+    # constant series count with 0
     acf = F.when(F.col("_energy") == 0, F.lit(0.0)).otherwise(F.col("_s") / F.col("_energy"))
-    return per.groupBy("dim", "lag").agg(F.avg(acf).alias("acf"))
+    return per.select(*EPISODE, "dim", "lag", acf.alias("acf"))
 
 
 def suggested_chunk(acf: DataFrame) -> DataFrame:
@@ -326,43 +335,58 @@ def _cross_products(a: pd.Series, s: pd.Series, lead: pd.Series, own: pd.Series,
     return pd.Series(out)
 
 
+def pair_by_name(action_names: list[str], state_names: list[str]) -> list[tuple[int, int]]:
+    """Element pairs with equal names, else equal positions."""
+    named = [(i, state_names.index(n)) for i, n in enumerate(action_names) if n in state_names]
+    return named or [(i, i) for i in range(min(len(action_names), len(state_names)))]
+
+
 def alignment(frames: DataFrame, action: str = "action", state: str = "state", max_lag: int = 30,
-              pairs: DataFrame | None = None, min_frames: int = 10) -> DataFrame:
+              pairs: list[tuple[int, int]] | None = None, min_frames: int = 10) -> DataFrame:
     """Mean correlation of action and state deltas per (pair, lag) over episodes of at least ``min_frames``.
 
-    Means come from the whole delta series, norms from the overlapping part only. ``pairs(action_dim, state_dim)``
-    defaults to equal positions.
+    ``pairs`` of (action, state) elements default to equal positions.
     """
-    prepared = frames
+    parts = _cross_correlation(frames, action, state, max_lag, pairs, min_frames)
+    return parts.groupBy("pair", "lag").agg(F.coalesce(F.avg("corr"), F.lit(0.0)).alias("corr"))
+
+
+def episode_alignment(frames: DataFrame, action: str = "action", state: str = "state", max_lag: int = 30,
+                      pairs: list[tuple[int, int]] | None = None, min_frames: int = 10) -> DataFrame:
+    """The same per episode, lags up to a quarter of its length."""
+    parts = _cross_correlation(frames, action, state, max_lag, pairs, min_frames)
+    reach = F.least(F.lit(max_lag), F.floor((F.col("steps") + 1) / 4))
+    return parts.filter((reach >= 2) & (F.abs("lag") <= reach)).select(*EPISODE, "pair", "lag", F.coalesce("corr", F.lit(0.0)).alias("corr"))
+
+
+def _cross_correlation(frames: DataFrame, action: str, state: str, max_lag: int, pairs: list[tuple[int, int]] | None, min_frames: int) -> DataFrame:
+    """``(episode, pair, lag, corr, steps)``: means from the whole delta series, norms from the overlap only."""
     if pairs is not None:
-        order = pairs.agg(F.sort_array(F.collect_list(F.struct("action_dim", "state_dim"))).alias("_pairs"))
-        prepared = frames.crossJoin(F.broadcast(order)).withColumn(
-            "_a", F.transform("_pairs", lambda p: F.get(F.col(action), p["action_dim"]))).withColumn(
-            "_s", F.transform("_pairs", lambda p: F.get(F.col(state), p["state_dim"])))
+        a = F.array(*[F.get(action, F.lit(i)) for i, _ in pairs])
+        s = F.array(*[F.get(state, F.lit(j)) for _, j in pairs])
     else:
         width = F.least(F.size(action), F.size(state))
-        prepared = frames.withColumn("_a", F.slice(action, F.lit(1), width)).withColumn("_s", F.slice(state, F.lit(1), width))
-    steps = lagged(prepared.select(*EPISODE, "frame_index", F.col("_a").cast("array<double>").alias("_a"),
-                                   F.col("_s").cast("array<double>").alias("_s")), {"_pa": "_a", "_ps": "_s"})
+        a, s = F.slice(action, F.lit(1), width), F.slice(state, F.lit(1), width)
+    rows = frames.select(*EPISODE, "frame_index", a.cast("array<double>").alias("_a"), s.cast("array<double>").alias("_s"))
+    steps = lagged(rows, {"_pa": "_a", "_ps": "_s"})
     # the first frame has no predecessor; positions shift down so that delta series start at 0
     steps = steps.filter("_pa is not null").select(
         *EPISODE, (F.col("frame_index") - 1).alias("frame_index"),
         F.zip_with("_a", "_pa", lambda x, y: x - y).alias("a"), F.zip_with("_s", "_ps", lambda x, y: x - y).alias("s"))
     means = steps.select(*EPISODE, F.posexplode(F.arrays_zip("a", "s")).alias("dim", "z")).groupBy(*EPISODE, "dim").agg(
-        F.avg("z.a").alias("_ma"), F.avg("z.s").alias("_ms"), F.count("*").alias("_m")).filter(F.col("_m") >= min_frames - 1)
-    rows = vector_blocks(steps, {"a": "a", "s": "s"}, before=max_lag, after=max_lag).join(means, [*EPISODE, "dim"])
+        F.avg("z.a").alias("_ma"), F.avg("z.s").alias("_ms"), F.count("*").alias("steps")).filter(F.col("steps") >= min_frames - 1)
+    blocks = vector_blocks(steps, {"a": "a", "s": "s"}, before=max_lag, after=max_lag).join(means, [*EPISODE, "dim"])
     kernel = F.pandas_udf(_cross_products, "array<double>")
-    sums = rows.select(*EPISODE, "dim", kernel(
+    sums = blocks.select(*EPISODE, "dim", "steps", kernel(
         F.transform("a", lambda v: v - F.col("_ma")), F.transform("s", lambda v: v - F.col("_ms")),
         "lead", "own", F.lit(max_lag)).alias("_k"))
     width = 2 * max_lag + 1
     at = F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("_i")
-    parts = sums.select(*EPISODE, "dim", "_k", at).groupBy(*EPISODE, "dim", (F.col("_i") - max_lag).alias("lag")).agg(
+    parts = sums.select(*EPISODE, "dim", "steps", "_k", at).groupBy(*EPISODE, "dim", (F.col("_i") - max_lag).alias("lag")).agg(
         F.sum(F.get("_k", F.col("_i"))).alias("_xy"), F.sum(F.get("_k", F.col("_i") + width)).alias("_xx"),
-        F.sum(F.get("_k", F.col("_i") + 2 * width)).alias("_yy"))
+        F.sum(F.get("_k", F.col("_i") + 2 * width)).alias("_yy"), F.first("steps").alias("steps"))
     norm = F.sqrt(F.col("_xx") * F.col("_yy"))
-    corr = F.avg(F.when(norm > 0, F.col("_xy") / norm))
-    return parts.groupBy(F.col("dim").alias("pair"), "lag").agg(F.coalesce(corr, F.lit(0.0)).alias("corr"))
+    return parts.select(*EPISODE, F.col("dim").alias("pair"), "lag", "steps", F.when(norm > 0, F.col("_xy") / norm).alias("corr"))
 
 
 def alignment_profile(corr: DataFrame) -> DataFrame:
@@ -380,6 +404,38 @@ def alignment_peaks(corr: DataFrame) -> DataFrame:
     return profile.agg(*peak, *best).crossJoin(span)
 
 
+SCALE_DISTANCE = 2.0  # orders of magnitude two series may differ to share a chart
+SERIES_PER_CHART = 6
+
+
+def scale_groups(values: DataFrame) -> DataFrame:
+    """Charts ``(chart, place, series)``: series with the same suffix stay together, groups of similar scale share a chart.
+
+    ``values(series, ord, value)``; ranges are aggregated in Spark. One row per suffix, as many as the declaration has
+    names, comes to the driver, where groups are formed in declaration order.
+    """
+    suffix = F.coalesce(F.get(F.split("series", r" \| "), F.lit(1)), F.col("series"))
+    per = values.groupBy(suffix.alias("suffix"), "series").agg(F.min("ord").alias("ord"), F.min(F.nanvl("value", F.lit(None))).alias("lo"), F.max(F.nanvl("value", F.lit(None))).alias("hi"))
+    rows = per.groupBy("suffix").agg(F.min("ord").alias("ord"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+                                     F.array_sort(F.collect_list(F.struct("ord", "series"))).alias("members")).orderBy("ord").collect()
+    usable = [g for g in rows if g.lo is not None and np.isfinite(g.lo) and np.isfinite(g.hi)]
+    scale = {g.suffix: np.log10(np.abs([g.lo, g.hi]) + 1e-9) for g in usable}
+    charts, taken = [], set()
+    for lead in usable:
+        if lead.suffix in taken:
+            continue
+        # a group without any range only ever opens its own chart
+        same = [g for g in usable if g.suffix == lead.suffix or (
+            g.suffix not in taken and g.lo != g.hi and (np.abs(scale[g.suffix] - scale[lead.suffix]) <= SCALE_DISTANCE).all())]
+        same.sort(key=lambda g: g.suffix != lead.suffix)
+        taken.update(g.suffix for g in same)
+        charts.append((len(same), [m.series for g in same for m in g.members]))
+    charts.sort(key=lambda chart: -chart[0])
+    cut = [names[i:i + SERIES_PER_CHART] for _, names in charts for i in range(0, len(names), SERIES_PER_CHART)]
+    flat = [(number, place, name) for number, names in enumerate(cut) for place, name in enumerate(names)]
+    return values.sparkSession.createDataFrame(flat, "chart int, place int, series string")
+
+
 def insight_report(frames: DataFrame, feature: str = "action") -> DataFrame:
     """Per-episode insight table: length, movement, jerkiness and number of active dimensions."""
     per = episode_deltas(frames, feature)

@@ -188,9 +188,9 @@ def late_tracks(ranges: DataFrame) -> DataFrame:
         (F.coalesce("_ok", F.lit(True)) & F.col("capacity").isNotNull()).alias("reentry"))
 
 
-def overlaps(ranges: DataFrame, segments: DataFrame, keys: Sequence[str], cell: int = BLOCK) -> DataFrame:
+def overlaps(ranges: DataFrame, segments: DataFrame, keys: Sequence[str], cell: int | None = None) -> DataFrame:
     """Inclusive parts of ``ranges`` inside ``segments`` ([from, to)), joined on cells of frames, each part once."""
-    keys = list(keys)
+    keys, cell = list(keys), cell or BLOCK
     low, high = F.floor(F.col("start") / cell), F.floor(F.col("end") / cell)
     left = ranges.withColumn("_cell", F.explode(F.sequence(low, high)))
     right = segments.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("from") / cell), F.floor((F.col("to") - 1) / cell))))

@@ -23,12 +23,13 @@ Ranks = Callable[[Column], Column]
 
 def kth_values(
     values: DataFrame, by: Sequence[str], value: str, ranks: Ranks,
-    weight: str | None = None, limit: int = LIMIT,
+    weight: str | None = None, limit: int | None = None,
 ) -> DataFrame:
     """``(by, n, rank, kth)`` for the 0-based ``ranks(n)`` array of every group; NULL and NaN are ignored.
 
     With ``weight`` a row counts that many times.
     """
+    limit = limit or LIMIT
     keys = list(by) or ["_all_rows"]
     base = values if by else values.withColumn("_all_rows", F.lit(1))
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
@@ -145,7 +146,7 @@ def quantile_ranks(qs: Sequence[float]) -> Ranks:
 
 def quantiles(
     values: DataFrame, by: Sequence[str], value: str, names: dict[str, float],
-    weight: str | None = None, limit: int = LIMIT,
+    weight: str | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Linear-interpolated exact quantiles as columns ``names`` per group, with the row count ``n``."""
     by = list(by)

@@ -51,7 +51,7 @@ def absolute_values(frames: DataFrame, dims: Sequence[int], chunk: int) -> DataF
     return rows.select(weight.alias("weight"), F.explode(picked).alias("e")).select("e.dim", "e.value", "weight")
 
 
-def profile(frames: DataFrame, dims: Sequence[int], width: int, chunk: int = 50, limit: int = ranks.LIMIT) -> DataFrame:
+def profile(frames: DataFrame, dims: Sequence[int], width: int, chunk: int = 50, limit: int | None = None) -> DataFrame:
     """Ten statistics per action element over all full chunks; ``dims`` are relative, the others absolute."""
     parts = []
     moved = relative_values(frames, dims, chunk)
@@ -65,7 +65,7 @@ def profile(frames: DataFrame, dims: Sequence[int], width: int, chunk: int = 50,
     return out
 
 
-def _ten(values: DataFrame, weight: str | None, limit: int) -> DataFrame:
+def _ten(values: DataFrame, weight: str | None, limit: int | None) -> DataFrame:
     moments = centred_moments(values, ["dim"], weight=weight)
     quants = ranks.quantiles(values, ["dim"], "value", QUANTILES, weight=weight, limit=limit).drop("n")
     return moments.join(quants, "dim").select("dim", *STATISTICS)

@@ -21,8 +21,8 @@ BLOCK = 4096
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
-def block_of(position: str, size: float = BLOCK) -> Column:
-    return F.floor(F.col(position) / F.lit(size))
+def block_of(position: str, size: float | None = None) -> Column:
+    return F.floor(F.col(position) / F.lit(size or BLOCK))
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
@@ -49,26 +49,19 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
     )
 
 
-def halo(df: DataFrame, position: str, before: int = 0, after: int = 0, size: int = BLOCK) -> DataFrame:
-    """Assign each row to its block (``_own`` true) and copy edge rows to the neighbours that look at them.
+def halo(df: DataFrame, position: str, before: int = 0, after: int = 0, size: int | None = None) -> DataFrame:
+    """Assign each row to its block (``_own`` true) and copy edge rows to the blocks that look at them.
 
     ``before`` rows preceding and ``after`` rows following a block are visible inside it.
     """
-    if before > size or after > size:
-        raise ValueError("the halo must not be wider than a block")
+    size = size or BLOCK
     block = block_of(position, size).cast("bigint")
-    offset = F.col(position) - block * size
-    targets = [F.struct(block.alias("b"), F.lit(True).alias("own"))]
-    if before:
-        targets.append(F.when(offset >= size - before, F.struct((block + 1).alias("b"), F.lit(False).alias("own"))))
-    if after:
-        targets.append(F.when(offset < after, F.struct((block - 1).alias("b"), F.lit(False).alias("own"))))
-    if len(targets) == 1:
+    if not before and not after:
         return df.withColumn("_blk", block).withColumn("_own", F.lit(True))
-    return (
-        df.withColumn("_t", F.explode(F.array_compact(F.array(*targets))))
-        .select(*df.columns, F.col("_t.b").alias("_blk"), F.col("_t.own").alias("_own"))
-    )
+    pos = F.col(position)
+    first = F.greatest(F.floor((pos - after) / F.lit(size)), F.lit(0)).cast("bigint")
+    last = F.floor((pos + before) / F.lit(size)).cast("bigint")
+    return df.withColumn("_blk", F.explode(F.sequence(first, last))).withColumn("_own", F.col("_blk") == block)
 
 
 def block_window(keys: Sequence[str], position: str):
@@ -81,7 +74,7 @@ def lagged(
     keys: Sequence[str] = EPISODE,
     position: str = "frame_index",
     offset: int = 1,
-    size: int = BLOCK,
+    size: int | None = None,
 ) -> DataFrame:
     """Add ``new = old`` of the row ``offset`` positions earlier (negative: later); positions are dense."""
     rows = halo(df, position, before=max(offset, 0), after=max(-offset, 0), size=size)
@@ -132,7 +125,7 @@ def named_series(frames: DataFrame, features: DataFrame, vectors: Sequence[str])
 
 def running(
     df: DataFrame, keys: Sequence[str], position: str, value: Column, name: str,
-    size: float = BLOCK, inclusive: bool = True,
+    size: float | None = None, inclusive: bool = True,
 ) -> DataFrame:
     """Cumulative sum along ``position``: inside blocks first, then block totals carried forward."""
     keys = list(keys)
@@ -157,7 +150,7 @@ class Carry:
     inclusive: bool = True
 
 
-def carry_all(df: DataFrame, keys: Sequence[str], block: str, carries: Sequence[Carry], size: float = BLOCK) -> DataFrame:
+def carry_all(df: DataFrame, keys: Sequence[str], block: str, carries: Sequence[Carry], size: float | None = None) -> DataFrame:
     """Add the nearest non-null value before (or after) each row for every ``Carry``, in one pass over ``df``.
 
     Windows run inside blocks of ``block / size``; one row per block is carried to the blocks that follow.
@@ -183,7 +176,7 @@ def carry_all(df: DataFrame, keys: Sequence[str], block: str, carries: Sequence[
 
 def carry(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str,
-    size: float = BLOCK, reverse: bool = False, inclusive: bool = True,
+    size: float | None = None, reverse: bool = False, inclusive: bool = True,
 ) -> DataFrame:
     """Last non-null ``value`` up to each row (or the next one with ``reverse``), blocks cut on ``order[0]``."""
     return carry_all(df, keys, order[0], [Carry(name, value, order, reverse, inclusive)], size)
@@ -191,7 +184,7 @@ def carry(
 
 def runs(
     active: DataFrame, keys: Sequence[str], position: str = "frame_index",
-    min_length: Column | int = 1, size: float = BLOCK,
+    min_length: Column | int = 1, size: float | None = None,
 ) -> DataFrame:
     """Maximal runs of consecutive positions present in ``active``: inclusive ``start, end, length``."""
     keys = list(keys)

@@ -113,7 +113,7 @@ def centred_moments(values: DataFrame, by: Sequence[str], value: str = "value",
     return finish_moments(sums, by)
 
 
-def feature_stats(frames: DataFrame, features: Sequence[str], by: Sequence[str] = (), limit: int = ranks.LIMIT) -> DataFrame:
+def feature_stats(frames: DataFrame, features: Sequence[str], by: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """Global statistics of every element of the given vector features: ten statistics per (feature, dim)."""
     groups = [*by, "feature", "dim"]
     values = to_values(frames, features, list(by) or EPISODE)
@@ -122,7 +122,7 @@ def feature_stats(frames: DataFrame, features: Sequence[str], by: Sequence[str]
     return moments.join(quants, groups).select(*groups, *STATISTICS)
 
 
-def feature_stats_by_episode(frames: DataFrame, features: Sequence[str], limit: int = ranks.LIMIT) -> DataFrame:
+def feature_stats_by_episode(frames: DataFrame, features: Sequence[str], limit: int | None = None) -> DataFrame:
     """The same ten statistics restricted to each episode, all episodes in one pass."""
     groups = [*EPISODE, "feature", "dim"]
     moments = finish_moments(merge_moments(block_moments(frames, features), groups), groups)
@@ -138,7 +138,7 @@ def check_total_frames(frames: DataFrame, header: DataFrame) -> DataFrame:
     ).filter("frames <> total_frames")
 
 
-def diagnostic_stats(frames: DataFrame, columns: Sequence[str], limit: int = ranks.LIMIT) -> DataFrame:
+def diagnostic_stats(frames: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
     """Statistics of whatever columns are stackable; a column with any bad row is left out instead of failing.
 
     A column is stackable when every row has the width of the widest row and only finite numbers.

@@ -45,7 +45,7 @@ def shared_dimensions(action_names: Sequence[str], state_names: Sequence[str], w
     return [(action_names.index(n), state_names.index(n)) for n in chosen]
 
 
-def motion_score(frames: DataFrame, pairs: Sequence[tuple[int, int]], limit: int = ranks.LIMIT) -> DataFrame:
+def motion_score(frames: DataFrame, pairs: Sequence[tuple[int, int]], limit: int | None = None) -> DataFrame:
     """Largest scaled step over all signals; it sits on the later of the two frames. NaN makes the score NaN."""
     signals = F.array(*[x for a, s in pairs for x in (
         F.get("action", F.lit(a)).cast("double"), F.get("state", F.lit(s)).cast("double"))])
@@ -65,7 +65,7 @@ def motion_score(frames: DataFrame, pairs: Sequence[tuple[int, int]], limit: int
 
 
 def motion(frames: DataFrame, fps: float, pairs: Sequence[tuple[int, int]], config: MotionTrim = MotionTrim(),
-           overrides: DataFrame | None = None, limit: int = ranks.LIMIT) -> DataFrame:
+           overrides: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """``(episode, start, end, length, method)``: first to last sustained motion plus margins.
 
     A side without a sustained run keeps its edge. ``overrides(episode, start, end)`` win.

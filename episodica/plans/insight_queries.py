@@ -217,6 +217,39 @@ def a20_peaks(spark, sf):
                     "lag_range_min", "lag_range_max", "pairs")
 
 
+@query("j11_alignment_by_name", f"""WITH {t.FRAMES_SQL}, dm AS (SELECT episode_index, dim, frame_index, delta - avg(delta) OVER w AS a, sdelta - avg(sdelta) OVER w AS s FROM deltas WHERE n >= 10 WINDOW w AS (PARTITION BY episode_index, dim)),
+  px AS (SELECT x.episode_index, x.dim, l.lag, sum(x.a*y.s) AS xy, sum(x.a*x.a) AS xx, sum(y.s*y.s) AS yy FROM dm x, (SELECT unnest(range(-10, 11)) AS lag) l, dm y
+  WHERE y.episode_index = x.episode_index AND y.dim = 1 - x.dim AND y.frame_index = x.frame_index + l.lag GROUP BY ALL)
+  SELECT dim AS pair, CAST(lag AS INTEGER) AS lag, round(coalesce(avg(CASE WHEN xx*yy > 0 THEN xy/sqrt(xx*yy) END),0),6) AS corr FROM px GROUP BY ALL""")
+def j11(spark, sf):
+    """State names in the other order, so elements are paired crosswise."""
+    pairs = ins.pair_by_name(["value", "k"], ["k", "value"])
+    return ins.alignment(t.frames(spark, sf), max_lag=10, pairs=pairs).select("pair", "lag", *r("corr"))
+
+
+@query("j10_lag_products", f"""WITH {t.FRAMES_SQL}, c AS (SELECT episode_index, n, dim, frame_index, value - avg(value) OVER (PARTITION BY episode_index, dim) AS c FROM vals), e AS (SELECT episode_index, dim, sum(c*c) AS e FROM c GROUP BY ALL)
+  SELECT x.episode_index, x.dim, CAST(l.lag AS INTEGER) AS lag, round(sum(x.c*y.c)/any_value(e),6) AS acf FROM c x, (SELECT unnest(range(1, 101)) AS lag) l, c y, e
+  WHERE l.lag <= x.n//2 AND y.episode_index = x.episode_index AND y.dim = x.dim AND y.frame_index = x.frame_index + l.lag AND e.episode_index = x.episode_index AND e.dim = x.dim GROUP BY x.episode_index, x.dim, l.lag""")
+def j10(spark, sf):
+    return ins.episode_autocorrelation(t.frames(spark, sf)).select("episode_index", "dim", "lag", *r("acf"))
+
+
+@query("a20_episode_alignment", f"""WITH {t.FRAMES_SQL}, {_ALIGN} SELECT px.episode_index, dim AS pair, CAST(lag AS INTEGER) AS lag, round(CASE WHEN xx*yy > 0 THEN xy/sqrt(xx*yy) ELSE 0 END,6) AS corr
+  FROM px JOIN (SELECT DISTINCT episode_index, n FROM frames) USING (episode_index) WHERE abs(lag) <= least(30, n//4)""")
+def a20_episode(spark, sf):
+    return ins.episode_alignment(t.frames(spark, sf)).select("episode_index", "pair", "lag", *r("corr"))
+
+
+@query("a22_scale_groups")
+def a22(spark, sf):
+    """Charts of part prices and sizes per type; the greedy grouping is checked by brute force in the tests."""
+    part = t.table(spark, sf, "part")
+    size = part.select(F.concat(F.lit("size | "), "p_type").alias("series"), F.col("p_size").cast("double").alias("value"))
+    price = part.select(F.concat(F.lit("price | "), "p_brand").alias("series"), F.col("p_retailprice").alias("value"))
+    both = size.unionByName(price)
+    return ins.scale_groups(both.withColumn("ord", F.xxhash64("series")))
+
+
 @query("a29_joint_radians", f"""WITH {t.FRAMES_SQL}, u AS (SELECT episode_index, frame_index, s0, s1, greatest(abs(s0),abs(s1)) AS top FROM frames),
   k AS (SELECT *, CASE WHEN top > 360 THEN 'ticks' WHEN top > 6.3 THEN 'degrees' ELSE 'radians' END AS unit FROM u)
   SELECT episode_index, frame_index, unit,
