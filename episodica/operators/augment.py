@@ -91,8 +91,8 @@ def augment(frames: DataFrame, episodes: DataFrame, draws: DataFrame, action_pos
 def summary(episodes: DataFrame, chosen: DataFrame, copies: int) -> DataFrame:
     """Episode and frame totals before and after, and how many times more video the result refers to."""
     before = episodes.agg(F.count("*").alias("episodes"), F.sum("length").alias("frames"))
-    added = chosen.agg((F.count("*") * copies).alias("added_episodes"), (F.sum("length") * copies).alias("added_frames"))
-    return before.crossJoin(added).select(
+    added = chosen.agg(F.struct((F.count("*") * copies).alias("added_episodes"), (F.sum("length") * copies).alias("added_frames")).alias("a")).scalar()
+    return before.withColumn("_a", added).select("*", "_a.*").select(
         "episodes", "frames", "added_episodes", "added_frames", (F.col("episodes") + F.col("added_episodes")).alias("total_episodes"),
         (F.col("frames") + F.col("added_frames")).alias("total_frames"),
         F.when(F.col("episodes") > 0, (F.col("episodes") + F.col("added_episodes")) / F.col("episodes")).otherwise(1.0).alias("video_factor"))

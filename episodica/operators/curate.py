@@ -128,11 +128,11 @@ def random_split(selection: DataFrame, percent: float, seed: int) -> DataFrame:
 
 def hash_split(selection: DataFrame, percent: float, seed: int) -> DataFrame:
     """The same share of episodes without any driver step: the episodes with the smallest seeded hashes."""
-    marked = selection.withColumn("_h", F.xxhash64(F.lit(seed), *EPISODE).cast("double"))
-    cut = kth_values(marked, [], "_h", lambda n: F.array(percent_count(n, percent) - 1)).select(F.col("kth").alias("_cut"))
-    # percent 0 asks for rank -1, which no row has
-    return marked.join(F.broadcast(cut), F.lit(True), "left").withColumn(
-        "is_eval", F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False))).drop("_h", "_cut")
+    # 52 bits are exact in a double
+    marked = selection.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), *EPISODE), 12).cast("double"))
+    # percent 0 asks for rank -1, which no row has: the scalar is then NULL
+    cut = kth_values(marked, [], "_h", lambda n: F.array(percent_count(n, percent) - 1)).select("kth").scalar()
+    return marked.withColumn("is_eval", F.coalesce(F.col("_h") <= cut, F.lit(False))).drop("_h")
 
 
 def flag_split(selection: DataFrame, flags: DataFrame) -> DataFrame:

@@ -193,8 +193,9 @@ def velocity_verdict(stats: DataFrame, names: DataFrame) -> DataFrame:
     """Smooth / Moderate / Jerky verdict from the spread of the moving dimensions; grippers may be jerky."""
     rows = stats.join(F.broadcast(names), "dim")
     considered = ~F.col("inactive") & ~F.col("discrete")
-    top = rows.agg(F.max(F.when(considered, F.col("std"))).alias("_top"))
-    rows = rows.crossJoin(F.broadcast(top)).withColumn("_share", F.col("std") / F.col("_top"))
+    top = rows.filter(considered).agg(F.max("std").alias("top")).scalar()
+    # a spread of zero everywhere has no share, so such dimensions count as neither smooth nor jerky
+    rows = rows.withColumn("_share", F.try_divide(F.col("std"), top))
     gripper = F.col("name").rlike("(?i)grip")
     smooth = F.count_if(considered & (F.col("_share") < 0.4))
     jerky = F.count_if(considered & (F.col("_share") >= 0.7) & ~gripper)
@@ -204,7 +205,7 @@ def velocity_verdict(stats: DataFrame, names: DataFrame) -> DataFrame:
         F.count_if(considered & (F.col("_share") >= 0.4) & (F.col("_share") < 0.7)).alias("moderate"),
         jerky.alias("jerky"), F.count_if(considered & (F.col("_share") >= 0.7) & gripper).alias("jerky_grippers"),
         F.count_if(~considered).alias("excluded"))
-    ratio = F.col("smooth") / F.col("active")
+    ratio = F.try_divide("smooth", "active")
     return facts.withColumn("verdict", F.when(F.col("active") == 0, "N/A")
                             .when((ratio >= 0.6) & (F.col("jerky") == 0), "Smooth")
                             .when((F.col("jerky") <= 2) & (ratio >= 0.3), "Moderate").otherwise("Jerky"))
@@ -226,10 +227,10 @@ def most_jerky(scores: DataFrame, count: int = 15) -> DataFrame:
 
 def speed_summary(scores: DataFrame) -> DataFrame:
     """Distribution of movement scores: mean, spread, upper median and the consistency verdict (three episodes or more)."""
-    median = kth_values(scores, [], "movement", lambda n: F.array(F.floor(n / 2))).select(F.col("kth").alias("median"))
+    median = kth_values(scores, [], "movement", lambda n: F.array(F.floor(n / 2))).select("kth").scalar()
     facts = scores.agg(
         F.count("*").alias("episodes"), F.avg("movement").alias("mean"), F.stddev_pop("movement").alias("std"),
-        F.min("movement").alias("lo"), F.max("movement").alias("hi")).crossJoin(F.broadcast(median))
+        F.min("movement").alias("lo"), F.max("movement").alias("hi")).withColumn("median", median)
     cv = F.when(F.col("mean") > 0, F.col("std") / F.col("mean")).otherwise(0.0)
     span = F.col("hi") - F.col("lo")
     bins = F.least(F.lit(30), F.ceil(F.sqrt("episodes")))
@@ -240,9 +241,10 @@ def speed_summary(scores: DataFrame) -> DataFrame:
 
 
 def speed_histogram(scores: DataFrame) -> DataFrame:
-    layout = speed_summary(scores).select("lo", "bin_width", "bins")
-    place = F.least(F.floor((F.col("movement") - F.col("lo")) / F.col("bin_width")), F.col("bins") - 1)
-    return scores.crossJoin(F.broadcast(layout)).groupBy(place.alias("bin")).agg(F.count("*").alias("episodes"))
+    layout = speed_summary(scores).select(F.struct("lo", "bin_width", "bins")).scalar()
+    rows = scores.withColumn("_l", layout)
+    place = F.least(F.floor((F.col("movement") - F.col("_l.lo")) / F.col("_l.bin_width")), F.col("_l.bins") - 1)
+    return rows.groupBy(place.alias("bin")).agg(F.count("*").alias("episodes"))
 
 
 def _lag_products(centred: pd.Series, own: pd.Series, lags: pd.Series) -> pd.Series:
@@ -258,8 +260,9 @@ def _lag_products(centred: pd.Series, own: pd.Series, lags: pd.Series) -> pd.Ser
 
 def autocorrelation(frames: DataFrame, feature: str = "action", max_lag: int = 100) -> DataFrame:
     """Mean autocorrelation over episodes per (dim, lag), lags up to half of the shortest episode."""
-    shortest_ = episode_lengths(frames).agg(F.least(F.lit(max_lag), F.floor(F.min("length") / 2)).cast("int").alias("lags"))
-    per = _autocorrelation(frames, feature, max_lag, shortest_.filter("lags >= 2"), [])
+    lengths = episode_lengths(frames)
+    lags = lengths.agg(F.least(F.lit(max_lag), F.floor(F.min("length") / 2)).cast("int").alias("lags")).scalar()
+    per = _autocorrelation(frames, feature, max_lag, lengths.select(*EPISODE, lags.alias("lags")).filter("lags >= 2"))
     # every episode has at least 2 * lags frames, so all of them count
     return per.groupBy("dim", "lag").agg(F.avg("acf").alias("acf"))
 
@@ -267,16 +270,15 @@ def autocorrelation(frames: DataFrame, feature: str = "action", max_lag: int = 1
 def episode_autocorrelation(frames: DataFrame, feature: str = "action", max_lag: int = 100) -> DataFrame:
     """Autocorrelation of each episode by itself, lags up to half of its own length."""
     lags = episode_lengths(frames).select(*EPISODE, F.least(F.lit(max_lag), F.floor(F.col("length") / 2)).cast("int").alias("lags")).filter("lags >= 1")
-    return _autocorrelation(frames, feature, max_lag, lags, EPISODE)
+    return _autocorrelation(frames, feature, max_lag, lags)
 
 
-def _autocorrelation(frames: DataFrame, feature: str, max_lag: int, lags: DataFrame, keys: list[str]) -> DataFrame:
+def _autocorrelation(frames: DataFrame, feature: str, max_lag: int, lags: DataFrame) -> DataFrame:
     """A block of rows plus ``max_lag`` following ones yields all lag products; one array of sums leaves each block."""
     blocks = vector_blocks(frames, {"x": feature}, after=max_lag)
     means = to_values(frames, [feature]).groupBy(*EPISODE, "dim").agg(
         F.avg("value").alias("_mean"), F.var_pop("value").alias("_var"), F.count("*").alias("_n"))
-    rows = blocks.join(means, [*EPISODE, "dim"])
-    rows = rows.join(lags, keys) if keys else rows.crossJoin(F.broadcast(lags))  # a single row without keys
+    rows = blocks.join(means.join(lags, EPISODE), [*EPISODE, "dim"])
     kernel = F.pandas_udf(_lag_products, "array<double>")
     sums = rows.select(
         *EPISODE, "dim", "lags", (F.col("_var") * F.col("_n")).alias("_energy"),
@@ -401,7 +403,8 @@ def alignment_peaks(corr: DataFrame) -> DataFrame:
     best = [F.max(c).alias(f"{c}_peak_corr") for c in ("max", "mean", "min")]
     own = corr.groupBy("pair").agg(F.max_by("lag", F.struct(F.col("corr"), -F.col("lag"))).alias("_lag"))
     span = own.agg(F.min("_lag").alias("lag_range_min"), F.max("_lag").alias("lag_range_max"), F.count("*").alias("pairs"))
-    return profile.agg(*peak, *best).crossJoin(span)
+    one = span.select(F.struct("lag_range_min", "lag_range_max", "pairs")).scalar()
+    return profile.agg(*peak, *best).withColumn("_s", one).select("*", "_s.*").drop("_s")
 
 
 SCALE_DISTANCE = 2.0  # orders of magnitude two series may differ to share a chart
@@ -438,14 +441,21 @@ def scale_groups(values: DataFrame) -> DataFrame:
 
 def insight_report(frames: DataFrame, feature: str = "action") -> DataFrame:
     """Per-episode insight table: length, movement, jerkiness and number of active dimensions."""
-    per = episode_deltas(frames, feature)
-    total = F.sum(F.when(F.col("active"), F.col("sum_abs") / F.col("motor_range")))
-    count = F.sum(F.when(F.col("active"), F.col("m")))
-    moving = per.groupBy(*EPISODE).agg(
+    x = frames.select(*EPISODE, "frame_index", F.col(feature).cast("array<double>").alias("_x"))
+    steps = lagged(x, {"_prev": "_x"}).withColumn("_step", F.when(F.col("_prev").isNotNull(), vector_distance(F.col("_x"), F.col("_prev"))))
+    # the first frame keeps one row per element, with NULL deltas, so that lengths come from the same pass
+    long = steps.select(*EPISODE, "_step", F.posexplode(F.arrays_zip(F.col("_x").alias("cur"), F.coalesce(
+        "_prev", F.transform("_x", lambda v: F.lit(None).cast("double"))).alias("prev"))).alias("dim", "z"))
+    rows = long.join(F.broadcast(motor_ranges(frames, feature)), "dim").withColumn("_d", F.abs(F.col("z.cur") - F.col("z.prev")))  # one row per vector element
+    m = F.count("_d")
+    below = F.count_if(F.col("_d") < F.col("motor_range") * ACTIVITY_SHARE)
+    per = rows.groupBy(*EPISODE, "dim").agg(
+        F.count("*").alias("length"), F.avg("_step").alias("_move"), m.alias("_m"), (F.sum("_d") / F.first("motor_range")).alias("_sum"),
+        ((m > 0) & (below <= F.floor(m * 0.95))).alias("active"))
+    total, count = F.sum(F.when(F.col("active"), F.col("_sum"))), F.sum(F.when(F.col("active"), F.col("_m")))
+    return per.groupBy(*EPISODE).agg(
+        F.max("length").alias("length"), F.coalesce(round_half_up(F.max("_move"), 4), F.lit(0.0)).alias("movement"),
         F.coalesce(total / count, F.lit(0.0)).alias("jerkiness"), F.count_if("active").alias("active_dims"))
-    return episode_lengths(frames).join(movement(frames, feature), EPISODE).join(moving, EPISODE, "left").select(
-        *EPISODE, "length", "movement", F.coalesce("jerkiness", F.lit(0.0)).alias("jerkiness"),
-        F.coalesce("active_dims", F.lit(0)).alias("active_dims"))
 
 
 # Fixed values of the unit detector and the gripper mapping.

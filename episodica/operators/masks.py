@@ -144,19 +144,26 @@ def _accept(pdf: pd.DataFrame) -> pd.DataFrame:
     starts, stops = pdf["start"].to_numpy(), pdf["end"].to_numpy() + 1
     cuts = np.unique(np.concatenate([starts, stops]))
     occupied = np.zeros(len(cuts), dtype=np.int64)
-    low, high = np.searchsorted(cuts, starts), np.searchsorted(cuts, stops)
-    for a, b in zip(low[pdf["initial"]], high[pdf["initial"]]):
+    low, high, initial = np.searchsorted(cuts, starts), np.searchsorted(cuts, stops), pdf["initial"].to_numpy(dtype=bool)
+    for a, b in zip(low[initial], high[initial]):
         occupied[a:b] += 1
-    late = pdf.assign(low=low, high=high)[~pdf["initial"]].sort_values(["first_visible_frame", "track_id"])
-    out = []
-    for track, part in late.groupby("track_id", sort=False):
-        places = [slice(a, b) for a, b in zip(part["low"], part["high"])]
-        accepted = all((occupied[p] < part["capacity"].iloc[0]).all() for p in places)
-        if accepted:
+    capacity = float(pdf["capacity"].iloc[0])
+    track, first = pdf["track_id"].to_numpy(), pdf["first_visible_frame"].to_numpy()
+    order = [i for i in np.lexsort((starts, track, first)) if not initial[i]]
+    accepted = {}
+    at = 0
+    while at < len(order):
+        same = at
+        while same < len(order) and track[order[same]] == track[order[at]]:
+            same += 1
+        places = [slice(low[i], high[i]) for i in order[at:same]]
+        fits = all(occupied[p].max() < capacity for p in places)
+        if fits:
             for p in places:
                 occupied[p] += 1
-        out.append((pdf["group_id"].iloc[0], track, accepted))
-    return pd.DataFrame(out, columns=["group_id", "track_id", "_ok"])
+        accepted[track[order[at]]] = fits
+        at = same
+    return pd.DataFrame({"group_id": pdf["group_id"].iloc[0], "track_id": list(accepted), "_ok": list(accepted.values())})
 
 
 def late_tracks(ranges: DataFrame) -> DataFrame:
@@ -172,13 +179,13 @@ def late_tracks(ranges: DataFrame) -> DataFrame:
         F.min("start").cast("bigint").alias("first_visible_frame"), F.first("initial").alias("initial"),
         F.first("capacity").cast("double").alias("capacity"))
     limits = ranges.groupBy("group_id").agg(F.first("capacity").alias("_cap")).filter("_cap is not null")
-    crowded = coverage_steps(ranges, group).join(limits, group).filter(F.col("cover") > F.col("_cap")).select("group_id", "from", "to")
+    crowded = intervals(coverage_steps(ranges, group).join(limits, group), group, F.col("cover") > F.col("_cap"))
     pieces = materialize(overlaps(ranges, crowded, group), "crowded")
     hulls = pieces.groupBy("group_id", "track_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    opened = materialize(_opening(coverage_steps(hulls, group)), "stretches")
-    starts = running(opened, group, "from", F.col("opens"), "part").filter("opens = 1").select(
-        "group_id", F.col("from").alias("pos"), F.lit(0).alias("_o"), F.lit(None).cast("bigint").alias("track_id"), F.col("part").cast("bigint").alias("_part"))
-    tagged = starts.unionByName(hulls.select(
+    # each hull lies in one interval of the hulls' union; its first frame names the set
+    sets = intervals(coverage_steps(hulls, group), group, F.col("cover") > 0).select(
+        "group_id", F.col("from").alias("pos"), F.lit(0).alias("_o"), F.lit(None).cast("bigint").alias("track_id"), F.col("from").alias("_part"))
+    tagged = sets.unionByName(hulls.select(
         "group_id", F.col("start").cast("bigint").alias("pos"), F.lit(1).alias("_o"), "track_id", F.lit(None).cast("bigint").alias("_part")))
     placed = carry(tagged, group, ["pos", "_o", "track_id"], F.col("_part"), "part").filter("track_id is not null").select("group_id", "track_id", "part")
     rows = pieces.join(placed, ["group_id", "track_id"]).join(tracks, ["group_id", "track_id"])
@@ -200,7 +207,10 @@ def overlaps(ranges: DataFrame, segments: DataFrame, keys: Sequence[str], cell:
         *keys, "track_id", begin.alias("start"), F.least(F.col("end"), F.col("to") - 1).alias("end"))
 
 
-def _opening(steps: DataFrame) -> DataFrame:
-    """Mark steps at which the cover rises from zero (or from nothing)."""
-    before = carry(steps, ["group_id"], ["from"], F.col("cover"), "_before", inclusive=False)
-    return before.withColumn("opens", ((F.col("cover") > 0) & (F.coalesce("_before", F.lit(0)) == 0)).cast("int"))
+def intervals(steps: DataFrame, keys: Sequence[str], flag: Column) -> DataFrame:
+    """Maximal intervals ``(keys, from, to)`` over which ``flag`` of the cover steps holds."""
+    keys = list(keys)
+    marked = steps.select(*keys, "from", F.coalesce(flag, F.lit(False)).alias("_on"))
+    turns = carry(marked, keys, ["from"], F.col("_on"), "_was", inclusive=False).filter(F.col("_on") != F.coalesce("_was", F.lit(False)))
+    turns = materialize(turns, "turns")
+    return carry(turns, keys, ["from"], F.col("from"), "to", reverse=True, inclusive=False).filter("_on").select(*keys, "from", "to")

@@ -31,12 +31,11 @@ def feature_differences(features: DataFrame) -> DataFrame:
 
     ``features(source_ord, ord, feature, dtype, shape, names)``.
     """
-    sources = features.select("source_ord").distinct()
-    total = sources.agg(F.count("*").alias("_sources"))
+    total = features.agg(F.count_distinct("source_ord").alias("n")).select("n").scalar()
     dtype = F.when((F.col("feature") == "timestamp") & F.col("dtype").isin("float32", "float64"), "float64").otherwise(F.col("dtype"))
     same = F.to_json(F.struct("ord", dtype.alias("dtype"), "shape", "names"), {"ignoreNullFields": "false"})
     per = features.groupBy("feature").agg(F.count_distinct("source_ord").alias("sources"), F.min(same).alias("_a"), F.max(same).alias("_b"))
-    return per.crossJoin(F.broadcast(total)).filter((F.col("sources") < F.col("_sources")) | (F.col("_a") != F.col("_b"))).select(
+    return per.filter((F.col("sources") < total) | (F.col("_a") != F.col("_b"))).select(
         "feature", "sources", (F.col("_a") == F.col("_b")).alias("same_declaration"))
 
 

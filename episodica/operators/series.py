@@ -219,9 +219,9 @@ def with_offsets(episodes: DataFrame, dataset: Sequence[str] = ("dataset_id",),
 def even_positions(target: Column | int, length: Column) -> Column:
     """Array of ``target`` evenly spread positions of ``0..length-1`` (halves up, gaps filled from 0)."""
     t = target if isinstance(target, Column) else F.lit(target)
+    steps = F.greatest(t - 1, F.lit(1)).cast("int")
     spread = F.array_distinct(F.transform(
-        F.sequence(F.lit(0), F.greatest(t - 1, F.lit(1)).cast("int")),
-        lambda i: round_half_up(i * (length - 1) / (t - 1)).cast("bigint")))
+        F.sequence(F.lit(0), steps), lambda i: round_half_up(i * (length - 1) / steps).cast("bigint")))
     missing = F.greatest(t - F.size(spread), F.lit(0))
     # at most ``target`` candidates are ever needed to fill the gaps
     spare = F.array_except(F.sequence(F.lit(0).cast("bigint"), F.least(length - 1, t.cast("bigint") * 2)), spread)
@@ -248,7 +248,7 @@ def visual_sample_size(length: Column) -> Column:
 def visual_sample(lengths: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
     """Frame positions to decode per episode: ``linspace`` rounded half to even, duplicates removed."""
     k = visual_sample_size(F.col("length"))
-    step = (F.col("length") - 1) / (F.col("_k") - 1)
+    step = (F.col("length") - 1) / F.greatest(F.col("_k") - 1, F.lit(1))
     return (
         lengths.withColumn("_k", k)
         .select(*keys, "length", "_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)).alias("_i"))

@@ -78,6 +78,8 @@ def merge_moments(partial: DataFrame, by: Sequence[str]) -> DataFrame:
     """
     by = list(by)
     base = partial.groupBy(*by).agg(F.min("anchor").alias("_base"))
+    if set(by) <= {"feature", "dim"}:
+        base = F.broadcast(base)  # one row per declared vector element
     rows = partial.join(base, by)
     rows = rows.withColumn("_d", (F.col("anchor") - F.col("_base")) + F.col("shift"))
     merged = rows.groupBy(*by).agg(
@@ -104,6 +106,8 @@ def centred_moments(values: DataFrame, by: Sequence[str], value: str = "value",
     by = list(by)
     n = F.col(weight) if weight else F.lit(1)
     anchors = values.groupBy(*by).agg(F.min(value).alias("_anchor"))
+    if set(by) <= {"feature", "dim"}:
+        anchors = F.broadcast(anchors)  # one row per declared vector element
     d = F.col(value) - F.col("_anchor")
     sums = values.join(anchors, by).groupBy(*by).agg(
         F.min(value).alias("min"), F.max(value).alias("max"), F.first("_anchor").alias("anchor"),
@@ -143,11 +147,11 @@ def diagnostic_stats(frames: DataFrame, columns: Sequence[str], limit: int | Non
 
     A column is stackable when every row has the width of the widest row and only finite numbers.
     """
-    width = frames.select(*[F.max(F.size(c)).alias(c) for c in columns])
-    bad = frames.join(F.broadcast(width.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(columns)]))).select(*[
-        F.max((~F.coalesce(finite_vector(F.col(c), F.col(f"_w{i}")), F.lit(False))).cast("int")).alias(c)
-        for i, c in enumerate(columns)]).first()
-    usable = [c for c in columns if bad[c] == 0]
+    # width agrees when the widest and the narrowest row do; NULL rows make a column unusable as well
+    finite = lambda c: F.coalesce(finite_vector(F.col(c), F.size(c)), F.lit(False))
+    facts = frames.select(*[F.struct(
+        F.max(F.size(c)).alias("widest"), F.min(F.size(c)).alias("narrowest"), F.min(finite(c).cast("int")).alias("finite")).alias(c) for c in columns]).first()
+    usable = [c for c in columns if facts[c].finite == 1 and facts[c].widest == facts[c].narrowest]
     if not usable:
         raise ValueError("no stackable numeric column")
     return feature_stats(frames, usable, limit=limit)
@@ -161,7 +165,7 @@ def combine(stats: DataFrame, by: Sequence[str] = ("feature", "dim")) -> DataFra
     by = list(by)
     n = F.col("count")
     mean = stats.groupBy(*by).agg((F.sum(n * F.col("mean")) / F.sum(n)).alias("_mean"))
-    rows = stats.join(mean, by)
+    rows = stats.join(F.broadcast(mean) if set(by) <= {"feature", "dim"} else mean, by)
     weighted = [(F.sum(n * F.col(q)) / F.sum(n)).alias(q) for q in QUANTILES]
     spread = F.col("std") * F.col("std") + F.pow(F.col("mean") - F.col("_mean"), 2)
     return rows.groupBy(*by).agg(

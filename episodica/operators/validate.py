@@ -81,18 +81,22 @@ def split_issues(splits: DataFrame) -> DataFrame:
     rows = splits.select("dataset_id", "total_episodes", "name", part["start"].alias("a"), part["end"].alias("b"))
     valid = F.coalesce((F.col("a") < F.col("b")) & (F.col("b") <= F.col("total_episodes")), F.lit(False))
     malformed = issues(rows.filter(~valid), bad, detail=F.concat(F.lit("range "), "name"))
-    ends = rows.filter(valid).select("dataset_id", "total_episodes", F.explode(F.array(
-        F.struct(F.col("a").alias("p"), F.lit(1).alias("s"), F.lit(0).alias("e")), F.struct(F.col("b").alias("p"), F.lit(0).alias("s"), F.lit(1).alias("e")))).alias("x"))
+    # a malformed range leaves an empty point behind, so that its data set is still judged
+    bound = lambda p, start, end: F.struct(p.alias("p"), F.lit(start).alias("s"), F.lit(end).alias("e"))
+    none = F.lit(None).cast("bigint")
+    ends = rows.select("dataset_id", "total_episodes", F.explode(F.when(valid, F.array(bound(F.col("a"), 1, 0), bound(F.col("b"), 0, 1))).otherwise(
+        F.array(bound(none, 0, 0)))).alias("x"))
     points = ends.groupBy("dataset_id", "total_episodes", F.col("x.p").alias("p")).agg(F.sum("x.s").alias("s"), F.sum("x.e").alias("e"))
     inner = (F.col("s") == 1) & (F.col("e") == 1)
     both = F.struct("s", "e")
     facts = points.groupBy("dataset_id", "total_episodes").agg(
-        F.count_if(~inner).alias("_edges"), F.min("p").alias("_low"), F.max("p").alias("_top"), F.min_by(both, "p").alias("_a"), F.max_by(both, "p").alias("_b"))
+        F.count_if(F.col("p").isNotNull() & ~inner).alias("_edges"), F.min("p").alias("_low"), F.max("p").alias("_top"),
+        F.min_by(both, "p").alias("_a"), F.max_by(both, "p").alias("_b"))
     tiled = (F.col("_edges") == 2) & (F.col("_low") == 0) & (F.col("_a.s") == 1) & (F.col("_a.e") == 0) & (F.col("_b.s") == 0) & (F.col("_b.e") == 1)
-    gaps = issues(facts.filter(~tiled), bad, detail=F.lit("ranges overlap or leave episodes out"))
-    short = issues(facts.filter(F.col("_top") != F.col("total_episodes")), bad, detail=F.lit("ranges do not cover every episode"))
-    none = splits.select("dataset_id", "total_episodes").distinct().join(facts, ["dataset_id"], "left_anti")
-    return union([malformed, gaps, short, issues(none, bad, detail=F.lit("ranges do not cover every episode"))])
+    found = F.array_compact(F.array(
+        F.when(F.col("_top").isNotNull() & ~tiled, F.lit("ranges overlap or leave episodes out")),
+        F.when(F.coalesce(F.col("_top") != F.col("total_episodes"), F.lit(True)), F.lit("ranges do not cover every episode"))))
+    return malformed.unionByName(issues(facts.select("dataset_id", F.explode(found).alias("d")), bad, detail=F.col("d")))
 
 
 def id_issues(ids: DataFrame, key: str, header: DataFrame, total: str) -> DataFrame:
@@ -347,7 +351,7 @@ def stats_issues(frames: DataFrame, stored: DataFrame, vectors: dict[str, str],
     renamed = fresh.withColumn("feature", names[F.col("feature")])
     kept = stored.filter(F.col("feature").isin(list(vectors)) & F.col("statistic").isin(COMPARED))
     present = kept.select("feature").distinct()
-    new = long_stats(renamed, dataset_id, COMPARED).join(F.broadcast(present), "feature", "left_semi")
+    new = long_stats(renamed, dataset_id, COMPARED).join(present, "feature", "left_semi")
     return compare_stats(kept, new)
 
 

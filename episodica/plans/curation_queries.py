@@ -229,8 +229,8 @@ def c09(spark, sf):
     widths = {"action": 2, "state": 2}
     merged, _ = merge.union_frames([merge.normalize(long, widths), merge.normalize(short, widths)], tasks, "merged")
     source = merge.normalize(long, widths).unionByName(merge.normalize(short, widths))
-    lost = merge.lost_rows(source, merged, ["event_id", "timestamp", "action", "state"]).agg(F.count("*").cast("int").alias("lost"))
-    return merged.groupBy("source_ord").agg(F.count("*").alias("frames")).crossJoin(lost)
+    lost = merge.lost_rows(source, merged, ["event_id", "timestamp", "action", "state"]).agg(F.count("*").cast("int").alias("lost")).scalar()
+    return merged.groupBy("source_ord").agg(F.count("*").alias("frames")).withColumn("lost", lost)
 
 
 @query("c09_value_problems", """SELECT l_orderkey AS episode_index, l_linenumber AS frame_index, CASE WHEN l_discount = 0 THEN 'null_vector' WHEN l_tax = 0 THEN 'null_element'
@@ -256,8 +256,8 @@ def j12(spark, sf):
     mixed = t.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("task")).union(types).distinct()
     parts = [with_position(priorities, [], ["task"], "row_ord"), with_position(types, [], ["task"], "row_ord")]
     last = with_position(mixed, [], ["task"], "_up")
-    top = last.agg(F.max("_up").alias("_top"))
-    parts.append(last.crossJoin(top).select("task", (F.col("_top") - F.col("_up")).alias("row_ord")))
+    top = last.agg(F.max("_up").alias("top")).scalar()
+    parts.append(last.select("task", (top - F.col("_up")).alias("row_ord")))
     tasks = None
     for i, part in enumerate(parts):
         one = part.select(F.lit(i).alias("source_ord"), "row_ord", F.col("row_ord").alias("task_index"), "task")

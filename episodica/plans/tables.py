@@ -37,7 +37,7 @@ def _build_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         "user_id", "ts", "event_id", "event_type", F.col("value"),
         F.get_json_object("props", "$.k").cast("double").alias("k"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+        F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("us"))
     # a handful of event types: the task list of the data set
     types = with_position(events.select("event_type").distinct(), [], ["event_type"], "task_index")
     users = events.groupBy("user_id").agg(F.min("us").alias("first_us"))
