@@ -47,16 +47,11 @@ def load(spark, root):
                      readers.scan_episodes(spark, root, "d", "v3.0"), readers.scan_frames(spark, root, "d"))
 
 
-def codes(spark, root, mode="full"):
-    return {(r.code, r.episode_index) for r in v.run(load(spark, root), mode).filter("severity = 'FAIL'").collect()}
-
-
 def test_sound_data_set(spark, tmp_path, tiny):
     root = str(tmp_path)
     write(spark, root)
     found = v.run(load(spark, root), "full")
     assert v.summary(found).first().passed
-    assert codes(spark, root, "quick") == set()
     stored = readers.read_stats(spark, f"{root}/meta/stats.json", "d")
     data = load(spark, root)
     declared = data.features.filter("feature in ('action', 'observation.state')")
@@ -66,45 +61,113 @@ def test_sound_data_set(spark, tmp_path, tiny):
         v.run(data, "fast")
 
 
-def episode0(column, value):
-    return lambda f: f.withColumn(column, F.when(F.col("episode_index") == 0, value(F.col(column))).otherwise(F.col(column)))
-
-
-DEFECTS = {
-    "fractional_index": (dict(frames=lambda f: f.withColumn("frame_index", F.col("frame_index") + .25)), ("numeric_data_invalid", 0)),
-    "missing_column": (dict(frames=lambda f: f.drop("task_index")), ("missing_required_column", 0)),
-    "shuffled": (dict(frames=episode0("frame_index", lambda c: 9 - c)), ("frame_index_mismatch", 0)),
-    "repeated_frames": (dict(frames=episode0("frame_index", lambda c: c * 0)), ("frame_index_mismatch", 0)),
-    "global_index": (dict(frames=lambda f: f.withColumn("index", F.col("index") + 1)), ("global_index_mismatch", 1)),
-    "invalid_task": (dict(frames=episode0("task_index", lambda c: c + 999)), ("task_reference_invalid", 0)),
-    "missing_tasks": (dict(tasks=lambda t: t.filter("task_index > 5")), ("metadata_schema_invalid", None)),
-    "empty_task": (dict(tasks=lambda t: t.withColumn("task", F.lit(" "))), ("metadata_schema_invalid", None)),
-    "missing_episode": (dict(episodes=lambda e: e.filter("episode_index = 0")), ("metadata_schema_invalid", None)),
-    "duplicate_metadata": (dict(episodes=lambda e: e.union(e.filter("episode_index = 0"))), ("metadata_schema_invalid", None)),
-    "episode_length": (dict(episodes=episode0("length", lambda c: F.lit(99))), ("episode_metadata_mismatch", 0)),
-    "episode_offsets": (dict(episodes=lambda e: e.withColumn("dataset_to_index", F.col("dataset_to_index") + 1)), ("invalid_episode_offsets", 1)),
-    "wrong_labels": (dict(episodes=lambda e: e.withColumn("tasks", F.array(F.lit("other")))), ("task_reference_invalid", 1)),
-    "shifted_time": (dict(frames=episode0("timestamp", lambda c: c + 100)), ("timestamp_alignment", 0)),
-    "duplicate_time": (dict(frames=episode0("timestamp", lambda c: c * 0)), ("timestamp_regression", 0)),
-    "time_nan": (dict(frames=episode0("timestamp", lambda c: F.lit(float("nan")))), ("timestamp_non_finite", 0)),
-    "sensor_nan": (dict(frames=episode0("state", lambda c: F.array(F.lit(float("nan")).cast("float")))), ("feature_non_finite", 0)),
-    "wrong_shape": (dict(frames=episode0("action", lambda c: F.concat(c, c))), ("feature_shape_mismatch", 0)),
-    "string_action": (dict(frames=lambda f: f.withColumn("action", F.array(F.lit("x")))), ("feature_dtype_mismatch", 0)),
-    "wide_action": (dict(frames=lambda f: f.withColumn("action", F.col("action").cast("array<double>"))), ("feature_dtype_mismatch", 1)),
-    "invalid_split": (dict(header={"splits": {"train": "0:999"}}), ("metadata_schema_invalid", None)),
-    "split_gap": (dict(header={"splits": {"a": "0:1"}}), ("metadata_schema_invalid", None)),
-    "bad_fps": (dict(header={"fps": -1}), ("metadata_schema_invalid", None)),
-    "frame_total": (dict(header={"total_frames": 21}), ("frame_total_mismatch", None)),
-    "undeclared": (dict(header={"features": {k: f for k, f in HEADER["features"].items() if k != "timestamp"}}), ("metadata_schema_invalid", None)),
-    "missing_feature": (dict(header={"features": {**HEADER["features"], "observation.effort": feature("float32", (3,))}}), ("feature_shape_mismatch", 0)),
-}
-
-
-@pytest.mark.parametrize("name", list(DEFECTS))
-def test_defects_are_found(spark, tmp_path, tiny, name):
-    damage, want = DEFECTS[name]
-    write(spark, str(tmp_path), **damage)
-    assert want in codes(spark, str(tmp_path))
+def dataset(spark, frames, header=None, tasks=None, episodes=None, total=None):
+    """A data set in memory; rows are stored in the order of their ``index``."""
+    doc = {**HEADER, "total_episodes": total or 2, "total_frames": 10 * (total or 2), "splits": {"train": f"0:{total or 2}"}, **(header or {})}
+    text = spark.createDataFrame([(json.dumps(doc),)], "value string")
+    head = text.select(F.lit("d").alias("dataset_id"), F.from_json("value", readers.HEADER_TYPE).alias("h")).select("dataset_id", "h.*")
+    n = total or 2
+    table = spark.createDataFrame([("d", e, 10, ["pick"], 10 * e, 10 * e + 10) for e in range(n)],
+                                  "dataset_id string, episode_index bigint, length bigint, tasks array<string>, dataset_from_index bigint, dataset_to_index bigint")
+    names = spark.createDataFrame([("d", 0, "pick")], "dataset_id string, task_index bigint, task string")
+    return v.Dataset("d", head, readers.read_features(head), readers.read_splits(head), names if tasks is None else tasks(names),
+                     table if episodes is None else episodes(table), frames)
+
+
+def stored_frames(spark, episodes=2):
+    x = np.array(VALUES)[:, None]
+    return make_frames(spark, [(x, x)] * episodes).withColumn("_file", F.lit("f")).withColumn("_row", F.col("index"))
+
+
+def damaged(frames, episode, **columns):
+    """Replace columns of one episode; the others keep their values."""
+    for name, value in columns.items():
+        frames = frames.withColumn(name, F.when(F.col("episode_index") == episode, value(F.col(name))).otherwise(F.col(name)))
+    return frames
+
+
+def failures(found):
+    return {(r.code, r.episode_index) for r in found.filter("severity = 'FAIL'").collect()}
+
+
+def test_damaged_episodes_are_told_apart(spark, tiny):
+    f = stored_frames(spark, 9)
+    f = damaged(f, 0, frame_index=lambda c: 9 - c)
+    f = damaged(f, 1, frame_index=lambda c: c * 0)
+    f = damaged(f, 2, task_index=lambda c: c + 999)
+    f = damaged(f, 3, timestamp=lambda c: c + 100)
+    f = damaged(f, 4, timestamp=lambda c: c * 0)
+    f = damaged(f, 5, timestamp=lambda c: F.lit(float("nan")))
+    f = damaged(f, 6, state=lambda c: F.array(F.lit(float("nan")).cast("float")))
+    f = damaged(f, 7, action=lambda c: F.concat(c, c))
+    assert failures(v.run(dataset(spark, f, total=9), "full")) == {
+        ("frame_index_mismatch", 0), ("frame_index_mismatch", 1), ("task_reference_invalid", 2), ("timestamp_alignment", 3), ("timestamp_regression", 4),
+        ("timestamp_alignment", 4), ("timestamp_non_finite", 5), ("feature_non_finite", 5), ("feature_non_finite", 6), ("feature_shape_mismatch", 7)}
+
+
+def test_quick_run_reads_first_and_last_episode(spark):
+    f = damaged(damaged(stored_frames(spark, 4), 1, timestamp=lambda c: c * 0), 3, timestamp=lambda c: c + 100)
+    assert failures(v.run(dataset(spark, f, total=4), "quick")) == {("timestamp_alignment", 3)}
+
+
+@pytest.mark.parametrize("change,code", [
+    (lambda f: f.withColumn("frame_index", F.col("frame_index") + .25), "numeric_data_invalid"), (lambda f: f.drop("task_index"), "missing_required_column"),
+    (lambda f: f.withColumn("action", F.array(F.lit("x"))), "feature_dtype_mismatch"),
+    (lambda f: f.withColumn("action", F.col("action").cast("array<double>")), "feature_dtype_mismatch")])
+def test_damaged_columns(spark, change, code):
+    assert {(code, 0), (code, 1)} <= failures(v.run(dataset(spark, change(stored_frames(spark))), "full"))
+
+
+def test_damaged_numbers_and_metadata(spark, tiny):
+    placed = v.with_storage_position(stored_frames(spark).withColumn("index", F.col("index") + 1))
+    assert failures(v.index_issues(placed)) == {("global_index_mismatch", 0), ("global_index_mismatch", 1)}
+    assert v.index_issues(placed, full=False).isEmpty()
+    data = dataset(spark, stored_frames(spark))
+    bad = ("metadata_schema_invalid", None)
+    for ids in (data.episodes.filter("episode_index = 0"), data.episodes.union(data.episodes.filter("episode_index = 0"))):
+        assert failures(v.id_issues(ids, "episode_index", data.header, "total_episodes")) == {bad}
+    assert v.id_issues(data.episodes, "episode_index", data.header, "total_episodes").isEmpty()
+    assert failures(v.id_issues(data.tasks.filter("task_index > 5"), "task_index", data.header, "total_tasks")) == {bad}
+    assert failures(v.task_text_issues(data.tasks.withColumn("task", F.lit(" ")))) == {bad}
+    longer = damaged(data.episodes, 0, length=lambda c: F.lit(99).cast("bigint"))
+    assert failures(v.length_issues(data.frames, longer)) == {("episode_metadata_mismatch", 0)}
+    moved = damaged(data.episodes, 1, dataset_to_index=lambda c: c + 1)
+    assert failures(v.length_issues(data.frames, moved)) == {("invalid_episode_offsets", 1)}
+    assert failures(v.length_issues(data.frames.filter("episode_index = 0"), data.episodes)) == {("empty_episode", 1)}
+    other = damaged(data.episodes, 1, tasks=lambda c: F.array(F.lit("other")))
+    assert failures(v.task_issues(data.frames, other, data.tasks)) == {("task_reference_invalid", 1)}
+    assert failures(v.total_issues(data.frames, data.header.withColumn("total_frames", F.lit(21)))) == {("frame_total_mismatch", None)}
+    named = data.frames.withColumn("_file", F.lit("data/chunk-000/episode_000001.parquet"))
+    assert failures(v.file_episode_issues(named)) == {("episode_index_mismatch", 1)}
+
+
+@pytest.mark.parametrize("header", [
+    {"splits": {"train": "0:999"}}, {"splits": {"a": "0:1"}}, {"splits": {"a": "0:1", "b": "0:2"}}, {"splits": {"a": "0-2"}}, {"fps": -1}, {"total_tasks": 0},
+    {"codebase_version": "v1.6"}, {"features": {k: f for k, f in HEADER["features"].items() if k != "timestamp"}},
+    {"features": {**HEADER["features"], "x": feature("complex64")}}, {"features": {**HEADER["features"], "x": feature("int8", [0])}}])
+def test_damaged_headers(spark, header):
+    data = dataset(spark, stored_frames(spark), header)
+    assert failures(v.header_issues(data.header, data.features).unionByName(v.split_issues(data.splits))) == {("metadata_schema_invalid", None)}
+
+
+def test_missing_and_embedded_features(spark):
+    declared = {**HEADER["features"], "observation.effort": feature("float32", [3])}
+    data = dataset(spark, stored_frames(spark), {"features": declared})
+    placed = v.with_storage_position(data.frames)
+    assert failures(v.feature_issues(placed, data.features.collect())) == {("feature_shape_mismatch", 0), ("feature_shape_mismatch", 1)}
+
+
+def test_video_tables(spark):
+    lengths = spark.createDataFrame([("d", 0, 3), ("d", 1, 2)], "dataset_id string, episode_index bigint, length bigint")
+    videos = spark.createDataFrame([("d", 0, "top", "a", 0.0, 0.3), ("d", 1, "top", "a", 0.3, 0.9)],
+                                   "dataset_id string, episode_index bigint, camera string, path string, from_timestamp double, to_timestamp double")
+    assert failures(v.segment_issues(videos, lengths, 10.0)) == {("video_segment_metadata_invalid", 1)}
+    good = spark.createDataFrame([("d", "a", i, i / 10) for i in range(5)], "dataset_id string, path string, n bigint, pts double")
+    assert v.pts_issues(good, 10.0).isEmpty()
+    for change in (F.when(F.col("n") == 3, F.lit(0.2)).otherwise(F.col("pts")), F.col("pts") + 1, F.col("pts") * 1.3):
+        assert failures(v.pts_issues(good.withColumn("pts", change), 10.0)) == {("video_pts_mismatch", None)}
+    assert failures(v.segment_pts_issues(videos, lengths, good, 10.0)) == {("video_segment_pts_mismatch", 1)}
+    assert failures(v.segment_pts_issues(videos, lengths, good.filter("n < 4"), 10.0)) == {("video_frame_mismatch", 1)}
 
 
 def test_warnings(spark, tmp_path):
