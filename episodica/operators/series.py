@@ -98,16 +98,16 @@ def deltas(frames: DataFrame, feature: str = "action", keys: Sequence[str] = EPI
 
 
 def to_values(frames: DataFrame, features: Sequence[str], keys: Sequence[str] = EPISODE) -> DataFrame:
-    """Long form ``(keys, frame_index, feature, dim, value)``: one explode, no shuffle, no union of scans."""
-    tagged = F.flatten(F.array(*[
-        F.transform(F.col(f).cast("array<double>"), _tag(f)) for f in features
-    ]))
-    return frames.select(*keys, "frame_index", F.explode(tagged).alias("e")).select(
-        *keys, "frame_index", "e.feature", "e.dim", "e.value")
+    """Long form ``(keys, frame_index, feature, dim, value)`` in one scan: first a row per feature, then per element.
 
-
-def _tag(feature: str):
-    return lambda x, i: F.struct(F.lit(feature).alias("feature"), i.alias("dim"), x.alias("value"))
+    Both steps are plain generators, so they stay in compiled code and only the used columns are read.
+    """
+    kinds = {frames.schema[f].dataType.simpleString() for f in features}
+    kind = next(iter(kinds)) if len(kinds) == 1 else "array<double>"
+    vectors = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast(kind).alias("v")) for f in features])
+    rows = frames.select(*keys, "frame_index", F.explode(vectors).alias("e"))
+    return rows.select(*keys, "frame_index", F.col("e.feature").alias("feature"), F.posexplode("e.v").alias("dim", "value")).withColumn(
+        "value", F.col("value").cast("double"))
 
 
 def named_series(frames: DataFrame, features: DataFrame, vectors: Sequence[str]) -> DataFrame:

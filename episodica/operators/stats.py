@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from episodica.functions.numeric import finite_vector, is_finite, round_half_up
 from episodica.operators import ranks
 from episodica.operators.series import EPISODE, block_of, episode_lengths, to_values
+from episodica.session import materialize
 
 # Fixed quantile levels of the statistics format.
 QUANTILES = {"q01": 0.01, "q10": 0.10, "q50": 0.50, "q90": 0.90, "q99": 0.99}
@@ -52,25 +53,19 @@ def block_moments(frames: DataFrame, features: Sequence[str], keys: Sequence[str
     w = Window.partitionBy(*keys, "_blk").orderBy("frame_index")
     first = [F.first(f).over(w).alias(f"_anchor{i}") for i, f in enumerate(features)]
     rows = rows.select(*keys, "_blk", *features, *first)
-    pairs = F.concat(*[
-        F.transform(
-            F.arrays_zip(F.col(f).cast("array<double>").alias("v"), F.col(f"_anchor{i}").cast("array<double>").alias("a")),
-            _labelled(f))
+    pairs = F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("array<double>").alias("v"), F.col(f"_anchor{i}").cast("array<double>").alias("a"))
         for i, f in enumerate(features)
     ])
-    long = rows.select(*keys, "_blk", F.explode(pairs).alias("e")).select(
-        *keys, "_blk", "e.feature", "e.dim", "e.value", "e.anchor")
+    each = rows.select(*keys, "_blk", F.explode(pairs).alias("e"))
+    long = each.select(*keys, "_blk", "e.feature", F.posexplode(F.arrays_zip("e.v", "e.a")).alias("dim", "z")).select(
+        *keys, "_blk", "feature", "dim", F.col("z.v").alias("value"), F.col("z.a").alias("anchor"))
     centred = F.col("value") - F.col("anchor")
     return long.groupBy(*keys, "_blk", "feature", "dim").agg(
         F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),
         F.first("anchor").alias("anchor"), F.avg(centred).alias("shift"), F.var_pop(centred).alias("var"))
 
 
-def _labelled(feature: str):
-    return lambda z, i: F.struct(
-        F.lit(feature).alias("feature"), i.alias("dim"), z["v"].alias("value"), z["a"].alias("anchor"))
-
-
 def merge_moments(partial: DataFrame, by: Sequence[str]) -> DataFrame:
     """Combine centred moments ``(n, min, max, anchor, shift, var)`` of disjoint parts into one row per group.
 
@@ -129,7 +124,9 @@ def feature_stats(frames: DataFrame, features: Sequence[str], by: Sequence[str]
 def feature_stats_by_episode(frames: DataFrame, features: Sequence[str], limit: int | None = None) -> DataFrame:
     """The same ten statistics restricted to each episode, all episodes in one pass."""
     groups = [*EPISODE, "feature", "dim"]
-    moments = finish_moments(merge_moments(block_moments(frames, features), groups), groups)
+    # at most one row per 4096 frames and element, read twice below
+    blocks = materialize(block_moments(frames, features), "moments")
+    moments = finish_moments(merge_moments(blocks, groups), groups)
     quants = ranks.quantiles(to_values(frames, features), groups, "value", QUANTILES, limit=limit).drop("n")
     return moments.join(quants, groups).select(*groups, *STATISTICS)
 
