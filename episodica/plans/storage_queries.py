@@ -104,29 +104,44 @@ def c11(spark, sf):
     return fr.groupBy("episode_index", F.regexp_extract("_file", r"chunk=(\d+)", 1).cast("int").alias("chunk")).agg(F.count("*").alias("frames"))
 
 
-@query("s01_read_features", """SELECT * FROM (VALUES (0,'action','float64',2,'value,k'),(1,'observation.state','float64',2,'value,k'),(2,'timestamp','float64',1,NULL),(3,'frame_index','int64',1,NULL),
-  (4,'episode_index','int64',1,NULL),(5,'index','int64',1,NULL),(6,'task_index','int64',1,NULL),(7,'observation.images.top','video',9216,NULL)) x(ord, feature, dtype, width, names)""")
+# every part is a data set with a header document of two features
+_PART_DOCS = """pd AS (SELECT p_partkey AS dataset_id, p_size, split_part(p_name, ' ', 1) AS word,
+  CASE p_type WHEN 'ECONOMY' THEN 'float32' WHEN 'PROMO' THEN 'video' WHEN 'STANDARD' THEN 'string' ELSE 'int32' END AS dtype FROM part),
+fe AS (SELECT dataset_id, 0 AS ord, 'action' AS feature, dtype, CAST(p_size AS INTEGER) AS width, 1 AS dims, word AS names FROM pd
+  UNION ALL SELECT dataset_id, 1, 'image', 'float32', CAST(2 * p_size AS INTEGER), 2, word || ',' || word || '2' FROM pd)"""
+
+
+def part_headers(spark, sf):
+    part = t.table(spark, sf, "part")
+    kind = F.col("p_type")
+    dtype = F.when(kind == "ECONOMY", "float32").when(kind == "PROMO", "video").when(kind == "STANDARD", "string").otherwise("int32")
+    word = F.split("p_name", " ")[0]
+    text = F.concat(
+        F.lit('{"codebase_version":"v3.0","fps":30,"total_episodes":'), "p_size", F.lit(',"features":{"action":{"dtype":"'), dtype, F.lit('","shape":['), "p_size", F.lit('],"names":["'), word,
+        F.lit('"]},"image":{"dtype":"float32","shape":[2,'), "p_size", F.lit('],"names":{"motors":["'), word, F.lit('","'), word, F.lit('2"]}}}}'))
+    return readers.parse_headers(part.select(F.col("p_partkey").alias("dataset_id"), text.alias("value")))
+
+
+@query("s01_read_features", f"WITH {_PART_DOCS} SELECT dataset_id, ord, feature, dtype, width, names FROM fe")
 def s01(spark, sf):
-    f = readers.read_features(readers.read_header(spark, v3_root(spark, sf), "events"))
-    return f.select("ord", "feature", "dtype", F.aggregate("shape", F.lit(1), lambda a, n: a * n).alias("width"), F.array_join("names", ",").alias("names"))
+    f = readers.read_features(part_headers(spark, sf))
+    return f.select("dataset_id", "ord", "feature", "dtype", F.aggregate("shape", F.lit(1), lambda a, n: a * n).alias("width"), F.array_join("names", ",").alias("names"))
 
 
-@query("s01_read_header", """SELECT 'v3.0' AS codebase_version, 10.0::DOUBLE AS fps, count(DISTINCT user_id) AS total_episodes, count(*) AS total_frames, count(DISTINCT event_type) AS total_tasks FROM events""")
+@query("s01_read_header", "SELECT p_partkey AS dataset_id, 'v3.0' AS codebase_version, 30.0::DOUBLE AS fps, CAST(p_size AS BIGINT) AS total_episodes FROM part")
 def s01_header(spark, sf):
-    return readers.read_header(spark, v3_root(spark, sf), "events").select("codebase_version", "fps", "total_episodes", "total_frames", "total_tasks")
+    return part_headers(spark, sf).select("dataset_id", "codebase_version", "fps", "total_episodes")
 
 
-@query("p01_numeric_features", """SELECT * FROM (VALUES ('action',2),('observation.state',2),('timestamp',1),('frame_index',1),('episode_index',1),('index',1),('task_index',1)) x(feature, width)""")
+@query("p01_numeric_features", f"WITH {_PART_DOCS} SELECT dataset_id, feature, width FROM fe WHERE dtype NOT IN ('video', 'string')")
 def p01(spark, sf):
-    f = readers.read_features(readers.read_header(spark, v3_root(spark, sf), "events"))
-    return stats.numeric_features(f).select("feature", F.col("width").cast("int").alias("width"))
+    return stats.numeric_features(readers.read_features(part_headers(spark, sf))).select("dataset_id", "feature", F.col("width").cast("int").alias("width"))
 
 
-@query("p02_chart_features", """SELECT * FROM (VALUES ('action','dtype'),('observation.state','dtype'),('timestamp','bookkeeping'),('frame_index','bookkeeping'),('episode_index','bookkeeping'),
-  ('index','bookkeeping'),('task_index','bookkeeping'),('observation.images.top','dimensions')) x(feature, ignored)""")
+@query("p02_chart_features", f"""WITH {_PART_DOCS} SELECT dataset_id, feature, CASE WHEN dims >= 2 THEN 'dimensions' WHEN dtype NOT IN ('float32','int32') THEN 'dtype' END AS ignored FROM fe""")
 def p02(spark, sf):
-    f = readers.read_features(readers.read_header(spark, v3_root(spark, sf), "events"))
-    return readers.chart_features(f, "v3.0", ["timestamp", "frame_index", "episode_index", "index", "task_index"]).select("feature", "ignored")
+    f = readers.read_features(part_headers(spark, sf))
+    return readers.chart_features(f, "v2.1", ["timestamp", "frame_index"]).select("dataset_id", "feature", "ignored")
 
 
 _TASKS = "SELECT dense_rank() OVER (ORDER BY event_type) - 1 AS task_index, event_type AS task FROM (SELECT DISTINCT event_type FROM events)"

@@ -26,10 +26,15 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_header(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
-    """The header document as one row; a document that is not an object is an error."""
-    parsed = _whole(spark, f"{root}/meta/info.json").select(F.from_json("value", HEADER_TYPE, {"mode": "FAILFAST"}).alias("h"))
-    checked = F.when(F.col("h").isNull(), F.raise_error(F.lit("header must be a JSON object")).cast("string")).otherwise(F.lit(dataset_id))
-    return parsed.select(checked.alias("dataset_id"), "h.*")
+    """The header document of a data set as one row."""
+    return parse_headers(_whole(spark, f"{root}/meta/info.json").select(F.lit(dataset_id).alias("dataset_id"), "value"))
+
+
+def parse_headers(documents: DataFrame) -> DataFrame:
+    """Header documents ``(dataset_id, value)`` as rows; a document that is not an object is an error."""
+    parsed = documents.select("dataset_id", F.from_json("value", HEADER_TYPE, {"mode": "FAILFAST"}).alias("h"))
+    refused = F.raise_error(F.lit("header must be a JSON object")).cast(parsed.schema["dataset_id"].dataType)
+    return parsed.select(F.when(F.col("h").isNull(), refused).otherwise(F.col("dataset_id")).alias("dataset_id"), "h.*")
 
 
 def feature_names(names: Column) -> Column:

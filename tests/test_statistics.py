@@ -21,7 +21,7 @@ def check(row, want, rel=1e-12):
         assert row[name] == pytest.approx(value, rel=rel, abs=1e-12), name
 
 
-def test_reference_example(spark):
+def test_small_example(spark):
     v = np.array([1, 2, 10, 20, 30, 40, 50.0])
     rows = stats.feature_stats(vectors(spark, np.c_[v, -v]), ["signal"]).collect()
     assert len(rows) == 2
