@@ -6,9 +6,9 @@ hash, with grams that many sets have at its end; so a passage common to many tex
 of one set meet in a trie: their ordered sets are walked in depth-first order, the overlap counted along a shared path is
 kept, and a path is left as soon as the remaining lengths cannot reach the overlap that the threshold asks for.
 
-Equal sets form one class and are compared once. Among many nearly equal sets, which share even their rarest grams, each
-is first compared with one pivot; only sets that are still in different components are compared further, until no two
-candidates of different components are left.
+Equal sets form one class and are compared once. Sets whose first grams are mostly common, as in a large group of nearly
+equal texts, are ordered anew by exact frequency among themselves; each is first compared with one pivot per gram, the set
+whose grams are the most frequent, and only sets that are still in different components are compared further.
 """
 
 from __future__ import annotations
@@ -237,9 +237,7 @@ class _Join:
         left = self.light.select("gram", F.col("cid").alias("a"), F.col("n").alias("na"))
         right = self.light.select("gram", F.col("cid").alias("b"), F.col("n").alias("nb"))
         met = left.join(right, "gram").filter((F.col("a") < F.col("b")) & self.rule.sizes_fit(F.col("na"), F.col("nb")))
-        met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("_shared"))
-        rest = F.greatest(F.col("na") - self.rule.prefix(F.col("na")), F.col("nb") - self.rule.prefix(F.col("nb")))
-        return materialize(met.filter(F.col("_shared") + rest >= self.rule.overlap(F.col("na"), F.col("nb"))).select("a", "b"), "light_pairs")
+        return self._reaching(met)
 
     def sets_of(self, cids: DataFrame) -> DataFrame:
         """``(cid, grams)`` of the classes ``cids(cid)``, made again from their texts."""
@@ -254,22 +252,36 @@ class _Join:
             self.sets.select(F.col("cid").alias("a"), F.col("grams").alias("a_grams")), "a")
         return materialize(rows.sortWithinPartitions("a").select("a", "b", "a_grams", "b_grams").mapInArrow(_verify(self.rule.percent), "a long, b long"), "verified")
 
-    def crowded_entries(self) -> DataFrame | None:
-        """Prefix grams of crowded sets, and the same grams in the prefixes of all others."""
+    def crowded_entries(self) -> DataFrame:
+        """Prefix grams of crowded sets in the order of their exact frequency among crowded sets, rarest first.
+
+        ``weight`` is the mean frequency of a set's grams: highest for the set that the others are edits of.
+        """
         crowded = self.cuts.filter("crowded").select("cid", "n")
-        if crowded.isEmpty():
-            return None
-        grams = self.sets.join(broadcast_if_small(crowded), "cid").select("cid", "n", F.explode("grams").alias("gram"))
-        ranked = grams.join(broadcast_if_small(self.common), "gram", "left").withColumn("_at", F.row_number().over(
+        grams = materialize(self.sets.join(broadcast_if_small(crowded), "cid").select("cid", "n", F.explode("grams").alias("gram")), "crowded_grams")
+        counted = grams.withColumn("df", F.count("*").over(Window.partitionBy("gram")))
+        own = Window.partitionBy("cid")
+        ranked = counted.withColumn("_at", F.row_number().over(own.orderBy("df", "gram"))).withColumn("weight", F.avg("df").over(own))
+        self.crowded_grams = grams
+        return materialize(ranked.filter((F.col("df") > 1) & (F.col("_at") <= self.rule.prefix(F.col("n")))).select("gram", "cid", "n", "weight"), "crowded")
+
+    def crowded_light_pairs(self) -> DataFrame:
+        """Pairs of a crowded and another set, by the prefix grams that they share in the order of all sets."""
+        ranked = self.crowded_grams.join(broadcast_if_small(self.common), "gram", "left").withColumn("_at", F.row_number().over(
             Window.partitionBy("cid").orderBy(F.coalesce("df", F.lit(0)), "gram")))
-        own = materialize(ranked.filter(F.col("_at") <= self.rule.prefix(F.col("n"))).select("gram", "cid", "n", F.lit(True).alias("crowded")), "crowded")
+        own = materialize(ranked.filter(F.col("_at") <= self.rule.prefix(F.col("n"))).select("gram", F.col("cid").alias("a"), F.col("n").alias("na")), "crowded_prefix")
         others = self.entries.join(broadcast_if_small(own.select("gram").distinct()), "gram").join(
-            broadcast_if_small(self.cuts.select("cid", "cut", F.col("crowded").alias("_c"))), "cid", "left").filter(
-            ~F.coalesce("_c", F.lit(False)) & (F.col("pos") < F.coalesce("cut", self.rule.prefix(F.col("n")))))
-        others = others.join(broadcast_if_small(self.common.select("gram")), "gram", "left_anti")  # they stand behind the cut
-        every = own.unionByName(others.select("gram", "cid", "n", F.lit(False).alias("crowded")))
-        lonely = every.groupBy("gram").agg(F.count("*").alias("_m")).filter("_m > 1").select("gram")
-        return materialize(every.join(lonely, "gram"), "crowded_grams")
+            broadcast_if_small(self.cuts.select("cid", "cut", "crowded")), "cid", "left").filter(
+            ~F.coalesce("crowded", F.lit(False)) & (F.col("pos") < F.coalesce("cut", self.rule.prefix(F.col("n")))))
+        others = others.join(broadcast_if_small(self.common.select("gram")), "gram", "left_anti")  # those stand behind the cut
+        met = own.join(others.select("gram", F.col("cid").alias("b"), F.col("n").alias("nb")), "gram").filter(self.rule.sizes_fit(F.col("na"), F.col("nb")))
+        return self._reaching(met)
+
+    def _reaching(self, met: DataFrame) -> DataFrame:
+        """Of pairs that met at prefix grams, those that can still reach the overlap, given at how many."""
+        met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("_shared"))
+        rest = F.greatest(F.col("na") - self.rule.prefix(F.col("na")), F.col("nb") - self.rule.prefix(F.col("nb")))
+        return materialize(met.filter(F.col("_shared") + rest >= self.rule.overlap(F.col("na"), F.col("nb"))).select("a", "b"), "pairs")
 
     def open_entries(self, entries: DataFrame, roots: DataFrame) -> DataFrame:
         """Entries of grams whose sets are in more than one component."""
@@ -277,31 +289,35 @@ class _Join:
         mixed = rows.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("gram")
         return materialize(rows.join(mixed, "gram"), "open_grams")
 
-    def crowded_links(self, entries: DataFrame, links: DataFrame) -> DataFrame:
-        roots, done = components(links), None
+    def crowded_links(self, links: DataFrame) -> DataFrame:
+        entries, done = self.crowded_entries(), None
         for turn in range(PIVOTS + 1):
-            open_ = self.open_entries(entries, roots)
+            open_ = self.open_entries(entries, components(links))
             if open_.isEmpty():
                 break
-            left = open_.select("gram", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "crowded")
+            left = open_.select("gram", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "weight")
             if turn < PIVOTS:  # one pivot a gram: linear in the entries
-                pivot = F.min_by(F.struct("a", "na", "ra"), F.xxhash64(F.lit(turn), "a")).alias("p")
-                left = left.filter("crowded").groupBy("gram").agg(pivot).select("gram", "p.a", "p.na", "p.ra")
-            else:
-                left = left.drop("crowded")
+                pick = F.struct("weight", "a") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "a"), F.col("a"))
+                left = left.groupBy("gram").agg(F.max_by(F.struct("a", "na", "ra"), pick).alias("p")).select("gram", "p.a", "p.na", "p.ra")
             right = open_.select("gram", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            pairs = left.join(right, "gram").filter((F.col("ra") != F.col("rb")) & self.rule.sizes_fit(F.col("na"), F.col("nb"))).select(
-                F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            met = left.join(right, "gram").filter((F.col("ra") != F.col("rb")) & self.rule.sizes_fit(F.col("na"), F.col("nb")))
+            if turn < PIVOTS:
+                pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            else:
+                pairs = self._reaching(met.filter("a < b").select("a", "b", "na", "nb"))
             if done is not None:
                 pairs = pairs.join(done, ["a", "b"], "left_anti")
             pairs = materialize(pairs, "pairs")
-            if pairs.isEmpty() and turn == PIVOTS:
-                break
             done = pairs if done is None else done.unionByName(pairs)
             links = links.unionByName(self.verify(pairs))
-            roots = components(links)
         return links
 
+    def still_apart(self, pairs: DataFrame, links: DataFrame) -> DataFrame:
+        roots = components(links)
+        return pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
+            roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").filter(
+            F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
     def run(self) -> DataFrame:
         self.outline()
         self.prefixes()
@@ -311,16 +327,13 @@ class _Join:
         # the smallest partner of each set first; then what is still apart
         near = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         links = self.verify(near)
-        roots = components(links).select("node", "root")
-        apart = pairs.join(near, ["a", "b"], "left_anti").join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
-            roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").filter(
-            F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        links = links.unionByName(self.verify(apart))
-        entries = self.crowded_entries()
-        if entries is not None:
-            needed_too = entries.select("cid").distinct().join(self.sets.select("cid"), "cid", "left_anti")
-            self.sets = self.sets.unionByName(materialize(self.sets_of(needed_too), "sets"))
-            links = self.crowded_links(entries, links)
+        links = links.unionByName(self.verify(self.still_apart(pairs.join(near, ["a", "b"], "left_anti"), links)))
+        if not self.cuts.filter("crowded").isEmpty():
+            links = self.crowded_links(links)
+            mixed = materialize(self.still_apart(self.crowded_light_pairs(), links), "pairs")
+            missing = mixed.select(F.col("b").alias("cid")).distinct().join(self.sets.select("cid"), "cid", "left_anti")
+            self.sets = self.sets.unionByName(materialize(self.sets_of(missing), "sets"))
+            links = links.unionByName(self.verify(mixed))
         roots = components(links)
         placed = self.classes.join(broadcast_if_small(roots.select(F.col("node").alias("cid"), "root")), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         names = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
