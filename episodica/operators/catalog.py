@@ -61,7 +61,7 @@ def scan(spark: SparkSession, root: str, area: str, max_depth: int = 8, skipped:
         .when(~F.col("_features"), "invalid").when(~F.col("_data"), "incomplete").otherwise("ready"))
     error = (
         F.when(~F.col("_object"), "header is not a JSON object").when(state == "unsupported", "unsupported or missing version")
-        .when(~F.col("_features"), "header has no features object").when(~F.col("_data"), "data directory is missing"))
+        .when(~F.col("_features"), "header has no features object").when(~F.col("_data"), "no data files"))
     return rows.withColumn("readiness", state).withColumn("scan_error", error).drop("_object", "_features", "_data")
 
 

@@ -39,7 +39,7 @@ def select_episodes(episodes: DataFrame, flags: DataFrame, mode: str, split_by_f
 
 def require_selection(selection: DataFrame) -> DataFrame:
     if selection.isEmpty():
-        raise ValueError("recipe selection cannot be empty")
+        raise ValueError("no episode is selected")
     return selection
 
 

@@ -155,12 +155,10 @@ def project(atoms: DataFrame, frames: DataFrame, bounds: DataFrame, fps: float,
 def nest(projected: DataFrame, frames: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
     """Put projected atoms into the two list columns of the frame table.
 
-    The format allows at most 1000 atoms per episode; more is an error, so the lists stay bounded.
+    The persistent list stands on every row of its episode, so its length is part of the format, not of this step;
+    ``curate.invalid_annotation_lists`` names the lists that a save request may not hold.
     """
     keys = list(keys)
-    counted = projected.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rules.MAX_ATOMS).limit(1).collect()
-    if counted:
-        raise ValueError(f"episode {counted[0].episode_index} has more than {rules.MAX_ATOMS} annotations")
     rows = projected
     for name, kind in (("camera", "string"), ("tool_calls", rules.TOOL_CALLS)):
         if name not in rows.columns:
@@ -209,7 +207,7 @@ def extract_atoms(frames: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame
 
 def inconsistent_broadcast(frames: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
     """Episodes whose persistent list is not the same on every row."""
-    text = F.to_json(rules.PERSISTENT)
+    text = F.coalesce(F.to_json(rules.PERSISTENT), F.lit("[]"))  # no list and an empty list are the same
     return frames.groupBy(*keys).agg(F.min(text).alias("_lo"), F.max(text).alias("_hi")).filter("_lo <> _hi").select(*keys)
 
 

@@ -174,7 +174,11 @@ def late_tracks(ranges: DataFrame) -> DataFrame:
     greedy rule is sequential, but two tracks influence each other only through such a stretch: each group is split into
     sets of crowded frames that share no track, and one set is one task.
     """
-    group = ["group_id"]
+    group, track = ["group_id"], ["group_id", "track_id"]
+    facts = ranges.groupBy(*track).agg(F.first("initial").alias("initial"), F.first("capacity").alias("capacity"))
+    # a frame counts once for a track, also where its ranges overlap
+    ranges = intervals(coverage_steps(ranges, track), track, F.col("cover") > 0).select(
+        *track, F.col("from").alias("start"), (F.col("to") - 1).alias("end")).join(facts, track)
     tracks = ranges.groupBy("group_id", "track_id").agg(
         F.min("start").cast("bigint").alias("first_visible_frame"), F.first("initial").alias("initial"),
         F.first("capacity").cast("double").alias("capacity"))

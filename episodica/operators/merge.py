@@ -115,10 +115,12 @@ def union_frames(sources: Sequence[DataFrame], tasks: DataFrame, dataset_id: str
     moves = lineage.select("source_ord", F.col("source_episode_index").alias("episode_index"), "length",
                            F.col("episode_index").alias("_episode"), "dataset_from_index")
     rows = attach(tagged, moves, keys).join(mapping, ["source_ord", "task_index"], "left")
+    unknown = F.raise_error(F.concat(F.lit("task id without a task: "), F.col("task_index").cast("string"))).cast("bigint")
+    task = F.when(F.col("merged_index").isNull() & F.col("task_index").isNotNull(), unknown).otherwise(F.col("merged_index"))
     kept = [c for c in sources[0].columns if c not in ("dataset_id", "episode_index", "index", "task_index")]
     frames = rows.select(
         F.lit(dataset_id).alias("dataset_id"), F.col("_episode").alias("episode_index"),
-        (F.col("dataset_from_index") + F.col("frame_index")).alias("index"), F.col("merged_index").alias("task_index"), *kept,
+        (F.col("dataset_from_index") + F.col("frame_index")).alias("index"), task.alias("task_index"), *kept,
         "source_ord", F.col("episode_index").alias("source_episode_index"))
     return frames, lineage.select("source_ord", "source_episode_index", "episode_index", "length", "dataset_from_index", "dataset_to_index")
 

@@ -94,7 +94,7 @@ def _narrow(rows: DataFrame, by: list[str], large: DataFrame, ranks: Ranks, limi
         if pending.isEmpty():
             break
         inside = _inside(rows, pending.select(*keys).distinct(), by, small_side)
-        place = F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))
+        place = _bin(F.col("_v"), F.col("lo"), F.col("hi"))
         counts = inside.groupBy(*keys, place.alias("_bin")).agg(
             F.sum("_w").alias("_c"), F.count("*").alias("_rows"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
         before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,6 +112,26 @@ def _narrow(rows: DataFrame, by: list[str], large: DataFrame, ranks: Ranks, limi
     return out
 
 
+def _bin(v: Column, lo: Column, hi: Column) -> Column:
+    """Ascending bin of ``v`` in ``[lo, hi]``; both ends always fall into different bins, so every pass shrinks the range.
+
+    A range within a factor of four is divided evenly. A wider one is divided by magnitude, which leaves half an octave;
+    so a few passes reach any double. Infinite values have bins of their own.
+    """
+    largest = F.lit(1.7976931348623157e308)
+    lo, hi = F.greatest(lo, -largest), F.least(hi, largest)
+
+    def magnitude(x: Column) -> Column:  # ascending: below 0, 0, above 0
+        return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (F.log2(F.abs(x)) + 1100))
+
+    def part(x: Column, low: Column, high: Column) -> Column:
+        return F.least(F.floor((x - low) / F.when(high > low, high - low).otherwise(F.lit(1.0)) * BINS), F.lit(BINS - 1))
+
+    narrow = ((lo > 0) & (hi / 4 <= lo)) | ((hi < 0) & (lo / 4 >= hi))
+    inner = F.when(narrow, part(v, lo, hi)).otherwise(part(magnitude(v), magnitude(lo), magnitude(hi)))
+    return F.when(v < -largest, F.lit(-1).cast("bigint")).when(v > largest, F.lit(BINS).cast("bigint")).otherwise(inner)
+
+
 def _inside(rows: DataFrame, intervals: DataFrame, by: list[str], small_side: bool) -> DataFrame:
     """Rows lying in a search interval of their group."""
     within = F.col("l._v").between(F.col("r.lo"), F.col("r.hi"))

@@ -95,7 +95,7 @@ def split_issues(splits: DataFrame) -> DataFrame:
     tiled = (F.col("_edges") == 2) & (F.col("_low") == 0) & (F.col("_a.s") == 1) & (F.col("_a.e") == 0) & (F.col("_b.s") == 0) & (F.col("_b.e") == 1)
     found = F.array_compact(F.array(
         F.when(F.col("_top").isNotNull() & ~tiled, F.lit("ranges overlap or leave episodes out")),
-        F.when(F.coalesce(F.col("_top") != F.col("total_episodes"), F.lit(True)), F.lit("ranges do not cover every episode"))))
+        F.when(F.coalesce(F.col("_top") != F.col("total_episodes"), F.lit(True)), F.lit("some episodes are in no range"))))
     return malformed.unionByName(issues(facts.select("dataset_id", F.explode(found).alias("d")), bad, detail=F.col("d")))
 
 

@@ -25,10 +25,12 @@ def build_session(app: str = "episodica", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by the cluster; a temporary one only where none is configured (tests)."""
+    """Folder named by ``spark.checkpoint.dir``; a temporary one only for a local master, where every task sees it."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="episodica-")
         context.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from episodica.operators import masks, series
 
@@ -101,3 +102,10 @@ def test_prompts(spark):
     cand = spark.createDataFrame([(1, "protect", 5), (2, "replace", 0)], "object_id int, target string, area_pixels int")
     got = {(r.object_id, r.target) for r in masks.unmatched_prompts(prompts, cand).collect()}
     assert got == {(2, "replace"), (None, "replace")}
+
+
+def test_overlapping_ranges_of_one_track_count_once(spark, tiny):
+    rows = [("g", 1, 0, 9, True, 2), ("g", 2, 2, 6, False, 2), ("g", 2, 4, 8, False, 2), ("g", 3, 20, 22, False, 2)]
+    ranges_ = spark.createDataFrame(rows, "group_id string, track_id bigint, start bigint, end bigint, initial boolean, capacity int").withColumn(
+        "group_id", F.lit(1).cast("bigint"))
+    assert {r.track_id: r.accepted for r in masks.late_tracks(ranges_).collect()} == {2: True, 3: True}

@@ -1,8 +1,9 @@
-"""Every registered query against its SQL, at the smallest scale."""
+"""Every registered query of the recordings against its SQL, at the smallest scale."""
 
 import pytest
 
 import __spark_entry__ as entry
+from episodica.plans.all_queries import QUERIES
 from tests.oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     ok, _, message = compare(spark, duck, name, SF)
     assert ok, message

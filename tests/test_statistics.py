@@ -112,3 +112,14 @@ def test_dual_grain(spark):
     df = spark.createDataFrame(rows, "dataset_id string, episode_index bigint, frame int, channel string, level int, n int")
     glob, episode = stats.dual_grain_histograms(df, ["frame"], ["channel"])
     assert glob.agg(F.sum("n")).first()[0] == 2 and episode.agg(F.sum("n")).first()[0] == 3
+
+
+@pytest.mark.parametrize("values", [
+    [float("-inf"), -1.7e308, -1.0, 0.0, 5e-324, 1e-300, 2.0, 1.7e308, float("inf"), float("inf")],
+    [10.0 ** k for k in range(-300, 300, 25)], [3.5] * 9, [-4.0, -4.0, -1e-8, -0.0, 0.0, 7.0, 7.5, 7.25, 1e200]])
+def test_ranks_of_any_double(spark, tiny, values):
+    from episodica.operators import ranks
+    rows = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    wanted = list(range(len(values)))
+    got = {r["rank"]: r.kth for r in ranks.kth_values(rows, ["g"], "v", lambda n: F.array(*[F.lit(k) for k in wanted])).collect()}
+    assert [got[k] for k in wanted] == sorted(values)
