@@ -61,7 +61,7 @@ def test_language_of_held_out_rows_and_mixtures(spark):
 
     def text(lang, n):
         return " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
-    rows = [(i, text(l := rng.choice(sorted(parts)), 40), l, "s") for i in range(150)]
+    rows = [(i, text(l := rng.choice(sorted(parts)), 40), l, "s") for i in range(10, 160)]
     mixed = [(1000, text("aa", 90) + " " + text("bb", 30), None, "s"), (1001, text("cc", 60), None, "s")]
     got = {r.doc_id: r for r in op1_language.identify(documents(spark, rows + mixed + ODD[:2])).collect()}
     assert all(got[i].lang_pred == lang for i, _, lang, _ in rows)
