@@ -30,7 +30,7 @@ def _anchors(symbols: str, k: int, s: int) -> Column:
         return ends <= F.least(*middle)
 
     starts = F.filter(F.sequence(F.lit(0), F.size(symbols) - k), chosen)
-    anchors = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(F.col(symbols), i + j) for j in range(k)]).alias("hash")))
+    anchors = F.transform(starts, lambda i: F.struct(i.alias("at"), F.hash(*[F.get(F.col(symbols), i + j) for j in range(k)]).alias("hash")))
     return inner, anchors
 
 
@@ -48,15 +48,19 @@ def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
         fits = (F.col("_short") == F.lit(kind)) & (F.size("_sym") >= k)
         out = out.withColumn("_sym_inner", F.when(fits, inner)).withColumn(
             f"_found_{kind}", F.when(fits, anchors))
-    whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64("_body").alias("hash")))
-    found = F.coalesce("_found_True", "_found_False", F.array().cast("array<struct<at:int,hash:bigint>>"))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.hash("_body").alias("hash")))
+    found = F.coalesce("_found_True", "_found_False", F.array().cast("array<struct<at:int,hash:int>>"))
     out = out.withColumn(name, F.when(F.size(found) > 0, found).when(F.col("_body") == "", found).otherwise(whole))
     return out.drop("_body", "_short", "_symbols", "_sym", "_sym_inner", "_found_True", "_found_False")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Shared anchor hashes over all anchor hashes (0 to 1); two empty fingerprints are alike."""
-    left, right = F.array_distinct(F.transform(a, lambda x: x["hash"])), F.array_distinct(F.transform(b, lambda x: x["hash"]))
+def hashes(anchors: Column) -> Column:
+    """The distinct hashes of a fingerprint, 32 bits each."""
+    return F.array_distinct(F.transform(anchors, lambda x: x["hash"]))
+
+
+def likeness(left: Column, right: Column) -> Column:
+    """Shared hashes over all hashes of two fingerprints (0 to 1); two empty ones are alike."""
     shared = F.size(F.array_intersect(left, right))
     either = F.size(left) + F.size(right) - shared
     return F.when(either == 0, F.lit(1.0)).otherwise(shared / either)
@@ -71,19 +75,19 @@ def shared_anchors(a: Column, b: Column) -> Column:
 
 def to_text(anchors: Column) -> Column:
     """The anchor hashes in text order, eight hex digits each."""
-    return F.array_join(F.transform(anchors, lambda x: F.lpad(F.lower(F.hex(x["hash"].bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), " ")
+    return F.array_join(F.transform(anchors, lambda x: F.lpad(F.lower(F.hex(x["hash"].cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), " ")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, n_chars, next_text, next_anchors``: beside each row the next document in order of id.
+    """``doc_id, text, n_chars, next_text, next_hashes``: beside each row the next document in order of id.
 
     Ids ascend, null last; after the last comes the first. Rows with one id share their next document; where an id has
     several texts, its smallest stands for it. Only ids are sorted over all rows. Texts are dealt out by id once; of the
-    next text only its anchors and the quarter that an edit needs travel on.
+    next text only its anchor hashes and the quarter that an edit needs travel on.
     """
     keys = ["_null", "_id"]
-    body = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
-        "*", F.col("doc_id").isNull().alias("_null"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_id"))
+    # the id is put together again from its two keys, so that both readers of the dealt texts share one exchange
+    body = docs.select(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
     sizes = body.groupBy(*keys).agg(F.max(F.floor(F.length("text") / 4)).alias("_need"))
     ranked = with_position(sizes, [], keys, "_rank")
     last = ranked.agg(F.max("_rank")).first()[0]
@@ -93,8 +97,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     dealt = body.repartition(*keys)
     one = dealt.groupBy(*keys).agg(F.min("text").alias("_text"))
     after = with_anchors(one.join(follows, keys).select("_own_null", "_own_id", "_need", "_text"), "_text", "next_anchors").select(
-        F.col("_own_null").alias("_null"), F.col("_own_id").alias("_id"), F.substring(F.col("_text"), F.lit(1), F.col("_need").cast("int")).alias("next_text"), "next_anchors")
-    return dealt.join(after, keys).select("doc_id", "text", F.length("text").cast("bigint").alias("n_chars"), "next_text", "next_anchors")
+        F.col("_own_null").alias("_null"), F.col("_own_id").alias("_id"), F.substring(F.col("_text"), F.lit(1), F.col("_need").cast("int")).alias("next_text"), hashes(F.col("next_anchors")).alias("next_hashes"))
+    return dealt.join(after, keys).select(
+        F.when(~F.col("_null"), F.col("_id")).alias("doc_id"), "text", F.length("text").cast("bigint").alias("n_chars"), "next_text", "next_hashes")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -105,7 +110,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text, of its edited text (last quarter taken from the next document) and of the next document.
 
-    Returns ``doc_id, n_chars, edited, anchors, edited_anchors, next_anchors``; see ``with_next`` for ties and nulls. An
+    Returns ``doc_id, n_chars, edited, anchors, edited_anchors, next_hashes``; see ``with_next`` for ties and nulls. An
     empty table gives no rows; an empty text is edited to itself.
     """
     rows = with_next(docs)
@@ -114,4 +119,4 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring(F.col("next_text"), F.lit(1), cut)))
     for text, name in (("text", "anchors"), ("edited", "edited_anchors")):
         rows = with_anchors(rows, text, name)
-    return rows.select("doc_id", "n_chars", "edited", "anchors", "edited_anchors", "next_anchors")
+    return rows.select("doc_id", "n_chars", "edited", "anchors", "edited_anchors", "next_hashes")

@@ -45,11 +45,11 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op8_fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
-    own, edited, after = F.col("anchors"), F.col("edited_anchors"), F.col("next_anchors")
+    own, edited, hashes = F.col("anchors"), F.col("edited_anchors"), op8_fingerprint.hashes
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), op8_fingerprint.to_text(own).alias("fingerprint"),
-        op8_fingerprint.to_text(edited).alias("edited_fingerprint"), op8_fingerprint.likeness(own, edited).alias("near_edited"),
-        op8_fingerprint.likeness(own, after).alias("near_next"))
+        op8_fingerprint.to_text(edited).alias("edited_fingerprint"), op8_fingerprint.likeness(hashes(own), hashes(edited)).alias("near_edited"),
+        op8_fingerprint.likeness(hashes(own), F.col("next_hashes")).alias("near_next"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

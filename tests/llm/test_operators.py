@@ -291,8 +291,8 @@ def test_edited_texts_and_likeness(spark):
     rng = random.Random(15)
     rows = [(i, words(rng, rng.choice([2, 40, 200])), "en", "s") for i in range(0, 60, 2)] + [(61, None, "en", "s"), (62, "", "en", "s"), (None, "last text of all", "en", "s")]
     got = {r.doc_id: r for r in op8_fingerprint.edited_fingerprints(documents(spark, rows)).select(
-        "*", op8_fingerprint.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near"),
-        op8_fingerprint.likeness(F.col("anchors"), F.col("next_anchors")).alias("far")).collect()}
+        "*", op8_fingerprint.likeness(op8_fingerprint.hashes(F.col("anchors")), op8_fingerprint.hashes(F.col("edited_anchors"))).alias("near"),
+        op8_fingerprint.likeness(op8_fingerprint.hashes(F.col("anchors")), F.col("next_hashes")).alias("far")).collect()}
     for (i, text, *_), (_, after, *_) in zip(rows, rows[1:] + rows[:1]):
         text, after = text or "", after or ""
         q = len(text) // 4
