@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from episodica.functions.numeric import round_half_up, vector_distance
 from episodica.operators.ranks import kth_values
-from episodica.operators.series import EPISODE, block_of, deltas, episode_lengths, halo, lagged, to_values
+from episodica.operators.series import EPISODE, attach, block_of, deltas, episode_lengths, halo, lagged, to_values
 
 DISCRETE_VALUES = 4
 ACTIVITY_SHARE = 0.001
@@ -479,9 +479,10 @@ def gripper_opening(frames: DataFrame, feature: str, dim: int) -> DataFrame:
     """Gripper element mapped from its own range in the episode to the physical opening in metres."""
     x = F.get(F.col(feature), F.lit(dim)).cast("double")
     rows = frames.select(*EPISODE, "frame_index", x.alias("_x"))
-    span = rows.groupBy(*EPISODE).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    span = rows.groupBy(*EPISODE).agg(
+        F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), (F.max("frame_index") + 1).alias("length"))
     width = F.col("_hi") - F.col("_lo")
-    return rows.join(span, EPISODE).select(
+    return attach(rows, span).select(
         *EPISODE, "frame_index",
         F.when(width > 0, (F.col("_x") - F.col("_lo")) / width * GRIPPER_TRAVEL)
         .otherwise(F.col("_x") / 100.0 * GRIPPER_TRAVEL).alias("opening"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,17 +74,32 @@ def value_problems(frames: DataFrame, widths: dict[str, int]) -> DataFrame:
 
 
 def normalize(frames: DataFrame, widths: dict[str, int]) -> DataFrame:
-    """Vectors as arrays of float, time as double; a frame that would lose a value stops the job."""
+    """Vectors as arrays of float, time as double; a value that the cast would change stops the job."""
+    def exact(source: T.DataType, kind: str) -> Callable[[Column], Column]:
+        def cast(v: Column) -> Column:
+            changed = F.raise_error(F.concat(F.lit(f"not exact as {kind}: "), v.cast("string"))).cast(kind)
+            return F.when(v.isNull() | (v.cast(kind).cast(source) == v), v.cast(kind)).otherwise(changed)
+        return cast
+
     out = frames
     for name in widths:
-        out = out.withColumn(name, F.col(name).cast("array<float>"))
-    return out.withColumn("timestamp", F.col("timestamp").cast("double")) if "timestamp" in frames.columns else out
+        kind = frames.schema[name].dataType.elementType
+        if not isinstance(kind, T.FloatType):
+            out = out.withColumn(name, F.transform(name, exact(kind, "float")))
+    if "timestamp" in frames.columns:
+        kind = frames.schema["timestamp"].dataType
+        if not isinstance(kind, (T.FloatType, T.DoubleType)):
+            return out.withColumn("timestamp", exact(kind, "double")(F.col("timestamp")))
+        out = out.withColumn("timestamp", F.col("timestamp").cast("double"))
+    return out
 
 
 def lost_rows(source: DataFrame, output: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Multiset difference in both directions over ``columns``; empty means lossless."""
-    a, b = source.select(*columns), output.select(*columns)
-    return a.exceptAll(b).withColumn("side", F.lit("missing")).unionByName(b.exceptAll(a).withColumn("side", F.lit("extra")))
+    """Multiset difference in both directions over ``columns``; empty means lossless. One count with a sign per side."""
+    both = source.select(*columns, F.lit(1).alias("_sign")).unionByName(output.select(*columns, F.lit(-1).alias("_sign")))
+    odd = both.groupBy(*columns).agg(F.sum("_sign").alias("_n")).filter("_n <> 0")
+    return odd.select(*columns, F.when(F.col("_n") > 0, "missing").otherwise("extra").alias("side"),
+                      F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("_n"))).alias("_copy")).drop("_copy")
 
 
 def union_tasks(tasks: DataFrame) -> DataFrame:
@@ -102,8 +117,8 @@ def union_frames(sources: Sequence[DataFrame], tasks: DataFrame, dataset_id: str
 
     Returns ``frames`` and ``lineage(source_ord, source_episode_index, episode_index, length)``.
     """
-    if not MIN_SOURCES <= len(sources) <= MAX_SOURCES:
-        raise ValueError("a merge takes 2 to 50 sources")
+    if len(sources) < MIN_SOURCES:
+        raise ValueError("a merge takes at least two sources")
     tagged = reduce(DataFrame.unionByName, [s.withColumn("source_ord", F.lit(i)) for i, s in enumerate(sources)])
     keys = ["source_ord", "episode_index"]
     lengths = episode_lengths(tagged, keys)

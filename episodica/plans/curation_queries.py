@@ -93,12 +93,16 @@ def c07_hash(spark, sf):
     return curate.hash_split(ids, 12.5, 7).groupBy("is_eval").agg(F.count("*").alias("episodes"))
 
 
-@query("c07_random_split")
+_DRAWN = "row_number() OVER (ORDER BY md5('{seed}/events/' || episode_index), episode_index) AS k, count(*) OVER () AS n FROM ep"
+
+
+@query("c07_random_split", f"""WITH {t.FRAMES_SQL}, {_FLAGS} SELECT episode_index, k <= floor(n*30/100.0+0.5) AS is_eval FROM (SELECT episode_index, {_DRAWN.format(seed=7)})""")
 def c07_ids(spark, sf):
     return curate.random_split(t.episodes(spark, sf), 30, 7).select("episode_index", "is_eval")
 
 
-@query("c08_sample_episodes")
+@query("c08_sample_episodes", f"""WITH {t.FRAMES_SQL}, {_FLAGS} SELECT episode_index, length FROM (SELECT episode_index, length, {_DRAWN.format(seed=42)})
+  WHERE k <= greatest(1, floor(n*20/100.0+0.5))""")
 def c08(spark, sf):
     return curate.sample_episodes(t.episodes(spark, sf), 20, 42).select("episode_index", "length")
 
@@ -225,11 +229,14 @@ def u01_stats(spark, sf):
 
 @query("c09_merge_lossless", f"""WITH {t.FRAMES_SQL} SELECT CASE WHEN n > 66 THEN 0 ELSE 1 END AS source_ord, count(*) AS frames, 0 AS lost FROM frames GROUP BY 1""")
 def c09(spark, sf):
+    """Hundredths as whole numbers: doubles that a float holds exactly; the merge is compared with them as stored."""
+    def whole(frames):
+        return frames.withColumns({c: F.transform(c, lambda x: F.round(x * 100)) for c in ("action", "state")})
+
     long, short, tasks = _parts(spark, sf)
-    widths = {"action": 2, "state": 2}
-    merged, _ = merge.union_frames([merge.normalize(long, widths), merge.normalize(short, widths)], tasks, "merged")
-    source = merge.normalize(long, widths).unionByName(merge.normalize(short, widths))
-    lost = merge.lost_rows(source, merged, ["event_id", "timestamp", "action", "state"]).agg(F.count("*").cast("int").alias("lost")).scalar()
+    stored, widths = [whole(long), whole(short)], {"action": 2, "state": 2}
+    merged, _ = merge.union_frames([merge.normalize(s, widths) for s in stored], tasks, "merged")
+    lost = merge.lost_rows(stored[0].unionByName(stored[1]), merged, ["event_id", "timestamp", "action", "state"]).agg(F.count("*").cast("int").alias("lost")).scalar()
     return merged.groupBy("source_ord").agg(F.count("*").alias("frames")).withColumn("lost", lost)
 
 

@@ -1,4 +1,4 @@
-import random
+import hashlib
 
 import numpy as np
 import pytest
@@ -19,14 +19,19 @@ def ids(spark, values):
     return spark.createDataFrame([("d", v) for v in values], "dataset_id string, episode_index bigint")
 
 
-def test_seeded_split_equals_python(spark):
+def drawn(kept, seed):
+    return sorted(kept, key=lambda i: hashlib.md5(f"{seed}/d/{i}".encode()).hexdigest())
+
+
+def test_seeded_split_equals_brute_force(spark):
     e = episodes(spark, [5] * 23)
     chosen = curate.select_episodes(e, ids(spark, [3, 4]), "unflagged")
-    kept = [i for i in range(23) if i not in (3, 4)]
-    want = set(random.Random(9).sample(kept, int(np.floor(len(kept) * 30 / 100 + .5))))
-    got = curate.random_split(chosen, 30, 9)
+    want = set(drawn([i for i in range(23) if i not in (3, 4)], 9)[:6])  # 30 % of 21, halves up
+    got = curate.random_split(chosen.repartition(4), 30, 9)
     assert {r.episode_index for r in got.filter("is_eval").collect()} == want
-    assert got.count() == 21
+    assert got.count() == 21 and got.columns == [*chosen.columns, "is_eval"]
+    with pytest.raises(ValueError, match="one data set"):
+        curate.random_split(e.unionByName(episodes(spark, [5], "other")), 30, 9)
     sides = curate.split_sides(curate.random_split(chosen, 0, 9))
     assert list(sides) == ["train"]
     with pytest.raises(ValueError):
@@ -44,11 +49,10 @@ def test_hash_split_is_exact_and_stable(spark):
     assert curate.hash_split(e, 100, 1).filter("is_eval").count() == 200
 
 
-def test_seeded_shuffle_sample():
-    picks = curate.sample_positions(10, 30, 42)
-    assert len(picks) == 3 and picks == sorted(set(picks)) and picks == curate.sample_positions(10, 30, 42)
-    assert curate.sample_positions(10, 0, 1) and curate.sample_positions(0, 50, 1) == []
-    assert curate.sample_positions(4, 100, 5) == [0, 1, 2, 3]
+@pytest.mark.parametrize("n,percent,count", [(10, 30, 3), (10, 0, 1), (0, 50, 0), (4, 100, 4), (4, 250, 4), (5, 50, 3)])
+def test_seeded_sample_equals_brute_force(spark, n, percent, count):
+    got = curate.sample_episodes(episodes(spark, [1] * n).repartition(3), percent, 42)
+    assert {r.episode_index for r in got.collect()} == set(drawn(range(n), 42)[:count])
 
 
 def test_flag_changes(spark):
@@ -136,6 +140,23 @@ def test_merge(spark, tiny):
         merge.check_headers([{"codebase_version": "v3.0", "fps": 10}, {"codebase_version": "v3.0", "fps": 30}])
 
 
+def test_normalize_stops_at_a_changed_value(spark):
+    kind = "dataset_id string, action array<double>, timestamp float"
+    fine = merge.normalize(spark.createDataFrame([("d", [0.5, None, float("nan"), float("inf")], 0.5), ("d", None, None)], kind), {"action": 4})
+    assert fine.schema["action"].dataType.simpleString() == "array<float>" and fine.schema["timestamp"].dataType.simpleString() == "double"
+    rows = fine.collect()
+    assert rows[0].action[:2] == [0.5, None] and np.isnan(rows[0].action[2]) and rows[1].action is None
+    for value in (1.0 + 1e-12, 1e300):
+        with pytest.raises(Exception, match="not exact as float"):
+            merge.normalize(spark.createDataFrame([("d", [value], 0.0)], kind), {"action": 1}).collect()
+
+
+def test_lost_rows_count_copies(spark):
+    a = spark.createDataFrame([(1, [1.0]), (1, [1.0]), (2, None), (3, [3.0])], "k int, v array<double>")
+    b = spark.createDataFrame([(1, [1.0]), (2, None), (4, [3.0]), (4, [3.0])], "k int, v array<double>")
+    assert sorted((r.k, r.side) for r in merge.lost_rows(a, b, ["k", "v"]).collect()) == [(1, "missing"), (3, "missing"), (4, "extra"), (4, "extra")]
+
+
 @pytest.mark.parametrize("vector,time,column,problem", [
     (None, 0.0, "action", "null_vector"), ([1.0], 0.0, "action", "length"), ([1.0, None], 0.0, "action", "null_element"),
     ([1.0, float("nan")], 0.0, "action", "non_finite"), ([1.0, 2.0], float("nan"), "timestamp", "non_finite"), ([1.0, 2.0], 0.0, None, None)])
