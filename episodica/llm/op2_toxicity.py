@@ -1,126 +1,148 @@
 """Toxicity by class-conditional Kneser-Ney models over the letters of words.
 
 Both classes have discounted counts of their own for n-grams of the highest order and back off to one Kneser-Ney model of
-the pooled counts, so an expression that is rare in both says nothing. A document is judged by the difference of its toxic and ordinary log-likelihood per word, turned into a probability by a logistic
-curve that is fitted on labelled documents that no count has seen.
+the pooled counts, so an expression that is rare in both says nothing. All n-grams stay in Spark tables: continuation counts and
+both classes' log-probabilities are found there by grouping, distinct words get their scores by a join with them, and documents
+by a join with the words. A document is judged by the difference of its toxic and ordinary log-likelihood per word, turned
+into a probability by a logistic curve that is fitted on labelled documents that no count has seen.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from episodica.llm.charmodel import Grams, WordScores, groups, total
-from episodica.llm.common import fold
+from episodica.llm.charmodel import groups
+from episodica.llm.common import broadcast_if_small, fold
 from episodica.session import materialize
 
-ORDER, BITS, DISCOUNT = 7, 63, 0.75
-#: An n-gram with a smaller share of both classes is backed off; so there are two million at most, however much is read.
-LEAST_SHARE = 1e-6
+ORDER, DISCOUNT = 7, 0.75
 #: Discount of a class: so many occurrences of an n-gram are left to the shared model, which both classes back off to.
 RARE = 5
 #: Labelled documents of fold 1 on which the logistic curve is fitted, at most.
 CALIBRATION = 10_000
-#: Distinct words that a counting task holds before it passes their n-grams on.
+#: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 100_000
-_LOWER = range(ORDER - 1, 0, -1)
-_COLUMNS = ["gram", "context", *[f"s{n}" for n in _LOWER], *[f"c{n}" for n in _LOWER]]
+#: Rows of a batch that goes back to Spark, about.
+BATCH = 50_000
 
 
-def _gram_rows(label: int, words: Counter) -> pa.RecordBatch:
-    grams = Grams(list(words), ORDER, BITS)
-    counts = np.fromiter(words.values(), np.float64, len(words))[grams.words]
-    columns = [grams.places(ORDER), grams.places(ORDER - 1, 1), *[grams.places(n) for n in _LOWER], *[grams.places(n - 1, 1) for n in _LOWER]]
-    _, index = np.unique(columns[0], return_index=True)
-    _, sums = total(columns[0], counts)
-    arrays = [pa.array(np.full(len(index), label, np.int32)), *[pa.array(c[index]) for c in columns], pa.array(sums.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(arrays, ["label", *_COLUMNS, "n"])
+def _word_rows(words: dict[str, list[int]]) -> pa.RecordBatch:
+    n = np.array(list(words.values()), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(n[:, 0]), pa.array(n[:, 1])], ["word", "n0", "n1"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = {0: Counter(), 1: Counter()}
+    """Distinct words with their occurrences in both classes; a document that is not learned from has a null label."""
+    held: dict[str, list[int]] = {}
     for batch in batches:
         labels = batch.column("label").to_pylist()
         for at, counts in groups(batch.column("text").to_pylist()):
             for label, words in zip(labels[at:], counts):
-                held[label].update(words)
-            for label, words in held.items():
-                if len(words) > HELD_WORDS:
-                    yield _gram_rows(label, words)
-                    words.clear()
-    for label, words in held.items():
+                for word, n in words.items():
+                    both = held.setdefault(word, [0, 0])
+                    if label is not None:
+                        both[label] += n
+                if len(held) > HELD_WORDS:
+                    yield _word_rows(held)
+                    held = {}
+    if held:
+        yield _word_rows(held)
+
+
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of the highest order of each word, which has marks in front and one behind."""
+    for batch in batches:
+        def out() -> pa.RecordBatch:
+            at = pa.array(rows, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *[batch.column(c).take(at) for c in ("key", "n0", "n1")]], ["gram", "key", "n0", "n1"])
+
+        grams: list[str] = []
+        rows: list[int] = []
+        for row, word in enumerate(batch.column("word").to_pylist()):
+            whole = "\x02" * (ORDER - 1) + word + "\x03"
+            for start in range(0, len(word) + 1, BATCH):
+                stop = min(len(word) + 1, start + BATCH)
+                grams += [whole[i:i + ORDER] for i in range(start, stop)]
+                rows += [row] * (stop - start)
+                if len(grams) >= BATCH:
+                    yield out()
+                    grams, rows = [], []
+        if grams:
+            yield out()
+
+
+def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).take(pa.array(rows, pa.int64())), pa.array(words, pa.string()), pa.array(n, pa.int64())], ["key", "word", "n"])
+
+    for batch in batches:
+        keys = batch.column("key").to_pylist()
+        words: list[str] = []
+        rows: list[int] = []
+        n: list[int] = []
+        for at, counts in groups(batch.column("text").to_pylist()):
+            for row, found in enumerate(counts, at):
+                words += found
+                n += found.values()
+                rows += [row] * len(found)
+                if len(words) >= BATCH:
+                    yield out()
+                    words, rows, n = [], [], []
         if words:
-            yield _gram_rows(label, words)
-
-
-def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_inverse=True)
-
-
-class Model:
-    """Log-likelihood differences of n-grams; one that is not kept has 0, as both classes leave it to the shared model."""
-
-    def __init__(self, grams: dict[str, np.ndarray]):
-        """``grams``: one row per n-gram with its counts ``n0`` and ``n1`` in the classes."""
-        order = np.argsort(grams["gram"])
-        row = {c: grams[c][order] for c in _COLUMNS}
-        counts = [grams[c][order].astype(np.float64) for c in ("n0", "n1")]
-        self.grams = row["gram"]
-        contexts, at = _dense(row["context"])
-        size = len(contexts)
-        # the shared model: Kneser-Ney of the pooled counts, from the highest order down
-        pooled = counts[0] + counts[1]
-        whole, kinds = np.bincount(at, weights=pooled, minlength=size), np.bincount(at, minlength=size)
-        shared = (np.maximum(pooled - DISCOUNT, 0) + DISCOUNT * kinds[at] * self._lower(row)) / whole[at]
-        log_p = []
-        for count in counts:
-            held = np.minimum(count, RARE)
-            own, spare = np.bincount(at, weights=count, minlength=size), np.bincount(at, weights=held, minlength=size)
-            weight = np.where(own > 0, spare / np.maximum(own, 1), 1.0)
-            log_p.append(np.log((count - held) / np.maximum(own[at], 1) + weight[at] * shared))
-        self.seen = log_p[1] - log_p[0]
-        self.curve = np.zeros(3)
-
-    @staticmethod
-    def _lower(row: dict[str, np.ndarray]) -> np.ndarray:
-        """Kneser-Ney probability of the last letter of each n-gram one order below it, from continuation counts."""
-        p = None
-        for n in range(1, ORDER):
-            longer = row[f"s{n + 1}"] if n + 1 < ORDER else row["gram"]
-            _, types = np.unique(longer, return_index=True)
-            _, own = _dense(row[f"s{n}"])
-            kinds = np.bincount(own[types], minlength=own.max() + 1)
-            if n == 1:
-                p = (kinds[own] + 1.0) / (kinds.sum() + 1024.0)
-                continue
-            _, at = _dense(row[f"c{n}"])
-            _, single = np.unique(own, return_index=True)
-            context, below = np.bincount(at[types], minlength=at.max() + 1), np.bincount(at[single], minlength=at.max() + 1)
-            p = (np.maximum(kinds[own] - DISCOUNT, 0) + DISCOUNT * below[at] * p) / context[at]
-        return p
-
-    def words(self, words: list[str]) -> np.ndarray:
-        grams = Grams(words, ORDER, BITS)
-        gram = grams.places(ORDER)
-        at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
-        return np.add.reduceat(np.where(self.grams[at] == gram, self.seen[at], 0.0), grams.first)
-
-    def features(self, scores: WordScores, counts: list[Counter]) -> np.ndarray:
-        """Per document: log-likelihood difference per word, the part of it that clearly toxic words give, and 1."""
-        out = np.zeros((len(counts), 3))
-        out[:, 2] = 1.0
-        if any(counts):
-            ratio, n, first, sizes = scores.rows(counts)
-            full = np.flatnonzero(sizes)
-            words = np.add.reduceat(n, first[full])
-            out[full, 0] = np.add.reduceat(ratio * n, first[full]) / words
-            out[full, 1] = np.add.reduceat(np.maximum(ratio - 2.0, 0) * n, first[full]) / words
-        return out
+            yield out()
+
+
+def _last(gram: str, n: int) -> Column:
+    return F.substring(gram, -n, n)
+
+
+def gram_scores(grams: DataFrame) -> DataFrame:
+    """``gram, seen``: log-likelihood of an n-gram in class 1 less that in class 0, from all n-grams with counts ``n0, n1``.
+
+    The shared model is Kneser-Ney of the pooled counts. A group is one context, so it has no more rows than there are letters.
+    """
+    tables = {}  # order -> n-grams of that order with the number of different letters in front of them
+    longer = grams
+    for size in range(ORDER - 1, 0, -1):
+        longer = tables[size] = materialize(longer.groupBy(_last("gram", size).alias("gram")).agg(F.count("*").alias("kinds")), f"grams{size}")
+    lower = tables[1].crossJoin(F.broadcast(tables[1].agg(F.sum("kinds").alias("_all")))).select(
+        "gram", ((F.col("kinds") + 1.0) / (F.col("_all") + 1024.0)).alias("p"))
+
+    def below(df: DataFrame, n: int) -> DataFrame:
+        found = materialize(lower.select(F.col("gram").alias("_tail"), F.col("p").alias("_below")), f"lower{n - 1}")
+        return df.withColumn("_tail", _last("gram", n - 1)).join(found, "_tail").drop("_tail")
+
+    def context(n: int):
+        return Window.partitionBy(F.substring("gram", 1, n - 1))
+
+    for n in range(2, ORDER):
+        at = context(n)
+        lower = below(tables[n].withColumn("_sum", F.sum("kinds").over(at)).withColumn("_types", F.count("*").over(at)), n).select(
+            "gram", ((F.greatest(F.col("kinds") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("_types") * F.col("_below")) / F.col("_sum")).alias("p"))
+    at = context(ORDER)
+    held = {k: F.least(F.col(f"n{k}"), F.lit(RARE)) for k in (0, 1)}
+    top = grams.select("gram", "n0", "n1", F.count("*").over(at).alias("_types"), *[F.sum(f"n{k}").over(at).alias(f"_own{k}") for k in (0, 1)],
+                       *[F.sum(held[k]).over(at).alias(f"_spare{k}") for k in (0, 1)])
+    shared = (F.greatest(F.col("n0") + F.col("n1") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("_types") * F.col("_below")) / (F.col("_own0") + F.col("_own1"))
+
+    def log_p(k: int) -> Column:
+        own = F.greatest(F.col(f"_own{k}"), F.lit(1))
+        weight = F.when(F.col(f"_own{k}") > 0, F.col(f"_spare{k}") / own).otherwise(1.0)
+        return F.log((F.col(f"n{k}") - held[k]) / own + weight * F.col("_shared"))
+
+    return below(top, ORDER).withColumn("_shared", shared).select("gram", (log_p(1) - log_p(0)).alias("seen"))
+
+
+class Curve:
+    """Logistic curve over the features of a document; without held-back examples half a nat per word divides."""
+
+    def __init__(self):
+        self.weights = np.array([4.0, 4.0, -2.0])
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         """Logistic regression by Newton steps."""
@@ -133,67 +155,64 @@ class Model:
             w -= step
             if np.abs(step).max() < 1e-6:
                 break
-        self.curve = w / scale
-
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30)))
-
-
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Counts over all labelled documents of folds 2 to 4, the curve from fold 1; None if a class has no documents."""
-    marks = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    rows = docs.select("doc_id", "text").withColumn("_fold", fold(F.col("doc_id"))).filter("_fold > 0 and text is not null").join(marks, "doc_id")
-    schema = "label int, " + ", ".join(f"{c} bigint" for c in _COLUMNS) + ", n bigint"
-    counted = rows.filter("_fold > 1").select("label", "text").mapInArrow(_count, schema)
-    part = lambda k: F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0))
-    grams = materialize(counted.groupBy("gram").agg(*[F.first(c).alias(c) for c in _COLUMNS if c != "gram"], part(0).alias("n0"), part(1).alias("n1")), "grams")
-    sums = grams.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
-    if not all(sums):
+        self.weights = w / scale
+
+    def probability(self, a: Column, b: Column) -> Column:
+        u, v, w = (float(x) for x in self.weights)
+        return 1 / (1 + F.exp(-F.least(F.greatest(a * u + b * v + w, F.lit(-30.0)), F.lit(30.0))))
+
+
+def word_scores(rows: DataFrame) -> DataFrame | None:
+    """``word_key, ratio`` of all words of ``rows`` (``text, label``), learned from those with a label; None if a class has no words.
+
+    An n-gram that was never counted has 0, as both classes leave it to the shared model."""
+    counted = rows.filter("text is not null").select("text", "label").mapInArrow(_count, "word string, n0 bigint, n1 bigint")
+    words = materialize(counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).withColumn("key", F.xxhash64("word")), "words")
+    spelled = "gram string, key bigint, n0 bigint, n1 bigint"
+    grams = materialize(words.filter("n0 + n1 > 0").mapInArrow(_spell, spelled).groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
+    if not all(grams.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()):
         return None
-    held = grams.filter((F.col("n0") >= sums[0] * LEAST_SHARE) | (F.col("n1") >= sums[1] * LEAST_SHARE)).toArrow()  # at most 2 / LEAST_SHARE rows
-    columns = {c: held.column(c).to_numpy() for c in held.column_names}
-    model = Model(columns)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(shared.value.words)
-        for batch in batches:
-            x = np.concatenate([shared.value.features(scores, c) for _, c in groups(batch.column("text").to_pylist())] or [np.zeros((0, 3))])
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x[:, 0]), pa.array(x[:, 1])], ["label", "a", "b"])
-
-    picked = rows.filter("_fold = 1").select("label", "text", "doc_id").withColumn("_pick", F.xxhash64("doc_id"))
-    chosen = picked.select("doc_id", "_pick").orderBy("_pick", "doc_id").limit(CALIBRATION).select("doc_id").distinct()
-    sample = picked.join(chosen, "doc_id", "left_semi").select("label", "text").mapInArrow(measure, "label int, a double, b double").toArrow()
-    y = sample.column("label").to_numpy().astype(np.float64)
-    x = np.column_stack((sample.column("a").to_numpy(), sample.column("b").to_numpy(), np.ones(len(y))))
-    if 0 < y.sum() < len(y):
-        model.fit(x, y)
-    else:  # no held-back examples of a class: half a nat per word divides
-        model.curve = np.array([4.0, 4.0, -2.0])
-    shared.unpersist()
-    return model
+    seen = words.mapInArrow(_spell, spelled).select("gram", "key").join(gram_scores(grams), "gram")
+    return materialize(seen.groupBy(F.col("key").alias("word_key")).agg(F.sum("seen").alias("ratio")), "word_scores")
+
+
+def text_key() -> Column:
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
+def features(docs: DataFrame, scores: DataFrame) -> DataFrame:
+    """``key, a, b`` per distinct text with letters: log-likelihood difference per word, and the part of it that clearly toxic words give."""
+    words = docs.filter("text is not null").select(text_key().alias("key"), "text").mapInArrow(_document_words, "key binary, word string, n bigint")
+    ratio, n = F.coalesce("ratio", F.lit(0.0)), F.col("n")
+    found = words.select("key", "n", F.xxhash64("word").alias("word_key")).join(broadcast_if_small(scores), "word_key", "left").groupBy("key")
+    # equal texts are counted together, which changes no mean
+    return found.agg((F.sum(ratio * n) / F.sum(n)).alias("a"), (F.sum(F.greatest(ratio - 2.0, F.lit(0.0)) * n) / F.sum(n)).alias("b"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with ``toxic_score`` (0 to 1) of every whole text; columns of that name are replaced.
 
-    Labels are learned from rows outside fold 0 whose ``toxic`` is 0 or 1; several labels of an id count as the largest.
-    Null texts, empty texts and texts without letters get the score of an ordinary likelihood difference of 0. If the
-    labels lack a class, every score is 0. Repeated rows are scored alike; an empty table gives no rows.
+    Labels are learned from rows outside fold 0 whose ``toxic`` is 0 or 1: all n-grams of folds 2 to 4 are counted, fold 1 fits the
+    curve. Several labels of an id count as the largest. Null texts, empty texts and texts without letters get the score of an
+    ordinary likelihood difference of 0. If the labels lack a class, every score is 0. Repeated rows are scored alike; an
+    empty table gives no rows.
     """
-    model = train(docs, labels)
-    kept = [c for c in docs.columns if c != "toxic_score"]
-    rows = docs.select(*kept)
-    if model is None:
+    rows = docs.select(*[c for c in docs.columns if c != "toxic_score"])
+    marks = broadcast_if_small(labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_mark")))
+    marked = docs.select("doc_id", "text").withColumn("_fold", fold(F.col("doc_id"))).join(marks, "doc_id", "left")
+    scores = word_scores(marked.select("text", F.when(F.col("_fold") > 1, F.col("_mark")).alias("label")))
+    if scores is None:
         return rows.withColumn("toxic_score", F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(shared.value.words)
-        for batch in batches:
-            p = [shared.value.probability(shared.value.features(scores, c)) for _, c in groups(batch.column("text").to_pylist())]
-            column = pa.array(np.concatenate(p) if p else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "toxic_score"])
-
-    schema = rows.withColumn("toxic_score", F.lit(0.0)).schema
-    return rows.mapInArrow(judge, schema)
+    found = materialize(features(docs, scores), "toxicity_features")
+    curve = Curve()
+    picked = marked.filter("_fold = 1 and _mark is not null and text is not null").select("doc_id", "_mark", text_key().alias("key"), F.xxhash64("doc_id").alias("_pick"))
+    chosen = picked.select("doc_id", "_pick").orderBy("_pick", "doc_id").limit(CALIBRATION).select("doc_id").distinct()
+    a, b = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
+    small = broadcast_if_small(found)
+    sample = picked.join(chosen, "doc_id", "left_semi").join(small, "key", "left").select("_mark", a.alias("a"), b.alias("b")).toArrow()
+    y = sample.column("_mark").to_numpy().astype(np.float64)
+    if 0 < y.sum() < len(y):
+        curve.fit(np.column_stack((sample.column("a").to_numpy(), sample.column("b").to_numpy(), np.ones(len(y)))), y)
+    own = rows.withColumn("_text_key", text_key())
+    return own.join(small.withColumnRenamed("key", "_text_key"), "_text_key", "left").select(
+        *[F.col(f"`{c}`") for c in rows.columns], curve.probability(a, b).alias("toxic_score"))

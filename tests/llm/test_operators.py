@@ -110,6 +110,54 @@ def test_toxicity_finds_unseen_endings(spark):
     assert all((got[i] >= 0.5) == (i % 4 == 0) for i in held)
 
 
+def test_toxicity_keeps_rare_expressions_of_large_classes(spark):
+    learned = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 > 1][:40]
+    held = [i for i in range(200, 300) if zlib.crc32(str(i).encode()) % 5 == 0][:2]
+    toxic = learned[:10]  # ten occurrences among more than 10^7 letters
+    small = [(i, "grzkq" if i in toxic else "abcd efgh ijkl " * 10, "en", "s") for i in learned] + [(held[0], "grzkq grzkq", "en", "s"), (held[1], "vwxyz vwxyz", "en", "s")]
+    common = F.when(F.col("doc_id").isin(toxic), F.repeat(F.lit("abcd efgh ijkl "), 70_000)).otherwise("")
+    docs = documents(spark, small).withColumn("text", F.concat(common, "text"))
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in learned], "doc_id bigint, toxic int")
+    got = {r.doc_id: r.toxic_score for r in op2_toxicity.score_toxicity(docs, labels).select("doc_id", "toxic_score").collect()}
+    assert got[held[0]] > 0.5 > got[held[1]]
+
+
+def test_gram_scores_against_plain_counts(spark):
+    rng = random.Random(5)
+    counts = [Counter("".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(120)) for _ in range(2)]
+    order, discount, rare = op2_toxicity.ORDER, op2_toxicity.DISCOUNT, op2_toxicity.RARE
+    grams = [Counter(), Counter()]
+    for k in (0, 1):
+        for word, n in counts[k].items():
+            whole = "\x02" * (order - 1) + word + "\x03"
+            for i in range(len(word) + 1):
+                grams[k][whole[i:i + order]] += n * (1 + 3 * k)
+    types = {order: set(grams[0]) | set(grams[1])}
+    for n in range(order - 1, 0, -1):
+        types[n] = {g[1:] for g in types[n + 1]}
+
+    def lower(g):
+        n = len(g)
+        front = lambda x: sum(y[1:] == x for y in types[n + 1])
+        if n == 1:
+            return (front(g) + 1) / (len(types[2]) + 1024)
+        same = [x for x in types[n] if x[:-1] == g[:-1]]
+        return (max(front(g) - discount, 0) + discount * len(same) * lower(g[1:])) / sum(front(x) for x in same)
+    got = {r.gram: r.seen for r in op2_toxicity.gram_scores(spark.createDataFrame(
+        [(g, grams[0][g], grams[1][g]) for g in types[order]], "gram string, n0 bigint, n1 bigint")).collect()}
+    assert set(got) == types[order]
+    for g in rng.sample(sorted(types[order]), 40):
+        same = [x for x in types[order] if x[:-1] == g[:-1]]
+        pooled = lambda x: grams[0][x] + grams[1][x]
+        shared = (max(pooled(g) - discount, 0) + discount * len(same) * lower(g[1:])) / sum(map(pooled, same))
+        log_p = []
+        for k in (0, 1):
+            own = sum(grams[k][x] for x in same)
+            weight = sum(min(grams[k][x], rare) for x in same) / own if own else 1.0
+            log_p.append(np.log(max(grams[k][g] - rare, 0) / max(own, 1) + weight * shared))
+        assert abs(got[g] - (log_p[1] - log_p[0])) < 1e-9
+
+
 def test_toxicity_without_classes_and_odd_rows(spark):
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     scored = op2_toxicity.score_toxicity(documents(spark, ODD), labels)
