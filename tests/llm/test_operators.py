@@ -362,6 +362,29 @@ def test_patience_is_a_common_subsequence():
     assert op9_lines.patience([1, 2, 3, 4, 5], [9, 2, 3, 8, 5]) == [(1, 1), (2, 2), (4, 4)]
 
 
+def test_alignment_of_repeated_lines_is_a_longest_common_subsequence():
+    assert op9_lines.deleted_places([1, 2], [9, 1, 2, 8, 1, 2, 7], [4] * 7, 5) in ([1, 2], [4, 5])
+    assert op9_lines.deleted_places([1, 2], [9, 1, 8, 1, 2, 7], [4] * 6, 5) == [3, 4]
+    rng = random.Random(19)
+    for _ in range(500):
+        a, b = [[rng.randrange(rng.choice([1, 3, 6])) for _ in range(rng.randint(0, 14))] for _ in range(2)]
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        pairs = sorted(op9_lines.longest_common(a, b, 0, len(a), 0, len(b)))
+        assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:])) and len(pairs) == best[-1][-1]
+        moved = op9_lines.joined(a, b, pairs)
+        assert all(a[i] == b[j] for i, j in moved) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(moved, moved[1:])) and len(moved) == len(pairs)
+
+
+def test_line_dedup_with_other_line_ends(spark):
+    block = ["one two three four", "five six seven eight"]
+    rows = [(1, "\n".join(["a", *block, "b"]), "en", "s"), (2, "\r\n".join(["c", *block, "d"]), "en", "s")]
+    got = {r.doc_id: r.n_deleted for r in op9_lines.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {1: 0, 2: 2}
+
+
 def test_line_dedup_against_brute_force(spark):
     rng = random.Random(17)
     pool = [words(rng, rng.randint(2, 9)) for _ in range(60)]
