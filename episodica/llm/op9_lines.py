@@ -1,7 +1,9 @@
 """Line dedup by pairwise alignment.
 
 Equal texts form one class; all of its documents but the first lose every line. Between classes, a line that several have
-leads each later document to the first document that holds it, so a line held by n documents gives n - 1 pairs. Each pair
+leads each later document to the first document that holds it, so a line held by n documents gives n - 1 pairs. The shortest runs
+of neighbouring lines with enough words for a block lead to their first holder in the same way: every line of a shared block is
+in one of them. Each pair
 is aligned by patience diff: lines that are unique in both texts, in their longest common order, are anchors; blocks grow
 from them over equal neighbours, and gaps without such lines have a longest common subsequence. Aligned blocks of enough words are deleted from the later document.
 """
@@ -168,6 +170,51 @@ def _align(min_words: int):
     return run
 
 
+def run_ends(words: list[int], min_words: int) -> set[tuple[int, int]]:
+    """First and last place of the shortest runs of two lines or more that have ``min_words``, from each line on and up to each
+    line that is not blank. Every line of a block of enough words is in such a run of the block or has enough words alone."""
+    filled = [k for k, n in enumerate(words) if n]
+    out = set()
+    total = low = 0
+    for high, k in enumerate(filled):  # the longest start that is still enough, for each end
+        total += words[k]
+        while total - words[filled[low]] >= min_words:
+            total -= words[filled[low]]
+            low += 1
+        if total >= min_words:
+            out.add((filled[low], k))
+    total = high = 0
+    for low, k in enumerate(filled):
+        while high < len(filled) and total < min_words:
+            total += words[filled[high]]
+            high += 1
+        if total < min_words:
+            break
+        out.add((k, filled[high - 1]))
+        total -= words[k]
+    return {(x, y) for x, y in out if x < y}
+
+
+def _runs(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, hashes = [], []
+
+            def out() -> pa.RecordBatch:
+                at = pa.array(rows, pa.int64())
+                return pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("_key", "_order")], pa.array(hashes, pa.int64())], ["_key", "_order", "_line"])
+
+            for row, (lines, words) in enumerate(zip(batch.column("_lines").to_pylist(), batch.column("_words").to_pylist())):
+                found = {hash(tuple(lines[x:y + 1])) for x, y in run_ends(words, min_words)}  # a hash of numbers is the same in every process
+                rows += [row] * len(found)
+                hashes += found
+                if len(rows) > 50_000:
+                    yield out()
+                    rows, hashes = [], []
+            yield out()
+    return run
+
+
 def text_key() -> Column:
     return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
@@ -189,7 +236,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     order = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
     classes = materialize(narrow.groupBy("_key").agg(F.min(order).alias("_order"), F.first("_lines").alias("_lines"), F.first("_words").alias("_words")), "line_classes")
     lines = classes.select("_key", "_order", F.explode(F.arrays_zip("_lines", "_words")).alias("_l")).filter("_l._words > 0").select(
-        "_key", "_order", F.col("_l._lines").alias("_line"))
+        "_key", "_order", F.col("_l._lines").alias("_line")).unionByName(
+        classes.select("_key", "_order", "_lines", "_words").mapInArrow(_runs(min_words), "_key binary, _order bigint, _line bigint"))
     holders = lines.groupBy("_line").agg(F.min(F.struct("_order", "_key")).alias("_first"), F.max(F.struct("_order", "_key")).alias("_last")).filter(
         F.col("_first") != F.col("_last"))
     pairs = lines.join(holders, "_line").filter(F.col("_first._key") != F.col("_key")).select(

@@ -385,6 +385,36 @@ def test_line_dedup_with_other_line_ends(spark):
     assert got == {1: 0, 2: 2}
 
 
+def test_line_dedup_against_alignment_of_all_pairs(spark):
+    rng = random.Random(20)
+    rows = [(1, "l 1 1", "en", "s"), (2, "l 2 2", "en", "s"), (3, "l 1 1\nl 2 2\nc c c", "en", "s"), (4, "l 1 1\nl 2 2\nd d d", "en", "s")]
+    short = [f"s{k} {k}" for k in range(12)]  # lines too short for a block, in blocks that keep their order
+    for i in range(10, 40):
+        at = rng.randrange(9)
+        rows.append((i, "\n".join([f"x{i} y", *short[at:at + rng.randint(1, 4)], f"z{i}", "", rng.choice(short)]), "en", "s"))
+    got = {r.doc_id: r.text for r in op9_lines.dedup_lines(documents(spark, rows)).collect()}
+    seen = []
+    for i, text, *_ in rows:
+        lines, gone = text.split("\n"), set()
+        for other in seen:
+            gone |= set(op9_lines.deleted_places(other, lines, [len(x.split()) for x in lines], op9_lines.MIN_WORDS))
+        seen.append(lines)
+        assert got[i] == "\n".join(x for j, x in enumerate(lines) if j not in gone)
+    assert got[4] == "d d d"
+
+
+def test_runs_cover_blocks():
+    rng = random.Random(21)
+    for _ in range(300):
+        words = [rng.choice([0, 1, 2, 3, 6]) for _ in range(rng.randint(0, 9))]
+        runs = op9_lines.run_ends(words, 5) | {(k, k) for k, n in enumerate(words) if n >= 5}
+        for x in range(len(words)):
+            for y in range(x, len(words)):
+                if sum(words[x:y + 1]) >= 5:
+                    covered = {k for u, v in runs if x <= u and v <= y for k in range(u, v + 1)}
+                    assert {k for k in range(x, y + 1) if words[k]} <= covered
+
+
 def test_line_dedup_against_brute_force(spark):
     rng = random.Random(17)
     pool = [words(rng, rng.randint(2, 9)) for _ in range(60)]
