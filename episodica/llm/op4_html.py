@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: Pages that the model is trained on.
 TRAINING_PAGES = 240
 # Element names of HTML.
-DROPPED = frozenset("script style noscript template textarea select svg math iframe object canvas audio video head title button".split())
+DROPPED = frozenset("script style noscript template textarea select svg annotation annotation-xml iframe object canvas audio video head title button".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 BLOCKS = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 header footer nav aside form fieldset ul ol li dl dt dd table thead tbody tfoot tr td th "
@@ -37,6 +37,13 @@ ENDS = {
     "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"])),
     "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
 }
+#: Elements of a head; any other ends it.
+HEAD = frozenset("base link meta title style script noscript template basefont bgsound noframes head".split())
+#: An end tag does not reach out of these; one of a part of a table only not out of the second.
+SCOPE, TABLE_SCOPE = frozenset("applet caption table td th marquee object template select".split()), frozenset(["table", "template"])
+TABLE_PARTS = frozenset("table tbody thead tfoot tr td th caption".split())
+#: Elements that end an open drawing.
+NOT_DRAWN = frozenset("blockquote body dd div dl dt h1 h2 h3 h4 h5 h6 head hr li menu ol p pre table ul".split())
 # What class, id and role names say, by kind.
 NAMES = {
     "content": "article content post entry story main body text prose copy richtext",
@@ -65,7 +72,9 @@ _TAG_INDEX = {t: i for i, t in enumerate(TAGS)}
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _LABELS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 _MARK = re.compile(r"data-label\s*=\s*\"([01])\"")
 #: Elements whose name is passed down to everything inside them.
@@ -75,6 +84,17 @@ _VALUES = _ABOVE_TAG + len(_PASSED)
 N_FEATURES = _VALUES + 7
 
 
+def hides(attributes: str) -> bool:
+    """Whether an element is hidden by its attributes; values of other attributes say nothing."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    for found in _ATTRIBUTE.finditer(attributes):
+        name, value = found.group(1).lower(), html.unescape(found.group(2) or found.group(3) or found.group(4) or "")
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _NO_DISPLAY.search(value)):
+            return True
+    return False
+
+
 class Page:
     """The tree of one page: parallel lists over nodes in page order, so every parent comes before its children."""
 
@@ -103,9 +123,42 @@ class Page:
             run.clear()
             linked = 0
 
+        def imply(name: str) -> None:
+            """Open elements that an opening one ends."""
+            ended, until = ENDS.get(name, ((), ()))
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] in ended:
+                    del stack[k:]
+                    break
+                if stack[k][0] in until:
+                    break
+
+        def reveal(name: str) -> None:
+            """The same for elements inside a dropped one, which may end itself."""
+            if "head" in hidden and (name in ("body", "html") or (hidden[-1] == "head" and name not in HEAD)):
+                hidden.clear()
+                return
+            drawn = next((k for k in range(len(hidden) - 1, -1, -1) if hidden[k] in ("svg", "foreignobject")), None)
+            if drawn is not None and hidden[drawn] == "svg" and name in NOT_DRAWN:
+                del hidden[drawn:]
+            ended, until = ENDS.get(name, ((), ()))
+            for k in range(len(hidden) - 1, -1, -1):
+                if hidden[k] in ended:
+                    del hidden[k:]
+                    return
+                if hidden[k] in until or hidden[k] in (TABLE_SCOPE if name in TABLE_PARTS else SCOPE):
+                    return
+            for above, _ in reversed(stack):
+                if above in ended:
+                    hidden.clear()
+                if above in ended or above in until:
+                    return
+
         while at < size:
             found = _MARKUP.search(source, at)
             end = found.start() if found else size
+            if hidden == ["head"] and source[at:end].strip():
+                hidden.clear()
             if end > at and not hidden:
                 run.append(source[at:end])
                 linked += (end - at) * (links > 0)
@@ -117,10 +170,14 @@ class Page:
                 continue
             name = name.lower()
             if found.group(1):
+                if name in hidden:
+                    del hidden[len(hidden) - 1 - hidden[::-1].index(name):]
+                    continue
+                if hidden and name in BLOCKS and any(t == name for t, _ in stack) and not (TABLE_SCOPE if name in TABLE_PARTS else SCOPE).intersection(hidden):
+                    hidden.clear()  # the end of a parent
                 if hidden:
-                    if name in hidden:
-                        del hidden[len(hidden) - 1 - hidden[::-1].index(name):]
-                elif name == "a":
+                    continue
+                if name == "a":
                     links = max(0, links - 1)
                 elif name in BLOCKS and any(t == name for t, _ in stack):
                     flush()
@@ -134,6 +191,8 @@ class Page:
                     if name == "hr":
                         flush()
                 continue
+            if hidden:
+                reveal(name)
             closed = attributes.endswith("/") and name not in BLOCKS
             if name in RAW and not closed:  # everything up to the end tag is no markup
                 lower = source.lower() if lower is None else lower
@@ -146,10 +205,10 @@ class Page:
                 if name not in VOID and not closed:
                     hidden.append(name)
                 continue
-            if name in ("body", "html") and "head" in hidden:
-                hidden.clear()
-            if name in DROPPED or (attributes and _HIDDEN.search(attributes)):
+            if name in DROPPED or (attributes and hides(attributes)):
                 flush()
+                if name in BLOCKS:
+                    imply(name)
                 if not closed:
                     hidden.append(name)
                 continue
@@ -158,13 +217,7 @@ class Page:
             elif name in BLOCKS:
                 flush()
                 links = 0
-                ended, until = ENDS.get(name, ((), ()))
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ended:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in until:
-                        break
+                imply(name)
                 kinds: tuple[int, ...] = ()
                 if attributes:
                     words = " ".join("".join(m) for m in _LABELS.findall(attributes)).lower()

@@ -220,6 +220,24 @@ def test_main_text_of_unseen_layouts(spark):
     assert op4_html.extract(rows.limit(0)).collect() == []
 
 
+def test_hidden_and_open_elements():
+    def texts(source):
+        return [t for t in op4_html.Page(source).text if t is not None]
+    assert texts("<html><head><title>T</title><meta charset=x><body><p>One.<p>Two.") == ["One.", "Two."]
+    assert texts("<head><title>T</title><link rel=x><p>One.") == ["One."]
+    assert texts("<div><p hidden>Note<p>First paragraph.</div><p>Next.") == ["First paragraph.", "Next."]
+    assert texts("<div><section hidden>Note<p>more</div><p>Next.") == ["Next."]
+    assert texts("<p>Text <span hidden>x<p>Next.") == ["Text", "Next."]
+    assert texts("<p>Before<div hidden><p>a</p>b</div><p>After") == ["Before", "After"]
+    assert texts("<ul><li hidden>a<ul><li>b</ul>c<li>d</ul>") == ["d"]
+    assert texts("<table><tr><td hidden>a<td>b<tr><td>c</table>") == ["b", "c"]
+    assert texts("<div><object><div>in</div></div>in</object>out</div>") == ["out"]
+    assert texts('<article title="a hidden gem" class="md hidden lg"><p data-x="display:none">Gem <a title="hidden = x">link</a></article>') == ["Gem link"]
+    assert texts('<p style="color:red; display : none">a</p><p ARIA-HIDDEN=TRUE>b</p><p hidden="">c</p><p HIDDEN>d</p><p>e') == ["e"]
+    assert texts("<p>Area <math><mi>a</mi><mo>=</mo><mi>b</mi><annotation>tex</annotation></math> holds.") in (["Area a=b holds."], ["Area a=b", "holds."])
+    assert texts("<p>A<svg><path d=x>label<p>B") == ["A", "B"]
+
+
 # --- similarity join ------------------------------------------------------------------------------------------------------
 
 def brute_groups(rows, n, percent):
