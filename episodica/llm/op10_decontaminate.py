@@ -1,20 +1,27 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed is a fixed mask over eight consecutive words that ignores some of them, so a replaced word spoils only some seeds.
+Items too short for these masks, so that allowed replacements could spoil every seed, have runs of words as seeds instead: one
+more run than words may be replaced, so one run is whole.
 Seeds of all benchmark items are joined with the seeds at every position of every document; around each hit, document and
 item are laid side by side and the words that agree are counted.
 """
 
 from __future__ import annotations
 
+import math
+from functools import cache
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodica.llm.common import broadcast_if_small
 
-#: Word offsets that a mask looks at; all masks have the same span.
+#: Word offsets that a mask looks at.
 MASKS = ((0, 1, 3, 4, 7), (0, 2, 3, 5, 7), (0, 1, 2, 6, 7))
-SPAN = 8
+#: Words of the shortest item that is looked for inside documents.
+SPAN = 1
 
 
 def words_of(text: str = "text") -> Column:
@@ -22,30 +29,58 @@ def words_of(text: str = "text") -> Column:
     return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
+@cache
+def masks_for(width: int, share: float) -> tuple[tuple[int, ...], ...]:
+    """Masks of which one at least is intact wherever ``width`` aligned words agree in ``share`` of their places."""
+    wrong = max(0, width - math.ceil(width * share))
+    if wrong <= 3 and all(
+            any(not spoilt.intersection(at + o for o in mask) for mask in MASKS for at in range(width - max(mask)))
+            for spoilt in map(set, combinations(range(width), wrong))):
+        return MASKS
+    # one run more than wrong words; two lengths at most, which stand for all places
+    parts = min(wrong + 1, width)
+    return tuple(tuple(range(n)) for n in sorted({width // parts, -(-width // parts)}))
+
+
+def _seeds(rows: DataFrame, keep: list[str], masks: list[tuple[int, ...]]) -> DataFrame:
     """``_at`` and ``_seed`` for every mask at every position; plain generators, so the words are never copied."""
-    places = F.when(F.size("_words") >= SPAN, F.sequence(F.lit(0), F.size("_words") - SPAN))
+    spans = [max(mask) + 1 for mask in masks]
+    places = F.when(F.size("_words") >= min(spans), F.sequence(F.lit(0), F.size("_words") - min(spans)))
     # outer, so that no condition on the words is moved below the splitting and makes it run twice
     at = rows.withColumn("_places", places).select(*keep, "_words", F.explode_outer("_places").alias("_at")).filter("_at is not null")
-    seeds = F.array(*[
-        F.xxhash64(F.lit(k), *[F.get(F.col("_words"), F.col("_at") + o) for o in mask]) for k, mask in enumerate(MASKS)])
-    return at.select(*keep, "_words", "_at", F.explode(seeds).alias("_seed"))
+    seeds = []
+    for mask, span in zip(masks, spans):
+        seed = F.xxhash64(F.lit(str(mask)), *[F.get(F.col("_words"), F.col("_at") + o) for o in mask])
+        seeds.append(seed if span == min(spans) else F.when(F.col("_at") + span <= F.size("_words"), seed))
+    out = at.select(*keep, "_words", "_at", F.explode(F.array(*seeds)).alias("_seed"))
+    return out if len(set(spans)) == 1 else out.filter("_seed is not null")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 12, share: float = 0.8) -> DataFrame:
     """``doc_id, item_id, matched``: pairs in which ``window`` consecutive aligned words agree in ``share`` of their places.
 
-    ``matched`` is the largest number of agreeing words in such a window (of the whole item if that is shorter). Items of
-    fewer than 8 words, too short for a seed, match only a document with exactly the same words. Null or empty texts match
+    ``matched`` is the largest number of agreeing words in such a window (of the whole item if that is shorter), however
+    short the item is. Null or empty texts match
     nothing. Repeated document rows give one row per id and item, repeated item rows one per item id; other columns are not
     read. Every position of every document is looked up; nothing is left out.
     """
     items = benchmark.select("item_id", words_of().alias("_words")).filter(F.size("_words") > 0).distinct().withColumn(
         "_key", F.xxhash64("item_id", "_words"))
-    seeds = _seeds(items, ["_key"]).select("_seed", "_key", F.col("_at").alias("_item_at"))
+    # widths are at most ``window`` different ones
+    width = F.least(F.lit(window), F.size("_words"))
+    by_masks: dict[tuple[tuple[int, ...], ...], list[int]] = {}
+    for row in items.select(width.alias("n")).distinct().collect():
+        by_masks.setdefault(masks_for(row.n, share), []).append(row.n)
+    masks = sorted({mask for group in by_masks for mask in group}) or list(MASKS)
+    seeds = None
+    for group, widths in by_masks.items():
+        found = _seeds(items.filter(width.isin(widths)), ["_key"], list(group)).select("_seed", "_key", F.col("_at").alias("_item_at"))
+        seeds = found if seeds is None else seeds.unionByName(found)
+    if seeds is None:  # no items
+        seeds = _seeds(items, ["_key"], masks).select("_seed", "_key", F.col("_at").alias("_item_at"))
     texts = items.select("_key", "item_id", F.col("_words").alias("_item"))
     rows = docs.select("doc_id", words_of().alias("_words"))
-    hits = _seeds(rows, ["doc_id"]).join(broadcast_if_small(seeds), "_seed").select(
+    hits = _seeds(rows, ["doc_id"], masks).join(broadcast_if_small(seeds), "_seed").select(
         "doc_id", "_key", (F.col("_at") - F.col("_item_at")).alias("_shift"), "_words").join(broadcast_if_small(texts, 100_000), "_key")
     # word by word along the diagonal of the hit: only places inside both texts
     first, last = F.greatest(F.lit(0), -F.col("_shift")), F.least(F.size("_item"), F.size("_words") - F.col("_shift"))
@@ -57,10 +92,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 12, share: flo
         lambda i: F.aggregate(F.slice(F.col("_same"), i + 1, F.col("_width")), F.lit(0), lambda a, x: a + x)))
     near = found.filter(F.size("_same") >= F.col("_width")).select("doc_id", "item_id", best.alias("matched"), "_width").filter(
         F.col("matched") >= F.ceil(F.col("_width") * F.lit(share)))
-    short = texts.filter(F.size("_item") < SPAN)
-    whole = rows.filter(F.size("_words").between(1, SPAN - 1)).join(
-        broadcast_if_small(short, 100_000), F.col("_words") == F.col("_item")).select("doc_id", "item_id", F.size("_item").alias("matched"))
-    return near.select("doc_id", "item_id", "matched").unionByName(whole).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
+    return near.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 12, share: float = 0.8) -> DataFrame:

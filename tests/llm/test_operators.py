@@ -1,5 +1,6 @@
 """The corpus operators against brute force on small fixtures, and their edge cases."""
 
+import itertools
 import random
 import re
 import zlib
@@ -501,6 +502,28 @@ def test_overlaps_against_brute_force(spark):
     assert op10_decontaminate.overlaps(docs, benchmark.limit(0)).collect() == []
 
 
+def test_short_items_with_replaced_words(spark):
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(1, 14)]
+    rows, number = [], 0
+    for n, item in items:
+        for bad in {(a, b) for a in range(-1, n) for b in range(-1, n)}:  # none, one or two words
+            leak = [f"r{k}" if k in bad else w for k, w in enumerate(item.split())]
+            rows.append((number, " ".join(["before", *leak, "after"])))
+            number += 1
+    got = {(r.doc_id, r.item_id): r.matched for r in op10_decontaminate.overlaps(
+        documents(spark, [(i, t, "en", "s") for i, t in rows]), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == brute_overlaps(rows, items)
+    assert {k for _, k in got} == set(range(1, 14))
+
+
+@pytest.mark.parametrize("share", [0.5, 0.8, 1.0])
+def test_masks_survive_allowed_replacements(share):
+    for width in range(1, 13):
+        wrong = width - int(-(-width * share // 1))
+        for places in itertools.combinations(range(width), wrong):
+            assert any(not set(places) & {at + o for o in mask} for mask in op10_decontaminate.masks_for(width, share) for at in range(width - max(mask)))
+
+
 # --- pipeline -------------------------------------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark):
