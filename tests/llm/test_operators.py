@@ -305,6 +305,17 @@ def test_license_scan_against_brute_force(spark):
     assert op6_license.scan(documents(spark, ODD)).collect() == [] and op6_license.scan(documents(spark, [])).collect() == []
 
 
+def test_license_texts_of_any_length(spark):
+    rng = random.Random(22)
+    templates = [(f"t{n}", words(rng, n, 10_000)) for n in (3, 4, 5, 64, 65, 128, 129, 700)]
+    assert {r.template: r.width for r in op6_license.template_table(spark, templates).collect()} == dict(enumerate([4, 4, 8, 64, 128, 128, 256, 1024]))
+    rows = [(k, f"{words(rng, 37 * k, 10_000)} {text} {words(rng, 50, 10_000)}", "en", "s") for k, (_, text) in enumerate(templates)]
+    got = {(r.doc_id, r.template) for r in op6_license.scan(documents(spark, rows), templates).filter("containment = 1").collect()}
+    assert got == {(k, k) for k in range(len(templates))}
+    notices = [(1, "SPDX-License-Identifier: ISC", "en", "s"), (2, "Code under the terms: " + " ".join(op6_license._MIT), "en", "s")]
+    assert {(r.doc_id, r.license) for r in op6_license.scan(documents(spark, notices)).collect()} >= {(1, "isc"), (2, "mit")}
+
+
 # --- shards ---------------------------------------------------------------------------------------------------------------
 
 def test_shards_are_even_and_gapless(spark):
