@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm import op1_language, op2_toxicity, op3_mix, op4_html, op5_join, op6_license, op7_shard, op8_fingerprint, op9_lines, op10_decontaminate, op11_negatives
+from episodica.llm import op1_language, op2_toxicity, op3_mix, op4_html, op5_join, op6_license, op7_shard, op8_fingerprint, op9_lines, op10_decontaminate, op11_negatives, op12_search, op13_urls
 from episodica.llm.common import held_out, table
 
 
@@ -65,6 +65,18 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The contract's rules.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op13_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,10 +85,36 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_mixture, op2_toxicity_scores, op3_source_mix, op4_main_text, op5_ngram_join, op6_license_scan, op7_shards, op8_fingerprints,
-    op9_line_dedup, op10_decontamination, op11_hard_negatives, pipeline)}
+    op9_line_dedup, op10_decontamination, op11_hard_negatives, op12_ranked_search, op13_url_verdicts, pipeline)}
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
+
+
+def _template_level(k: int) -> str:
+    """The tables of level ``k`` of a template tree and ``a{k + 1}``, the urls below it."""
+    def alike(c: str) -> str:
+        apart = f"({c} / n - last_{c} / last_n)"
+        both = f"(({c} + last_{c}) / (n + last_n))"
+        return f"{apart} * {apart} * n * last_n <= 3.84::DOUBLE * (n + last_n) * {both} * (1 - {both})"
+    lags = ", ".join(f"lag({c}) OVER o AS last_{c}" for c in ("n", "block", "allow", "ends"))
+    sums = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("n", "block", "allow", "ends"))
+    return f"""
+c{k} AS (SELECT host, prefix, segs[{k + 1}] AS seg, count(*) AS n, sum(block) AS block, sum(allow) AS allow, sum(CAST(len(segs) = {k + 1} AS INT)) AS ends
+    FROM a{k} WHERE len(segs) > {k} GROUP BY ALL),
+t{k} AS (SELECT host, prefix, sum(n) AS total FROM c{k} GROUP BY ALL),
+d{k} AS (SELECT host, prefix, CASE WHEN n >= 3 THEN seg ELSE '*' END AS branch, {sums} FROM c{k} GROUP BY ALL),
+b{k} AS (SELECT d.host, d.prefix, CASE WHEN n * 50 >= total THEN branch ELSE '*' END AS branch, {sums} FROM d{k} d JOIN t{k} t ON d.host = t.host AND d.prefix = t.prefix GROUP BY ALL),
+l{k} AS (SELECT *, {lags} FROM b{k} WINDOW o AS (PARTITION BY host, prefix ORDER BY block / n, allow / n, ends / n, branch)),
+g{k} AS (SELECT *, sum(CASE WHEN last_n IS NULL OR NOT ({alike("block")} AND {alike("allow")} AND {alike("ends")}) THEN 1 ELSE 0 END)
+    OVER (PARTITION BY host, prefix ORDER BY block / n, allow / n, ends / n, branch ROWS UNBOUNDED PRECEDING) AS class FROM l{k}),
+m{k} AS (SELECT host, prefix, class, list_sort(list(branch)) AS br FROM g{k} GROUP BY ALL),
+n{k} AS (SELECT host, prefix, unnest(br) AS branch, CASE WHEN list_contains(br, '*') THEN '*' WHEN len(br) = 1 THEN br[1] ELSE '(' || array_to_string(br, '|') || ')' END AS name FROM m{k}),
+a{k + 1} AS (SELECT a.host, a.path, a.segs, a.block, a.allow, CASE WHEN len(segs) > {k} THEN a.prefix || '/' || coalesce(x.name, y.name) ELSE a.prefix END AS prefix
+    FROM a{k} a LEFT JOIN n{k} x ON a.host = x.host AND a.prefix = x.prefix AND a.segs[{k + 1}] = x.branch
+    LEFT JOIN n{k} y ON a.host = y.host AND a.prefix = y.prefix AND y.branch = '*')"""
+
+
 ORACLES = {
     "op3_source_mix": f"""
 WITH d AS (SELECT doc_id, source, CAST(len({_WORDS.format(text="coalesce(text, '')")}) AS BIGINT) AS size,
@@ -115,4 +153,31 @@ n AS (SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTI
     s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
     FROM p JOIN s ON p.a = s.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
 SELECT * FROM n WHERE rank <= 5""",
+    "op12_ranked_search": r"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+i AS (SELECT uid, item_id, unnest(list_distinct(t)) AS term FROM (SELECT row_number() OVER () AS uid, item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark)),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0),
+f AS (SELECT uid, doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT uid, doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY uid, doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term),
+r AS (SELECT i.uid, i.item_id, f.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // l)))) AS BIGINT) AS score
+    FROM i JOIN f ON i.term = f.term JOIN w ON w.term = f.term CROSS JOIN s GROUP BY i.uid, i.item_id, f.uid, f.doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10""",
+    "op13_url_verdicts": r"""
+WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
+v AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS label FROM r),
+s AS (SELECT DISTINCT host, path, label, CASE WHEN path = '' THEN [] ELSE string_split(substr(path, 2), '/') END AS l FROM v),
+a0 AS (SELECT host, path, CASE WHEN len(l) > 5 THEN list_append(l[1:4], array_to_string(l[5:], '/')) ELSE l END AS segs,
+    CAST(coalesce(label, '') = 'block' AS BIGINT) AS block, CAST(coalesce(label, '') = 'allow' AS BIGINT) AS allow, '' AS prefix FROM s),""" + ",".join(_template_level(k) for k in range(5)) + """,
+u AS (SELECT host, prefix, CAST(count(*) AS BIGINT) AS urls, sum(block)::BIGINT AS b, sum(allow)::BIGINT AS al FROM a5 GROUP BY ALL),
+j AS (SELECT host, prefix FROM u WHERE (b + 0.5::DOUBLE * (2.0::DOUBLE + 0.25::DOUBLE * (urls - (b + al)))) / ((b + al) + (2.0::DOUBLE + 0.25::DOUBLE * (urls - (b + al)))) >= 0.8::DOUBLE),
+x AS (SELECT a5.host, a5.path FROM a5 JOIN j ON a5.host = j.host AND a5.prefix = j.prefix)
+SELECT page_id, v.host, v.path, rule, coalesce(label, CASE WHEN x.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM v LEFT JOIN x ON v.host = x.host AND v.path = x.path""",
 }
