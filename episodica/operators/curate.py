@@ -159,7 +159,10 @@ def sample_episodes(selection: DataFrame, percent: float, seed: int) -> DataFram
 # --- tasks --------------------------------------------------------------------------------------------------------------
 
 def with_task(frames: DataFrame, tasks: DataFrame) -> DataFrame:
-    return frames.join(tasks.select("dataset_id", "task_index", "task"), ["dataset_id", "task_index"], "left")
+    """Frames with their task text. The task list is written first, so the plan knows its bytes: a short one is broadcast, a
+    long one is shuffled with hot tasks split."""
+    texts = materialize(tasks.select("dataset_id", "task_index", "task"), "task_texts")
+    return frames.join(texts, ["dataset_id", "task_index"], "left")
 
 
 def episode_tasks(frames: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -190,7 +193,7 @@ def remap_tasks(frames: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFra
     missing = used.join(tasks, ["dataset_id", "task_index"], "left_anti").limit(5).collect()
     if missing:
         raise ValueError(f"task metadata is missing indices {[m.task_index for m in missing]}")
-    mapping = with_position(used, ["dataset_id"], ["task_index"], "_new")
+    mapping = materialize(with_position(used, ["dataset_id"], ["task_index"], "_new"), "task_numbers")  # written, so its size is known
     renamed = frames.join(mapping, ["dataset_id", "task_index"], "left").withColumn("task_index", F.col("_new")).drop("_new")
     texts = tasks.join(mapping, ["dataset_id", "task_index"]).select("dataset_id", F.col("_new").alias("task_index"), "task")
     return renamed.select(*frames.columns), texts
@@ -205,7 +208,6 @@ class Recipe:
     motion: trim.MotionTrim | None = None
     pairs: Sequence[tuple[int, int]] = field(default_factory=list)
     stationary: dict | None = None
-    block_seconds: float = 3600.0
 
 
 @dataclass(frozen=True)
@@ -237,7 +239,7 @@ def curate(recipe: Recipe, frames: DataFrame, episodes: DataFrame, tasks: DataFr
     renamed, texts = remap_tasks(out, tasks)
     annotations = None
     if atoms is not None:
-        placed = language.project(atoms, frames, bounds, recipe.fps, recipe.block_seconds)
+        placed = language.project(atoms, frames, bounds, recipe.fps)
         annotations = placed.join(bounds.select(*EPISODE, "output_index"), EPISODE).withColumn(
             "episode_index", F.col("output_index")).drop("output_index")
     lengths = bounds.select("dataset_id", F.col("output_index").alias("episode_index"), (F.col("end") - F.col("start")).alias("length"))

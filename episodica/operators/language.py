@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodica.functions import language as rules
-from episodica.operators.series import EPISODE, Carry, carry, carry_all, with_position
+from episodica.operators.series import EPISODE, Carry, attach, carry_sorted, episode_lengths, with_position
 
 ATOM_FIELDS = ["role", "content", "style", "camera", "tool_calls"]
 
@@ -19,35 +19,34 @@ def _stack(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, r
     body = F.struct(*payload)
     probe_type = left.select(probe.alias("x")).schema["x"].dataType
     body_type = right.select(body.alias("x")).schema["x"].dataType
-    number = tie.cast("bigint")
-    values = right.select(*keys, F.col(right_time).cast("double").alias("_t"), F.lit(0).alias("_side"), number.alias("_tie"), (-number).alias("_anti"),
+    values = right.select(*keys, F.col(right_time).cast("double").alias("_t"), F.lit(0).alias("_side"), tie.cast("bigint").alias("_tie"),
                           F.lit(None).cast(probe_type).alias("_l"), body.alias("_r"))
-    zero = F.lit(0).cast("bigint")
-    probes = left.select(*keys, F.col(left_time).cast("double").alias("_t"), F.lit(1).alias("_side"), zero.alias("_tie"), zero.alias("_anti"),
+    probes = left.select(*keys, F.col(left_time).cast("double").alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_tie"),
                          probe.alias("_l"), F.lit(None).cast(body_type).alias("_r"))
     return values.unionByName(probes)
 
 
+_ORDER = ["_t", "_side", "_tie"]
+
+
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, payload: Sequence[str],
-         name: str, width: float, tie: Column) -> DataFrame:
+         name: str, tie: Column) -> DataFrame:
     """Add struct ``name`` of the latest right row at or before the left time; the greatest ``tie`` wins equal times.
 
-    Both sides are cut into time blocks of ``width``; windows run inside (keys, block) and one carried row per block
-    links them, so a long episode is never one partition.
+    Both sides are sorted together and cut by row position, so neither a long episode nor a crowded time is one task.
     """
     both = _stack(left, right, list(keys), left_time, right_time, payload, tie)
-    found = carry_all(both, keys, "_t", [Carry(name, F.col("_r"), ["_t", "_side", "_tie"])], width)
+    found = carry_sorted(both, keys, _ORDER, [Carry(name, F.col("_r"))])
     return found.filter("_side = 1").select("_l.*", name)
 
 
-def nearest_frame(atoms: DataFrame, frames: DataFrame, width: float, keys: Sequence[str] = EPISODE,
-                  time: str = "ts", frame_time: str = "timestamp") -> DataFrame:
+def nearest_frame(atoms: DataFrame, frames: DataFrame, keys: Sequence[str] = EPISODE, time: str = "ts", frame_time: str = "timestamp") -> DataFrame:
     """Frame with the closest timestamp for each atom; the earlier one on a tie. Both directions in one pass."""
-    both = _stack(atoms, frames, list(keys), time, frame_time, [frame_time, "frame_index"], F.col("frame_index"))
-    rows = carry_all(both, keys, "_t", [
-        # of frames with one time the lowest number counts: last in descending, first in ascending order
-        Carry("_back", F.col("_r"), ["_t", "_side", "_anti"]), Carry("_next", F.col("_r"), ["_t", "_side", "_tie"], reverse=True),
-    ], width).filter("_side = 1")
+    keys = list(keys)
+    # of frames with one time the lowest number counts
+    single = frames.groupBy(*keys, frame_time).agg(F.min("frame_index").alias("frame_index"))
+    both = _stack(atoms, single, keys, time, frame_time, [frame_time, "frame_index"], F.col("frame_index"))
+    rows = carry_sorted(both, keys, _ORDER, [Carry("_back", F.col("_r")), Carry("_next", F.col("_r"), reverse=True)]).filter("_side = 1")
     ahead = F.col(f"_next.{frame_time}") - F.col("_t")
     behind = F.col("_t") - F.col(f"_back.{frame_time}")
     back = F.col("_back").isNotNull() & (F.col("_next").isNull() | (behind <= ahead))
@@ -55,11 +54,10 @@ def nearest_frame(atoms: DataFrame, frames: DataFrame, width: float, keys: Seque
     return rows.select("_l.*", best["frame_index"].alias("frame_index"), best[frame_time].alias("frame_time"))
 
 
-def active_at(probes: DataFrame, atoms: DataFrame, style: str, width: float, keys: Sequence[str] = EPISODE,
-              time: str = "ts", probe_time: str = "timestamp") -> DataFrame:
+def active_at(probes: DataFrame, atoms: DataFrame, style: str, keys: Sequence[str] = EPISODE, time: str = "ts", probe_time: str = "timestamp") -> DataFrame:
     """Last atom of the style at or before each probe, the later list entry on equal times."""
     chosen = atoms.filter(F.col("style") == style)
-    return asof(probes, chosen, keys, probe_time, time, ["ord", "role", "content", time], "active", width, F.col("ord"))
+    return asof(probes, chosen, keys, probe_time, time, ["ord", "role", "content", time], "active", F.col("ord"))
 
 
 def within(probes: DataFrame, atoms: DataFrame, window: float, keys: Sequence[str] = EPISODE, strict: bool = False,
@@ -80,11 +78,11 @@ def within(probes: DataFrame, atoms: DataFrame, window: float, keys: Sequence[st
     return left.join(right, [*keys, "_cell"]).filter(near).drop("_cell")
 
 
-def spans(atoms: DataFrame, durations: DataFrame, width: float, keys: Sequence[str] = EPISODE) -> DataFrame:
+def spans(atoms: DataFrame, durations: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
     """Time spans and ticks: subtask and plan last until the next of their kind, task_aug the whole episode."""
     keys = list(keys)
     chained = atoms.filter(F.col("style").isin("subtask", "plan"))
-    later = carry(chained, [*keys, "style"], ["ts", "ord"], F.col("ts"), "_next", size=width, reverse=True, inclusive=False)
+    later = carry_sorted(chained, [*keys, "style"], ["ts", "ord"], [Carry("_next", F.col("ts"), reverse=True, inclusive=False)])
     total = durations.select(*keys, "duration")
     spanned = later.join(total, keys).select(
         *keys, "ord", "style", F.lit("span").alias("kind"), F.col("ts").alias("start"), F.coalesce("_next", "duration").alias("end"))
@@ -121,7 +119,7 @@ def unique_atoms(atoms: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
     return first.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def project(atoms: DataFrame, frames: DataFrame, bounds: DataFrame, fps: float, width: float, cameras: Sequence[str] = (),
+def project(atoms: DataFrame, frames: DataFrame, bounds: DataFrame, fps: float, cameras: Sequence[str] = (),
             keys: Sequence[str] = EPISODE) -> DataFrame:
     """Annotations of trimmed episodes in long form: ``column, frame_index (events), ts (persistent, rebased)``.
 
@@ -135,7 +133,7 @@ def project(atoms: DataFrame, frames: DataFrame, bounds: DataFrame, fps: float,
         F.coalesce(style != "vqa", F.lit(True)) & camera.isNotNull(), "only visual questions may name a camera").when(
         rules.column_for_style(style).isNull(), "annotation style is unsupported")
     target = F.when(bad.isNotNull(), F.raise_error(bad)).otherwise(rules.column_for_style(style))
-    snapped = nearest_frame(atoms, frames, width, keys).join(bounds.select(*keys, "start", "end"), keys).withColumn("column", target)
+    snapped = nearest_frame(atoms, frames, keys).join(bounds.select(*keys, "start", "end"), keys).withColumn("column", target)
     frame, start, end = F.col("frame_index"), F.col("start"), F.col("end")
     persistent = snapped.filter((F.col("column") == rules.PERSISTENT) & (frame < end))
     inside = persistent.filter(frame >= start).withColumn("ts", ((frame - start) / F.lit(float(fps))).cast("float"))
@@ -171,15 +169,18 @@ def nest(projected: DataFrame, frames: DataFrame, keys: Sequence[str] = EPISODE)
         style.alias("k1"), F.col("role").alias("k2"), F.coalesce("camera", F.lit("")).alias("k3"), F.col("ord").alias("k4"),
         F.struct("role", "content", "style", "camera", "tool_calls").alias("atom")))).alias("_e"))
     empty_p, empty_e = F.array().cast(rules.PERSISTENT_TYPE), F.array().cast(rules.EVENT_TYPE)
-    joined = frames.drop(rules.PERSISTENT, rules.EVENTS, "tools", "subtask_index").join(lasting, keys, "left").join(events, [*keys, "frame_index"], "left")
+    # the list of an episode is joined on (episode, block), the events on the frame
+    per = episode_lengths(frames, keys).join(lasting, keys, "left").withColumnRenamed("length", "_n")
+    plain = frames.drop(rules.PERSISTENT, rules.EVENTS, "tools", "subtask_index")
+    joined = attach(plain, per, keys, "_n").drop("_n").join(events, [*keys, "frame_index"], "left")
     return joined.withColumn(rules.PERSISTENT, F.coalesce(F.transform("_p", lambda x: x["atom"]).cast(rules.PERSISTENT_TYPE), empty_p)).withColumn(
         rules.EVENTS, F.coalesce(F.transform("_e", lambda x: x["atom"]).cast(rules.EVENT_TYPE), empty_e)).drop("_p", "_e")
 
 
-def materialize_atoms(atoms: DataFrame, frames: DataFrame, width: float, keys: Sequence[str] = EPISODE) -> DataFrame:
+def materialize_atoms(atoms: DataFrame, frames: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
     """Whole-episode form without a trim: persistent atoms keep their time, events go to the nearest frame."""
     keys = list(keys)
-    snapped = nearest_frame(atoms, frames, width, keys).withColumn("column", rules.column_for_style(F.col("style")))
+    snapped = nearest_frame(atoms, frames, keys).withColumn("column", rules.column_for_style(F.col("style")))
     fields = [c for c in atoms.columns if c not in (*keys, "ts")]
     lasting = F.col("column") == rules.PERSISTENT
     return snapped.filter("column is not null").select(

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodica.operators import ranks
 from episodica.operators.series import EPISODE, attach, episode_lengths, halo
-from episodica.operators.stats import QUANTILES, STATISTICS, centred_moments
+from episodica.operators.stats import QUANTILES, STATISTICS, finish_moments, merge_moments
+from episodica.session import materialize
 
 
 def pair_names(action_names: Sequence[str], state_names: Sequence[str], wanted: Sequence[str]) -> list[int]:
@@ -51,24 +54,115 @@ def absolute_values(frames: DataFrame, dims: Sequence[int], chunk: int) -> DataF
     return rows.select(weight.alias("weight"), F.explode(picked).alias("e")).select("e.dim", "e.value", "weight")
 
 
-def profile(frames: DataFrame, dims: Sequence[int], width: int, chunk: int = 50, limit: int | None = None) -> DataFrame:
-    """Ten statistics per action element over all full chunks; ``dims`` are relative, the others absolute."""
-    parts = []
-    moved = relative_values(frames, dims, chunk)
-    parts.append(_ten(moved, None, limit).withColumn("relative", F.lit(True)))
-    rest = [d for d in range(width) if d not in dims]
-    if rest:
-        parts.append(_ten(absolute_values(frames, rest, chunk), "weight", limit).withColumn("relative", F.lit(False)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _ten(values: DataFrame, weight: str | None, limit: int | None) -> DataFrame:
-    moments = centred_moments(values, ["dim"], weight=weight)
-    quants = ranks.quantiles(values, ["dim"], "value", QUANTILES, weight=weight, limit=limit).drop("n")
-    return moments.join(quants, "dim").select("dim", *STATISTICS)
+def _chunk_values(rows: pa.StructArray, element: int, moved: bool, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of one element over the full chunks that start in a block, and how often each occurs."""
+    a = _element(rows.field("a"), len(rows), element)
+    starts = min(int(np.count_nonzero(rows.field("_own").to_numpy(zero_copy_only=False))), len(a) - chunk + 1)
+    if starts <= 0:
+        return np.zeros(0), np.zeros(0, np.int64)
+    if moved:
+        s = _element(rows.field("s"), len(rows), element)
+        found, times = np.unique(np.lib.stride_tricks.sliding_window_view(a, chunk)[:starts] - s[:starts, None], return_counts=True)
+    else:  # an untouched row counts once for each chunk that it lies in
+        at = np.arange(starts + chunk - 1)
+        often = np.minimum(at, starts - 1) - np.maximum(at - chunk + 1, 0) + 1
+        found, place = np.unique(a[:len(at)], return_inverse=True)
+        times = np.bincount(place, often, len(found)).astype(np.int64)
+    keep = ~np.isnan(found)
+    return found[keep].astype(np.float64), times[keep]
+
+
+def _element(vectors: pa.ListArray, n: int, element: int) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    return flat.reshape(n, -1)[:, element]
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.StructArray]:
+    for batch in batches:
+        lists = batch.column("_rows")
+        for i in range(len(lists)):
+            yield lists[i].values
+
+
+def _digits(values: np.ndarray) -> np.ndarray:
+    """Sign, exponent and eight bits of the fraction of ascending doubles, as ascending numbers."""
+    bits = (values + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits) >> 44
+
+
+def _count_block(elements: Sequence[tuple[int, int, bool]], chunk: int):
+    """Bins and, with a null bin, moments of every element of a block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks_of(batches):
+            out = [[] for _ in range(7)]
+            for dim, element, moved in elements:
+                values, times = _chunk_values(rows, element, moved, chunk)
+                if not len(values):
+                    continue
+                digit = _digits(values)
+                first = np.flatnonzero(np.diff(digit, prepend=digit[0] - 1))
+                last = np.append(first[1:], len(digit)) - 1
+                mean = float(np.average(values, weights=times))
+                parts = (digit[first], np.add.reduceat(times, first), values[first], values[last])
+                for column, part, own in zip(out[1:5], parts, (None, int(times.sum()), values[0], values[-1])):
+                    column += [*part.tolist(), own]
+                out[0] += [dim] * (len(first) + 1)
+                out[5] += [None] * len(first) + [mean]
+                out[6] += [None] * len(first) + [float(np.average((values - mean) ** 2, weights=times))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (
+                pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64()))], ["dim", "_bin", "_c", "lo", "hi", "mean", "var"])
+    return run
+
+
+def _values_inside(elements: Sequence[tuple[int, int, bool]], chunk: int, places: dict[int, list[tuple[float, float]]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks_of(batches):
+            out = [[] for _ in range(5)]
+            for dim, element, moved in elements:
+                if dim not in places:
+                    continue
+                values, times = _chunk_values(rows, element, moved, chunk)
+                for low, high in places[dim]:
+                    some = slice(np.searchsorted(values, low, "left"), np.searchsorted(values, high, "right"))
+                    n = len(values[some])
+                    for column, part in zip(out, ([dim] * n, [low] * n, [high] * n, values[some].tolist(), times[some].tolist())):
+                        column += part
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64()))],
+                                             ["dim", "_lo", "_hi", "_v", "_w"])
+    return run
+
+
+def profile(frames: DataFrame, dims: Sequence[int], width: int, chunk: int = 50) -> DataFrame:
+    """Ten statistics per action element over all full chunks; ``dims`` are relative, the others absolute.
+
+    Frames are read once and kept as blocks of at most ``BLOCK`` + ``chunk`` rows. A block's differences are made, sorted and
+    collapsed inside its task; what leaves it are its moments and the counts of its first digits, so that neither the shuffle
+    nor anything that is written grows with ``chunk``. Only values in the bins that hold a wanted rank are read on. NaN and
+    missing numbers are left out.
+    """
+    if not 1 <= chunk <= 1024:
+        raise ValueError("chunk size must be within 1..1024")
+    picked = [*dims, *[d for d in range(width) if d not in dims]]
+    elements = [(d, at, at < len(dims)) for at, d in enumerate(picked)]
+    number = lambda name, d: F.coalesce(F.get(name, F.lit(d)).cast("float"), F.lit(float("nan")))
+    vectors = [F.array(*[number(column, d) for d in picked]).alias(short) for column, short in (("action", "a"), ("state", "s"))]
+    rows = halo(frames.select(*EPISODE, "frame_index", *vectors), "frame_index", after=chunk - 1)
+    blocks = materialize(rows.groupBy(*EPISODE, "_blk").agg(
+        F.sort_array(F.collect_list(F.struct("frame_index", "_own", "a", "s"))).alias("_rows")).select("_rows"), "chunks")
+    counted = materialize(blocks.mapInArrow(_count_block(elements, chunk), "dim int, _bin long, _c long, lo double, hi double, mean double, var double"), "digits")
+    moments = counted.filter("_bin is null").select("dim", F.col("_c").alias("n"), F.col("lo").alias("min"), F.col("hi").alias("max"),
+                                                    F.col("mean").alias("anchor"), F.lit(0.0).alias("shift"), "var")
+
+    def inside(places: DataFrame) -> DataFrame:
+        found: dict[int, list[tuple[float, float]]] = {}
+        for p in places.collect():  # at most ten bins of a declared element
+            found.setdefault(p.dim, []).append((p._lo, p._hi))
+        return blocks.mapInArrow(_values_inside(elements, chunk, found), "dim int, _lo double, _hi double, _v double, _w long")
+
+    bins = ranks.roll_up(counted.filter("_bin is not null"), ["dim"])
+    quants = ranks.interpolated(ranks.select_ranks(bins, ["dim"], ranks.quantile_ranks(list(QUANTILES.values())), inside), ["dim"], QUANTILES).drop("n")
+    whole = finish_moments(merge_moments(moments, ["dim"]), ["dim"])
+    return whole.join(quants, "dim").select("dim", *STATISTICS, F.col("dim").isin(list(dims)).alias("relative"))
 
 
 def coverage(frames: DataFrame, chunk: int = 50) -> DataFrame:

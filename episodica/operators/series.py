@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from episodica.functions.numeric import round_half_up
 from episodica.session import materialize
@@ -97,14 +98,28 @@ def deltas(frames: DataFrame, feature: str = "action", keys: Sequence[str] = EPI
     )
 
 
+def flat_vector(frames: DataFrame, feature: str) -> Column:
+    """The numbers of a feature in C order as one array: a scalar or boolean has one, nested arrays any number."""
+    kind, depth = frames.schema[feature].dataType, 0
+    while isinstance(kind, T.ArrayType):
+        kind, depth = kind.elementType, depth + 1
+    if not isinstance(kind, (T.NumericType, T.BooleanType)):
+        raise TypeError(f"feature {feature} is not numeric: {kind.simpleString()}")
+    vector = F.col(f"`{feature}`") if depth else F.array(F.col(f"`{feature}`"))
+    for _ in range(depth - 1):
+        vector = F.flatten(vector)
+    return vector if isinstance(kind, (T.FloatType, T.DoubleType)) else vector.cast("array<double>")
+
+
 def to_values(frames: DataFrame, features: Sequence[str], keys: Sequence[str] = EPISODE) -> DataFrame:
     """Long form ``(keys, frame_index, feature, dim, value)`` in one scan: first a row per feature, then per element.
 
     Both steps are plain generators, so they stay in compiled code and only the used columns are read.
     """
-    kinds = {frames.schema[f].dataType.simpleString() for f in features}
+    flat = {f: flat_vector(frames, f) for f in features}
+    kinds = {f.dataType.simpleString() for f in frames.select(*flat.values()).schema}
     kind = next(iter(kinds)) if len(kinds) == 1 else "array<double>"
-    vectors = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast(kind).alias("v")) for f in features])
+    vectors = F.array(*[F.struct(F.lit(f).alias("feature"), v.cast(kind).alias("v")) for f, v in flat.items()])
     rows = frames.select(*keys, "frame_index", F.explode(vectors).alias("e"))
     return rows.select(*keys, "frame_index", F.col("e.feature").alias("feature"), F.posexplode("e.v").alias("dim", "value")).withColumn(
         "value", F.col("value").cast("double"))
@@ -145,7 +160,7 @@ class Carry:
 
     name: str
     value: Column
-    order: Sequence[str]
+    order: Sequence[str] = ()
     reverse: bool = False
     inclusive: bool = True
 
@@ -174,6 +189,32 @@ def carry_all(df: DataFrame, keys: Sequence[str], block: str, carries: Sequence[
         *df.columns, *[F.coalesce(f"_l{i}", f"_c{i}").alias(c.name) for i, c in enumerate(carries)])
 
 
+def carry_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], carries: Sequence[Carry]) -> DataFrame:
+    """As ``carry_all`` for any distribution of positions: rows are cut by their place in the sorted table.
+
+    A range sort by key, order and all other columns makes partitions of about the same number of rows, also where half of
+    them have one time. Windows run inside a partition, and one row per key and partition is carried on. ``order`` holds for
+    all carries. The sorted rows are written once, because partition numbers must survive a re-run task.
+    """
+    keys, rows = list(keys), df
+    for i, c in enumerate(carries):
+        rows = rows.withColumn(f"_v{i}", c.value)
+    spread = F.xxhash64(*[F.col(c) for c in df.columns if c not in (*keys, *order)])
+    rows = materialize(rows.orderBy(*keys, *order, spread).withColumn("_gid", F.monotonically_increasing_id()), "sorted").withColumn(
+        "_pid", F.shiftright("_gid", _LOCAL_BITS))
+    local, edges, carried = rows, [], []
+    for i, c in enumerate(carries):
+        towards = (lambda x: F.col(x).desc()) if c.reverse else (lambda x: F.col(x).asc())
+        w = Window.partitionBy(*keys, "_pid").orderBy(towards("_gid")).rowsBetween(Window.unboundedPreceding, 0 if c.inclusive else -1)
+        local = local.withColumn(f"_l{i}", F.last(f"_v{i}", True).over(w))
+        edges.append((F.min_by if c.reverse else F.max_by)(f"_v{i}", F.when(F.col(f"_v{i}").isNotNull(), F.col("_gid"))).alias(f"_e{i}"))
+        wb = Window.partitionBy(*keys).orderBy(towards("_pid")).rowsBetween(Window.unboundedPreceding, -1)
+        carried.append(F.last(f"_e{i}", True).over(wb).alias(f"_c{i}"))
+    parts = rows.groupBy(*keys, "_pid").agg(*edges).select(*keys, "_pid", *carried)
+    return local.join(parts, [*keys, "_pid"]).select(
+        *df.columns, *[F.coalesce(f"_l{i}", f"_c{i}").alias(c.name) for i, c in enumerate(carries)])
+
+
 def carry(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str,
     size: float | None = None, reverse: bool = False, inclusive: bool = True,
@@ -199,14 +240,14 @@ def episode_lengths(frames: DataFrame, keys: Sequence[str] = EPISODE) -> DataFra
     return frames.groupBy(*keys).agg(F.count("*").alias("length"))
 
 
-def attach(frames: DataFrame, per_episode: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
-    """Add the columns of ``per_episode`` (one row per episode, with ``length``) to every frame.
+def attach(frames: DataFrame, per_episode: DataFrame, keys: Sequence[str] = EPISODE, length: str = "length") -> DataFrame:
+    """Add the columns of ``per_episode`` (one row per episode, with its ``length``) to every frame.
 
     The small side is repeated once per block of the episode, so that the join key is (episode, block) and a hot
     episode is spread like any other data.
     """
     blocks = per_episode.withColumn("_blk", F.explode(F.sequence(
-        F.lit(0).cast("bigint"), F.floor((F.greatest(F.col("length"), F.lit(1)) - 1) / BLOCK).cast("bigint"))))
+        F.lit(0).cast("bigint"), F.floor((F.greatest(F.col(length), F.lit(1)) - 1) / BLOCK).cast("bigint"))))
     return frames.withColumn("_blk", block_of("frame_index").cast("bigint")).join(blocks, [*keys, "_blk"]).drop("_blk")
 
 

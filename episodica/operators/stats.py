@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from episodica.functions.numeric import finite_vector, is_finite, round_half_up
 from episodica.operators import ranks
-from episodica.operators.series import EPISODE, block_of, episode_lengths, to_values
+from episodica.operators.series import EPISODE, attach, block_of, episode_lengths, flat_vector, to_values
 from episodica.session import materialize
 
 # Fixed quantile levels of the statistics format.
@@ -25,21 +27,61 @@ def numeric_features(features: DataFrame) -> DataFrame:
     return features.filter(~F.col("dtype").isin(NON_NUMERIC) & positive).withColumn("width", width)
 
 
-def shape_violations(frames: DataFrame, widths: dict[str, int]) -> DataFrame:
-    """Rows whose vector is NULL, has another width or holds NaN/Inf: ``(episode, frame, feature)``."""
-    bad = F.array_compact(F.array(*[
-        F.when(~F.coalesce(finite_vector(F.col(name), width), F.lit(False)), F.lit(name)) for name, width in widths.items()
-    ]))
+# How Spark reads the declared numeric types.
+PHYSICAL = {"bool": "boolean", "int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "uint8": "smallint", "uint16": "int",
+            "uint32": "bigint", "uint64": "decimal(20,0)", "float16": "float", "float32": "float", "float64": "double"}
+
+
+def declared_shapes(features: DataFrame, frames: DataFrame, columns: dict[str, str] | None = None) -> dict[str, list[int]]:
+    """Shapes of all declared numeric features by column name; a missing column or another stored type is an error.
+
+    ``columns`` maps features to columns with another name. One row per declared feature comes to the driver.
+    """
+    columns, shapes = {"observation.state": "state", **(columns or {})}, {}
+    for f in features.filter(~F.col("dtype").isin(NON_NUMERIC)).select("feature", "dtype", "shape").collect():
+        name = f.feature if f.feature in frames.columns else columns.get(f.feature, f.feature)
+        if f.dtype not in PHYSICAL:
+            raise ValueError(f"feature {f.feature} has the unsupported type {f.dtype}")
+        if not f.shape or min(f.shape) < 1:
+            raise ValueError(f"feature {f.feature} has no valid shape")
+        if name not in frames.columns:
+            raise ValueError(f"feature {f.feature} has no column")
+        kind = frames.schema[name].dataType
+        while isinstance(kind, T.ArrayType):
+            kind = kind.elementType
+        if kind.simpleString() != PHYSICAL[f.dtype]:
+            raise ValueError(f"feature {f.feature} is stored as {kind.simpleString()} instead of {f.dtype}")
+        shapes[name] = list(f.shape)
+    return shapes
+
+
+def _valid(frames: DataFrame, name: str, shape: Sequence[int] | int) -> Column:
+    width = shape if isinstance(shape, int) else math.prod(shape)
+    return F.coalesce(finite_vector(flat_vector(frames, name), width), F.lit(False))
+
+
+def shape_violations(frames: DataFrame, shapes: dict[str, Sequence[int] | int]) -> DataFrame:
+    """Rows whose feature is NULL, has another width or holds NaN/Inf: ``(episode, frame, feature)``."""
+    bad = F.array_compact(F.array(*[F.when(~_valid(frames, name, shape), F.lit(name)) for name, shape in shapes.items()]))
     return frames.select(*EPISODE, "frame_index", F.explode(bad).alias("feature"))
 
 
-def require_finite(frames: DataFrame, widths: dict[str, int]) -> DataFrame:
-    first = shape_violations(frames, widths).limit(1).collect()
-    if first:
-        row = first[0]
-        raise ValueError(
-            f"feature {row.feature} is invalid in episode {row.episode_index}, frame {row.frame_index}")
-    return frames
+def refuse_bad_values(counted: DataFrame, frames: DataFrame, shapes: dict[str, Sequence[int]], total: int | None = None) -> None:
+    """Errors that the bins of ``guarded_values`` carry: rows of another width or with a number that is not finite, and
+    features without a row for each of ``total`` frames. One row per declared feature comes to the driver."""
+    bad, whole = F.col("dim") == -1, F.col("dim") == 0
+    facts = counted.groupBy("feature").agg(
+        F.sum(F.when(bad, F.col("_c"))).alias("bad"), F.min(F.when(bad, F.col("lo"))).alias("episode"), F.sum(F.when(whole, F.col("_c"))).alias("frames")).collect()
+    for row in sorted(facts, key=lambda r: r.feature):
+        if row.bad:
+            one = frames.filter(F.col("episode_index") == int(row.episode))
+            first = shape_violations(one, {row.feature: shapes[row.feature]}).agg(F.min("frame_index")).first()[0]
+            raise ValueError(f"feature {row.feature} is invalid in {row.bad} frames, first in episode {int(row.episode)}, frame {first}")
+    if total is not None:
+        have = {r.feature: r.frames for r in facts}
+        for name in shapes:
+            if have.get(name, 0) != total:
+                raise ValueError(f"feature {name} has {have.get(name, 0)} frames instead of {total}")
 
 
 def block_moments(frames: DataFrame, features: Sequence[str], keys: Sequence[str] = EPISODE) -> DataFrame:
@@ -73,8 +115,6 @@ def merge_moments(partial: DataFrame, by: Sequence[str]) -> DataFrame:
     """
     by = list(by)
     base = partial.groupBy(*by).agg(F.min("anchor").alias("_base"))
-    if set(by) <= {"feature", "dim"}:
-        base = F.broadcast(base)  # one row per declared vector element
     rows = partial.join(base, by)
     rows = rows.withColumn("_d", (F.col("anchor") - F.col("_base")) + F.col("shift"))
     merged = rows.groupBy(*by).agg(
@@ -93,16 +133,15 @@ def finish_moments(moments: DataFrame, by: Sequence[str]) -> DataFrame:
         F.sqrt("var").alias("std"), F.col("n").alias("count"))
 
 
-def centred_moments(values: DataFrame, by: Sequence[str], value: str = "value", weight: str | None = None) -> DataFrame:
-    """Moments of few, possibly huge groups (feature x dim): two scans, no shuffle of rows.
+def centred_moments(values: DataFrame, by: Sequence[str], value: str = "value", weight: str | None = None, anchors: DataFrame | None = None) -> DataFrame:
+    """Moments of few, possibly huge groups (feature x dim), centred on their smallest values ``anchors(by, _anchor)``.
 
-    The group minima are one row per declared vector element, so they stay a small join side.
+    The smallest values are written, so that their size is known when the join is planned: as long as they are few, no row
+    is shuffled.
     """
     by = list(by)
     n = F.col(weight) if weight else F.lit(1)
-    anchors = values.groupBy(*by).agg(F.min(value).alias("_anchor"))
-    if set(by) <= {"feature", "dim"}:
-        anchors = F.broadcast(anchors)  # one row per declared vector element
+    anchors = materialize(values.groupBy(*by).agg(F.min(value).alias("_anchor")) if anchors is None else anchors, "anchors")
     d = F.col(value) - F.col("_anchor")
     sums = values.join(anchors, by).groupBy(*by).agg(
         F.min(value).alias("min"), F.max(value).alias("max"), F.first("_anchor").alias("anchor"),
@@ -112,23 +151,86 @@ def centred_moments(values: DataFrame, by: Sequence[str], value: str = "value",
     return finish_moments(sums, by)
 
 
-def feature_stats(frames: DataFrame, features: Sequence[str], by: Sequence[str] = (), limit: int | None = None) -> DataFrame:
-    """Global statistics of every element of the given vector features: ten statistics per (feature, dim)."""
+def guarded_values(frames: DataFrame, shapes: dict[str, Sequence[int]], keys: Sequence[str] = EPISODE) -> DataFrame:
+    """``to_values`` in which a row that breaks its feature's shape stands as element -1 with its episode as value.
+
+    So the first scan finds the errors as well, and its smallest value of element -1 is the first bad episode.
+    """
+    parts = [F.struct(F.lit(name).alias("feature"), _valid(frames, name, shape).alias("ok"), flat_vector(frames, name).alias("v")) for name, shape in shapes.items()]
+    rows = frames.select(*keys, "frame_index", F.col("episode_index").cast("double").alias("_where"), F.explode(F.array(*parts)).alias("e"))
+    elements = F.when(F.col("e.ok"), F.col("e.v")).otherwise(F.array("_where"))
+    long = rows.select(*keys, "frame_index", "e.feature", "e.ok", F.posexplode(elements).alias("dim", "value"))
+    return long.withColumn("dim", F.when(F.col("ok"), F.col("dim")).otherwise(F.lit(-1))).drop("ok")
+
+
+def _counted(frames: DataFrame, features: Sequence[str], shapes: dict[str, Sequence[int]] | None, total: int | None,
+             keys: Sequence[str], groups: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Values and their written first digits, after all guards that were asked for."""
+    values = guarded_values(frames, {f: shapes[f] for f in features}, keys) if shapes else to_values(frames, features, keys)
+    counted = materialize(ranks.bins(values, groups, "value"), "bins")
+    if shapes:
+        refuse_bad_values(counted, frames, {f: shapes[f] for f in features}, total)
+    return values, counted
+
+
+def feature_stats(frames: DataFrame, features: Sequence[str], by: Sequence[str] = (), shapes: dict[str, Sequence[int]] | None = None,
+                  total: int | None = None) -> DataFrame:
+    """Global statistics of every element of the given features: ten statistics per (feature, dim).
+
+    Scalars, booleans, vectors and nested arrays are taken alike, in C order. With the declared ``shapes`` a row of another
+    width or with a number that is not finite is an error that names its place, with ``total`` another number of frames.
+    The first scan counts digits and finds the ends, the second one sums around them, and only values in the few bins that
+    hold a wanted rank are read on.
+    """
     groups = [*by, "feature", "dim"]
-    values = to_values(frames, features, list(by) or EPISODE)
-    moments = centred_moments(values, groups)
-    quants = ranks.quantiles(values, groups, "value", QUANTILES, limit=limit).drop("n")
+    values, counted = _counted(frames, features, shapes, total, list(by) or EPISODE, groups)
+    moments = centred_moments(values, groups, anchors=counted.groupBy(*groups).agg(F.min("lo").alias("_anchor")))
+    quants = ranks.quantiles(values, groups, "value", QUANTILES, counted=counted).drop("n")
     return moments.join(quants, groups).select(*groups, *STATISTICS)
 
 
-def feature_stats_by_episode(frames: DataFrame, features: Sequence[str], limit: int | None = None) -> DataFrame:
+def episode_moments(frames: DataFrame, features: Sequence[str], counted: DataFrame) -> DataFrame:
+    """Moments ``(n, min, max, anchor, shift, var)`` of every (episode, feature, dim), centred on its smallest value.
+
+    The smallest values come from ``counted``, the bins by episode, as one array a feature. They are joined on (episode,
+    block), and only partial sums are shuffled.
+    """
+    lows = counted.groupBy(*EPISODE, "feature", "dim").agg(F.min("lo").alias("lo"))
+    per = lows.groupBy(*EPISODE, "feature").agg(F.map_from_entries(F.collect_list(F.struct("dim", "lo"))).alias("_m"), F.max("dim").alias("_top"))
+    dense = per.select(*EPISODE, "feature", F.transform(F.sequence(F.lit(0), "_top"), lambda d: F.col("_m")[d]).alias("_a"))
+    anchors = dense.groupBy(*EPISODE).agg(*[F.first(F.when(F.col("feature") == f, F.col("_a")), True).alias(f"_a{i}") for i, f in enumerate(features)])
+    # one row per episode
+    anchors = materialize(anchors.join(episode_lengths(frames), EPISODE), "anchors")
+    rows = attach(frames.select(*EPISODE, "frame_index", *features), anchors)
+    parts = F.array(*[F.struct(F.lit(f).alias("feature"), flat_vector(frames, f).cast("array<double>").alias("v"), F.col(f"_a{i}").alias("a")) for i, f in enumerate(features)])
+    each = rows.select(*EPISODE, F.explode(parts).alias("e"))
+    long = each.select(*EPISODE, "e.feature", F.posexplode(F.arrays_zip("e.v", "e.a")).alias("dim", "z"))
+    d = F.col("z.v") - F.col("z.a")
+    return long.groupBy(*EPISODE, "feature", "dim").agg(
+        F.count("z.v").alias("n"), F.min("z.v").alias("min"), F.max("z.v").alias("max"), F.min("z.a").alias("anchor"),
+        F.avg(d).alias("shift"), F.var_pop(d).alias("var"))
+
+
+def _with_quantiles(moments: DataFrame, values: DataFrame, groups: list[str], counted: DataFrame) -> DataFrame:
+    quants = ranks.quantiles(values, groups, "value", QUANTILES, counted=counted).drop("n")
+    return finish_moments(moments, groups).join(quants, groups).select(*groups, *STATISTICS)
+
+
+def feature_stats_by_episode(frames: DataFrame, features: Sequence[str], shapes: dict[str, Sequence[int]] | None = None, total: int | None = None) -> DataFrame:
     """The same ten statistics restricted to each episode, all episodes in one pass."""
     groups = [*EPISODE, "feature", "dim"]
-    # at most one row per 4096 frames and element, read twice below
-    blocks = materialize(block_moments(frames, features), "moments")
-    moments = finish_moments(merge_moments(blocks, groups), groups)
-    quants = ranks.quantiles(to_values(frames, features), groups, "value", QUANTILES, limit=limit).drop("n")
-    return moments.join(quants, groups).select(*groups, *STATISTICS)
+    values, counted = _counted(frames, features, shapes, total, EPISODE, groups)
+    return _with_quantiles(episode_moments(frames, features, counted), values, groups, counted)
+
+
+def stats_of_both_grains(frames: DataFrame, features: Sequence[str], shapes: dict[str, Sequence[int]] | None = None,
+                         total: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Statistics of the whole and of each episode from one state: digits and moments by episode, rolled up for the whole."""
+    per, whole = [*EPISODE, "feature", "dim"], ["feature", "dim"]
+    values, counted = _counted(frames, features, shapes, total, EPISODE, per)
+    moments = materialize(episode_moments(frames, features, counted), "moments")
+    return (_with_quantiles(merge_moments(moments, whole), values, whole, ranks.roll_up(counted, whole)),
+            _with_quantiles(moments, values, per, counted))
 
 
 def check_total_frames(frames: DataFrame, header: DataFrame) -> DataFrame:
@@ -139,19 +241,20 @@ def check_total_frames(frames: DataFrame, header: DataFrame) -> DataFrame:
     ).filter("frames <> total_frames")
 
 
-def diagnostic_stats(frames: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
+def diagnostic_stats(frames: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Statistics of whatever columns are stackable; a column with any bad row is left out instead of failing.
 
     A column is stackable when every row has the width of the widest row and only finite numbers.
     """
     # width agrees when the widest and the narrowest row do; NULL rows make a column unusable as well
-    finite = lambda c: F.coalesce(finite_vector(F.col(c), F.size(c)), F.lit(False))
+    flat = {c: flat_vector(frames, c) for c in columns}
+    finite = lambda v: F.coalesce(finite_vector(v, F.size(v)), F.lit(False))
     facts = frames.select(*[F.struct(
-        F.max(F.size(c)).alias("widest"), F.min(F.size(c)).alias("narrowest"), F.min(finite(c).cast("int")).alias("finite")).alias(c) for c in columns]).first()
+        F.max(F.size(v)).alias("widest"), F.min(F.size(v)).alias("narrowest"), F.min(finite(v).cast("int")).alias("finite")).alias(c) for c, v in flat.items()]).first()
     usable = [c for c in columns if facts[c].finite == 1 and facts[c].widest == facts[c].narrowest]
     if not usable:
         raise ValueError("no stackable numeric column")
-    return feature_stats(frames, usable, limit=limit)
+    return feature_stats(frames, usable)
 
 
 def combine(stats: DataFrame, by: Sequence[str] = ("feature", "dim")) -> DataFrame:
@@ -162,7 +265,7 @@ def combine(stats: DataFrame, by: Sequence[str] = ("feature", "dim")) -> DataFra
     by = list(by)
     n = F.col("count")
     mean = stats.groupBy(*by).agg((F.sum(n * F.col("mean")) / F.sum(n)).alias("_mean"))
-    rows = stats.join(F.broadcast(mean) if set(by) <= {"feature", "dim"} else mean, by)
+    rows = stats.join(mean, by)
     weighted = [(F.sum(n * F.col(q)) / F.sum(n)).alias(q) for q in QUANTILES]
     spread = F.col("std") * F.col("std") + F.pow(F.col("mean") - F.col("_mean"), 2)
     return rows.groupBy(*by).agg(

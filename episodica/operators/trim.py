@@ -45,14 +45,14 @@ def shared_dimensions(action_names: Sequence[str], state_names: Sequence[str], w
     return [(action_names.index(n), state_names.index(n)) for n in chosen]
 
 
-def motion_score(frames: DataFrame, pairs: Sequence[tuple[int, int]], limit: int | None = None) -> DataFrame:
+def motion_score(frames: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
     """Largest scaled step over all signals; it sits on the later of the two frames. NaN makes the score NaN."""
     signals = F.array(*[x for a, s in pairs for x in (
         F.get("action", F.lit(a)).cast("double"), F.get("state", F.lit(s)).cast("double"))])
     # a missing number counts as NaN, so that it spoils the step instead of being skipped
     rows = frames.select(*EPISODE, "frame_index", F.transform(signals, lambda x: F.coalesce(x, F.lit(float("nan")))).alias("_x"))
     values = rows.select(*EPISODE, F.posexplode("_x").alias("dim", "value"))
-    spread = ranks.quantiles(values, [*EPISODE, "dim"], "value", {"q05": 0.05, "q95": 0.95}, limit=limit)
+    spread = ranks.quantiles(values, [*EPISODE, "dim"], "value", {"q05": 0.05, "q95": 0.95})
     # few signals per episode; the array is in signal order
     scales = spread.groupBy(*EPISODE).agg(
         F.map_from_entries(F.collect_list(F.struct("dim", (F.col("q95") - F.col("q05") + 1e-8).alias("scale")))).alias("_scale"))
@@ -65,12 +65,12 @@ def motion_score(frames: DataFrame, pairs: Sequence[tuple[int, int]], limit: int
 
 
 def motion(frames: DataFrame, fps: float, pairs: Sequence[tuple[int, int]], config: MotionTrim = MotionTrim(),
-           overrides: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+           overrides: DataFrame | None = None) -> DataFrame:
     """``(episode, start, end, length, method)``: first to last sustained motion plus margins.
 
     A side without a sustained run keeps its edge. ``overrides(episode, start, end)`` win.
     """
-    score = motion_score(frames, pairs, limit)
+    score = motion_score(frames, pairs)
     active = score.filter(is_finite(F.col("score")) & (F.col("score") >= config.threshold))
     hold = {side: hold_frames(config.side(side, "hold_time_s"), fps) for side in ("start", "end")}
     sustained = runs(active, EPISODE).groupBy(*EPISODE).agg(

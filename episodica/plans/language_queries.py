@@ -12,7 +12,6 @@ from episodica.plans import tables as t
 from episodica.plans.registry import query, r
 
 EP = series.EPISODE
-DAY = 86400.0
 
 # Turns as frames and atoms; the length of a turn decides between the styles of the assistant.
 _STYLED = """styled AS (SELECT conv_id AS episode_index, turn AS ord, role, text AS content, CAST(turn AS DOUBLE) AS ts,
@@ -53,7 +52,7 @@ def _others(spark, sf):
   row_number() OVER (PARTITION BY e.event_id ORDER BY abs(o.seconds - e.seconds), o.frame_index) AS k FROM er e JOIN oth o USING (episode_index))
   SELECT episode_index, event_id, frame_index, round(f,6) AS frame_time FROM x WHERE k = 1""")
 def j06(spark, sf):
-    x = lang.nearest_frame(_errors(spark, sf), _others(spark, sf), DAY)
+    x = lang.nearest_frame(_errors(spark, sf), _others(spark, sf))
     return x.select("episode_index", "event_id", "frame_index", *r("frame_time"))
 
 
@@ -63,7 +62,7 @@ def j06(spark, sf):
   SELECT episode_index, ord, frame_index, tstamp AS frame_time FROM x WHERE k = 1""")
 def j06_ties(spark, sf):
     frames = turns(spark, sf).filter("role <> 'user'")
-    x = lang.nearest_frame(styled(spark, sf).filter("role = 'user'"), frames, 64.0)
+    x = lang.nearest_frame(styled(spark, sf).filter("role = 'user'"), frames)
     # a conversation without other turns has no frame to snap to
     return x.filter("frame_index is not null").select("episode_index", "ord", "frame_index", "frame_time")
 
@@ -72,7 +71,7 @@ def j06_ties(spark, sf):
   AND a.style = 'subtask' AND a.ts <= f.tstamp) AS active_ord FROM cf f""")
 def j07(spark, sf):
     probes = turns(spark, sf).select(*EP, "frame_index", "timestamp")
-    x = lang.active_at(probes, styled(spark, sf), "subtask", 64.0)
+    x = lang.active_at(probes, styled(spark, sf), "subtask")
     return x.select("episode_index", "frame_index", F.col("active.ord").alias("active_ord"))
 
 
@@ -91,7 +90,7 @@ def j08(spark, sf):
     WHEN a.style = 'task_aug' THEN d ELSE ts END AS "end" FROM styled a JOIN dur USING (episode_index)""")
 def w06(spark, sf):
     durations = turns(spark, sf).groupBy(*EP).agg(F.count("*").cast("double").alias("duration"))
-    return lang.spans(styled(spark, sf), durations, 64.0).drop("dataset_id")
+    return lang.spans(styled(spark, sf), durations).drop("dataset_id")
 
 
 @query("t01_canonical_order", f"""WITH {_STYLED} SELECT episode_index, ord, row_number() OVER (PARTITION BY episode_index
@@ -114,7 +113,7 @@ pr AS (SELECT episode_index, 'language_persistent' AS "column", CAST(NULL AS BIG
 def _projected(spark, sf):
     frames = turns(spark, sf)
     bounds = frames.groupBy(*EP).agg(F.count("*").alias("n")).filter("n > 2").select(*EP, F.lit(1).alias("start"), (F.col("n") - 1).alias("end"))
-    return lang.project(styled(spark, sf), frames, bounds, 1.0, 64.0)
+    return lang.project(styled(spark, sf), frames, bounds, 1.0)
 
 
 @query("c03_project_annotations", f"""WITH {_PROJECT} SELECT episode_index, "column", frame_index, ts, ord, style FROM pr""")
@@ -149,7 +148,7 @@ def c03_nested(spark, sf):
   SELECT episode_index, ord, CASE WHEN style = 'interjection' THEN 'language_events' ELSE 'language_persistent' END AS "column",
   CASE WHEN style = 'interjection' THEN frame_index END AS frame_index, CASE WHEN style <> 'interjection' THEN CAST(ts AS FLOAT) END AS ts FROM x WHERE k = 1""")
 def c04(spark, sf):
-    x = lang.materialize_atoms(styled(spark, sf), turns(spark, sf).filter("role <> 'user'"), 64.0)
+    x = lang.materialize_atoms(styled(spark, sf), turns(spark, sf).filter("role <> 'user'"))
     return x.select("episode_index", "ord", "column", "frame_index", "ts")
 
 

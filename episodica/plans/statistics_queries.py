@@ -42,6 +42,45 @@ def a02_wide(spark, sf):
     return s.select("episode_index", "dim", "count", *r(*TEN, digits=8))
 
 
+# every kind of numeric feature: scalars, a boolean, a vector and a nested array in C order
+KINDS = {"timestamp": [1], "task_index": [1], "high": [1], "action": [2], "pair": [2, 2]}
+_KINDS = f"""{t.FRAMES_SQL}, every AS (
+  SELECT episode_index, 'timestamp' AS feature, 0 AS dim, tstamp AS value FROM frames UNION ALL SELECT episode_index, 'task_index', 0, CAST(task_index AS DOUBLE) FROM frames
+  UNION ALL SELECT episode_index, 'high', 0, CAST(a0 > 50 AS DOUBLE) FROM frames UNION ALL SELECT episode_index, 'action', 0, a0 FROM frames
+  UNION ALL SELECT episode_index, 'action', 1, a1 FROM frames UNION ALL SELECT episode_index, 'pair', 0, a0 FROM frames UNION ALL SELECT episode_index, 'pair', 1, a1 FROM frames
+  UNION ALL SELECT episode_index, 'pair', 2, s0 FROM frames UNION ALL SELECT episode_index, 'pair', 3, s1 FROM frames)"""
+
+
+def _kinds(spark, sf):
+    fr = t.frames(spark, sf)
+    return fr.select(*series.EPISODE, "frame_index", "timestamp", "task_index", "action", (F.get("action", F.lit(0)) > 50).alias("high"), F.array("action", "state").alias("pair"))
+
+
+@query("a01_every_kind_of_feature", f"WITH {_KINDS} SELECT feature, dim, {ten_sql()} FROM every GROUP BY ALL")
+def a01_kinds(spark, sf):
+    total = t.table(spark, sf, "events").count()
+    s = stats.feature_stats(_kinds(spark, sf), list(KINDS), shapes=KINDS, total=total)
+    return s.select("feature", "dim", "count", *r(*TEN))
+
+
+@query("a02_every_kind_at_both_grains", f"""WITH {_KINDS} SELECT episode_index, feature, dim, {ten_sql(digits=8)} FROM every GROUP BY ALL
+  UNION ALL SELECT NULL, feature, dim, {ten_sql(digits=8)} FROM every GROUP BY feature, dim""")
+def a02_kinds(spark, sf):
+    whole, per = stats.stats_of_both_grains(_kinds(spark, sf), list(KINDS), KINDS)
+    both = per.drop("dataset_id").unionByName(whole.withColumn("episode_index", F.lit(None).cast("bigint")))
+    return both.select("episode_index", "feature", "dim", "count", *r(*TEN, digits=8))
+
+
+@query("p06_shape_guard", f"""WITH {t.FRAMES_SQL} SELECT episode_index, frame_index, 'inverse' AS feature FROM frames WHERE a1 = 0
+  UNION ALL SELECT episode_index, frame_index, 'wide' FROM frames WHERE a0 > 100""")
+def p06(spark, sf):
+    """Rows with an infinite number or another width than declared."""
+    a0, a1 = F.get("action", F.lit(0)), F.get("action", F.lit(1))
+    rows = t.frames(spark, sf).select(*series.EPISODE, "frame_index", F.when(a1 == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(1.0), a1)).alias("inverse"),
+                                      F.when(a0 > 100, F.array("action")).otherwise(F.array("action", "state")).alias("wide"))
+    return stats.shape_violations(rows, {"inverse": [1], "wide": [2, 2]}).drop("dataset_id")
+
+
 @query("a03_mergeable_moments", f"""WITH {t.FRAMES_SQL} SELECT dim, count(*) AS count, round(avg(value),6) AS mean,
   round(stddev_pop(value),6) AS std, min(value) AS min, max(value) AS max FROM vals GROUP BY dim""")
 def a03(spark, sf):
@@ -63,9 +102,9 @@ def a04(spark, sf):
   round(quantile_cont(l_extendedprice, 0.5),6) AS q50, round(quantile_cont(l_extendedprice, 0.99),6) AS q99
   FROM lineitem GROUP BY 1""")
 def a04_large(spark, sf):
-    """The path of groups too large to sort in one task, forced by a low limit."""
+    """Other groups and levels; groups of every size go the same way."""
     rows = t.table(spark, sf, "lineitem")
-    q = ranks.quantiles(rows, ["l_linestatus"], "l_extendedprice", {"q01": 0.01, "q50": 0.5, "q99": 0.99}, limit=500)
+    q = ranks.quantiles(rows, ["l_linestatus"], "l_extendedprice", {"q01": 0.01, "q50": 0.5, "q99": 0.99})
     return q.select("l_linestatus", "n", *r("q01", "q50", "q99"))
 
 

@@ -20,8 +20,8 @@ def tiny(monkeypatch):
     from episodica.operators import insights, ranks, series, validate
     monkeypatch.setattr(series, "BLOCK", 4)
     monkeypatch.setattr(insights, "LAG_BLOCK", 8)
-    monkeypatch.setattr(ranks, "LIMIT", 5)
-    monkeypatch.setattr(ranks, "BINS", 4)
+    monkeypatch.setattr(ranks, "OCTAVE", 1)
+    monkeypatch.setattr(ranks, "SPLIT", 4)
     monkeypatch.setattr(validate, "POSITION_BLOCK", 3)
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,22 +23,44 @@ def bounds(spark, start, end, length):
     return spark.createDataFrame([("d", 0, start, end, length)], "dataset_id string, episode_index bigint, start bigint, end bigint, length bigint")
 
 
-@pytest.mark.parametrize("width", [0.15, 10.0])
-def test_nearest_frame(spark, width):
+def test_nearest_frame(spark):
     times = [0, .1, .2, .3, 1.0]
     at = [0.0, 0.05, 0.16, 0.26, 0.64, 0.66, 5.0]
     a = atoms(spark, [("user", "x", "interjection", t, None, None) for t in at])
-    got = {r.ts: r.frame_index for r in lang.nearest_frame(a, frames(spark, times), width).collect()}
+    got = {r.ts: r.frame_index for r in lang.nearest_frame(a, frames(spark, times)).collect()}
     for t in at:
         assert got[t] == min(range(len(times)), key=lambda i: abs(times[i] - t)), t
 
 
 def test_active_at_takes_the_later_of_equal_times(spark):
     a = atoms(spark, [("assistant", "one", "subtask", .1, None, None), ("assistant", "two", "subtask", .1, None, None), ("assistant", "p", "plan", .2, None, None)])
-    got = {r.frame_index: r.active for r in lang.active_at(frames(spark, [0, .1, .5]), a, "subtask", 0.2).collect()}
+    got = {r.frame_index: r.active for r in lang.active_at(frames(spark, [0, .1, .5]), a, "subtask").collect()}
     assert got[0] is None and got[1].content == "two" and got[2].content == "two"
 
 
+def test_one_time_for_half_of_all_rows(spark):
+    """Half of the probes and of the annotations have one time; partitions of a few rows cut straight through them."""
+    size = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        rng = random.Random(2)
+        at = [0.5] * 60 + [round(rng.random(), 2) for _ in range(60)]
+        said = [0.5] * 25 + [round(rng.random(), 2) for _ in range(25)]
+        a = atoms(spark, [("assistant", f"s{i}", "subtask", t, None, None) for i, t in enumerate(said)])
+        probes = spark.createDataFrame([("d", 0, i, t) for i, t in enumerate(at)], "dataset_id string, episode_index bigint, frame_index bigint, timestamp double")
+        for r in lang.active_at(probes, a, "subtask").collect():
+            before = [(t, i) for i, t in enumerate(said) if t <= at[r.frame_index]]
+            assert (r.active.ord if r.active else None) == (max(before)[1] if before else None)
+        near = lang.nearest_frame(a, probes).collect()
+        assert len(near) == len(said)
+        for r in near:
+            assert r.frame_index == min(range(len(at)), key=lambda i: (abs(at[i] - r.ts), at[i], i))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", size)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_within_is_inclusive_or_strict(spark):
     a = atoms(spark, [("user", "x", "interjection", 0.5, None, None)])
     probes = frames(spark, [0.25, 0.5, 0.75, 1.0])
@@ -50,7 +73,7 @@ def test_projection_through_a_trim(spark):
             ("assistant", "gone", "memory", 0.1, None, None), ("assistant", "kept", "memory", 0.3, None, None), ("user", "hi", "interjection", 0.31, None, None),
             ("user", "early", "interjection", 0.0, None, None), ("assistant", "after", "plan", 0.5, None, None)]
     fr = frames(spark, [0, .1, .2, .3, .4, .5])
-    out = lang.project(atoms(spark, rows), fr, bounds(spark, 2, 5, 6), 10.0, 0.2)
+    out = lang.project(atoms(spark, rows), fr, bounds(spark, 2, 5, 6), 10.0)
     lasting = {r.content: r.ts for r in out.filter("column = 'language_persistent'").collect()}
     assert lasting == {"say it": 0.0, "late": 0.0, "kept": pytest.approx(0.1)}
     events = [(r.content, r.frame_index) for r in out.filter("column = 'language_events'").collect()]
@@ -65,10 +88,10 @@ def test_camera_rules_of_projection(spark):
     fr, b = frames(spark, [0, .1]), bounds(spark, 0, 2, 2)
     wrong = atoms(spark, [("user", "what?", "vqa", 0.0, "observation.other", None)])
     with pytest.raises(Exception, match="unavailable camera"):
-        lang.project(wrong, fr, b, 10.0, 1.0, ["observation.top"]).collect()
+        lang.project(wrong, fr, b, 10.0, ["observation.top"]).collect()
     other = atoms(spark, [("user", "x", "plan", 0.0, "observation.top", None)])
     with pytest.raises(Exception, match="only visual questions"):
-        lang.project(other, fr, b, 10.0, 1.0, ["observation.top"]).collect()
+        lang.project(other, fr, b, 10.0, ["observation.top"]).collect()
 
 
 SAY = [{"type": "function", "function": {"name": "say", "arguments": {"text": "hello"}}}]

@@ -55,21 +55,21 @@ def test_by_episode_with_tiny_blocks(spark, tiny):
         assert row["mean"] == pytest.approx(whole.mean()) and row["std"] == pytest.approx(whole.std()) and row["count"] == 120
 
 
-@pytest.mark.parametrize("broadcast", [10_000, 0])
-def test_narrowing_with_hot_group_and_hot_value(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(ranks, "BROADCAST_GROUPS", broadcast)
-    monkeypatch.setattr(ranks, "BINS", 8)
+@pytest.mark.parametrize("octave, split", [(1, 2), (256, 1 << 16)])
+def test_selection_with_hot_group_and_hot_value(spark, monkeypatch, octave, split):
+    monkeypatch.setattr(ranks, "OCTAVE", octave)
+    monkeypatch.setattr(ranks, "SPLIT", split)
     rng = np.random.default_rng(3)
     hot = np.concatenate([np.full(400, 2.5), rng.exponential(5, 500), [1e9, -1e9]])
     cold = rng.normal(size=6)
     rows = [("hot", float(v)) for v in hot] + [("cold", float(v)) for v in cold] + [("cold", None), ("cold", float("nan"))]
     df = spark.createDataFrame(rows, "g string, v double").repartition(4)
-    got = {r.g: r for r in ranks.quantiles(df, ["g"], "v", {"a": 0.01, "b": 0.5, "c": 0.99}, limit=20).collect()}
+    got = {r.g: r for r in ranks.quantiles(df, ["g"], "v", {"a": 0.01, "b": 0.5, "c": 0.99}).collect()}
     for name, values in (("hot", hot), ("cold", cold)):
         assert got[name].n == len(values)
         assert [got[name].a, got[name].b, got[name].c] == pytest.approx(list(np.quantile(values, [0.01, 0.5, 0.99])))
     whole = np.concatenate([hot, cold])
-    every = ranks.quantiles(df, [], "v", {"q": 0.37}, limit=20).first()
+    every = ranks.quantiles(df, [], "v", {"q": 0.37}).first()
     assert every.q == pytest.approx(np.quantile(whole, 0.37))
 
 
@@ -78,9 +78,8 @@ def test_weighted_quantiles(spark):
     v, w = rng.integers(0, 20, 60).astype(float), rng.integers(1, 9, 60)
     df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(v, w)], "v double, w int")
     whole = np.repeat(v, w)
-    for limit in (None, 10):
-        row = ranks.quantiles(df, [], "v", {"q": 0.31, "m": 0.5}, weight="w", limit=limit).first()
-        assert (row.n, row.q, row.m) == (len(whole), pytest.approx(np.quantile(whole, .31)), pytest.approx(np.quantile(whole, .5)))
+    row = ranks.quantiles(df, [], "v", {"q": 0.31, "m": 0.5}, weight="w").first()
+    assert (row.n, row.q, row.m) == (len(whole), pytest.approx(np.quantile(whole, .31)), pytest.approx(np.quantile(whole, .5)))
 
 
 def test_histogram_rules(spark):
@@ -97,8 +96,51 @@ def test_bad_rows_are_located(spark):
     frames = make_frames(spark, [([[1, 2], [3, 4]], [[1, 2], [3, float("nan")]])])
     bad = stats.shape_violations(frames, {"action": 2, "state": 2}).collect()
     assert [(b.frame_index, b.feature) for b in bad] == [(1, "state")]
-    with pytest.raises(ValueError, match="state"):
-        stats.require_finite(frames, {"action": 2, "state": 2})
+    with pytest.raises(ValueError, match="state is invalid in 1 frames, first in episode 0, frame 1"):
+        stats.feature_stats(frames, ["action", "state"], shapes={"action": [2], "state": [2]})
+    with pytest.raises(ValueError, match="action is invalid in 2 frames"):
+        stats.feature_stats_by_episode(frames, ["action"], shapes={"action": [3]})
+    with pytest.raises(ValueError, match="action has 2 frames instead of 3"):
+        stats.feature_stats(frames, ["action"], shapes={"action": [2]}, total=3)
+
+
+MIXED = ("dataset_id string, episode_index bigint, frame_index bigint, timestamp float, done boolean, count smallint, big bigint, "
+         "pair array<float>, image array<array<array<double>>>")
+
+
+def mixed_frames(spark, rng, n=40):
+    rows = [("d", k // 25, k % 25, k / 10, bool(k % 3), k - 20, (1 << 40) + k, [float(x) for x in rng.normal(size=2)],
+             [[[float(x) for x in rng.normal(size=2)] for _ in range(3)] for _ in range(2)]) for k in range(n)]
+    return spark.createDataFrame(rows, MIXED), rows
+
+
+def test_every_kind_of_feature_at_both_grains(spark):
+    frames, rows = mixed_frames(spark, np.random.default_rng(9))
+    shapes = {"timestamp": [1], "done": [1], "count": [1], "big": [1], "pair": [2], "image": [2, 3, 2]}
+    whole, per = stats.stats_of_both_grains(frames, list(shapes), shapes, 40)
+    columns = {name: np.array([np.ravel(np.asarray(r[3 + i], np.float32 if name in ("timestamp", "pair") else float)) for r in rows], float) for i, name in enumerate(shapes)}
+    episode = np.array([r[1] for r in rows])
+    got = whole.collect()
+    assert len(got) == sum(c.shape[1] for c in columns.values())
+    for row in got:
+        check(row, expected(columns[row.feature][:, row.dim]), rel=1e-9)
+    got = per.collect()
+    assert len(got) == 2 * sum(c.shape[1] for c in columns.values())
+    for row in got:
+        check(row, expected(columns[row.feature][episode == row.episode_index, row.dim]), rel=1e-9)
+
+
+def test_declared_types_and_shapes(spark):
+    frames, _ = mixed_frames(spark, np.random.default_rng(1), 3)
+    def declared(*rows):
+        return spark.createDataFrame(list(rows), "feature string, dtype string, shape array<int>")
+    good = declared(("done", "bool", [1]), ("image", "float64", [2, 3, 2]), ("camera", "video", [3]), ("big", "int64", [1]))
+    assert stats.declared_shapes(good, frames) == {"done": [1], "image": [2, 3, 2], "big": [1]}
+    for bad, message in ((("big", "int32", [1]), "stored as bigint"), (("pair", "float32", [0]), "no valid shape"), (("lost", "float32", [1]), "no column"), (("pair", "complex64", [2]), "unsupported")):
+        with pytest.raises(ValueError, match=message):
+            stats.declared_shapes(declared(bad), frames)
+    with pytest.raises(TypeError, match="not numeric"):
+        stats.feature_stats(frames, ["dataset_id"])
 
 
 def test_numeric_features(spark):
