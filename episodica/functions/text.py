@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from episodica.session import materialize
+
 DELIMITER = " | "
 
 
@@ -70,17 +73,41 @@ def fingerprint(fields: dict[str, Column]) -> Column:
     return F.sha2(canonical_json(fields), 256)
 
 
+#: Length of the name parts that the index of column names holds; shorter patterns are looked up whole.
+PART = 3
+
+
+def _parts(name: Column, sizes: Sequence[int]) -> Column:
+    """Distinct substrings of the given lengths."""
+    def of_length(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - (n - 1), F.lit(1))), lambda i: F.substr(name, i, F.lit(n)))
+
+    of = [of_length(n) for n in sizes]
+    return F.array_distinct(F.filter(F.concat(*of), lambda x: F.length(x) > 0))
+
+
+def containing(patterns: DataFrame, names: DataFrame) -> DataFrame:
+    """``(pattern, name)`` for all names in which a pattern stands, through an inverted index of name parts.
+
+    A pattern is looked up by its rarest part, so parts that all names share bring nothing together. An empty pattern
+    stands in no name.
+    """
+    index = materialize(names.select("name", F.explode(_parts(F.col("name"), range(1, PART + 1))).alias("part")), "name_parts")
+    counts = index.groupBy("part").agg(F.count("*").alias("_n"))
+    asked = patterns.filter(F.length("pattern") > 0).select("pattern").distinct()
+    short = F.length("pattern") < PART
+    parts = asked.select("pattern", F.explode(F.when(short, F.array("pattern")).otherwise(_parts(F.col("pattern"), [PART]))).alias("part"))
+    rarest = parts.join(counts, "part", "left").groupBy("pattern").agg(F.min_by("part", F.struct(F.coalesce("_n", F.lit(0)), F.col("part"))).alias("part"))
+    return rarest.join(index, "part").filter(F.contains("name", "pattern")).select("pattern", "name")
+
+
 def match_joints(joints: DataFrame, columns: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Column for each robot joint: exact suffix, alias table, arm or finger pattern, then substring.
 
-    ``joints(joint)``, ``columns(ord, column)`` and ``aliases(suffix, joint)`` are name lists of one robot.
+    ``joints(joint)``, ``columns(ord, column)`` and ``aliases(suffix, joint)`` are name lists. Exact rules are equi-joins,
+    the others go through an index of name parts; no list is compared with the other as a whole.
     """
-    cols = columns.select("ord", "column", F.lower("column").alias("_low"),
-                          F.lower(F.trim(series_suffix(F.col("column")))).alias("_suffix"))
-    if aliases is not None:
-        cols = cols.join(aliases.select(F.col("suffix").alias("_suffix"), F.lower("joint").alias("_alias")), "_suffix", "left")
-    else:
-        cols = cols.withColumn("_alias", F.lit(None).cast("string"))
+    cols = columns.select("ord", "column", F.lower("column").alias("_low"), F.lower(F.trim(series_suffix(F.col("column")))).alias("_suffix"))
     low = F.lower("joint")
     arm = F.regexp_extract(low, r"^openarm_(left|right)_joint(\d+)$", 1)
     number = F.regexp_extract(low, r"^openarm_(left|right)_joint(\d+)$", 2)
@@ -88,15 +115,22 @@ def match_joints(joints: DataFrame, columns: DataFrame, aliases: DataFrame | Non
     pattern = F.when(arm != "", F.concat(arm, F.lit("_joint_"), number))
     grip = F.when(finger != "", F.concat(finger, F.lit("_gripper")))
     names = joints.select("joint", low.alias("_j"), pattern.alias("_arm"), grip.alias("_grip"))
-    rank = (
-        F.when(F.col("_suffix") == F.col("_j"), 1)
-        .when(F.col("_alias") == F.col("_j"), 2)
-        .when(F.col("_arm").isNotNull() & F.contains("_suffix", "_arm"), 3)
-        .when(F.col("_grip").isNotNull() & F.contains("_suffix", "_grip"), 4)
-        .when(~F.contains("_j", F.lit("finger_joint2")) & F.contains("_low", "_j"), 5)
-    )
-    # two short name lists of one robot model: the pairs are joint count x column count
-    pairs = names.join(F.broadcast(cols), rank.isNotNull()).withColumn("_rank", rank)
+    found = [names.join(cols, F.col("_j") == F.col("_suffix")).select("joint", "ord", "column", F.lit(1).alias("_rank"))]
+    if aliases is not None:
+        known = cols.join(aliases.select(F.col("suffix").alias("_suffix"), F.lower("joint").alias("_alias")), "_suffix")
+        found.append(names.join(known, F.col("_j") == F.col("_alias")).select("joint", "ord", "column", F.lit(2).alias("_rank")))
+    asked = materialize(names.select("joint", F.explode(F.array_compact(F.array(
+        F.when(F.col("_arm").isNotNull(), F.struct(F.lit(3).alias("rank"), F.lit("_suffix").alias("side"), F.col("_arm").alias("pattern"))),
+        F.when(F.col("_grip").isNotNull(), F.struct(F.lit(4).alias("rank"), F.lit("_suffix").alias("side"), F.col("_grip").alias("pattern"))),
+        F.when(~F.contains("_j", F.lit("finger_joint2")), F.struct(F.lit(5).alias("rank"), F.lit("_low").alias("side"), F.col("_j").alias("pattern")))))).alias("x")).select(
+        "joint", "x.*"), "joint_patterns")
+    for side in ("_suffix", "_low"):
+        own = asked.filter(F.col("side") == side)
+        hits = containing(own, cols.select(F.col(side).alias("name")).distinct())
+        found.append(own.join(hits, "pattern").join(cols.withColumnRenamed(side, "name"), "name").select("joint", "ord", "column", F.col("rank").alias("_rank")))
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
     # of several alias columns the later one wins, elsewhere the first
     order = F.struct("_rank", F.when(F.col("_rank") == 2, -F.col("ord")).otherwise(F.col("ord")))
-    return pairs.groupBy("joint").agg(F.min_by("column", order).alias("column"), F.min("_rank").alias("rule"))
+    return every.groupBy("joint").agg(F.min_by("column", order).alias("column"), F.min("_rank").alias("rule"))

@@ -20,7 +20,7 @@ def _relative(path: Column, root: str) -> Column:
     return F.substring(path, F.position(F.lit(base), path) + len(base), F.length(path))
 
 
-def scan(spark: SparkSession, root: str, area: str, max_depth: int = 8, skipped: Sequence[str] = (".git", ".cache")) -> DataFrame:
+def scan(spark: SparkSession, root: str, area: str, max_depth: int = 20, skipped: Sequence[str] = (".git", ".cache")) -> DataFrame:
     """One row per ``meta/info.json`` below ``root`` with header totals, readiness and fingerprint.
 
     Only header documents are opened; data directories are listed, not read. Hidden and incoming directories and those

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,50 +139,94 @@ def unmatched_prompts(prompts: DataFrame, candidates: DataFrame) -> DataFrame:
     return named.unionByName(free)
 
 
-def _accept(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy acceptance inside one set of crowded frames."""
-    starts, stops = pdf["start"].to_numpy(), pdf["end"].to_numpy() + 1
-    cuts = np.unique(np.concatenate([starts, stops]))
-    occupied = np.zeros(len(cuts), dtype=np.int64)
-    low, high, initial = np.searchsorted(cuts, starts), np.searchsorted(cuts, stops), pdf["initial"].to_numpy(dtype=bool)
-    for a, b in zip(low[initial], high[initial]):
-        occupied[a:b] += 1
-    capacity = float(pdf["capacity"].iloc[0])
-    track, first = pdf["track_id"].to_numpy(), pdf["first_visible_frame"].to_numpy()
-    order = [i for i in np.lexsort((starts, track, first)) if not initial[i]]
-    accepted = {}
-    at = 0
-    while at < len(order):
-        same = at
-        while same < len(order) and track[order[same]] == track[order[at]]:
-            same += 1
-        places = [slice(low[i], high[i]) for i in order[at:same]]
-        fits = all(occupied[p].max() < capacity for p in places)
+class _Room:
+    """Occupancy of the frames from the current one on, as steps: ``taken[i]`` tracks on ``[cuts[i], cuts[i + 1])``."""
+
+    def __init__(self) -> None:
+        self.cuts, self.taken = [-(1 << 62)], [0]
+
+    def _at(self, frame: int) -> int:
+        i = bisect_left(self.cuts, frame)
+        if i == len(self.cuts) or self.cuts[i] != frame:
+            self.cuts.insert(i, frame)
+            self.taken.insert(i, self.taken[i - 1])
+        return i
+
+    def most(self, start: int, end: int) -> int:
+        return max(self.taken[bisect_right(self.cuts, start) - 1:bisect_right(self.cuts, end)])
+
+    def add(self, start: int, end: int) -> None:
+        low, high = self._at(start), self._at(end + 1)
+        for i in range(low, high):
+            self.taken[i] += 1
+
+    def forget(self, frame: int) -> None:
+        """Frames before ``frame`` are not asked for again."""
+        i = bisect_right(self.cuts, frame) - 1
+        if i > 4096:
+            del self.cuts[:i], self.taken[:i]
+
+
+def _merged(pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ascending pieces of a track without overlaps: a frame counts once."""
+    out: list[tuple[int, int]] = []
+    for start, end in pieces:
+        if out and start <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Greedy acceptance, set by set in the order of first frames. From batch to batch only the room ahead is carried on."""
+    held, room, pieces = None, _Room(), []  # held: set, track, whether initial, capacity
+    done: list[tuple] = []
+
+    def settle() -> None:
+        if held is None or not pieces:
+            return
+        spans = _merged(pieces)
+        if not held[2]:
+            room.forget(spans[0][0])
+        fits = held[2] or all(room.most(a, b) < held[3] for a, b in spans)
         if fits:
-            for p in places:
-                occupied[p] += 1
-        accepted[track[order[at]]] = fits
-        at = same
-    return pd.DataFrame({"group_id": pdf["group_id"].iloc[0], "track_id": list(accepted), "_ok": list(accepted.values())})
+            for a, b in spans:
+                room.add(a, b)
+        if not held[2]:
+            done.append((held[0][0], held[1], fits))
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("group_id", "part", "track_id", "initial", "capacity", "start", "end")]
+        for group, part, track, initial, capacity, start, end in zip(*columns):
+            if held is None or held[0] != (group, part) or held[1] != track:
+                settle()
+                if held is None or held[0] != (group, part):
+                    room = _Room()
+                held, pieces = ((group, part), track, initial, capacity), []
+            pieces.append((start, end))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.int64(), pa.bool_()))], ["group_id", "track_id", "_ok"])
+            done = []
+    settle()
+    if done:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.int64(), pa.bool_()))], ["group_id", "track_id", "_ok"])
 
 
 def late_tracks(ranges: DataFrame) -> DataFrame:
     """Accept late tracks by first visible frame while every visible frame has room.
 
     ``ranges(group_id, track_id, start, end, initial, capacity)``; a NULL capacity accepts all. Where no more tracks
-    are visible than the capacity allows, a track cannot be refused, so only stretches with more tracks matter. The
-    greedy rule is sequential, but two tracks influence each other only through such a stretch: each group is split into
-    sets of crowded frames that share no track, and one set is one task.
+    are visible than the capacity allows, a track cannot be refused, so only stretches with more tracks matter; ranges of one
+    track that overlap make such a stretch longer, never shorter. The greedy rule is sequential, but two tracks influence each
+    other only through such a stretch: each group is split into sets of crowded frames that share no track. A set is swept in
+    the order of first frames, batch by batch; what a task holds is the room on the frames ahead, not the set.
     """
-    group, track = ["group_id"], ["group_id", "track_id"]
-    facts = ranges.groupBy(*track).agg(F.first("initial").alias("initial"), F.first("capacity").alias("capacity"))
-    # a frame counts once for a track, also where its ranges overlap
-    ranges = intervals(coverage_steps(ranges, track), track, F.col("cover") > 0).select(
-        *track, F.col("from").alias("start"), (F.col("to") - 1).alias("end")).join(facts, track)
-    tracks = ranges.groupBy("group_id", "track_id").agg(
+    group = ["group_id"]
+    tracks = materialize(ranges.groupBy("group_id", "track_id").agg(
         F.min("start").cast("bigint").alias("first_visible_frame"), F.first("initial").alias("initial"),
-        F.first("capacity").cast("double").alias("capacity"))
-    limits = ranges.groupBy("group_id").agg(F.first("capacity").alias("_cap")).filter("_cap is not null")
+        F.first("capacity").cast("double").alias("capacity")), "tracks")
+    limits = tracks.groupBy("group_id").agg(F.first("capacity").alias("_cap")).filter("_cap is not null")
     crowded = intervals(coverage_steps(ranges, group).join(limits, group), group, F.col("cover") > F.col("_cap"))
     pieces = materialize(overlaps(ranges, crowded, group), "crowded")
     hulls = pieces.groupBy("group_id", "track_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
@@ -193,7 +237,10 @@ def late_tracks(ranges: DataFrame) -> DataFrame:
         "group_id", F.col("start").cast("bigint").alias("pos"), F.lit(1).alias("_o"), "track_id", F.lit(None).cast("bigint").alias("_part")))
     placed = carry(tagged, group, ["pos", "_o", "track_id"], F.col("_part"), "part").filter("track_id is not null").select("group_id", "track_id", "part")
     rows = pieces.join(placed, ["group_id", "track_id"]).join(tracks, ["group_id", "track_id"])
-    decided = rows.groupBy("group_id", "part").applyInPandas(_accept, "group_id bigint, track_id bigint, _ok boolean")
+    sets_of = ["group_id", "part"]
+    ordered = rows.repartition(*sets_of).sortWithinPartitions(*sets_of, F.desc("initial"), "first_visible_frame", "track_id", "start").select(
+        *sets_of, "track_id", "initial", "capacity", "start", "end")
+    decided = ordered.mapInArrow(_sweep, "group_id bigint, track_id bigint, _ok boolean")
     return tracks.filter("not initial").join(decided, ["group_id", "track_id"], "left").select(
         "group_id", "track_id", "first_visible_frame", F.coalesce("_ok", F.lit(True)).alias("accepted"),
         (F.coalesce("_ok", F.lit(True)) & F.col("capacity").isNotNull()).alias("reentry"))

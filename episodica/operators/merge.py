@@ -58,6 +58,81 @@ def schema_problems(expected: T.StructType, actual: T.StructType, widths: dict[s
     return problems
 
 
+def reconcile(expected: T.DataType, actual: T.DataType, value: Column, widths: dict[str, int], path: str = "") -> tuple[Column, list[str]]:
+    """``value`` of the type ``actual`` as ``expected``, and what forbids that.
+
+    Walks through structs and arrays of any depth. Names, their order and the types of all leaves must be the same; only a
+    list that has lost its fixed size is repaired: lists named in ``widths`` (``action``, ``pose.points[]``) must have that
+    many elements in every row, another length stops the job and names the list.
+    """
+    if isinstance(expected, T.StructType) and isinstance(actual, T.StructType):
+        if expected.names != actual.names:
+            return value, [f"{path or 'columns'}: {actual.names} instead of {expected.names}"]
+        parts, refused = [], []
+        for want, got in zip(expected, actual):
+            name = f"{path}.{want.name}" if path else want.name
+            part, problems = reconcile(want.dataType, got.dataType, value[want.name], widths, name)
+            parts.append(part.alias(want.name))
+            refused += problems
+        touched = any(p == path or p.startswith((f"{path}.", f"{path}[")) for p in widths) if path else bool(widths)
+        return (F.when(value.isNotNull(), F.struct(*parts)) if touched else value), refused
+    if isinstance(expected, T.ArrayType) and isinstance(actual, T.ArrayType):
+        inner: list[str] = []
+
+        def element(x: Column) -> Column:
+            part, problems = reconcile(expected.elementType, actual.elementType, x, widths, f"{path}[]")
+            inner[:] = problems
+            return part
+
+        nested = any(p.startswith(f"{path}[]") for p in widths)
+        out = F.transform(value, element)
+        out = out if nested else value
+        if path in widths:
+            wrong = F.raise_error(F.concat(F.lit(f"{path} has another length than {widths[path]}: "), F.size(value).cast("string"))).cast(actual)
+            out = F.when(value.isNull() | (F.size(value) == widths[path]), out).otherwise(wrong)
+        return out, list(inner)
+    if path in widths:
+        return value, [f"{path}: {actual.simpleString()} is no list"]
+    return value, [] if expected == actual else [f"{path}: {actual.simpleString()} instead of {expected.simpleString()}"]
+
+
+def restore_schema(frames: DataFrame, expected: T.StructType, widths: dict[str, int], nullability: bool = False) -> DataFrame:
+    """``frames`` checked against the schema of their sources, lists of fixed size counted row by row; refusals are one error."""
+    if expected.names != frames.schema.names:
+        raise ValueError(f"columns {frames.schema.names} instead of {expected.names}")
+    columns, refused = [], []
+    for want, got in zip(expected, frames.schema):
+        if nullability and want.nullable != got.nullable:
+            refused.append(f"{want.name}: nullability differs")
+        part, problems = reconcile(want.dataType, got.dataType, F.col(f"`{want.name}`"), widths, want.name)
+        columns.append(part.alias(want.name))
+        refused += problems
+    if refused:
+        raise ValueError("; ".join(refused))
+    return frames.select(*columns)
+
+
+def width_violations(frames: DataFrame, widths: dict[str, int], keys: Sequence[str] = (*EPISODE, "frame_index")) -> DataFrame:
+    """``(keys, path, length)`` of every list at a path of ``widths`` that has another length; a missing list has none."""
+    def member(lists: Column, name: str) -> Column:
+        return F.transform(lists, lambda x: x[name])
+
+    def wrong(path: str, width: int) -> Column:
+        steps = path.split("[]")
+        value = F.array(F.col(steps[0]))
+        for step in steps[1:]:  # each ``[]`` opens one level of lists
+            value = F.flatten(value)
+            for name in [n for n in step.split(".") if n]:
+                value = member(value, name)
+        sizes = F.filter(F.transform(value, lambda x: F.size(x)), lambda n: n.isNotNull() & (n >= 0) & (n != width))
+        return F.transform(sizes, lambda n: F.struct(F.lit(path).alias("path"), n.alias("length")))
+
+    found = [wrong(path, width) for path, width in widths.items()]
+    # a missing list on the way leaves nothing to count
+    found = [F.coalesce(x, F.array().cast("array<struct<path:string,length:int>>")) for x in found]
+    return frames.select(*keys, F.explode(F.concat(*found)).alias("x")).select(*keys, "x.*")
+
+
 def value_problems(frames: DataFrame, widths: dict[str, int]) -> DataFrame:
     """Rows that cannot be merged without loss: NULL vector, wrong length, NULL or non-finite element, bad time."""
     checks = []

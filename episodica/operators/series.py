@@ -22,6 +22,10 @@ BLOCK = 4096
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
+def block_size() -> int:
+    return BLOCK
+
+
 def block_of(position: str, size: float | None = None) -> Column:
     return F.floor(F.col(position) / F.lit(size or BLOCK))
 

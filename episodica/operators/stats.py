@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from episodica.functions.numeric import finite_vector, is_finite, round_half_up
 from episodica.operators import ranks
-from episodica.operators.series import EPISODE, attach, block_of, episode_lengths, flat_vector, to_values
+from episodica.operators.series import EPISODE, attach, block_of, block_size, episode_lengths, flat_vector, to_values
 from episodica.session import materialize
 
 # Fixed quantile levels of the statistics format.
@@ -87,25 +87,26 @@ def refuse_bad_values(counted: DataFrame, frames: DataFrame, shapes: dict[str, S
 def block_moments(frames: DataFrame, features: Sequence[str], keys: Sequence[str] = EPISODE) -> DataFrame:
     """Moments of every ``(episode, block, feature, dim)``, centred on the first row of the block.
 
-    Centring keeps the variance exact when values are large and their spread is small. One shuffle of frame
-    rows on (episode, block); everything later works on one row per block.
+    Centring keeps the variance exact when values are large and their spread is small. The first rows, one in ``BLOCK``, are
+    written by themselves and joined; nothing is sorted, and only partial sums are shuffled.
     """
-    keys = list(keys)
-    rows = frames.select(*keys, "frame_index", *features).withColumn("_blk", block_of("frame_index"))
-    w = Window.partitionBy(*keys, "_blk").orderBy("frame_index")
-    first = [F.first(f).over(w).alias(f"_anchor{i}") for i, f in enumerate(features)]
-    rows = rows.select(*keys, "_blk", *features, *first)
-    pairs = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("array<double>").alias("v"), F.col(f"_anchor{i}").cast("array<double>").alias("a"))
-        for i, f in enumerate(features)
-    ])
-    each = rows.select(*keys, "_blk", F.explode(pairs).alias("e"))
-    long = each.select(*keys, "_blk", "e.feature", F.posexplode(F.arrays_zip("e.v", "e.a")).alias("dim", "z")).select(
-        *keys, "_blk", "feature", "dim", F.col("z.v").alias("value"), F.col("z.a").alias("anchor"))
+    keys = [*keys, "_blk"]
+    flat = [flat_vector(frames, f).cast("array<double>").alias(f"_f{i}") for i, f in enumerate(features)]
+    rows = frames.select(*keys[:-1], "frame_index", block_of("frame_index").alias("_blk"), *flat)
+    first = rows.filter(F.col("frame_index") == F.col("_blk") * block_size()).groupBy(*keys).agg(
+        *[F.first(f"_f{i}").alias(f"_a{i}") for i in range(len(features))])
+    joined = rows.join(materialize(first, "anchors"), keys, "left")
+    parts = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_f{i}").alias("v"), F.col(f"_a{i}").alias("a")) for i, f in enumerate(features)])
+    each = joined.select(*keys, F.explode(parts).alias("e"))
+    long = each.select(*keys, "e.feature", F.posexplode("e.v").alias("dim", "value"), F.col("e.a").alias("a"))
+    # a block whose first row is missing or has another width is centred on 0
+    anchor = F.coalesce(F.get("a", F.col("dim")), F.lit(0.0))
+    anchor = F.when(F.isnan(anchor) | (F.abs(anchor) == float("inf")), F.lit(0.0)).otherwise(anchor)
+    long = long.withColumn("anchor", anchor)
     centred = F.col("value") - F.col("anchor")
-    return long.groupBy(*keys, "_blk", "feature", "dim").agg(
+    return long.groupBy(*keys, "feature", "dim").agg(
         F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.first("anchor").alias("anchor"), F.avg(centred).alias("shift"), F.var_pop(centred).alias("var"))
+        F.min("anchor").alias("anchor"), F.avg(centred).alias("shift"), F.var_pop(centred).alias("var"))
 
 
 def merge_moments(partial: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -335,7 +336,3 @@ def contiguity(ids: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
         F.min(key).alias("first_id"), F.max(key).alias("last_id"))
     dense = (F.col("rows") == F.col("distinct_ids")) & (F.col("first_id") == 0) & (F.col("last_id") == F.col("rows") - 1)
     return facts.withColumn("contiguous", dense)
-
-
-def lengths_of(frames: DataFrame) -> DataFrame:
-    return episode_lengths(frames)

@@ -7,7 +7,8 @@ gather rows in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -19,7 +20,7 @@ from episodica.functions.numeric import is_finite
 from episodica.functions.text import split_range
 from episodica.operators import catalog, relative, stats
 from episodica.operators.ranks import quantiles
-from episodica.operators.series import EPISODE, lagged, running, to_values, with_offsets
+from episodica.operators.series import EPISODE, lagged, running, with_offsets
 from episodica.session import materialize
 
 ISSUE = ["severity", "code", "dataset_id", "episode_index", "feature", "detail"]
@@ -28,6 +29,10 @@ POSITION_BLOCK = 65536
 REQUIRED_FEATURES = ["action", "observation.state", "timestamp", "index", "frame_index", "episode_index", "task_index"]
 INDEX_COLUMNS = ["episode_index", "frame_index", "index", "task_index"]
 COMPARED = ["min", "max", "mean", "std", "count"]
+BOOKKEEPING = ["index", "episode_index", "task_index"]
+#: Codes of the rules that judge an episode by its own rows.
+EPISODE_CODES = ["frame_index_mismatch", "global_index_mismatch", "episode_index_mismatch", "task_reference_invalid", "timestamp_non_finite", "timestamp_regression",
+                 "timestamp_alignment", "feature_shape_mismatch", "feature_type_unsupported", "feature_dtype_mismatch", "feature_non_finite", "constant_sensor", "action_jump"]
 NUMERIC_DTYPES = ["bool", "int8", "int16", "int32", "int64", "uint8", "uint16", "uint32", "uint64", "float16", "float32", "float64"]
 PLAIN_DTYPES = ["video", "image", "string", "str", "language"]
 
@@ -138,8 +143,11 @@ def with_storage_position(frames: DataFrame, name: str = "pos") -> DataFrame:
         *frames.columns, (F.col("_in_file") - 1 + F.coalesce("_before", F.lit(0))).alias(name))
 
 
-def index_issues(placed: DataFrame, full: bool = True) -> DataFrame:
-    """Frame numbers must be 0,1,2,.. in storage order and global numbers must continue across episodes."""
+def index_issues(placed: DataFrame, full: bool = True, lengths: DataFrame | None = None) -> DataFrame:
+    """Frame numbers must be 0,1,2,.. in storage order and global numbers must continue across episodes.
+
+    ``lengths`` are those of all episodes where ``placed`` holds only some.
+    """
     per = placed.groupBy(*EPISODE).agg(
         F.count("*").alias("length"), F.max(~F.col("frame_index").eqNullSafe(F.col("pos"))).alias("_frame"),
         F.min(F.col("index") - F.col("pos")).alias("_low"), F.max(F.col("index") - F.col("pos")).alias("_high"), F.count("index").alias("_n"))
@@ -147,7 +155,8 @@ def index_issues(placed: DataFrame, full: bool = True) -> DataFrame:
     if not full:
         return found
     # ids far outside the range would spread the prefix sum thin, not break it: it sorts by block
-    offsets = with_offsets(per.select(*EPISODE, "length", "_low", "_high", "_n"))
+    facts = per.select(*EPISODE, "length", "_low", "_high", "_n")
+    offsets = with_offsets(facts) if lengths is None else with_offsets(lengths).select(*EPISODE, "dataset_from_index").join(facts, EPISODE)
     start = F.col("dataset_from_index")
     ok = F.coalesce((F.col("_low") == start) & (F.col("_high") == start) & (F.col("_n") == F.col("length")), F.lit(False))
     return found.unionByName(issues(offsets.filter(~ok), "global_index_mismatch"))
@@ -209,8 +218,7 @@ def timestamp_issues(placed: DataFrame, fps: float) -> DataFrame:
 # Fixed ranges of the integer types.
 INTEGER_RANGES = {"int8": (-128, 127), "int16": (-32768, 32767), "int32": (-2147483648, 2147483647), "uint8": (0, 255), "uint16": (0, 65535),
                   "uint32": (0, 4294967295)}
-PHYSICAL = {"bool": "boolean", "int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "uint8": "smallint", "uint16": "int",
-            "uint32": "bigint", "uint64": "decimal(20,0)", "float16": "float", "float32": "float", "float64": "double", "string": "string", "str": "string"}
+PHYSICAL = {**stats.PHYSICAL, "string": "string", "str": "string"}
 
 
 def feature_issues(placed: DataFrame, features: Sequence, columns: dict[str, str] | None = None) -> DataFrame:
@@ -259,7 +267,7 @@ def feature_issues(placed: DataFrame, features: Sequence, columns: dict[str, str
     parts = []
     if checks:
         rows = placed.select(*EPISODE, "pos", F.explode(F.array_compact(F.array(*checks))).alias("x"))
-        found = rows.groupBy(*EPISODE, F.col("x.f").alias("f"), F.col("x.c").alias("c")).agg(F.count_distinct("pos").alias("n"), F.min("pos").alias("first"))
+        found = rows.groupBy(*EPISODE, F.col("x.f").alias("f"), F.col("x.c").alias("c")).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
         detail = F.concat(F.col("n").cast("string"), F.lit(" rows, first "), F.col("first").cast("string"))
         parts.append(issues(found, F.col("c"), feature=F.col("f"), detail=detail))
     if absent:
@@ -344,15 +352,68 @@ def compare_stats(stored: DataFrame, recomputed: DataFrame, code: str = "stats_v
     return issues(wrong, code, severity, feature=F.col("feature"), detail=F.col("statistic"))
 
 
-def stats_issues(frames: DataFrame, stored: DataFrame, vectors: dict[str, str], dataset_id: str) -> DataFrame:
-    """Stored statistics of vector features (name → column) against recomputed ones."""
-    fresh = stats.centred_moments(to_values(frames, list(vectors.values())), ["feature", "dim"])
-    names = F.create_map(*[F.lit(x) for column, name in ((c, n) for n, c in vectors.items()) for x in (column, name)])
-    renamed = fresh.withColumn("feature", names[F.col("feature")])
-    kept = stored.filter(F.col("feature").isin(list(vectors)) & F.col("statistic").isin(COMPARED))
-    present = kept.select("feature").distinct()
-    new = long_stats(renamed, dataset_id, COMPARED).join(present, "feature", "left_semi")
-    return compare_stats(kept, new)
+def numeric_shapes(frames: DataFrame, declared: Sequence, columns: dict[str, str] | None = None) -> dict[str, tuple[str, list[int]]]:
+    """Column and shape of every declared numeric feature that is stored with its declared type."""
+    columns, found = {"observation.state": "state", **(columns or {})}, {}
+    for f in declared:
+        name = f.feature if f.feature in frames.columns else columns.get(f.feature, f.feature)
+        if f.dtype not in NUMERIC_DTYPES or name not in frames.columns or not f.shape or min(f.shape) < 1:
+            continue
+        kind = frames.schema[name].dataType
+        while isinstance(kind, T.ArrayType):
+            kind = kind.elementType
+        if kind.simpleString() == PHYSICAL[f.dtype]:
+            found[f.feature] = (name, list(f.shape))
+    return found
+
+
+def episode_state(frames: DataFrame, shapes: dict[str, tuple[str, list[int]]]) -> DataFrame:
+    """Mergeable statistics ``(episode, feature, dim, n, min, max, anchor, shift, var)`` of the episodes, kept with a data set.
+
+    An episode in which a feature has another shape or a number that is not finite has one row of element -1 for it; there
+    ``n`` counts those frames and ``var`` is 1 where a shape is wrong.
+    """
+    checks = []
+    for feature, (column, shape) in shapes.items():
+        vector = stats.flat_vector(frames, column)
+        wide = ~F.coalesce(F.size(vector) == math.prod(shape), F.lit(False))
+        whole = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
+        checks.append(F.when(wide | ~whole, F.struct(F.lit(feature).alias("feature"), wide.cast("double").alias("wide"))))
+    bad = frames.select(*EPISODE, F.explode(F.array_compact(F.array(*checks))).alias("x")).groupBy(*EPISODE, F.col("x.feature").alias("feature")).agg(
+        F.count("*").alias("n"), F.max("x.wide").alias("var"))
+    bad = materialize(bad, "bad_values")
+    groups = [*EPISODE, "feature", "dim"]
+    names = F.create_map(*[F.lit(x) for feature, (column, _) in shapes.items() for x in (column, feature)])
+    moments = stats.merge_moments(stats.block_moments(frames, [column for column, _ in shapes.values()]), groups).withColumn("feature", names[F.col("feature")])
+    none = F.lit(None).cast("double")
+    good = moments.join(bad, [*EPISODE, "feature"], "left_anti").select(*groups, "n", "min", "max", "anchor", "shift", "var")
+    return good.unionByName(bad.select(*EPISODE, "feature", F.lit(-1).alias("dim"), "n", none.alias("min"), none.alias("max"), none.alias("anchor"), none.alias("shift"), "var"))
+
+
+def stats_issues(state: DataFrame, stored: DataFrame, features: DataFrame, dataset_id: str, official: bool = False) -> DataFrame:
+    """Stored statistics of every declared numeric feature against those that the episodes' states add up to.
+
+    A feature with a bad value cannot be compared; one whose stored statistics break their schema is judged there. In
+    ``official`` data sets differences of the bookkeeping features are warnings.
+    """
+    sources = state.filter("dim = -1").groupBy("feature").agg(F.min("episode_index").alias("episode_index"), F.max("var").alias("_wide"))
+    code = F.when(F.col("_wide") == 1, "stats_source_invalid").otherwise("stats_source_non_finite")
+    spoilt = issues(sources.withColumn("dataset_id", F.lit(dataset_id)), code, feature=F.col("feature"))
+    broken = stored_stats_issues(stored, features)
+    comparable = stored.filter(F.col("statistic").isin(COMPARED)).join(broken.select("feature").distinct(), "feature", "left_anti")
+    fresh = stats.finish_moments(stats.merge_moments(state.filter("dim >= 0"), ["feature", "dim"]), ["feature", "dim"])
+    have = materialize(long_stats(fresh, dataset_id, COMPARED).join(sources.select("feature"), "feature", "left_anti"), "fresh_stats")
+    declared = features.filter(F.col("dtype").isin(NUMERIC_DTYPES)).select("dataset_id", "feature")
+    away = comparable.select("feature").distinct().join(have.select("feature").distinct(), "feature", "left_anti").join(declared, "feature")
+    gone = issues(away, "stats_feature_unavailable", feature=F.col("feature"))
+    both = comparable.join(have.select("feature").distinct(), "feature", "left_semi")
+    wanted = have.join(both.select("feature").distinct(), "feature", "left_semi")
+    wrong = compare_stats(both, wanted)
+    if official:
+        soft = F.col("feature").isin(BOOKKEEPING) & (F.col("detail") != "count")
+        wrong = wrong.withColumn("severity", F.when(soft, "WARN").otherwise(F.col("severity"))).withColumn(
+            "code", F.when(soft, "official_bookkeeping_stats_difference").otherwise(F.col("code")))
+    return union([broken, spoilt, gone, wrong])
 
 
 def relative_issues(frames: DataFrame, stored: DataFrame, dims: Sequence[int], width: int, chunk: int, dataset_id: str) -> DataFrame:
@@ -412,6 +473,10 @@ def segment_pts_issues(videos: DataFrame, lengths: DataFrame, pts: DataFrame, fp
 
 @dataclass(frozen=True)
 class Dataset:
+    """What a validation reads. ``stats`` are the stored statistics, ``videos`` the segments of the episodes, ``pts`` and
+    ``streams`` frame times and rates of the videos, ``relative`` the stored chunk-relative profile with its ``dims``,
+    ``width`` and ``chunk``, ``manifest`` makes the content manifest anew on every call."""
+
     dataset_id: str
     header: DataFrame
     features: DataFrame
@@ -422,15 +487,67 @@ class Dataset:
     stats: DataFrame | None = None
     videos: DataFrame | None = None
     vectors: dict[str, str] = field(default_factory=lambda: {"action": "action", "observation.state": "state"})
+    pts: DataFrame | None = None
+    streams: DataFrame | None = None
+    relative: dict | None = None
+    manifest: Callable[[], DataFrame] | None = None
+    stats_deferred: bool = False
+    official: bool = False
+
+
+@dataclass(frozen=True)
+class Previous:
+    """A finished validation: its issues, the episodes' states and the manifest it read, all written tables."""
+
+    issues: DataFrame
+    state: DataFrame
+    manifest: DataFrame
 
 
-def run(data: Dataset, mode: str = "quick") -> DataFrame:
-    """All issues of a data set. ``quick`` reads the first and last episode, ``full`` and ``export_gate`` all of them."""
+def dirty_episodes(data: Dataset, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Episodes with a row in a data file that differs between two manifests, and those that have lost all their rows."""
+    moved = materialize(catalog.changed(before, after).filter("path like '%.parquet'").select("path"), "changed_files")
+    places = data.frames.select(*EPISODE, "_file").distinct()
+    # one row per episode and file; manifest paths are relative to the data set
+    name = F.element_at(F.split("path", "/data/"), -1)
+    ends = moved.select(F.regexp_replace(name, "^data/", "").alias("_end"))
+    files = places.withColumn("_end", F.element_at(F.split("_file", "/data/"), -1))
+    touched = files.join(ends, "_end", "left_semi").select(*EPISODE)
+    empty = data.episodes.select(*EPISODE).join(places.select(*EPISODE), EPISODE, "left_anti")
+    return touched.unionByName(empty).distinct()
+
+
+def episode_issues(data: Dataset, frames: DataFrame, episodes: DataFrame, declared: Sequence, fps: float, full: bool, lengths: DataFrame | None = None) -> list[DataFrame]:
+    """The rules that judge an episode by its own rows. ``lengths`` are those of all episodes where only some are read."""
+    placed = materialize(with_storage_position(frames), "placed") if full else with_storage_position(frames)
+    found = [index_issues(placed, full, lengths), file_episode_issues(frames), task_issues(frames, episodes, data.tasks),
+             timestamp_issues(placed, fps), feature_issues(placed, declared)]
+    usable = [c for c in data.vectors.values() if c in frames.columns]
+    if usable:
+        found.append(motion_issues(without_bad_vectors(placed, usable, declared), usable))
+    return found
+
+
+def run(data: Dataset, mode: str = "quick", previous: Previous | None = None) -> DataFrame:
+    """All issues of a data set; see ``check`` for the state that a later run can start from."""
+    return check(data, mode, previous)[0]
+
+
+def check(data: Dataset, mode: str = "quick", previous: Previous | None = None) -> tuple[DataFrame, Previous | None]:
+    """All issues of a data set, and what a later run needs of this one.
+
+    ``quick`` reads the first and last episode. ``full`` reads all, compares stored statistics and video metadata.
+    ``export_gate`` also refuses statistics that nobody could verify, and contents that change while it runs. With a
+    ``previous`` run only episodes of changed files are read again: issues and states of the others are kept.
+    """
     if mode not in ("quick", "full", "export_gate"):
         raise ValueError(f"unknown validation mode {mode}")
-    full = mode != "quick"
+    gate, full = mode == "export_gate", mode != "quick"
+    if gate and data.manifest is None:
+        raise ValueError("an export gate needs the content manifest")
     head = data.header.select("fps", "total_episodes").first()  # one header row
     declared = data.features.collect()  # the declaration of one data set
+    manifest = materialize(data.manifest(), "manifest") if full and data.manifest is not None else None
     found = [header_issues(data.header, data.features), split_issues(data.splits), id_issues(data.tasks, "task_index", data.header, "total_tasks"),
              id_issues(data.episodes, "episode_index", data.header, "total_episodes"), task_text_issues(data.tasks)]
     broken = column_issues(data.frames, data.episodes)
@@ -439,30 +556,61 @@ def run(data: Dataset, mode: str = "quick") -> DataFrame:
         ends = F.col("episode_index").isin(0, head.total_episodes - 1)
         frames, episodes = frames.filter(ends), episodes.filter(ends)
     if not broken.isEmpty() or not head.fps:
-        return union([*found, broken])
-    placed = materialize(with_storage_position(frames), "placed") if full else with_storage_position(frames)
-    found += [index_issues(placed, full), file_episode_issues(frames), task_issues(frames, episodes, data.tasks), length_issues(frames, episodes, full),
-              timestamp_issues(placed, head.fps), feature_issues(placed, declared)]
-    usable = [c for c in data.vectors.values() if c in frames.columns]
-    if usable:
-        clean = without_bad_vectors(placed, usable, declared)
-        found.append(motion_issues(clean, usable))
+        return union([*found, broken]), None
+    shapes = numeric_shapes(frames, declared) if full and data.stats is not None else {}
+    state = None
+    if previous is not None and manifest is not None:
+        dirty = materialize(dirty_episodes(data, previous.manifest, manifest), "dirty")
+        some, own = frames.join(dirty, EPISODE, "left_semi"), episodes.join(dirty, EPISODE, "left_semi")
+        lengths = frames.groupBy(*EPISODE).agg(F.count("*").alias("length"))  # reads the two key columns only
+        found += episode_issues(data, some, own, declared, head.fps, full, lengths)
+        found.append(previous.issues.filter(F.col("code").isin(EPISODE_CODES)).join(dirty, EPISODE, "left_anti"))
+        if shapes:
+            state = previous.state.join(dirty, EPISODE, "left_anti").unionByName(episode_state(some, shapes))
+    else:
+        found += episode_issues(data, frames, episodes, declared, head.fps, full)
+        state = episode_state(frames, shapes) if shapes else None
+    found.append(length_issues(frames, episodes, full))
     if full:
         found.append(total_issues(frames, data.header))
-        if data.stats is not None:
-            found += [stored_stats_issues(data.stats, data.features), stats_issues(frames, data.stats, data.vectors, data.dataset_id)]
-        if data.videos is not None:
-            lengths = frames.groupBy(*EPISODE).agg(F.count("*").alias("length"))
-            found.append(segment_issues(data.videos, lengths, head.fps))
-    return union(found)
+        found += _video_issues(data, frames, head.fps)
+        one = data.header.select("dataset_id").limit(1)
+        visual = any(f.dtype in ("video", "image") for f in declared)
+        if data.stats_deferred:
+            found.append(issues(one, "stats_deferred", "WARN"))
+        elif state is not None:
+            state = materialize(state, "state")
+            found.append(stats_issues(state, data.stats, data.features, data.dataset_id, data.official))
+            if visual:
+                found.append(issues(one, "visual_stats_not_recomputed", "WARN"))
+                if gate:
+                    found.append(issues(one, "stats_unverified_visual"))
+        if data.relative is not None:
+            r = data.relative
+            found.append(relative_issues(frames, r["stored"], r["dims"], r["width"], r["chunk"], data.dataset_id))
+    result = union(found)
+    if manifest is not None:
+        result = materialize(result, "issues")
+        if gate:  # every rule has read its rows by now
+            result = result.unionByName(materialize(content_issues(manifest, data.manifest(), data.dataset_id), "content"))
+    kept = Previous(result, state, manifest) if state is not None and manifest is not None else None
+    return result, kept
+
+
+def _video_issues(data: Dataset, frames: DataFrame, fps: float) -> list[DataFrame]:
+    lengths = frames.groupBy(*EPISODE).agg(F.count("*").alias("length"))
+    found = [segment_issues(data.videos, lengths, fps)] if data.videos is not None else []
+    if data.streams is not None:
+        found.append(stream_rate_issues(data.streams, fps))
+    if data.pts is not None:
+        found.append(pts_issues(data.pts, fps))
+        if data.videos is not None and "path" in data.videos.columns:
+            found.append(segment_pts_issues(data.videos, lengths, data.pts, fps))
+    return found
 
 
 def without_bad_vectors(placed: DataFrame, vectors: Sequence[str], declared: Sequence) -> DataFrame:
     """Frames of episodes whose vectors have the declared width and only finite numbers."""
-    widths = {("state" if f.feature == "observation.state" else f.feature): f.shape[0] for f in declared if f.shape}
+    widths = {("state" if f.feature == "observation.state" else f.feature): list(f.shape) for f in declared if f.shape}
     bad = stats.shape_violations(placed, {v: widths[v] for v in vectors if v in widths}).select(*EPISODE).distinct()
     return placed.join(bad, EPISODE, "left_anti")
-
-
-def quick_indices(total: int) -> list[int]:
-    return [0, total - 1] if total > 2 else list(range(total))

@@ -251,6 +251,31 @@ def c09_values(spark, sf):
     return merge.value_problems(rows, {"action": 2}).select("episode_index", "frame_index", "problem")
 
 
+def _nested(frames, wide=F.lit(False), long=F.lit(False)):
+    """Vectors inside a struct, one of them a list of lists; marked rows have another width."""
+    points = F.array("action", F.when(wide, F.concat("state", "action")).otherwise(F.col("state")))
+    vector = F.when(long, F.concat("action", "state")).otherwise(F.col("action"))
+    return frames.select(*EP, "frame_index", F.struct(vector.alias("vector"), F.struct(points.alias("points")).alias("shape")).alias("pose"))
+
+
+WIDTHS = {"pose.vector": 2, "pose.shape.points": 2, "pose.shape.points[]": 2}
+
+
+@query("c10_restored_frames", f"""WITH {t.FRAMES_SQL} SELECT episode_index, frame_index, round(a0,6) AS a0, round(s1,6) AS s1 FROM frames""")
+def c10(spark, sf):
+    rows = _nested(t.frames(spark, sf))
+    restored = merge.restore_schema(rows, rows.schema, WIDTHS)
+    point = F.get(F.col("pose.shape.points"), F.lit(1))
+    return restored.select("episode_index", "frame_index", F.round(F.get("pose.vector", F.lit(0)), 6).alias("a0"), F.round(F.get(point, F.lit(1)), 6).alias("s1"))
+
+
+@query("c10_width_violations", f"""WITH {t.FRAMES_SQL} SELECT episode_index, frame_index, 'pose.vector' AS path, 4 AS length FROM frames WHERE a1 = 0
+  UNION ALL SELECT episode_index, frame_index, 'pose.shape.points[]', 4 FROM frames WHERE a0 > 100""")
+def c10_widths(spark, sf):
+    rows = _nested(t.frames(spark, sf), F.get("action", F.lit(0)) > 100, F.get("action", F.lit(1)) == 0)
+    return merge.width_violations(rows, WIDTHS).select("episode_index", "frame_index", "path", "length")
+
+
 @query("j12_task_remap", """WITH s AS (SELECT 0 AS source_ord, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS row_ord, o_orderpriority AS task FROM (SELECT DISTINCT o_orderpriority FROM orders)
   UNION ALL SELECT 1, dense_rank() OVER (ORDER BY p_type) - 1, p_type FROM (SELECT DISTINCT p_type FROM part)
   UNION ALL SELECT 2, dense_rank() OVER (ORDER BY task DESC) - 1, task FROM (SELECT DISTINCT c_mktsegment AS task FROM customer UNION SELECT DISTINCT p_type FROM part)),

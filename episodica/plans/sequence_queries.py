@@ -267,9 +267,24 @@ def w07(spark, sf):
     return masks.review_signals(areas, EP, 99.0).drop("dataset_id")
 
 
-@query("a27_late_tracks")
+# the greedy rule as a recursion: the tracks of a nation in order, with the ends of those accepted so far
+_LATE = f"""{_CAND.replace("cand AS", "RECURSIVE cand AS", 1)}, g AS (SELECT c_nationkey AS group_id, candidate_id AS track_id, start, "end", target = 'protect' AS initial FROM cand JOIN customer ON c_custkey = object_id),
+  ini AS (SELECT group_id, start, "end" FROM g WHERE initial),
+  seq AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY start, track_id) AS k FROM g WHERE NOT initial),
+  pos AS (SELECT group_id, k, start AS p FROM seq UNION SELECT s.group_id, s.k, i.start FROM seq s JOIN ini i ON i.group_id = s.group_id AND i.start > s.start AND i.start <= s."end"),
+  cov AS (SELECT pos.group_id, pos.k, pos.p, (SELECT count(*) FROM ini i WHERE i.group_id = pos.group_id AND i.start <= pos.p AND i."end" >= pos.p) AS c FROM pos),
+  lst AS (SELECT group_id, k, list({{'p': p, 'c': c}}) AS pts FROM cov GROUP BY ALL),
+  ord AS (SELECT s.*, pts FROM seq s JOIN lst USING (group_id, k)),
+  step AS (SELECT group_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS track_id, CAST(NULL AS BIGINT) AS first, true AS ok, CAST([] AS BIGINT[]) AS ends FROM (SELECT DISTINCT group_id FROM seq)
+   UNION ALL SELECT group_id, k, track_id, start, ok, CASE WHEN ok THEN list_append(open, e) ELSE open END FROM (
+     SELECT o.group_id, o.k, o.track_id, o.start, CAST(o."end" AS BIGINT) AS e, list_filter(s.ends, lambda q: q >= o.start) AS open,
+      len(list_filter(o.pts, lambda x: x.c + len(list_filter(s.ends, lambda q: q >= x.p)) >= 12)) = 0 AS ok
+     FROM step s JOIN ord o ON o.group_id = s.group_id AND o.k = s.k + 1))"""
+
+
+@query("a27_late_tracks", f"""WITH {_LATE} SELECT CAST(group_id AS BIGINT) AS group_id, track_id, first AS first_visible_frame, ok AS accepted, ok AS reentry FROM step WHERE track_id IS NOT NULL""")
 def a27(spark, sf):
-    """Customers of a nation compete for slots while their orders are open; sequential, so without SQL."""
+    """Customers of a nation compete for slots while their orders are open."""
     cand, ranges = _candidates(spark, sf)
     nation = t.table(spark, sf, "customer").select(F.col("c_custkey").alias("object_id"), F.col("c_nationkey").cast("bigint").alias("group_id"))
     rows = ranges.join(cand, "candidate_id").join(nation, "object_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,8 +61,12 @@ def v3_root(spark, sf):
         writers.write_frames(fr, shards, root)
         writers.write_episodes(shards, root)
         writers.write_tasks(t.tasks(spark, sf), root)
-        writers.write_stats_json(stats.feature_stats(t.frames(spark, sf), ["action"]), root)
-        writers.write_header(spark, root, header(spark, sf, "v3.0"))
+        doc = header(spark, sf, "v3.0")
+        shapes = {("state" if f == "observation.state" else f): d["shape"] for f, d in FEATURES.items() if d["dtype"] != "video"}
+        every = stats.feature_stats(fr, list(shapes), shapes=shapes, total=doc["total_frames"])
+        every = every.withColumn("feature", F.when(F.col("feature") == "state", "observation.state").otherwise(F.col("feature")))
+        writers.write_stats_json(every, root, {f: d["shape"] for f, d in FEATURES.items()})
+        writers.write_header(spark, root, doc)
     return _once(spark, sf, "layout_v3", build)
 
 
@@ -94,14 +100,26 @@ def k02(spark, sf):
   SELECT CAST(f // 4000 // 1000 AS INTEGER) AS chunk, CAST(f // 4000 % 1000 AS INTEGER) AS file, count(*) AS episodes, CAST(sum(n) AS BIGINT) AS frames FROM e GROUP BY ALL""")
 def k01(spark, sf):
     fr = readers.scan_frames(spark, v3_root(spark, sf), "events", columns=["episode_index"])
-    place = fr.select("episode_index", F.regexp_extract("_file", r"chunk=(\d+)", 1).cast("int").alias("chunk"), F.regexp_extract("_file", r"file=(\d+)", 1).cast("int").alias("file"))
+    place = fr.select("episode_index", F.regexp_extract("_file", r"chunk-(\d+)", 1).cast("int").alias("chunk"), F.regexp_extract("_file", r"file-(\d+)", 1).cast("int").alias("file"))
     return place.groupBy("chunk", "file").agg(F.count_distinct("episode_index").alias("episodes"), F.count("*").alias("frames"))
 
 
+@query("k01_read_by_name", f"""WITH {t.FRAMES_SQL}, e AS (SELECT episode_index, min(idx) AS f FROM frames GROUP BY 1)
+  SELECT episode_index, frame_index, idx AS "index" FROM frames JOIN e USING (episode_index) WHERE f < 4000""")
+def k01_name(spark, sf):
+    """The first shard by its exact file name."""
+    return spark.read.parquet(f"{v3_root(spark, sf)}/data/chunk-000/file-000.parquet").select("episode_index", "frame_index", "index")
+
+
+@query("k02_read_by_name", f"""WITH {t.FRAMES_SQL} SELECT frame_index, idx AS "index" FROM frames WHERE episode_index = 3""")
+def k02_name(spark, sf):
+    return spark.read.parquet(f"{v2_root(spark, sf)}/data/chunk-000/episode_000003.parquet").select("frame_index", "index")
+
+
 @query("c11_convert_to_v2", f"""WITH {t.FRAMES_SQL} SELECT episode_index, CAST(episode_index // 1000 AS INTEGER) AS chunk, count(*) AS frames FROM frames GROUP BY 1""")
 def c11(spark, sf):
     fr = readers.scan_frames(spark, v2_root(spark, sf), "events", columns=["episode_index"])
-    return fr.groupBy("episode_index", F.regexp_extract("_file", r"chunk=(\d+)", 1).cast("int").alias("chunk")).agg(F.count("*").alias("frames"))
+    return fr.groupBy("episode_index", F.regexp_extract("_file", r"chunk-(\d+)", 1).cast("int").alias("chunk")).agg(F.count("*").alias("frames"))
 
 
 # every part is a data set with a header document of two features
@@ -185,7 +203,7 @@ def s06(spark, sf):
 
 @query("s10_read_stats", f"""WITH {t.FRAMES_SQL}, s AS (SELECT dim, {ten_sql()} FROM vals GROUP BY dim) SELECT 'action' AS feature, dim, min, max, mean, std, count, q01, q10, q50, q90, q99 FROM s""")
 def s10(spark, sf):
-    s = readers.read_stats(spark, f"{v3_root(spark, sf)}/meta/stats.json", "events")
+    s = readers.read_stats(spark, f"{v3_root(spark, sf)}/meta/stats.json", "events").filter("feature = 'action'")
     at = lambda n: F.round(F.max(F.when(F.col("statistic") == n, F.col("value"))), 6).alias(n)
     wide = s.filter("statistic <> 'count'").groupBy("feature", "dim").agg(*[at(n) for n in TEN])
     return wide.join(s.filter("statistic = 'count'").select("feature", F.col("value").cast("bigint").alias("count")), "feature")
@@ -279,14 +297,82 @@ def p16(spark, sf):
     return out.select("episode_index", "frame_index", (F.size("language_persistent") + F.size("language_events")).alias("annotations"))
 
 
-@query("v00_full_run", """SELECT 0 AS failures, 0 AS warnings, true AS passed FROM events LIMIT 1""")
-def v00(spark, sf):
-    """All rules over the written v3 data set, which is sound."""
+def written_dataset(spark, sf):
+    """The written v3 data set with its stored statistics and video segments."""
     root = v3_root(spark, sf)
     head = readers.read_header(spark, root, "events")
-    features = readers.read_features(head).filter("dtype <> 'video'")
-    stored = readers.read_stats(spark, f"{root}/meta/stats.json", "events")
-    data = v.Dataset("events", head, features, readers.read_splits(head), readers.scan_tasks(spark, root, "events", "v3.0"),
-                     readers.scan_episodes(spark, root, "events", "v3.0"), readers.scan_frames(spark, root, "events"))
-    issues = v.run(data, "full").unionByName(v.stats_issues(data.frames, stored, {"action": "action"}, "events"))
-    return v.summary(issues)
+    episodes = readers.scan_episodes(spark, root, "events", "v3.0")
+    return v.Dataset("events", head, readers.read_features(head), readers.read_splits(head), readers.scan_tasks(spark, root, "events", "v3.0"),
+                     episodes, readers.scan_frames(spark, root, "events"), readers.read_stats(spark, f"{root}/meta/stats.json", "events"), readers.video_segments(episodes))
+
+
+@query("v00_full_run", """SELECT count(*) FILTER (n IS NULL) AS failures, 1 AS warnings, true AS passed FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)""")
+def v00(spark, sf):
+    """All rules over the written v3 data set, which is sound; only its pictures cannot be verified."""
+    return v.summary(v.run(written_dataset(spark, sf), "full"))
+
+
+# Every twelfth episode is damaged in the same way.
+_DAMAGED = f"""{t.FRAMES_SQL}, e AS (SELECT episode_index, any_value(n) AS n, episode_index % 12 AS m FROM frames GROUP BY 1),
+  x AS (SELECT f.*, f.episode_index % 12 AS m, CASE WHEN f.episode_index % 12 = 5 THEN f.task_index + 999 ELSE f.task_index END AS task FROM frames f),
+  st AS (SELECT min(task_index) AS a1, max(task_index) AS b1, avg(task_index) AS c1, stddev_pop(task_index) AS d1, min(task) AS a2, max(task) AS b2, avg(task) AS c2, stddev_pop(task) AS d2 FROM x),
+  still AS (SELECT episode_index, 'action' AS feature FROM frames WHERE episode_index % 12 NOT IN (4, 6) GROUP BY 1 HAVING count(*) > 2 AND (max(a0) = min(a0) OR max(a1) = min(a1))
+   UNION ALL SELECT episode_index, 'state' FROM frames WHERE episode_index % 12 NOT IN (4, 6) GROUP BY 1 HAVING count(*) > 2 AND (max(s0) = min(s0) OR max(s1) = min(s1))),
+  c AS (SELECT 'FAIL' AS severity, 'frame_index_mismatch' AS code FROM e WHERE m = 1 AND n > 1
+   UNION ALL SELECT 'FAIL', 'timestamp_alignment' FROM e WHERE m = 2 UNION ALL SELECT 'FAIL', unnest(['timestamp_non_finite', 'feature_non_finite']) FROM e WHERE m = 3
+   UNION ALL SELECT 'FAIL', 'feature_shape_mismatch' FROM e WHERE m = 4 UNION ALL SELECT 'FAIL', unnest(['task_reference_invalid', 'task_reference_invalid']) FROM e WHERE m = 5
+   UNION ALL SELECT 'FAIL', 'feature_non_finite' FROM e WHERE m = 6 UNION ALL SELECT 'FAIL', 'global_index_mismatch' FROM e WHERE m = 7
+   UNION ALL SELECT 'FAIL', 'video_segment_metadata_invalid' FROM e, range(2) WHERE m = 8
+   UNION ALL SELECT 'WARN', 'constant_sensor' FROM still UNION ALL SELECT 'WARN', 'visual_stats_not_recomputed'
+   UNION ALL SELECT 'FAIL', 'stats_feature_missing' UNION ALL SELECT 'FAIL', 'stats_value_mismatch'
+   UNION ALL SELECT 'FAIL', unnest(['stats_source_invalid', 'stats_source_non_finite', 'stats_source_non_finite', 'stats_feature_unavailable', 'stats_feature_unavailable', 'stats_feature_unavailable'])
+   UNION ALL SELECT 'FAIL', 'stats_value_mismatch' FROM st, unnest([[a1, a2], [b1, b2], [c1, c2], [d1, d2]]) u(p) WHERE abs(p[1] - p[2]) > 1e-7 + 1e-5 * abs(p[2])
+   UNION ALL SELECT 'WARN', 'abnormal_episode_length' FROM (SELECT max(n) AS top, greatest(2, floor(median(n) * 5)) AS lim FROM e) WHERE top > lim)"""
+
+
+@query("v00_damaged_run", f"WITH {_DAMAGED} SELECT severity, code, count(*) AS issues FROM c GROUP BY ALL")
+def v00_damaged(spark, sf):
+    """Seven kinds of damaged frames, wrong segments, one statistic lost and one changed, all in one run."""
+    data, kind = written_dataset(spark, sf), F.col("episode_index") % 12
+    last = F.col("length") - 1
+    rows = series.attach(data.frames, t.episodes(spark, sf).withColumn("dataset_id", F.lit("events")))
+    change = {"frame_index": (1, last - F.col("frame_index")), "timestamp": (2, F.col("timestamp") + 100), "action": (4, F.concat("action", "action")), "task_index": (5, F.col("task_index") + 999),
+              "state": (6, F.concat(F.array(F.lit(float("nan"))), F.slice("state", 2, 1))), "index": (7, F.col("index") + 1)}
+    for name, (k, value) in change.items():
+        rows = rows.withColumn(name, F.when(kind == k, value).otherwise(F.col(name)))
+    rows = rows.withColumn("timestamp", F.when(kind == 3, F.lit(float("nan"))).otherwise(F.col("timestamp"))).drop("length")
+    stored = data.stats.filter("feature <> 'index'").withColumn("value", F.when((F.col("feature") == "frame_index") & (F.col("statistic") == "mean"), F.col("value") * 1.01).otherwise(F.col("value")))
+    videos = data.videos.withColumn("to_timestamp", F.when(kind == 8, F.col("from_timestamp")).otherwise(F.col("to_timestamp")))
+    found = v.run(dataclasses.replace(data, frames=rows, stats=stored, videos=videos), "full")
+    return found.groupBy("severity", "code").agg(F.count("*").alias("issues"))
+
+
+@query("v15_gate_and_rerun", f"""WITH {t.FRAMES_SQL}, e AS (SELECT episode_index, min(idx) // 4000 AS shard FROM frames GROUP BY 1),
+  w AS (SELECT DISTINCT shard FROM e WHERE episode_index % 12 = 2)
+  SELECT count(*) AS episodes, (SELECT count(*) FROM e WHERE shard IN (SELECT shard FROM w)) AS dirty, count(*) FILTER (episode_index % 12 = 2) AS again,
+  0 AS lost, 1 AS blocked FROM e""")
+def v15_rerun(spark, sf):
+    """An export gate over the sound data set; then one run that starts from it after shards with damaged times were replaced.
+
+    The manifest is that of the shards: their rows' times added up. A rerun reads only episodes of changed shards and must
+    find what a run over everything finds.
+    """
+    data = written_dataset(spark, sf)
+    kind = F.col("episode_index") % 12 == 2
+    worse = data.frames.withColumn("timestamp", F.when(kind, F.col("timestamp") + 100).otherwise(F.col("timestamp")))
+
+    def manifest(frames):
+        total = F.sum(F.col("timestamp").cast("decimal(20,3)")).cast("string")
+        return lambda: frames.groupBy(F.concat(F.lit("data/"), F.element_at(F.split("_file", "/data/"), -1)).alias("path")).agg(F.count("*").alias("size"), F.sha2(total, 256).alias("sha256"))
+
+    gate, kept = v.check(dataclasses.replace(data, manifest=manifest(data.frames)), "export_gate")
+    damaged = dataclasses.replace(data, frames=worse, manifest=manifest(worse))
+    rerun, _ = v.check(damaged, "full", kept)
+    whole = v.run(damaged, "full")
+    issue = ["severity", "code", "episode_index", "feature", "detail"]
+    lost = whole.select(*issue).exceptAll(rerun.select(*issue)).unionByName(rerun.select(*issue).exceptAll(whole.select(*issue)))
+    dirty = v.dirty_episodes(damaged, kept.manifest, damaged.manifest())
+    one = t.episodes(spark, sf).agg(F.count("*").alias("episodes"))
+    counts = {"dirty": dirty.agg(F.count("*")), "again": rerun.filter("code = 'timestamp_alignment'").agg(F.count("*")), "lost": lost.agg(F.count("*")),
+              "blocked": gate.filter("severity = 'FAIL'").agg(F.count("*"))}
+    return one.select("episodes", *[c.scalar().alias(n) for n, c in counts.items()])

@@ -191,7 +191,9 @@ def stored_stats(spark, sf, digits=2):
 @query("v13_stats_mismatch", f"""WITH {t.FRAMES_SQL}, {_STORED} SELECT DISTINCT 'stats_value_mismatch' AS code, 'action' AS feature, statistic AS detail FROM lg
   WHERE abs(round(v,2) - v) > 1e-7 + 1e-5*abs(v)""")
 def v13(spark, sf):
-    return v.stats_issues(t.frames(spark, sf), stored_stats(spark, sf), {"action": "action"}, "events").select("code", "feature", "detail")
+    declared = spark.createDataFrame([("events", "action", "float64", [2])], "dataset_id string, feature string, dtype string, shape array<int>")
+    state = v.episode_state(t.frames(spark, sf), {"action": ("action", [2])})
+    return v.stats_issues(state, stored_stats(spark, sf), declared, "events").select("code", "feature", "detail")
 
 
 @query("j13_stats_outer_join", f"""WITH {t.FRAMES_SQL}, {_STORED} SELECT DISTINCT 'stats_value_mismatch' AS code, 'action' AS feature, statistic AS detail FROM lg

@@ -150,6 +150,14 @@ def episode_videos(episodes: DataFrame, cameras: Sequence[str] | None = None, ma
         F.greatest(F.lit(0.0), F.col("v.to_timestamp") - margin).alias("last_time"))
 
 
+def video_segments(episodes: DataFrame) -> DataFrame:
+    """``(episode, camera, from_timestamp, to_timestamp)`` as stored; a time that is missing stays missing."""
+    cameras = cameras_of(episodes.columns)
+    stored = lambda c, name: F.col(f"`videos/{c}/{name}`").cast("double").alias(name)
+    parts = F.array(*[F.struct(F.lit(c).alias("camera"), stored(c, "from_timestamp"), stored(c, "to_timestamp")) for c in cameras])
+    return episodes.select(*EPISODE, F.explode(parts).alias("v")).select(*EPISODE, "v.*")
+
+
 def video_neighbours(videos: DataFrame, episode_index: int, radius: int) -> DataFrame:
     return videos.filter(F.col("episode_index").between(episode_index - radius, episode_index + radius))
 

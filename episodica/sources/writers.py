@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from episodica.functions import language as rules
 from episodica.operators.series import EPISODE, attach, with_offsets
 from episodica.operators.stats import STATISTICS
-from episodica.sources.files import write_document
+from episodica.sources.files import commit_names, write_document
 
 FILES_PER_CHUNK = 1000
 ROWS_PER_TASK = 1_000_000
@@ -35,20 +35,21 @@ def _stored(frames: DataFrame) -> list:
 
 
 def write_frames(frames: DataFrame, shards: DataFrame, root: str) -> None:
-    """v3 shards under ``data/chunk=C/file=F``, rows sorted by episode and frame.
+    """v3 shards ``data/chunk-CCC/file-FFF.parquet``, rows sorted by episode and frame.
 
     A shard of a very long episode is written by several tasks, one per million frames. Tasks are ranges in frame order,
-    so the file names of a shard follow it.
+    so the file names of a shard follow it. Files get their exact names after the write is complete.
     """
     place = shards.select(*EPISODE, "length", F.col("`data/chunk_index`").alias("chunk"), F.col("`data/file_index`").alias("file"))
     rows = attach(frames, place)
     part = F.floor(F.col("frame_index") / ROWS_PER_TASK)
     rows.withColumn("_part", part).repartitionByRange("chunk", "file", "episode_index", "_part").sortWithinPartitions("chunk", "file", "episode_index", "frame_index").select(
         *_stored(frames), "chunk", "file").write.partitionBy("chunk", "file").parquet(f"{root}/data")
+    commit_names(frames.sparkSession, root)
 
 
 def write_frames_v2(frames: DataFrame, root: str, chunks_size: int = 1000) -> None:
-    """One directory per episode below its chunk. Language columns cannot be stored in this layout."""
+    """One file ``data/chunk-CCC/episode_EEEEEE.parquet`` per episode. Language columns cannot be stored in this layout."""
     nested = [c for c in (rules.PERSISTENT, rules.EVENTS) if c in frames.columns]
     if nested:
         raise ValueError(f"language features cannot be written to layout v2: {nested}")
@@ -56,6 +57,7 @@ def write_frames_v2(frames: DataFrame, root: str, chunks_size: int = 1000) -> No
     rows = frames.withColumn("_part", part).repartitionByRange("episode_index", "_part").sortWithinPartitions("episode_index", "frame_index")
     rows.select(*_stored(frames), F.floor(F.col("episode_index") / chunks_size).alias("chunk"), F.col("episode_index").alias("episode")).write.partitionBy(
         "chunk", "episode").parquet(f"{root}/data")
+    commit_names(frames.sparkSession, root, "episode", 6)
 
 
 def write_tasks(tasks: DataFrame, root: str, layout: str = "v3") -> None:
@@ -94,10 +96,22 @@ def _field(name: str):
     return lambda d: d[name]
 
 
-def write_stats_json(stats: DataFrame, root: str) -> None:
-    """Global statistics as one document: feature → statistic → array. One row per declared feature is collected."""
+def _folded(flat: list, shape: Sequence[int]) -> list:
+    """A flat list in C order as nested lists of the given shape."""
+    for n in reversed(shape[1:]):
+        flat = [flat[i:i + n] for i in range(0, len(flat), n)]
+    return flat
+
+
+def write_stats_json(stats: DataFrame, root: str, shapes: dict[str, Sequence[int]] | None = None) -> None:
+    """Global statistics as one document: feature → statistic → array of the feature's shape. One row per declared feature is
+    collected."""
     rows = nested_stats(stats).select("feature", F.to_json(F.struct(*STATISTICS)).alias("json")).collect()
     document = {r.feature: json.loads(r.json) for r in sorted(rows, key=lambda r: r.feature)}
+    for feature, shape in (shapes or {}).items():
+        for name, value in document.get(feature, {}).items():
+            if name != "count":
+                document[feature][name] = _folded(value, shape)
     write_document(stats.sparkSession, f"{root}/meta/stats.json", json.dumps(document))
 
 

@@ -193,3 +193,35 @@ def test_annotation_versions(spark):
     saved = spark.createDataFrame([("d", 0, " new ", []), ("d", 2, " ", ["z"])], "dataset_id string, episode_index bigint, task_override string, atoms array<string>")
     got = {r.episode_index: (r.revision, r.task_override, r.atoms) for r in curate.upsert_annotations(now, saved).collect()}
     assert got == {0: (4, "new", []), 1: (1, "t", ["y"]), 2: (1, None, ["z"])}
+
+
+def test_schema_repair(spark):
+    kind = "id int, pose struct<vector:array<float>,shape:struct<points:array<array<double>>>>"
+    rows = spark.createDataFrame([(1, ([1.0, 2.0], ([[1.0, 2.0]],))), (2, None), (3, (None, ([],)))], kind)
+    widths = {"pose.vector": 2, "pose.shape.points[]": 2}
+    assert merge.restore_schema(rows, rows.schema, widths).collect() == rows.collect()
+    with pytest.raises(Exception, match="pose.vector has another length than 3: 2"):
+        merge.restore_schema(rows, rows.schema, {"pose.vector": 3}).collect()
+    with pytest.raises(Exception, match=r"points\[\] has another length than 1: 2"):
+        merge.restore_schema(rows, rows.schema, {"pose.shape.points[]": 1}).collect()
+    def refusal(other, widths=widths):
+        with pytest.raises(ValueError) as error:
+            merge.restore_schema(spark.createDataFrame([], other), rows.schema, widths)
+        return str(error.value)
+    assert refusal(kind.replace("float", "double")) == "pose.vector[]: double instead of float"
+    assert refusal(kind.replace("shape:", "form:")) == "pose: ['vector', 'form'] instead of ['vector', 'shape']"
+    assert refusal(kind + ", extra int").startswith("columns")
+    assert refusal(kind, {"id": 2}) == "id: int is no list"
+    odd = spark.createDataFrame([("d", 0, 0, ([1.0], ([[1.0, 2.0], [3.0]],)))], "dataset_id string, episode_index bigint, frame_index bigint, pose struct<vector:array<float>,shape:struct<points:array<array<double>>>>")
+    got = {(r.path, r.length) for r in merge.width_violations(odd, {**widths, "pose.shape.points": 2}).collect()}
+    assert got == {("pose.vector", 1), ("pose.shape.points[]", 1)}
+
+
+def test_file_names_after_a_failed_commit(spark, tmp_path):
+    from episodica.sources.files import commit_names
+    root = str(tmp_path)
+    spark.range(4).selectExpr("id", "id div 2 as chunk", "id as file").repartition(4).write.partitionBy("chunk", "file").parquet(f"{root}/data")
+    assert commit_names(spark, root) == 4
+    assert commit_names(spark, root) == 0
+    assert sorted(str(p.relative_to(root)) for p in tmp_path.rglob("*.parquet")) == [f"data/chunk-00{c}/file-00{f}.parquet" for c, f in ((0, 0), (0, 1), (1, 2), (1, 3))]
+    assert [r.id for r in spark.read.parquet(f"{root}/data/chunk-001/file-002.parquet").collect()] == [2]

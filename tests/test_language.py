@@ -161,3 +161,11 @@ def test_joint_names(spark):
     got = {r.joint: (r.column, r.rule) for r in text.match_joints(joints, columns, aliases).collect()}
     assert got == {"openarm_left_joint2": ("state | left_joint_2.pos", 3), "openarm_right_finger_joint1": ("state | right_gripper", 4),
                    "hip": ("state | kHip", 2), "elbow": ("state | Elbow", 1)}
+
+
+def test_names_found_by_their_parts(spark):
+    rng = random.Random(8)
+    names = ["".join(rng.choice("ab_1") for _ in range(rng.randrange(1, 9))) for _ in range(60)] + ["", "x"]
+    patterns = ["".join(rng.choice("ab_1") for _ in range(rng.randrange(1, 6))) for _ in range(40)] + ["", "zz", "x"]
+    got = {(r.pattern, r.name) for r in text.containing(spark.createDataFrame([(p,) for p in patterns], "pattern string"), spark.createDataFrame([(n,) for n in set(names)], "name string")).collect()}
+    assert got == {(p, n) for p in patterns for n in names if p and p in n}

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,22 @@ def test_overlapping_ranges_of_one_track_count_once(spark, tiny):
     ranges_ = spark.createDataFrame(rows, "group_id string, track_id bigint, start bigint, end bigint, initial boolean, capacity int").withColumn(
         "group_id", F.lit(1).cast("bigint"))
     assert {r.track_id: r.accepted for r in masks.late_tracks(ranges_).collect()} == {2: True, 3: True}
+
+
+def test_sweep_over_many_batches_keeps_only_the_room_ahead():
+    """Long sets arrive in small batches; the result is that of the plain rule."""
+    rng = np.random.default_rng(11)
+    tracks = {}
+    for k in range(400):
+        start = int(rng.integers(0, 300))
+        parts = [(start, start + int(rng.integers(0, 30)))]
+        if rng.random() < 0.3:
+            parts.append((parts[0][1] - 1, parts[0][1] + 20))
+        tracks[k] = (bool(rng.random() < 0.1), parts)
+    rows = [(1, 0, k, initial, 6.0, a, b) for k, (initial, parts) in tracks.items() for a, b in parts]
+    first = {k: min(a for a, _ in parts) for k, (_, parts) in tracks.items()}
+    rows.sort(key=lambda r: (not r[3], first[r[2]], r[2], r[5]))
+    names = ["group_id", "part", "track_id", "initial", "capacity", "start", "end"]
+    batches = [pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows[i:i + 7]))))) for i in range(0, len(rows), 7)]
+    got = {r["track_id"]: r["_ok"] for out in masks._sweep(iter(batches)) for r in out.to_pylist()}
+    assert got == greedy(tracks, 6)

@@ -56,7 +56,8 @@ def test_sound_data_set(spark, tmp_path, tiny):
     data = load(spark, root)
     declared = data.features.filter("feature in ('action', 'observation.state')")
     assert v.stored_stats_issues(stored, declared).isEmpty()
-    assert v.stats_issues(data.frames, stored, data.vectors, "d").isEmpty()
+    state = v.episode_state(data.frames, v.numeric_shapes(data.frames, declared.collect()))
+    assert v.stats_issues(state, stored, declared, "d").isEmpty()
     with pytest.raises(ValueError):
         v.run(data, "fast")
 
@@ -181,8 +182,38 @@ def test_stored_statistics_are_compared(spark, tmp_path):
     write(spark, root, stored=lambda s: s.withColumn("mean", F.when(F.col("feature") == "action", F.col("mean") + 1e-3).otherwise(F.col("mean"))))
     data = load(spark, root)
     stored = readers.read_stats(spark, f"{root}/meta/stats.json", "d")
-    got = [(r.code, r.feature, r.detail) for r in v.stats_issues(data.frames, stored, data.vectors, "d").collect()]
+    declared = data.features.filter("feature in ('action', 'observation.state')")
+    state = v.episode_state(data.frames, v.numeric_shapes(data.frames, declared.collect()))
+    got = [(r.code, r.feature, r.detail) for r in v.stats_issues(state, stored, declared, "d").collect()]
     assert got == [("stats_value_mismatch", "action", "mean")]
+    soft = v.stats_issues(state, stored.withColumn("feature", F.when(F.col("feature") == "action", "index").otherwise(F.col("feature"))), declared.withColumn(
+        "feature", F.when(F.col("feature") == "action", "index").otherwise(F.col("feature"))), "d", official=True)
+    assert [(r.severity, r.code, r.feature) for r in soft.collect()] == [("FAIL", "stats_feature_unavailable", "index")]
+
+
+def test_export_gate_and_rerun(spark, tmp_path):
+    root = str(tmp_path)
+    write(spark, root, stored=lambda s: s)
+    data = load(spark, root)
+    shapes = {("state" if n == "observation.state" else n): [1] for n in HEADER["features"]}
+    every = stats.feature_stats(data.frames, list(shapes), shapes=shapes, total=20)
+    stored = v.long_stats(every.withColumn("feature", F.when(F.col("feature") == "state", "observation.state").otherwise(F.col("feature"))), "d", stats.STATISTICS).withColumn("depth", F.lit(1))
+    import dataclasses
+    data = dataclasses.replace(data, stats=stored, manifest=lambda: catalog.manifest(spark, root))
+    found, kept = v.check(data, "export_gate")
+    assert found.isEmpty()
+    assert v.dirty_episodes(data, kept.manifest, kept.manifest).isEmpty()
+    again, _ = v.check(data, "full", kept)
+    assert again.isEmpty()
+    other = kept.manifest.withColumn("sha256", F.lit("x"))
+    assert {r.episode_index for r in v.dirty_episodes(data, kept.manifest, other).collect()} == {0, 1}
+    calls = iter([kept.manifest, other])
+    changed, _ = v.check(dataclasses.replace(data, manifest=lambda: next(calls)), "export_gate")
+    assert {r.code for r in changed.collect()} == {"content_changed"}
+    with pytest.raises(ValueError, match="manifest"):
+        v.run(load(spark, root), "export_gate")
+    deferred = v.run(dataclasses.replace(data, stats_deferred=True), "full").collect()
+    assert [(r.severity, r.code) for r in deferred] == [("WARN", "stats_deferred")]
 
 
 def test_stored_statistics_schema(spark, tmp_path):
