@@ -352,6 +352,12 @@ def compare_stats(stored: DataFrame, recomputed: DataFrame, code: str = "stats_v
     return issues(wrong, code, severity, feature=F.col("feature"), detail=F.col("statistic"))
 
 
+def _numeric(kind: T.DataType) -> bool:
+    while isinstance(kind, T.ArrayType):
+        kind = kind.elementType
+    return isinstance(kind, (T.NumericType, T.BooleanType))
+
+
 def numeric_shapes(frames: DataFrame, declared: Sequence, columns: dict[str, str] | None = None) -> dict[str, tuple[str, list[int]]]:
     """Column and shape of every declared numeric feature that is stored with its declared type."""
     columns, found = {"observation.state": "state", **(columns or {})}, {}
@@ -522,7 +528,7 @@ def episode_issues(data: Dataset, frames: DataFrame, episodes: DataFrame, declar
     placed = materialize(with_storage_position(frames), "placed") if full else with_storage_position(frames)
     found = [index_issues(placed, full, lengths), file_episode_issues(frames), task_issues(frames, episodes, data.tasks),
              timestamp_issues(placed, fps), feature_issues(placed, declared)]
-    usable = [c for c in data.vectors.values() if c in frames.columns]
+    usable = [c for c in data.vectors.values() if c in frames.columns and _numeric(frames.schema[c].dataType)]
     if usable:
         found.append(motion_issues(without_bad_vectors(placed, usable, declared), usable))
     return found

@@ -251,8 +251,9 @@ def c09_values(spark, sf):
     return merge.value_problems(rows, {"action": 2}).select("episode_index", "frame_index", "problem")
 
 
-def _nested(frames, wide=F.lit(False), long=F.lit(False)):
+def _nested(frames, wide=None, long=None):
     """Vectors inside a struct, one of them a list of lists; marked rows have another width."""
+    wide, long = (F.lit(False) if x is None else x for x in (wide, long))
     points = F.array("action", F.when(wide, F.concat("state", "action")).otherwise(F.col("state")))
     vector = F.when(long, F.concat("action", "state")).otherwise(F.col("action"))
     return frames.select(*EP, "frame_index", F.struct(vector.alias("vector"), F.struct(points.alias("points")).alias("shape")).alias("pose"))

@@ -46,7 +46,7 @@ def test_automatic_choice(spark):
 def greedy(tracks, capacity):
     """``tracks``: id → (initial, ranges)."""
     occupied, out = {}, {}
-    frames = {k: [f for a, b in r for f in range(a, b + 1)] for k, (_, r) in tracks.items()}
+    frames = {k: {f for a, b in r for f in range(a, b + 1)} for k, (_, r) in tracks.items()}
     for k, (initial, _) in tracks.items():
         if initial:
             for f in frames[k]:
