@@ -234,6 +234,29 @@ def stats_of_both_grains(frames: DataFrame, features: Sequence[str], shapes: dic
             _with_quantiles(moments, values, per, counted))
 
 
+# Features that a new numbering changes in every episode.
+RENUMBERED = ("index", "episode_index", "task_index")
+
+
+def carried_stats(kept: DataFrame, frames: DataFrame, bounds: DataFrame, shapes: dict[str, Sequence[int]], renumbered: Sequence[str] = RENUMBERED) -> DataFrame:
+    """Statistics of every output episode of a selection or trim: those of whole episodes are taken over from ``kept``.
+
+    ``kept`` are the statistics by source episode, ``frames`` the output, ``bounds(episode, output_index, start, end, length)``
+    where each output episode came from. Only cut episodes are read for all features; the numbering is new in every episode,
+    so its features, which are scalars, are computed again for all.
+    """
+    whole = (F.col("start") == 0) & (F.col("end") == F.col("length"))
+    moves = materialize(bounds.select(*EPISODE, "output_index", whole.alias("whole")), "moves")
+    same = kept.filter(~F.col("feature").isin(list(renumbered))).join(moves.filter("whole").select(*EPISODE, "output_index"), EPISODE)
+    taken = same.select("dataset_id", F.col("output_index").alias("episode_index"), "feature", "dim", *STATISTICS)
+    cut = moves.filter("not whole").select("dataset_id", F.col("output_index").alias("episode_index"))
+    own = {f: s for f, s in shapes.items() if f not in renumbered}
+    fresh = feature_stats_by_episode(frames.join(cut, EPISODE, "left_semi"), list(own), own)
+    numbers = {f: s for f, s in shapes.items() if f in renumbered}
+    again = feature_stats_by_episode(frames, list(numbers), numbers)
+    return taken.unionByName(fresh).unionByName(again)
+
+
 def check_total_frames(frames: DataFrame, header: DataFrame) -> DataFrame:
     """Datasets whose frame count differs from the declared ``total_frames``."""
     counted = frames.groupBy("dataset_id").agg(F.count("*").alias("frames"))

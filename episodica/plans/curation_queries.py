@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from episodica.operators import augment, curate, merge, series, trim
+from episodica.operators import augment, curate, merge, series, stats, trim
 from episodica.plans import tables as t
 from episodica.plans.registry import query, r
 from episodica.plans.sequence_queries import MOTION, motion_bounds, motion_sql
+from episodica.session import materialize
 
 EP = series.EPISODE
 DAY = 86400.0
@@ -168,6 +169,52 @@ def k07(spark, sf):
     return curated(spark, sf).lineage.drop("dataset_id")
 
 
+SHAPES = {"action": [2], "state": [2], "frame_index": [1], "timestamp": [1], "index": [1], "episode_index": [1], "task_index": [1]}
+
+
+@query("c06_output_statistics", f"""WITH {t.FRAMES_SQL}, {_RECIPE}, src AS (SELECT f.*, o, base, start, ("end" - start) AS kept, (start > 0 OR "end" < length) AS cut FROM frames f JOIN off USING (episode_index) WHERE frame_index >= start AND frame_index < "end"),
+  tk AS (SELECT task_index, dense_rank() OVER (ORDER BY task_index) - 1 AS k FROM (SELECT DISTINCT task_index FROM src)),
+  v AS (SELECT o AS e, 'action' AS feature, 0 AS dim, a0 AS value FROM src UNION ALL SELECT o, 'action', 1, a1 FROM src UNION ALL SELECT o, 'state', 0, s0 FROM src UNION ALL SELECT o, 'state', 1, s1 FROM src
+   UNION ALL SELECT o, 'frame_index', 0, CASE WHEN cut THEN frame_index - start ELSE frame_index END FROM src UNION ALL SELECT o, 'timestamp', 0, CASE WHEN cut THEN (frame_index - start) / 10.0::DOUBLE ELSE tstamp END FROM src
+   UNION ALL SELECT o, 'index', 0, base + frame_index - start FROM src UNION ALL SELECT o, 'episode_index', 0, o FROM src UNION ALL SELECT o, 'task_index', 0, k FROM src JOIN tk USING (task_index))
+  SELECT e AS episode_index, feature, dim, round(min(value),6) AS min, round(max(value),6) AS max, round(avg(value),6) AS mean, round(stddev_pop(value),6) AS std, count(*) AS count, round(quantile_cont(value, 0.5),6) AS q50
+  FROM v GROUP BY ALL""")
+def c06_statistics(spark, sf):
+    """Statistics of the curated output: those of untouched episodes are carried over, only cut ones are read again."""
+    fr = t.frames(spark, sf)
+    out = curated(spark, sf)
+    cut = materialize(out.frames, "curated")  # read several times, as the written output would be
+    names = {f: s for f, s in SHAPES.items() if f not in stats.RENUMBERED}
+    kept = stats.feature_stats_by_episode(fr, list(names), names)
+    moves = out.lineage.select("dataset_id", F.col("source_episode_index").alias("episode_index"), F.col("output_episode_index").alias("output_index"),
+                               F.col("source_start_frame").alias("start"), F.col("source_end_frame").alias("end")).join(t.episodes(spark, sf), EP)
+    found = stats.carried_stats(kept, cut, moves, SHAPES)
+    return found.select("episode_index", "feature", "dim", "count", *r("min", "max", "mean", "std", "q50"))
+
+
+@query("c06_curated_annotations", """WITH styled AS (SELECT conv_id AS episode_index, turn AS ord, CASE WHEN role = 'system' THEN 'task_aug' WHEN role = 'user' THEN 'interjection' WHEN length(text) > 200 THEN 'plan'
+   WHEN length(text) < 80 THEN 'memory' ELSE 'subtask' END AS style FROM conversations),
+  cf AS (SELECT conv_id AS episode_index, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS f, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+  b AS (SELECT episode_index, row_number() OVER (ORDER BY episode_index) - 1 AS o, 1 AS s, max(n) - 1 AS e FROM cf GROUP BY 1 HAVING max(n) >= 4),
+  sn AS (SELECT a.*, cf.f, o, s, e FROM styled a JOIN cf ON cf.episode_index = a.episode_index AND cf.turn = a.ord JOIN b ON b.episode_index = a.episode_index)
+  SELECT o AS episode_index, 'language_persistent' AS "column", CAST(NULL AS BIGINT) AS frame_index, CAST(f - s AS FLOAT) AS ts, ord, style FROM sn WHERE style <> 'interjection' AND f >= s AND f < e
+  UNION ALL SELECT o, 'language_persistent', NULL, 0, ord, style FROM sn WHERE style = 'task_aug' AND f < s
+  UNION ALL SELECT o, 'language_persistent', NULL, 0, max(ord), style FROM sn WHERE style IN ('subtask','plan') AND f < s GROUP BY o, style
+  UNION ALL SELECT o, 'language_events', f - s, NULL, ord, style FROM sn WHERE style = 'interjection' AND f >= s AND f < e""")
+def c06_annotations(spark, sf):
+    """The whole recipe with annotations: conversations of four turns or more lose their first and last one."""
+    from episodica.plans.language_queries import styled, turns
+    value = F.array(F.col("timestamp"))
+    rows = turns(spark, sf).select(*EP, "frame_index", F.col("frame_index").alias("index"), "timestamp", F.lit(0).cast("bigint").alias("task_index"), value.alias("action"), value.alias("state"))
+    episodes = series.episode_lengths(rows)
+    short = episodes.filter("length < 4").select(*EP)
+    manual = episodes.filter("length >= 4").select(*EP, F.lit(1).alias("start"), (F.col("length") - 1).alias("end"))
+    tasks = rows.select("dataset_id", "task_index").distinct().withColumn("task", F.lit("talk"))
+    recipe = curate.Recipe(fps=1.0, mode="unflagged", motion=trim.MotionTrim(), pairs=[(0, 0)])
+    out = curate.curate(recipe, rows, episodes, tasks, short, styled(spark, sf), manual)
+    return out.annotations.select("episode_index", "column", "frame_index", "ts", "ord", "style")
+
+
 @query("c13_recipe_snapshot", f"""WITH {t.FRAMES_SQL}, {_FLAGS}, r AS (SELECT unnest(['all','flagged','unflagged']) AS mode)
   SELECT mode AS recipe_id, ep.episode_index, fl.episode_index IS NOT NULL AS flagged, CASE WHEN c.conv_id IS NOT NULL THEN 1 END AS annotation_revision
   FROM r, ep LEFT JOIN fl USING (episode_index) LEFT JOIN (SELECT DISTINCT conv_id FROM conversations) c ON c.conv_id = ep.episode_index

@@ -169,6 +169,19 @@ def a21(spark, sf):
     return p.select("dim", "relative", "count", *r("min", "max", "mean", "std", *stats.QUANTILES, digits=5))
 
 
+@query("a21_relative_profile_wide", f"""WITH {t.VECTORS_SQL}, n AS (SELECT episode_index, max(frame_index) + 1 AS n FROM vecs GROUP BY 1),
+  rel AS (SELECT CAST(d AS INTEGER) AS dim, CAST(CASE WHEN d IN (0, 2, 3) THEN y.embedding[d + 1] - x.embedding[d + 6] ELSE y.embedding[d + 1] END AS DOUBLE) AS value
+    FROM vecs x JOIN n USING (episode_index), (SELECT unnest(range(8)) AS k) g, vecs y, (SELECT unnest(range(5)) AS d) e
+    WHERE y.episode_index = x.episode_index AND y.frame_index = x.frame_index + g.k AND x.frame_index + 8 <= n.n)
+  SELECT dim, dim IN (0, 2, 3) AS relative, round(min(value),5) AS min, round(max(value),5) AS max, round(avg(value),5) AS mean, round(stddev_pop(value),5) AS std,
+  count(*) AS count, {', '.join(f"round(quantile_cont(value,{q}),5) AS {n}" for n, q in stats.QUANTILES.items())} FROM rel GROUP BY 1""")
+def a21_wide(spark, sf):
+    """Five action and five state elements, three of them relative."""
+    rows = t.vectors(spark, sf).select(*EP, "frame_index", F.slice("embedding", 1, 5).alias("action"), F.slice("embedding", 6, 5).alias("state"))
+    p = relative.profile(rows, [0, 2, 3], 5, chunk=8)
+    return p.select("dim", "relative", "count", *r("min", "max", "mean", "std", *stats.QUANTILES, digits=5))
+
+
 @query("a21_relative_coverage", f"""WITH {t.FRAMES_SQL}, e AS (SELECT DISTINCT episode_index, n FROM frames)
   SELECT count(*) AS episodes_total, count(*) FILTER (n >= 60) AS episodes_used, count(*) FILTER (n < 60) AS episodes_skipped_short,
   CAST(sum(greatest(n-60+1,0)) AS BIGINT) AS valid_chunks FROM e""")

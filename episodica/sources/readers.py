@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from episodica.functions import language as rules
 from episodica.functions.numeric import is_finite
-from episodica.operators.series import EPISODE, with_position
+from episodica.operators.series import EPISODE, attach, running, with_position
+from episodica.session import materialize
 from episodica.sources.files import exists
 
 FEATURE_TYPE = "struct<dtype:string,shape:array<int>,names:string>"
@@ -183,15 +184,18 @@ def progress_series(progress: DataFrame, durations: DataFrame) -> DataFrame:
     numbers = {c: F.when(is_finite(F.col(c).try_cast("double")), F.col(c).try_cast("double")) for c in names}
     present = progress.groupBy(*EPISODE).agg(*[F.count(numbers[c]).alias(f"_n{i}") for i, c in enumerate(names)])
     chosen = F.coalesce(*[F.when(F.col(f"_n{i}") > 0, F.lit(c)) for i, c in enumerate(names)])
-    picked = present.select(*EPISODE, chosen.alias("column"), F.greatest(*[F.col(f"_n{i}") for i in range(len(names))], F.lit(0)).alias("_n"))
+    points = F.coalesce(*[F.when(F.col(f"_n{i}") > 0, F.col(f"_n{i}")) for i in range(len(names))])
+    picked = present.select(*EPISODE, chosen.alias("column"), points.alias("_n"))
     value = F.coalesce(*[F.when(F.col("column") == c, numbers[c]) for c in names])
     place = F.coalesce(*[F.col(c).try_cast("double") for c in ("index", "frame_index") if c in progress.columns], F.col("_row").cast("double"))
-    rows = progress.join(picked, EPISODE).select(*EPISODE, "column", value.alias("progress"), place.alias("_place"), F.col("_row").alias("_source")).filter("progress is not null")
-    numbered = with_position(rows, EPISODE, ["_place", "_source"], "_i")
-    counts = numbered.groupBy(*EPISODE).agg(F.max("_i").alias("_last"))
-    joined = numbered.join(counts, EPISODE).join(durations, EPISODE)
-    share = F.col("_i") / F.greatest(F.col("_last"), F.lit(1))
-    return joined.select(*EPISODE, "column", F.col("_i").alias("point"), (share * F.greatest("duration", F.lit(0.0))).alias("timestamp"), "progress")
+    # all rows are numbered first; then what belongs to an episode is joined on (episode, block), so a hot one is spread
+    placed = with_position(progress.withColumn("_place", place), EPISODE, ["_place", "_row"], "frame_index")
+    counted = progress.groupBy(*EPISODE).agg(F.count("*").alias("length"))
+    per = materialize(picked.filter("column is not null").join(durations, EPISODE).join(counted, EPISODE), "progress_columns")
+    rows = attach(placed, per).select(*EPISODE, "frame_index", "column", value.alias("progress"), "_n", "duration").filter("progress is not null")
+    points = running(rows, EPISODE, "frame_index", F.lit(1), "_i", inclusive=False)
+    share = F.col("_i") / F.greatest(F.col("_n") - 1, F.lit(1))
+    return points.select(*EPISODE, "column", F.col("_i").cast("bigint").alias("point"), (share * F.greatest("duration", F.lit(0.0))).alias("timestamp"), "progress")
 
 
 def read_stats(spark: SparkSession, path: str, dataset_id: str) -> DataFrame:
