@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from episodica.functions.numeric import round_half_up, vector_distance
 from episodica.operators.ranks import kth_values
 from episodica.operators.series import EPISODE, attach, block_of, deltas, episode_lengths, halo, lagged, to_values
+from episodica.session import materialize
 
 DISCRETE_VALUES = 4
 ACTIVITY_SHARE = 0.001
@@ -144,9 +145,10 @@ def episode_deltas(frames: DataFrame, feature: str = "action", delta: DataFrame
     magnitudes are below it", so activity is a count and needs no sorting.
     """
     delta = deltas(frames, feature) if delta is None else delta
-    ranges = motor_ranges(frames, feature) if ranges is None else ranges
+    # one row per vector element, written so that the plan knows its size
+    ranges = materialize(motor_ranges(frames, feature), "ranges") if ranges is None else ranges
     size = F.abs("delta")
-    rows = delta.join(F.broadcast(ranges), "dim")  # one row per vector element
+    rows = delta.join(ranges, "dim")
     below = F.count_if(size < F.col("motor_range") * ACTIVITY_SHARE)
     m = F.count("*")
     return rows.groupBy(*EPISODE, "dim").agg(
@@ -158,14 +160,14 @@ def episode_deltas(frames: DataFrame, feature: str = "action", delta: DataFrame
 
 def velocity(frames: DataFrame, feature: str = "action") -> DataFrame:
     """Pooled delta statistics per dimension over its active episodes (over all when none is active)."""
-    return velocity_from(episode_deltas(frames, feature))
+    return velocity_from(materialize(episode_deltas(frames, feature), "episode_deltas"))
 
 
 def velocity_from(per_episode: DataFrame) -> DataFrame:
     flags = per_episode.groupBy("dim").agg(F.max("active").alias("_any"))
-    used = per_episode.join(F.broadcast(flags), "dim").filter(F.col("active") | ~F.col("_any"))
+    used = per_episode.join(flags, "dim").filter(F.col("active") | ~F.col("_any"))
     mean = used.groupBy("dim").agg((F.sum(F.col("m") * F.col("mean")) / F.sum("m")).alias("_mean"))
-    used = used.join(F.broadcast(mean), "dim")
+    used = used.join(mean, "dim")
     var = F.sum(F.col("m") * (F.col("var") + F.pow(F.col("mean") - F.col("_mean"), 2))) / F.sum("m")
     r = F.first("motor_range")
     return used.groupBy("dim").agg(
@@ -177,21 +179,21 @@ def velocity_from(per_episode: DataFrame) -> DataFrame:
 def velocity_histogram(frames: DataFrame, feature: str = "action") -> DataFrame:
     """Thirty equal bins of normalised deltas per dimension over the same episodes as ``velocity``."""
     delta = deltas(frames, feature)
-    per_episode = episode_deltas(frames, feature, delta)
-    stats = velocity_from(per_episode)
+    per_episode = materialize(episode_deltas(frames, feature, delta), "episode_deltas")
+    stats = materialize(velocity_from(per_episode), "velocity")
     flags = per_episode.groupBy("dim").agg(F.max("active").alias("_any"))
-    used = per_episode.join(F.broadcast(flags), "dim").filter(F.col("active") | ~F.col("_any")).select(*EPISODE, "dim")
+    used = per_episode.join(flags, "dim").filter(F.col("active") | ~F.col("_any")).select(*EPISODE, "dim")
     span = F.col("hi") - F.col("lo")
     width = F.when(span == 0, F.lit(1.0)).otherwise(span) / VELOCITY_BINS
     place = F.least(F.floor((F.col("delta") / F.col("motor_range") - F.col("lo")) / width), F.lit(VELOCITY_BINS - 1))
-    counts = delta.join(F.broadcast(stats.select("dim", "motor_range", "lo", "hi")), "dim").groupBy(
+    counts = delta.join(stats.select("dim", "motor_range", "lo", "hi"), "dim").groupBy(
         *EPISODE, "dim", place.alias("bin")).agg(F.count("*").alias("_c"))
     return counts.join(used, [*EPISODE, "dim"], "left_semi").groupBy("dim", "bin").agg(F.sum("_c").alias("deltas"))
 
 
 def velocity_verdict(stats: DataFrame, names: DataFrame) -> DataFrame:
     """Smooth / Moderate / Jerky verdict from the spread of the moving dimensions; grippers may be jerky."""
-    rows = stats.join(F.broadcast(names), "dim")
+    rows = stats.join(names, "dim")
     considered = ~F.col("inactive") & ~F.col("discrete")
     top = rows.filter(considered).agg(F.max("std").alias("top")).scalar()
     # a spread of zero everywhere has no share, so such dimensions count as neither smooth nor jerky
@@ -446,7 +448,8 @@ def insight_report(frames: DataFrame, feature: str = "action") -> DataFrame:
     # the first frame keeps one row per element, with NULL deltas, so that lengths come from the same pass
     long = steps.select(*EPISODE, "_step", F.posexplode(F.arrays_zip(F.col("_x").alias("cur"), F.coalesce(
         "_prev", F.transform("_x", lambda v: F.lit(None).cast("double"))).alias("prev"))).alias("dim", "z"))
-    rows = long.join(F.broadcast(motor_ranges(frames, feature)), "dim").withColumn("_d", F.abs(F.col("z.cur") - F.col("z.prev")))  # one row per vector element
+    ranges = materialize(motor_ranges(frames, feature), "ranges")  # one row per vector element
+    rows = long.join(ranges, "dim").withColumn("_d", F.abs(F.col("z.cur") - F.col("z.prev")))
     m = F.count("_d")
     below = F.count_if(F.col("_d") < F.col("motor_range") * ACTIVITY_SHARE)
     per = rows.groupBy(*EPISODE, "dim").agg(
