@@ -8,7 +8,8 @@ kept, and a path is left as soon as the remaining lengths cannot reach the overl
 
 Equal sets form one class and are compared once. Sets whose first grams are mostly common, as in a large group of nearly
 equal texts, are ordered anew by exact frequency among themselves; each is first compared with one pivot per gram, the set
-whose grams are the most frequent, and only sets that are still in different components are compared further.
+whose grams are the most frequent. What is then still in different components meets in bounded blocks of neighbours that
+share grams; there sets walk each other's tries and hand on links only.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ from pyspark.sql.window import Window
 
 from episodica.llm.common import broadcast_if_small
 from episodica.llm.components import components
+from episodica.operators.series import with_position
 from episodica.session import materialize
 
 #: Sets that may share a gram before it goes to the end of the order.
 COMMON = 24
-#: Rounds of pivots before all remaining pairs of different components are compared.
-PIVOTS = 3
+#: Sets of one block; two blocks meet in a task.
+TILE = 1024
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
@@ -205,6 +207,54 @@ def _verify(percent: int):
     return run
 
 
+def _tile_links(percent: int):
+    """Links between sets of different components in two blocks.
+
+    Pairs are counted at the grams that stand in the smaller one's index prefix and in the larger one's prefix. Where these
+    and what lies behind them can suffice, the smaller set walks the trie of its partners; sets that a link has joined are
+    not compared again.
+    """
+    def run(rows: pa.Table) -> pa.Table:
+        cid, n, root, block = (rows[c].to_numpy() for c in ("cid", "n", "root", "block"))
+        order = np.lexsort((cid, n))
+        cid, n, root, block = (x[order] for x in (cid, n, root, block))
+        lists = {c: rows[c].combine_chunks() for c in ("grams", "prefix", "ats")}
+        part = {c: [lists[c][int(i)].values.to_numpy() for i in order] for c in lists}
+        owner = np.repeat(np.arange(len(cid)), [len(x) for x in part["prefix"]])
+        gram, at = np.concatenate(part["prefix"]), np.concatenate(part["ats"])
+        index = n - -(-(2 * n * percent) // (100 + percent)) + 1
+        by_gram = np.argsort(gram, kind="stable")
+        cuts = np.flatnonzero(np.diff(gram[by_gram])) + 1
+        shared = np.zeros((len(cid), len(cid)), np.int16)
+        for some in np.split(by_gram, cuts):
+            smaller = some[at[some] <= index[owner[some]]]
+            if len(some) > 1 and len(smaller):
+                shared[np.ix_(owner[smaller], owner[some])] += 1
+        pairs = np.triu(shared > 0, 1) & (root[:, None] != root) & (100 * n[:, None] >= percent * n)
+        if len(np.unique(block)) > 1:
+            pairs &= block[:, None] != block
+        rest = np.maximum((n - index)[:, None], -(-n * percent // 100) - 1)
+        pairs &= shared + rest >= -(-(n[:, None] + n) * percent // (100 + percent))
+        joined: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        a, b = [], []
+        for i in np.flatnonzero(pairs.any(1)):
+            others = [j for j in np.flatnonzero(pairs[i]) if top(int(root[j])) != top(int(root[i]))]
+            for j, linked in zip(others, trie_links(part["grams"][i], [part["grams"][j] for j in others], percent)):
+                x, y = top(int(root[i])), top(int(root[j]))
+                if linked and x != y:
+                    joined[max(x, y)] = min(x, y)
+                    a.append(int(cid[i]))
+                    b.append(int(cid[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return run
+
+
 class _Join:
     def __init__(self, docs: DataFrame, n: int, percent: int):
         self.docs, self.n, self.rule = docs.select("doc_id", "text"), n, Rule(percent)
@@ -263,7 +313,7 @@ class _Join:
         own = Window.partitionBy("cid")
         ranked = counted.withColumn("_at", F.row_number().over(own.orderBy("df", "gram"))).withColumn("weight", F.avg("df").over(own))
         self.crowded_grams = grams
-        return materialize(ranked.filter((F.col("df") > 1) & (F.col("_at") <= self.rule.prefix(F.col("n")))).select("gram", "cid", "n", "weight"), "crowded")
+        return materialize(ranked.filter((F.col("df") > 1) & (F.col("_at") <= self.rule.prefix(F.col("n")))).select("gram", "cid", "n", "weight", F.col("_at").alias("at")), "crowded")
 
     def crowded_light_pairs(self) -> DataFrame:
         """Pairs of a crowded and another set, by the prefix grams that they share in the order of all sets."""
@@ -290,27 +340,38 @@ class _Join:
         return materialize(rows.join(mixed, "gram"), "open_grams")
 
     def crowded_links(self, links: DataFrame) -> DataFrame:
-        entries, done = self.crowded_entries(), None
-        for turn in range(PIVOTS + 1):
+        """Rounds of pivots, linear in the entries, as long as a tenth of their pairs are links; then tries in blocks."""
+        entries, done, turn = self.crowded_entries(), None, 0
+        while True:
             open_ = self.open_entries(entries, components(links))
             if open_.isEmpty():
-                break
+                return links
             left = open_.select("gram", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "weight")
-            if turn < PIVOTS:  # one pivot a gram: linear in the entries
-                pick = F.struct("weight", "a") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "a"), F.col("a"))
-                left = left.groupBy("gram").agg(F.max_by(F.struct("a", "na", "ra"), pick).alias("p")).select("gram", "p.a", "p.na", "p.ra")
+            pick = F.struct("weight", "a") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "a"), F.col("a"))
+            left = left.groupBy("gram").agg(F.max_by(F.struct("a", "na", "ra"), pick).alias("p")).select("gram", "p.a", "p.na", "p.ra")
             right = open_.select("gram", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
             met = left.join(right, "gram").filter((F.col("ra") != F.col("rb")) & self.rule.sizes_fit(F.col("na"), F.col("nb")))
-            if turn < PIVOTS:
-                pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            else:
-                pairs = self._reaching(met.filter("a < b").select("a", "b", "na", "nb"))
-            if done is not None:
-                pairs = pairs.join(done, ["a", "b"], "left_anti")
-            pairs = materialize(pairs, "pairs")
+            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
             done = pairs if done is None else done.unionByName(pairs)
-            links = links.unionByName(self.verify(pairs))
-        return links
+            found = self.verify(pairs)
+            links, turn = links.unionByName(found), turn + 1
+            if 10 * found.count() < pairs.count():
+                return links.unionByName(self.tiled_links(self.open_entries(entries, components(links))))
+
+    def tiled_links(self, open_: DataFrame) -> DataFrame:
+        """Links between open sets of different components. Sets are cut into blocks in the order of their rarest open gram;
+        two blocks that hold a gram in common are one task, so a set travels once a block, not once a gram."""
+        own = open_.groupBy("cid").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("at", "gram"))).alias("_p"))
+        own = materialize(own, "open_sets")
+        placed = materialize(with_position(own.select("cid", F.get("_p.gram", F.lit(0)).alias("_first")), [], ["_first", "cid"], "_pos").select(
+            "cid", F.floor(F.col("_pos") / TILE).alias("block")), "blocks")
+        held = materialize(open_.select("gram", "cid").join(placed, "cid").select("gram", "block").distinct(), "block_grams")
+        both = held.select("gram", F.col("block").alias("i")).join(held.select("gram", F.col("block").alias("j")), "gram").filter("i <= j")
+        tiles = materialize(both.select("i", "j").distinct(), "tiles").select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+        sets = own.join(placed, "cid").join(self.sets, "cid").select("cid", "n", "root", "block", F.col("_p.gram").alias("prefix"), F.col("_p.at").alias("ats"), "grams")
+        met = sets.join(tiles, "block").groupBy("i", "j").applyInArrow(_tile_links(self.rule.percent), "a long, b long")
+        return materialize(met, "tiled")
 
     def still_apart(self, pairs: DataFrame, links: DataFrame) -> DataFrame:
         roots = components(links)
@@ -355,5 +416,6 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id. Rows repeated under that id stay together,
     rows without shingles all stay, and a group in which no row has an id stays whole."""
-    gone = similar_groups(docs, n, percent).filter("n_shingles > 0 and not doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(broadcast_if_small(materialize(gone, "near_copies")), docs.doc_id.eqNullSafe(F.col("_gone")), "left_anti")
+    gone = similar_groups(docs, n, percent).filter("n_shingles > 0 and not doc_id <=> component_id").select("doc_id").distinct()
+    away = broadcast_if_small(materialize(gone, "near_copies"))
+    return docs.alias("d").join(away.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")), "left_anti")
