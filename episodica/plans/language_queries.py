@@ -306,10 +306,10 @@ def f03(spark, sf):
     return rows.select("o_orderkey", part["start"].alias("start"), part["end"].alias("end"))
 
 
-@query("f05_suffix_groups", """WITH s AS (SELECT DISTINCT p_brand || ' | ' || p_type AS series, p_type AS suffix FROM part WHERE p_size > 40)
+@query("f05_suffix_groups", """WITH s AS (SELECT DISTINCT p_brand || ' | ' || p_type AS series, p_type AS suffix FROM part)
   SELECT CASE WHEN count(*) = 1 THEN min(series) ELSE suffix END AS "group", string_agg(series, ';' ORDER BY series) AS members FROM s GROUP BY suffix""")
 def f05(spark, sf):
-    s = t.table(spark, sf, "part").filter("p_size > 40").select(F.concat("p_brand", F.lit(" | "), "p_type").alias("series"))
+    s = t.table(spark, sf, "part").select(F.concat("p_brand", F.lit(" | "), "p_type").alias("series"))
     return text.group_by_suffix(s).select("group", F.array_join("members", ";").alias("members"))
 
 

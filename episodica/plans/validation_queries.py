@@ -172,9 +172,9 @@ def v03(spark, sf):
     return v.id_issues(ids, "task_index", header, "total_tasks").select("dataset_id")
 
 
-@query("v03_task_texts", """SELECT DISTINCT lang AS dataset_id FROM documents WHERE length(trim(CASE WHEN n_chars < 60 THEN '  ' ELSE left(text, 20) END)) = 0""")
+@query("v03_task_texts", """SELECT DISTINCT lang AS dataset_id FROM documents WHERE length(trim(CASE WHEN n_chars < 60 THEN '  ' ELSE text END)) = 0""")
 def v03_texts(spark, sf):
-    tasks = t.table(spark, sf, "documents").select(F.col("lang").alias("dataset_id"), F.when(F.col("n_chars") < 60, "  ").otherwise(F.left("text", F.lit(20))).alias("task"))
+    tasks = t.table(spark, sf, "documents").select(F.col("lang").alias("dataset_id"), F.when(F.col("n_chars") < 60, "  ").otherwise(F.col("text")).alias("task"))
     return v.task_text_issues(tasks).select("dataset_id")
 
 
