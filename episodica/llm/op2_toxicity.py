@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ RARE = 5
 CALIBRATION = 10_000
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 100_000
+#: Characters of a split of texts, about; copies of the scores of n-grams that start a word.
+SPLIT, SALTS = 4_000_000, 16
 #: Rows of a batch that goes back to Spark, about.
 BATCH = 50_000
 
@@ -76,25 +79,44 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out()
 
 
-def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).take(pa.array(rows, pa.int64())), pa.array(words, pa.string()), pa.array(n, pa.int64())], ["key", "word", "n"])
+def _packed(ids: np.ndarray, n: np.ndarray) -> bytes:
+    """Word numbers and counts of a document, byte by byte: the high bytes are mostly zero and pack well."""
+    return np.concatenate((ids, n)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
+
+def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(body, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    return both[:len(both) // 2], both[len(both) // 2:].astype(np.float64)
+
+
+def _split_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in splits of about ``SPLIT`` characters: a row a text with numbered words, the first row of a split lists them."""
+    split = TaskContext.get().partitionId() << 32
     for batch in batches:
-        keys = batch.column("key").to_pylist()
-        words: list[str] = []
-        rows: list[int] = []
-        n: list[int] = []
-        for at, counts in groups(batch.column("text").to_pylist()):
-            for row, found in enumerate(counts, at):
-                words += found
-                n += found.values()
-                rows += [row] * len(found)
-                if len(words) >= BATCH:
-                    yield out()
-                    words, rows, n = [], [], []
-        if words:
-            yield out()
+        keys = batch.column("key")
+        for at, counts in groups(batch.column("text").to_pylist(), SPLIT):
+            numbers: dict[str, int] = {}
+            bodies = [_packed(np.array([numbers.setdefault(w, len(numbers)) for w in c], np.int64), np.array(list(c.values()), np.int64)) for c in counts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([split] * len(counts), pa.int64()), keys.slice(at, len(counts)), pa.array(bodies, pa.binary()),
+                 pa.array([list(numbers)] + [None] * (len(counts) - 1), pa.list_(pa.string()))], ["split", "key", "body", "words"])
+            split += 1
+
+
+def _sum_split(texts: pa.Table, known: pa.Table) -> pa.Table:
+    """``key, a, b`` of the texts of one split from the scores of its words; words without a score have 0."""
+    entries = known["known"].combine_chunks().flatten() if known.num_rows else None
+    ids, ratio = (entries.field(f).to_numpy() for f in ("id", "ratio")) if entries is not None else (np.zeros(0, np.int64), np.zeros(0))
+    bodies = [_unpacked(body) for body in texts["body"].to_pylist()]
+    scores = np.zeros(max([int(ids.max(initial=-1)), *(int(w.max(initial=0)) for w, _ in bodies)]) + 1)
+    scores[ids] = ratio
+    out = [[], [], []]
+    for key, (words, n) in zip(texts["key"].to_pylist(), bodies):
+        if len(words):
+            own, all_ = scores[words], n.sum()
+            for column, value in zip(out, (key, float(own @ n / all_), float(np.maximum(own - 2.0, 0.0) @ n / all_))):
+                column.append(value)
+    return pa.table({"key": pa.array(out[0], pa.binary()), "a": pa.array(out[1], pa.float64()), "b": pa.array(out[2], pa.float64())})
 
 
 def _last(gram: str, n: int) -> Column:
@@ -172,7 +194,11 @@ def word_scores(rows: DataFrame) -> DataFrame | None:
     grams = materialize(words.filter("n0 + n1 > 0").mapInArrow(_spell, spelled).groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
     if not all(grams.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()):
         return None
-    seen = words.mapInArrow(_spell, spelled).select("gram", "key").join(gram_scores(grams), "gram")
+    # the first n-gram of a word has one letter behind its marks; so few n-grams for so many words are dealt out by salts
+    front = F.col("gram").startswith("\x02" * (ORDER - 1))
+    scored = gram_scores(grams).withColumn("_salt", F.explode(F.when(front, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    spelt = words.mapInArrow(_spell, spelled).select("gram", "key", F.when(front, F.pmod("key", F.lit(SALTS)).cast("int")).otherwise(F.lit(0)).alias("_salt"))
+    seen = spelt.join(scored, ["gram", "_salt"])
     return materialize(seen.groupBy(F.col("key").alias("word_key")).agg(F.sum("seen").alias("ratio")), "word_scores")
 
 
@@ -181,12 +207,19 @@ def text_key() -> Column:
 
 
 def features(docs: DataFrame, scores: DataFrame) -> DataFrame:
-    """``key, a, b`` per distinct text with letters: log-likelihood difference per word, and the part of it that clearly toxic words give."""
-    words = docs.filter("text is not null").select(text_key().alias("key"), "text").mapInArrow(_document_words, "key binary, word string, n bigint")
-    ratio, n = F.coalesce("ratio", F.lit(0.0)), F.col("n")
-    found = words.select("key", "n", F.xxhash64("word").alias("word_key")).join(broadcast_if_small(scores), "word_key", "left").groupBy("key")
-    # equal texts are counted together, which changes no mean
-    return found.agg((F.sum(ratio * n) / F.sum(n)).alias("a"), (F.sum(F.greatest(ratio - 2.0, F.lit(0.0)) * n) / F.sum(n)).alias("b"))
+    """``key, a, b`` per distinct text with letters: log-likelihood difference per word, and the part of it that clearly toxic words give.
+
+    Texts are read once into splits. The distinct words of a split meet the scores, and the texts of a split meet its words
+    again in one task; so rows grow with the words of the splits, not with those of every text.
+    """
+    texts = docs.filter("text is not null").select(text_key().alias("key"), "text")
+    split = materialize(texts.mapInArrow(_split_words, "split bigint, key binary, body binary, words array<string>"), "document_words")
+    words = split.filter("words is not null").select("split", F.posexplode("words").alias("id", "word"))
+    scored = words.select("split", "id", F.xxhash64("word").alias("word_key")).join(broadcast_if_small(scores), "word_key")
+    # at most the words of one split
+    known = scored.groupBy(F.col("split").alias("_split")).agg(F.collect_list(F.struct("id", "ratio")).alias("known"))
+    sums = split.select("split", "key", "body").groupBy("split").cogroup(known.groupBy("_split")).applyInArrow(_sum_split, "key binary, a double, b double")
+    return sums.groupBy("key").agg(F.first("a").alias("a"), F.first("b").alias("b"))  # equal texts have equal sums
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -197,12 +230,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ordinary likelihood difference of 0. If the labels lack a class, every score is 0. Repeated rows are scored alike; an
     empty table gives no rows.
     """
-    rows = docs.select(*[c for c in docs.columns if c != "toxic_score"])
+    names = [c for c in docs.columns if c != "toxic_score"]
     marks = broadcast_if_small(labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_mark")))
     marked = docs.select("doc_id", "text").withColumn("_fold", fold(F.col("doc_id"))).join(marks, "doc_id", "left")
     scores = word_scores(marked.select("text", F.when(F.col("_fold") > 1, F.col("_mark")).alias("label")))
     if scores is None:
-        return rows.withColumn("toxic_score", F.lit(0.0))
+        return docs.select(*[F.col(f"`{c}`") for c in names], F.lit(0.0).alias("toxic_score"))
     found = materialize(features(docs, scores), "toxicity_features")
     curve = Curve()
     picked = marked.filter("_fold = 1 and _mark is not null and text is not null").select("doc_id", "_mark", text_key().alias("key"), F.xxhash64("doc_id").alias("_pick"))
@@ -213,6 +246,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     y = sample.column("_mark").to_numpy().astype(np.float64)
     if 0 < y.sum() < len(y):
         curve.fit(np.column_stack((sample.column("a").to_numpy(), sample.column("b").to_numpy(), np.ones(len(y)))), y)
-    own = rows.withColumn("_text_key", text_key())
-    return own.join(small.withColumnRenamed("key", "_text_key"), "_text_key", "left").select(
-        *[F.col(f"`{c}`") for c in rows.columns], curve.probability(a, b).alias("toxic_score"))
+    # the row travels as one value, so that none of its names can clash
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), text_key().alias("key"))
+    return own.join(small, "key", "left").select("_row.*", curve.probability(a, b).alias("toxic_score"))
