@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodica.llm.common import broadcast_if_small
+from episodica.session import materialize
 
 #: Word offsets that a mask looks at.
 MASKS = ((0, 1, 3, 4, 7), (0, 2, 3, 5, 7), (0, 1, 2, 6, 7))
@@ -97,5 +98,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 12, share: flo
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 12, share: float = 0.8) -> DataFrame:
     """``docs`` without the rows whose id has an overlap with the benchmark; rows with null id are kept unless one such row overlaps."""
-    bad = overlaps(docs, benchmark, window, share).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(broadcast_if_small(bad), docs.doc_id.eqNullSafe(F.col("_bad")), "left_anti")
+    bad = materialize(overlaps(docs, benchmark, window, share).select("doc_id").distinct(), "leaks")  # found once
+    return docs.alias("d").join(broadcast_if_small(bad).alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")), "left_anti")

@@ -116,6 +116,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mix itself: ``docs`` with each row as often as it is taken (see ``mix``)."""
     _, found = limits(docs, weights, share, most)
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    taken = _with_hash(docs, names).join(broadcast_if_small(found), "_src").withColumn("_copies", _copies()).filter("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    # the row travels as one value, so that none of its names can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), hash60(F.col("doc_id"), F.col("text")).alias("_h"), _source_key().alias("_src"))
+    taken = rows.join(broadcast_if_small(found), "_src").withColumn("_copies", _copies()).filter("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

@@ -550,3 +550,69 @@ def test_pipeline_stages(spark):
     assert set(docs.columns) < set(out.columns) and out.count() > 0
     brute = brute_groups([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
     assert groups == {i: c for i, (_, c) in brute.items()}
+
+
+@pytest.mark.parametrize("tile", [16])
+def test_groups_of_many_sets_that_share_grams_without_being_similar(spark, monkeypatch, tile):
+    """300 texts around one passage: most lie just below the threshold, some pairs just above it."""
+    monkeypatch.setattr(op5_join, "TILE", tile)
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for k in range(300):
+        own = list(passage)
+        for _ in range(rng.choice([2, 2, 3, 4])):
+            own[rng.randrange(40)] = f"x{rng.randrange(4000)}"
+        texts.append(own)
+    texts += [t + ["tail"] for t in texts[:8]]
+    sets = [{tuple(t[i:i + 3]) for i in range(len(t) - 2)} for t in texts]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    docs = documents(spark, [(k, " ".join(t), "en", "s") for k, t in enumerate(texts)])
+    got = {r.doc_id: r.component_id for r in op5_join.similar_groups(docs, n=3, percent=80).collect()}
+    assert got == {k: find(k) for k in range(len(texts))}
+    assert 30 < len(set(got.values())) < 300
+
+
+def test_document_sums_against_brute_force(spark, monkeypatch):
+    """Scores of words added up text by text; splits are small here, copies and texts without words included."""
+    monkeypatch.setattr(op2_toxicity, "SPLIT", 60)
+    rng = random.Random(12)
+    texts = [words(rng, rng.choice([1, 4, 40]), 30).replace("w", "wort").translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(60)]
+    texts += texts[:5] + ["", "12 !!", None]
+    known = {w: rng.gauss(0, 3) for t in texts[:40] for w in t.split() if rng.random() < 0.7}
+    scores = spark.createDataFrame(list(known.items()), "word string, ratio double").select(F.xxhash64("word").alias("word_key"), "ratio")
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    got = {bytes(r.key): (r.a, r.b) for r in op2_toxicity.features(docs, scores).collect()}
+    import hashlib
+    want = {}
+    for t in texts:
+        if t and t.split()[0].isalpha():
+            own = [known.get(w, 0.0) for w in t.split()]
+            want[hashlib.md5(t.encode()).digest()] = (sum(own) / len(own), sum(max(x - 2, 0) for x in own) / len(own))
+    assert set(got) == set(want)
+    for key, (a, b) in want.items():
+        assert got[key] == (pytest.approx(a), pytest.approx(b))
+
+
+def test_columns_with_the_names_that_operators_use(spark):
+    """Extra columns called as the operators' own ones pass through unchanged."""
+    names = ["a", "b", "key", "_row", "target", "source_size", "_h", "_src", "_limit", "_gone", "_bad", "_copies", "x", "d"]
+    base = documents(spark, [(i, " ".join(f"word{chr(97 + i)}{j}" for j in range(30)), "en", "s") for i in range(10)]).drop("_key", "shard", "root", "grams", "copies")
+    docs = base.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id bigint, toxic int")
+    items = spark.createDataFrame([(1, " ".join(f"wordc{j}" for j in range(20)))], "item_id bigint, text string")
+    outputs = {"toxicity": op2_toxicity.score_toxicity(docs, labels).drop("toxic_score"), "copies": op5_join.keep_first(docs), "leaks": op10_decontaminate.decontaminate(docs, items),
+               "mix": op3_mix.mixed(docs)}
+    for name, out in outputs.items():
+        assert out.columns == docs.columns, name
+        assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()}, name
+    assert outputs["leaks"].count() == 9 and outputs["copies"].count() == 10
