@@ -2,9 +2,10 @@
 
 Both classes have discounted counts of their own for n-grams of the highest order and back off to one Kneser-Ney model of
 the pooled counts, so an expression that is rare in both says nothing. All n-grams stay in Spark tables: continuation counts and
-both classes' log-probabilities are found there by grouping, distinct words get their scores by a join with them, and documents
-by a join with the words. A document is judged by the difference of its toxic and ordinary log-likelihood per word, turned
-into a probability by a logistic curve that is fitted on labelled documents that no count has seen.
+both classes' log-probabilities are found there by grouping. Distinct words get their scores in splits of neighbours that meet
+their distinct n-grams, documents in splits of texts that meet their distinct words. A document is judged by the difference of
+its toxic and ordinary log-likelihood per word, turned into a probability by a logistic curve that is fitted on labelled
+documents that no count has seen.
 """
 
 from __future__ import annotations
@@ -28,10 +29,8 @@ RARE = 5
 CALIBRATION = 10_000
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 100_000
-#: Characters of a split of texts, about; copies of the scores of n-grams that start a word.
-SPLIT, SALTS = 4_000_000, 16
-#: Rows of a batch that goes back to Spark, about.
-BATCH = 50_000
+#: Characters of a split of texts and n-grams of a split of words, about.
+SPLIT, SPELT = 4_000_000, 1_000_000
 
 
 def _word_rows(words: dict[str, list[int]]) -> pa.RecordBatch:
@@ -57,26 +56,58 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _word_rows(held)
 
 
-def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The n-grams of the highest order of each word, which has marks in front and one behind."""
+def _spelt(words: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The n-grams of the highest order of each word, which has marks in front and one behind: numbers of all n-grams in
+    order, the distinct ones by number, the first place of each word."""
+    numbers: dict[str, int] = {}
+    found: list[int] = []
+    first = np.zeros(len(words), np.int64)
+    for at, word in enumerate(words):
+        whole = "\x02" * (ORDER - 1) + word + "\x03"
+        first[at] = len(found)
+        found += [numbers.setdefault(whole[i:i + ORDER], len(numbers)) for i in range(len(word) + 1)]
+    return np.array(found, np.int64), list(numbers), first
+
+
+def _split_spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ordered words in splits of about ``SPELT`` n-grams: a row a split with its words, its distinct n-grams and their counts."""
+    def out() -> pa.RecordBatch:
+        words = [w for part in held for w in part.column("word").to_pylist()]
+        ids, grams, first = _spelt(words)
+        sizes = np.diff(np.append(first, len(ids)))
+        n = [np.bincount(ids, np.repeat(np.concatenate([part.column(c).to_numpy() for part in held]), sizes), len(grams)).astype(np.int64) for c in ("n0", "n1")]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([split], pa.int64()), pa.array([words], pa.list_(pa.string())), pa.array([grams], pa.list_(pa.string())),
+             *[pa.array([x], pa.list_(pa.int64())) for x in n]], ["split", "words", "grams", "n0", "n1"])
+
+    split = TaskContext.get().partitionId() << 32
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        def out() -> pa.RecordBatch:
-            at = pa.array(rows, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *[batch.column(c).take(at) for c in ("key", "n0", "n1")]], ["gram", "key", "n0", "n1"])
-
-        grams: list[str] = []
-        rows: list[int] = []
-        for row, word in enumerate(batch.column("word").to_pylist()):
-            whole = "\x02" * (ORDER - 1) + word + "\x03"
-            for start in range(0, len(word) + 1, BATCH):
-                stop = min(len(word) + 1, start + BATCH)
-                grams += [whole[i:i + ORDER] for i in range(start, stop)]
-                rows += [row] * (stop - start)
-                if len(grams) >= BATCH:
-                    yield out()
-                    grams, rows = [], []
-        if grams:
-            yield out()
+        ends = np.cumsum(np.fromiter((len(w) + 1 for w in batch.column("word").to_pylist()), np.int64, batch.num_rows))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = min(batch.num_rows, int(np.searchsorted(ends, before + SPELT - size)) + 1)
+            held.append(batch.slice(at, stop - at))
+            size += int(ends[stop - 1] - before)
+            at = stop
+            if size >= SPELT:
+                yield out()
+                split, held, size = split + 1, [], 0
+    if held:
+        yield out()
+
+
+def _sum_words(spelt: pa.Table, known: pa.Table) -> pa.Table:
+    """``word, ratio`` of one split's words from the scores of its n-grams; words without a scored n-gram are left out."""
+    words = [w for part in spelt["words"].to_pylist() for w in part]
+    ids, grams, first = _spelt(words)
+    scores = np.zeros(len(grams))
+    scores[known["id"].to_numpy()] = known["seen"].to_numpy()
+    ratio = np.add.reduceat(scores[ids], first)
+    kept = np.flatnonzero(ratio)
+    return pa.table({"word": pa.array(words, pa.string()).take(pa.array(kept)), "ratio": pa.array(ratio[kept], pa.float64())})
 
 
 def _packed(ids: np.ndarray, n: np.ndarray) -> bytes:
@@ -189,17 +220,17 @@ def word_scores(rows: DataFrame) -> DataFrame | None:
 
     An n-gram that was never counted has 0, as both classes leave it to the shared model."""
     counted = rows.filter("text is not null").select("text", "label").mapInArrow(_count, "word string, n0 bigint, n1 bigint")
-    words = materialize(counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).withColumn("key", F.xxhash64("word")), "words")
-    spelled = "gram string, key bigint, n0 bigint, n1 bigint"
-    grams = materialize(words.filter("n0 + n1 > 0").mapInArrow(_spell, spelled).groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
+    words = materialize(counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "words")
+    # neighbours in order share most of their n-grams, so a split has few of them, and each meets the scores once
+    spelt = materialize(words.repartitionByRange("word").sortWithinPartitions("word").mapInArrow(
+        _split_spelling, "split bigint, words array<string>, grams array<string>, n0 array<bigint>, n1 array<bigint>"), "spelling")
+    each = spelt.select(F.explode(F.arrays_zip("grams", "n0", "n1")).alias("_g")).select(F.col("_g.grams").alias("gram"), "_g.n0", "_g.n1")
+    grams = materialize(each.filter("n0 + n1 > 0").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
     if not all(grams.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()):
         return None
-    # the first n-gram of a word has one letter behind its marks; so few n-grams for so many words are dealt out by salts
-    front = F.col("gram").startswith("\x02" * (ORDER - 1))
-    scored = gram_scores(grams).withColumn("_salt", F.explode(F.when(front, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    spelt = words.mapInArrow(_spell, spelled).select("gram", "key", F.when(front, F.pmod("key", F.lit(SALTS)).cast("int")).otherwise(F.lit(0)).alias("_salt"))
-    seen = spelt.join(scored, ["gram", "_salt"])
-    return materialize(seen.groupBy(F.col("key").alias("word_key")).agg(F.sum("seen").alias("ratio")), "word_scores")
+    seen = spelt.select(F.col("split").alias("_split"), F.posexplode("grams").alias("id", "gram")).join(gram_scores(grams), "gram").select("_split", "id", "seen")
+    summed = spelt.select("split", "words").groupBy("split").cogroup(seen.groupBy("_split")).applyInArrow(_sum_words, "word string, ratio double")
+    return materialize(summed.select(F.xxhash64("word").alias("word_key"), "ratio"), "word_scores")
 
 
 def text_key() -> Column:
