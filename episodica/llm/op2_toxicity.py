@@ -11,6 +11,7 @@ documents that no count has seen.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,9 @@ CALIBRATION = 10_000
 HELD_WORDS = 100_000
 #: Characters of a split of texts and n-grams of a split of words, about.
 SPLIT, SPELT = 4_000_000, 1_000_000
+#: Buckets of words, at least; a bucket has the words of about ``SPLIT`` characters, those of each split once.
+BUCKETS = 512
+_CODEC = pa.Codec("zstd")
 
 
 def _word_rows(words: dict[str, list[int]]) -> pa.RecordBatch:
@@ -110,39 +114,69 @@ def _sum_words(spelt: pa.Table, known: pa.Table) -> pa.Table:
     return pa.table({"word": pa.array(words, pa.string()).take(pa.array(kept)), "ratio": pa.array(ratio[kept], pa.float64())})
 
 
-def _packed(ids: np.ndarray, n: np.ndarray) -> bytes:
-    """Word numbers and counts of a document, byte by byte: the high bytes are mostly zero and pack well."""
-    return np.concatenate((ids, n)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _zip(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + _CODEC.compress(data, asbytes=True)
 
 
-def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(body, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
-    return both[:len(both) // 2], both[len(both) // 2:].astype(np.float64)
+def _unzip(body: bytes) -> bytes:
+    return _CODEC.decompress(body[4:], int.from_bytes(body[:4], "little"), asbytes=True)
 
 
-def _split_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts in splits of about ``SPLIT`` characters: a row a text with numbered words, the first row of a split lists them."""
-    split = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        keys = batch.column("key")
-        for at, counts in groups(batch.column("text").to_pylist(), SPLIT):
-            numbers: dict[str, int] = {}
-            bodies = [_packed(np.array([numbers.setdefault(w, len(numbers)) for w in c], np.int64), np.array(list(c.values()), np.int64)) for c in counts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([split] * len(counts), pa.int64()), keys.slice(at, len(counts)), pa.array(bodies, pa.binary()),
-                 pa.array([list(numbers)] + [None] * (len(counts) - 1), pa.list_(pa.string()))], ["split", "key", "body", "words"])
-            split += 1
+def _packed(ids: np.ndarray, n: np.ndarray) -> bytes:
+    """Word numbers and counts of a document: the gaps between ascending numbers, then the counts, byte by byte."""
+    order = np.argsort(ids)
+    both = np.concatenate((np.diff(ids[order], prepend=0), n[order])).astype("<u4")
+    return _zip(both.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(_unzip(body), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    return np.cumsum(both[:len(both) // 2]), both[len(both) // 2:].astype(np.float64)
+
+
+def _splitter(buckets: int):
+    """Texts in splits of about ``SPLIT`` characters: a row a text with numbered words, a row for the words of each bucket.
+
+    Words are numbered by bucket, so those of a bucket are a run that starts at number ``at``."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            keys = batch.column("key")
+            for start, counts in groups(batch.column("text").to_pylist(), SPLIT):
+                words = sorted(set().union(*counts))
+                bucket = np.fromiter((crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+                order = np.argsort(bucket, kind="stable")
+                words = [words[i] for i in order]
+                numbers = dict(zip(words, range(len(words))))
+                found, at = np.unique(bucket[order], return_index=True)
+                runs = [_zip("\n".join(words[i:j]).encode()) for i, j in zip(at, np.append(at[1:], len(words)))]
+                bodies = [_packed(np.fromiter((numbers[w] for w in c), np.int64, len(c)), np.fromiter(c.values(), np.int64, len(c))) for c in counts]
+                texts, pieces = len(counts), len(runs)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([split] * (texts + pieces), pa.int64()), pa.array(keys.slice(start, texts).to_pylist() + [None] * pieces, pa.binary()),
+                     pa.array(bodies + runs, pa.binary()), pa.array([None] * texts + found.tolist(), pa.int32()),
+                     pa.array([None] * texts + at.tolist(), pa.int64())], ["split", "key", "body", "bucket", "at"])
+                split += 1
+    return cut
+
+
+def _look_up(runs: pa.Table, known: pa.Table) -> pa.Table:
+    """The scores of the words of each run, one bucket at a time; words without a score have 0."""
+    scores = dict(zip(known["word"].to_pylist(), known["ratio"].to_pylist()))
+    bodies = []
+    for body in runs["body"].to_pylist():
+        words = _unzip(body).decode().split("\n")
+        bodies.append(np.fromiter((scores.get(w, 0.0) for w in words), "<f4", len(words)).tobytes())
+    return pa.table({"split": runs["split"], "at": runs["at"], "ratios": pa.array(bodies, pa.binary())})
 
 
 def _sum_split(texts: pa.Table, known: pa.Table) -> pa.Table:
-    """``key, a, b`` of the texts of one split from the scores of its words; words without a score have 0."""
-    entries = known["known"].combine_chunks().flatten() if known.num_rows else None
-    ids, ratio = (entries.field(f).to_numpy() for f in ("id", "ratio")) if entries is not None else (np.zeros(0, np.int64), np.zeros(0))
-    bodies = [_unpacked(body) for body in texts["body"].to_pylist()]
-    scores = np.zeros(max([int(ids.max(initial=-1)), *(int(w.max(initial=0)) for w, _ in bodies)]) + 1)
-    scores[ids] = ratio
+    """``key, a, b`` of the texts of one split from the scores of its words."""
+    runs = sorted(zip(known["at"].to_pylist(), known["ratios"].to_pylist()))
+    scores = np.frombuffer(b"".join(r for _, r in runs), "<f4").astype(np.float64)
     out = [[], [], []]
-    for key, (words, n) in zip(texts["key"].to_pylist(), bodies):
+    for key, body in zip(texts["key"].to_pylist(), texts["body"].to_pylist()):
+        words, n = _unpacked(body)
         if len(words):
             own, all_ = scores[words], n.sum()
             for column, value in zip(out, (key, float(own @ n / all_), float(np.maximum(own - 2.0, 0.0) @ n / all_))):
@@ -216,7 +250,7 @@ class Curve:
 
 
 def word_scores(rows: DataFrame) -> DataFrame | None:
-    """``word_key, ratio`` of all words of ``rows`` (``text, label``), learned from those with a label; None if a class has no words.
+    """``word, ratio`` of all words of ``rows`` (``text, label``), learned from those with a label; None if a class has no words.
 
     An n-gram that was never counted has 0, as both classes leave it to the shared model."""
     counted = rows.filter("text is not null").select("text", "label").mapInArrow(_count, "word string, n0 bigint, n1 bigint")
@@ -230,7 +264,7 @@ def word_scores(rows: DataFrame) -> DataFrame | None:
         return None
     seen = spelt.select(F.col("split").alias("_split"), F.posexplode("grams").alias("id", "gram")).join(gram_scores(grams), "gram").select("_split", "id", "seen")
     summed = spelt.select("split", "words").groupBy("split").cogroup(seen.groupBy("_split")).applyInArrow(_sum_words, "word string, ratio double")
-    return materialize(summed.select(F.xxhash64("word").alias("word_key"), "ratio"), "word_scores")
+    return materialize(summed, "word_scores")
 
 
 def text_key() -> Column:
@@ -240,16 +274,17 @@ def text_key() -> Column:
 def features(docs: DataFrame, scores: DataFrame) -> DataFrame:
     """``key, a, b`` per distinct text with letters: log-likelihood difference per word, and the part of it that clearly toxic words give.
 
-    Texts are read once into splits. The distinct words of a split meet the scores, and the texts of a split meet its words
-    again in one task; so rows grow with the words of the splits, not with those of every text.
+    Texts are read once into splits. The distinct words of a split meet the scores bucket by bucket, in single precision, and
+    its texts meet its words again in one task; so data grow with the words of the splits, not with those of every text.
     """
     texts = docs.filter("text is not null").select(text_key().alias("key"), "text")
-    split = materialize(texts.mapInArrow(_split_words, "split bigint, key binary, body binary, words array<string>"), "document_words")
-    words = split.filter("words is not null").select("split", F.posexplode("words").alias("id", "word"))
-    scored = words.select("split", "id", F.xxhash64("word").alias("word_key")).join(broadcast_if_small(scores), "word_key")
-    # at most the words of one split
-    known = scored.groupBy(F.col("split").alias("_split")).agg(F.collect_list(F.struct("id", "ratio")).alias("known"))
-    sums = split.select("split", "key", "body").groupBy("split").cogroup(known.groupBy("_split")).applyInArrow(_sum_split, "key binary, a double, b double")
+    buckets = max(BUCKETS, int(texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // SPLIT)
+    split = materialize(texts.mapInArrow(_splitter(buckets), "split bigint, key binary, body binary, bucket int, at bigint"), "document_words")
+    runs = split.filter("bucket is not null").select("split", "body", "bucket", "at")
+    dealt = scores.select("word", F.col("ratio").cast("float").alias("ratio"), (F.crc32(F.encode("word", "UTF-8")) % buckets).cast("int").alias("_bucket"))
+    known = runs.groupBy("bucket").cogroup(dealt.groupBy("_bucket")).applyInArrow(_look_up, "split bigint, at bigint, ratios binary")
+    bodies = split.filter("bucket is null").select(F.col("split").alias("_split"), "key", "body")
+    sums = bodies.groupBy("_split").cogroup(known.groupBy("split")).applyInArrow(_sum_split, "key binary, a double, b double")
     return sums.groupBy("key").agg(F.first("a").alias("a"), F.first("b").alias("b"))  # equal texts have equal sums
 
 

@@ -588,8 +588,8 @@ def test_document_sums_against_brute_force(spark, monkeypatch):
     rng = random.Random(12)
     texts = [words(rng, rng.choice([1, 4, 40]), 30).replace("w", "wort").translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(60)]
     texts += texts[:5] + ["", "12 !!", None]
-    known = {w: rng.gauss(0, 3) for t in texts[:40] for w in t.split() if rng.random() < 0.7}
-    scores = spark.createDataFrame(list(known.items()), "word string, ratio double").select(F.xxhash64("word").alias("word_key"), "ratio")
+    known = {w: float(np.float32(rng.gauss(0, 3))) for t in texts[:40] for w in t.split() if rng.random() < 0.7}
+    scores = spark.createDataFrame(list(known.items()), "word string, ratio double")
     docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
     got = {bytes(r.key): (r.a, r.b) for r in op2_toxicity.features(docs, scores).collect()}
     import hashlib
@@ -603,6 +603,29 @@ def test_document_sums_against_brute_force(spark, monkeypatch):
         assert got[key] == (pytest.approx(a), pytest.approx(b))
 
 
+def test_word_scores_against_their_grams(spark, monkeypatch):
+    """Splits of a few words give each word the sum over its n-grams, very long words and words of no label included."""
+    monkeypatch.setattr(op2_toxicity, "SPELT", 50)
+    rng = random.Random(21)
+    order = op2_toxicity.ORDER
+    rows = [(" ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(12)), rng.choice([0, 1, None])) for _ in range(60)]
+    rows += [("ab" * 5000, 1), ("zzzzz", None), ("", 0), (None, 1)]
+
+    def spelt(word):
+        whole = "\x02" * (order - 1) + word + "\x03"
+        return [whole[i:i + order] for i in range(len(word) + 1)]
+    counts = {}
+    for text, label in rows:
+        for g in (g for w in (text or "").split() for g in spelt(w) if label is not None):
+            counts.setdefault(g, [0, 0])[label] += 1
+    seen = {r.gram: r.seen for r in op2_toxicity.gram_scores(spark.createDataFrame([(g, *n) for g, n in counts.items()], "gram string, n0 bigint, n1 bigint")).collect()}
+    got = {r.word: r.ratio for r in op2_toxicity.word_scores(spark.createDataFrame(rows, "text string, label int")).collect()}
+    every = {w for text, _ in rows for w in (text or "").split()}
+    assert set(got) <= every and "zzzzz" in every
+    for w in every:
+        assert got.get(w, 0.0) == pytest.approx(sum(seen.get(g, 0.0) for g in spelt(w)), abs=1e-9)
+
+
 def test_columns_with_the_names_that_operators_use(spark):
     """Extra columns called as the operators' own ones pass through unchanged."""
     names = ["a", "b", "key", "_row", "target", "source_size", "_h", "_src", "_limit", "_gone", "_bad", "_copies", "x", "d"]
