@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -21,6 +23,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def local_uri(spark: SparkSession, path: str) -> str | None:
+    """``path`` as a ``file`` URI where it lies on a mounted folder; None on any other file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toUri()
+    return Path(uri.getPath()).as_uri() if uri.getScheme() == "file" else None
+
+
+def new_folder(spark: SparkSession, path: str) -> None:
+    if exists(spark, path):
+        raise FileExistsError(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def commit_names(spark: SparkSession, root: str, shard: str = "file", digits: int = 3) -> int:
     """Move finished task files below ``data/chunk=C/<shard>=F`` to ``data/chunk-CCC/<shard><sep>FFF.parquet``; how many.
 

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from episodica.functions import language as rules
 from episodica.operators.series import EPISODE, attach, with_offsets
 from episodica.operators.stats import STATISTICS
-from episodica.sources.files import commit_names, write_document
+from episodica.sources.files import commit_names, local_uri, new_folder, remove, write_document
 
 FILES_PER_CHUNK = 1000
 ROWS_PER_TASK = 1_000_000
+ROWS_PER_GROUP = 100_000
+PLACE = ["_chunk", "_episode", "_nth"]
+ROW_METADATA = "org.apache.spark.sql.parquet.row.metadata"  # column types, as Spark's own writer leaves them
 INTERNAL = ("dataset_id", "_file", "_row", "source_episode_index", "source_frame_index", "source_ord", "copy")
 
 
@@ -49,15 +57,88 @@ def write_frames(frames: DataFrame, shards: DataFrame, root: str) -> None:
 
 
 def write_frames_v2(frames: DataFrame, root: str, chunks_size: int = 1000) -> None:
-    """One file ``data/chunk-CCC/episode_EEEEEE.parquet`` per episode. Language columns cannot be stored in this layout."""
+    """One file ``data/chunk-CCC/episode_EEEEEE.parquet`` per episode. Language columns cannot be stored in this layout.
+
+    On a shared folder the tasks write the files under their exact names, several hundred a second and core. Other Hadoop
+    file systems get them from Spark's writer, which the driver then renames one by one.
+    """
     nested = [c for c in (rules.PERSISTENT, rules.EVENTS) if c in frames.columns]
     if nested:
         raise ValueError(f"language features cannot be written to layout v2: {nested}")
-    part = F.floor(F.col("frame_index") / ROWS_PER_TASK)
+    # rows without a frame number come first
+    part = F.coalesce(F.floor(F.col("frame_index") / ROWS_PER_TASK), F.lit(0).cast("bigint"))
     rows = frames.withColumn("_part", part).repartitionByRange("episode_index", "_part").sortWithinPartitions("episode_index", "frame_index")
-    rows.select(*_stored(frames), F.floor(F.col("episode_index") / chunks_size).alias("chunk"), F.col("episode_index").alias("episode")).write.partitionBy(
-        "chunk", "episode").parquet(f"{root}/data")
-    commit_names(frames.sparkSession, root, "episode", 6)
+    target = local_uri(frames.sparkSession, f"{root}/data")
+    if target is None:
+        rows.select(*_stored(frames), F.floor(F.col("episode_index") / chunks_size).alias("chunk"), F.col("episode_index").alias("episode")).write.partitionBy(
+            "chunk", "episode").parquet(f"{root}/data")
+        commit_names(frames.sparkSession, root, "episode", 6)
+        return
+    new_folder(frames.sparkSession, f"{root}/data")
+    # parts of an episode are numbered without gaps, as their files are
+    parts = frames.select("episode_index", part.alias("_part")).distinct()
+    place = Window.partitionBy("episode_index").orderBy("_part")
+    moved = parts.withColumn("_nth", F.row_number().over(place) - 1).filter("_nth <> _part")
+    nth = F.col("_part")
+    if not moved.isEmpty():
+        rows = frames.withColumn("_part", part).join(moved, ["episode_index", "_part"], "left").repartitionByRange(
+            "episode_index", "_part").sortWithinPartitions("episode_index", "frame_index")
+        nth = F.coalesce("_nth", "_part")
+    placed = rows.select(F.floor(F.col("episode_index") / chunks_size).alias("_chunk"), F.col("episode_index").alias("_episode"), nth.alias("_nth"), F.struct(*_stored(frames)).alias("_row"))
+    files = placed.mapInArrow(_episode_files(target, placed.schema["_row"].dataType.json()), "files bigint")
+    files.agg(F.sum("files")).collect()
+    remove(frames.sparkSession, f"{root}/data/_temporary")
+    write_document(frames.sparkSession, f"{root}/data/_SUCCESS", "")
+
+
+def _episode_files(target: str, schema: str):
+    """Task that writes its sorted rows as one file per episode and part.
+
+    A file is written below ``_temporary`` and gets its exact name when it is whole, so a task that runs again replaces it.
+    """
+    def write(batches):
+        system, base = fs.FileSystem.from_uri(target)
+        scratch = f"{base}/_temporary/{uuid.uuid4().hex}.parquet"
+        system.create_dir(f"{base}/_temporary")
+        made: set[int] = set()
+        place, waiting, out, done = None, [], None, 0
+
+        def put():
+            nonlocal out, waiting
+            rows = pa.Table.from_batches(waiting).replace_schema_metadata({ROW_METADATA: schema})
+            out = out or pq.ParquetWriter(scratch, rows.schema, filesystem=system)
+            out.write_table(rows)
+            waiting = []
+
+        def finish():
+            nonlocal out, done
+            if waiting:
+                put()
+            out.close()
+            chunk, episode, nth = place
+            if chunk not in made:
+                system.create_dir(f"{base}/chunk-{chunk:03d}")
+                made.add(chunk)
+            system.move(scratch, f"{base}/chunk-{chunk:03d}/episode_{episode:06d}{f'-{nth}' if nth else ''}.parquet")
+            out, done = None, done + 1
+
+        for batch in batches:
+            rows = pa.RecordBatch.from_struct_array(batch.column("_row"))
+            keys = [batch.column(c).to_pylist() for c in PLACE]
+            start = 0
+            for key, same in itertools.groupby(zip(*keys, strict=True)):
+                if place is not None and key != place:
+                    finish()
+                place, stop = key, start + sum(1 for _ in same)
+                waiting.append(rows.slice(start, stop - start))
+                if sum(w.num_rows for w in waiting) >= ROWS_PER_GROUP:
+                    put()
+                start = stop
+        if place is not None:
+            finish()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([done], pa.int64())})
+
+    return write
 
 
 def write_tasks(tasks: DataFrame, root: str, layout: str = "v3") -> None:

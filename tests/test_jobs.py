@@ -225,3 +225,30 @@ def test_file_names_after_a_failed_commit(spark, tmp_path):
     assert commit_names(spark, root) == 0
     assert sorted(str(p.relative_to(root)) for p in tmp_path.rglob("*.parquet")) == [f"data/chunk-00{c}/file-00{f}.parquet" for c, f in ((0, 0), (0, 1), (1, 2), (1, 3))]
     assert [r.id for r in spark.read.parquet(f"{root}/data/chunk-001/file-002.parquet").collect()] == [2]
+
+
+def test_layout_v2_files_are_named_by_the_tasks(spark, tmp_path, monkeypatch):
+    from episodica.sources import readers, writers
+    monkeypatch.setattr(writers, "ROWS_PER_TASK", 4)
+    monkeypatch.setattr(writers, "ROWS_PER_GROUP", 3)
+
+    def no_renames(*_):
+        raise AssertionError("the driver renames one file after the other")
+    monkeypatch.setattr(writers, "commit_names", no_renames)
+    kind = "dataset_id string, episode_index bigint, frame_index bigint, extra struct<a:array<float>,t:timestamp_ntz>, state array<double>, small tinyint"
+    # 1 has parts without a gap, 2 lacks its first two, 3 has frames without a number, 1005 lies in the next chunk
+    numbers = {1: range(10), 2: [8, 9, 17], 3: [None, None, 0, 5], 1005: [0]}
+    rows = [("d", e, n, ([e / 2, None], None), [float(e), float(n or 0)], e % 100) for e, ns in numbers.items() for n in ns]
+    frames = spark.createDataFrame(rows, kind).repartition(3)
+    writers.write_frames_v2(frames, str(tmp_path))
+    names = [f"chunk-000/episode_{n}.parquet" for n in ("000001-1", "000001-2", "000001", "000002-1", "000002", "000003-1", "000003")] + ["chunk-001/episode_001005.parquet"]
+    assert sorted(str(p.relative_to(tmp_path / "data")) for p in (tmp_path / "data").rglob("*.parquet")) == names
+    assert not (tmp_path / "data/_temporary").exists() and (tmp_path / "data/_SUCCESS").exists()
+    back = readers.scan_frames(spark, str(tmp_path), "d")
+    assert back.drop("_file", "_row").schema.simpleString() == frames.schema.simpleString()
+    assert sorted(map(str, back.drop("_file", "_row").collect())) == sorted(map(str, frames.collect()))
+    part = lambda n: [r.frame_index for r in spark.read.parquet(f"{tmp_path}/data/chunk-000/episode_{n}.parquet").collect()]
+    assert (part("000001"), part("000001-1"), part("000001-2")) == ([0, 1, 2, 3], [4, 5, 6, 7], [8, 9])
+    assert (part("000002"), part("000002-1"), part("000003")) == ([8, 9], [17], [None, None, 0])
+    with pytest.raises(FileExistsError):
+        writers.write_frames_v2(frames, str(tmp_path))
