@@ -17,6 +17,7 @@ from episodica.operators.series import EPISODE, attach, block_of, deltas, episod
 from episodica.session import materialize
 
 DISCRETE_VALUES = 4
+RANGE_BLOCK = 65536
 ACTIVITY_SHARE = 0.001
 VELOCITY_BINS = 30
 LAG_BLOCK = 1024
@@ -125,15 +126,17 @@ def lowest_movement(scores: DataFrame, count: int = 10) -> DataFrame:
 def motor_ranges(frames: DataFrame, feature: str = "action") -> DataFrame:
     """Range per dimension (0 becomes 1) and whether it takes at most four distinct values.
 
-    Each block hands on at most five distinct values, enough to tell four from more.
+    Blocks are rows that a task reads one after the other, so short episodes share one. Each block hands on at most five
+    distinct values of a dimension, enough to tell four from more.
     """
-    values = to_values(frames, [feature]).withColumn("_blk", block_of("frame_index"))
-    blocks = values.groupBy(*EPISODE, "_blk", "dim").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.slice(F.collect_set("value"), 1, DISCRETE_VALUES + 1).alias("_some"))
-    ranges = blocks.groupBy("dim").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    few = blocks.select("dim", F.explode("_some").alias("_x")).distinct().groupBy("dim").agg(F.count("*").alias("_k"))
+    values = to_values(frames, [feature]).withColumn("_blk", F.floor(F.monotonically_increasing_id() / RANGE_BLOCK))
+    some = F.array_distinct(F.collect_set(F.col("value") + F.lit(0.0)))  # 0 and -0 are one value, and so are all NaN
+    blocks = values.groupBy("_blk", "dim").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.slice(some, 1, DISCRETE_VALUES + 1).alias("_some"))
+    seen = blocks.select("dim", "lo", "hi", F.explode("_some").alias("_x")).groupBy("dim", "_x").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    ranges = seen.groupBy("dim").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("_k"))
     width = F.col("hi") - F.col("lo")
-    return ranges.join(few, "dim").select(
+    return ranges.select(
         "dim", F.when(width == 0, F.lit(1.0)).otherwise(width).alias("motor_range"),
         (F.col("_k") <= DISCRETE_VALUES).alias("discrete"))
 

@@ -149,3 +149,18 @@ def test_series_min_max_skips_infinities(spark):
     rows = [("p", v) for v in (1.23456789, 0.1, float("inf"), float("nan"))]
     row = column_min_max(spark.createDataFrame(rows, "series string, value double")).first()
     assert (row["min"], row["max"]) == (0.1, 1.235)
+
+
+def test_motor_ranges_of_short_episodes_meet_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(ins, "RANGE_BLOCK", 8)
+    nan = float("nan")
+    few, many = [0.0, -0.0, 1.0, 2.0, 3.0, nan], [0.0, -0.0, 1.0, 2.0, 3.0, 4.0]
+    for values, discrete in ((few[:5] * 4, True), ([nan, nan, nan, nan, nan, *few], False), (many * 3, False), ([7.0] * 9, True)):
+        frames = make_frames(spark, [([[x]], [[x]]) for x in values])
+        found = ins.motor_ranges(frames)
+        row = found.first()
+        assert row.discrete == discrete, values
+        assert row.motor_range == pytest.approx(max(values) - min(values) or 1.0, nan_ok=True) or nan in values
+    assert "hashpartitioning(dataset_id" not in found._jdf.queryExecution().executedPlan().toString()
+    none = spark.createDataFrame([("d", 0, 0, [None, 1.0])], "dataset_id string, episode_index bigint, frame_index bigint, action array<double>")
+    assert [(r.dim, r.motor_range, r.discrete) for r in ins.motor_ranges(none).collect()] == [(1, 1.0, True)]
