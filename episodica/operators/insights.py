@@ -100,13 +100,21 @@ def longest(episodes: DataFrame, fps: float, count: int = 5) -> DataFrame:
 
 
 def cross_variance(frames: DataFrame, feature: str = "action", bins: int = 50) -> DataFrame:
-    """Variance across episodes at ``bins`` points of relative time. The join key is (episode, frame): no hot key."""
-    picks = episode_lengths(frames).select(
-        *EPISODE, "length", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    at = F.least(round_half_up(F.col("bin") / F.lit(float(bins - 1)) * (F.col("length") - 1)), F.col("length") - 1)
-    picks = picks.select(*EPISODE, "bin", at.cast("bigint").alias("frame_index"))
-    values = frames.select(*EPISODE, "frame_index", feature).join(picks, [*EPISODE, "frame_index"]).select(
-        "bin", F.posexplode(feature).alias("dim", "value"))
+    """Variance across episodes at ``bins`` points of relative time.
+
+    Each frame finds the bins that pick it, those near its own relative time; bins are never listed for a join.
+    """
+    last = F.col("length") - 1
+    share = F.lit(float(bins - 1))
+    rows = attach(frames.select(*EPISODE, "frame_index", feature), episode_lengths(frames)).withColumn("_at", F.col("frame_index") / F.greatest(last, F.lit(1)) * share)
+    # half a frame on either side, and one bin more for rounding; an episode of one frame is picked by every bin
+    reach = F.ceil(share / F.greatest(last, F.lit(1))) + 1
+    low = F.greatest(F.floor("_at") - reach, F.lit(0).cast("bigint")).cast("int")
+    high = F.least(F.ceil("_at") + reach, F.lit(bins - 1).cast("bigint")).cast("int")
+    near = F.when(low <= high, F.sequence(low, high))
+    at = lambda b: F.least(round_half_up(b / share * last), last).cast("bigint")
+    picked = rows.select(feature, F.explode(F.filter(near, lambda b: at(b) == F.col("frame_index"))).alias("bin"))
+    values = picked.select("bin", F.posexplode(feature).alias("dim", "value"))
     # var_pop of a single value is 0, the value wanted for fewer than two episodes
     return values.groupBy("bin", "dim").agg(F.var_pop(F.col("value").cast("double")).alias("variance"))
 

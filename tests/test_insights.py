@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from episodica.operators import insights as ins
 from tests.conftest import make_frames
@@ -164,3 +165,20 @@ def test_motor_ranges_of_short_episodes_meet_by_rows(spark, monkeypatch):
     assert "hashpartitioning(dataset_id" not in found._jdf.queryExecution().executedPlan().toString()
     none = spark.createDataFrame([("d", 0, 0, [None, 1.0])], "dataset_id string, episode_index bigint, frame_index bigint, action array<double>")
     assert [(r.dim, r.motor_range, r.discrete) for r in ins.motor_ranges(none).collect()] == [(1, 1.0, True)]
+
+
+def test_cross_variance_picks_frames_by_their_own_time(spark):
+    rng = np.random.default_rng(5)
+    lengths = [1, 1, 2, 3, 7, 49, 50, 51, 99, 100, 347]
+    data = [rng.normal(size=(n, 2)) for n in lengths]
+    frames = make_frames(spark, [(x, x) for x in data]).withColumn("action", F.col("action").cast("array<double>"))
+    for bins in (50, 7, 2):
+        found = ins.cross_variance(frames, bins=bins)
+        got = {(r.bin, r.dim): r.variance for r in found.collect()}
+        assert len(got) == 2 * bins
+        for b in range(bins):
+            at = [min(int(np.floor(b / float(bins - 1) * (n - 1) + .5)), n - 1) for n in lengths]
+            want = np.var([x[i] for x, i in zip(data, at, strict=True)], axis=0)
+            assert [got[b, d] for d in range(2)] == pytest.approx(want, abs=1e-6)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("= frame_index" in line or "(frame_index" in line for line in joins)
