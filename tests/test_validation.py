@@ -292,3 +292,28 @@ def test_search_is_literal(spark):
     assert [r.name for r in catalog.search(df, sort="name_desc", limit=1, offset=1).collect()] == ["a_b"]
     with pytest.raises(ValueError):
         catalog.search(df, sort="size")
+
+
+def test_split_ranges_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for d in range(60):
+        cuts = sorted({0, 6, *map(int, rng.integers(0, 7, 3))})
+        ranges = [(a, b) for a, b in zip(cuts, cuts[1:])]
+        for _ in range(d % 3):
+            a, b = map(int, rng.integers(0, 8, 2))
+            ranges[int(rng.integers(0, len(ranges)))] = (a, b)
+        ranges += ranges[:1] if d % 7 == 6 else []
+        rows += [(f"d{d:02d}", 6, f"n{i}", f"{a}:{b}") for i, (a, b) in enumerate(ranges)]
+        good = sorted((a, b) for a, b in ranges if a < b <= 6)
+        want[f"d{d:02d}"] = sorted(
+            [f"range n{i}" for i, (a, b) in enumerate(ranges) if not a < b <= 6]
+            + ["ranges overlap or leave episodes out"] * bool(good and any(a != p for (a, _), p in zip(good, [0, *[b for _, b in good]])))
+            + ["some episodes are in no range"] * (max((b for _, b in good), default=None) != 6))
+    found = v.split_issues(spark.createDataFrame(rows, "dataset_id string, total_episodes bigint, name string, range string").repartition(3))
+    got = {d: [] for d in want}
+    for r in found.collect():
+        got[r.dataset_id].append(r.detail)
+    assert {d: sorted(x) for d, x in got.items()} == want
+    # bounds are not listed as rows of their own
+    assert "min_by" not in found._jdf.queryExecution().optimizedPlan().toString()
