@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 LETTERS = re.compile(r"[^\W\d_]+")
+ASCII_LETTERS = re.compile(r"[a-z]+")  # the same in lower-case ASCII, in about half the time
 PIECE = 1 << 20  # characters of a text taken at a time
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -28,7 +29,8 @@ def word_counts(text: str | None) -> Counter:
         end = start + PIECE
         while end < len(text) and text[end].isalpha():
             end += 1
-        counts.update(LETTERS.findall(text[start:end].lower()))
+        piece = text[start:end].lower()
+        counts.update((ASCII_LETTERS if piece.isascii() else LETTERS).findall(piece))
         start = end
     return counts
 
@@ -47,20 +49,23 @@ class Grams:
         sizes = lengths - (order - 1)
         self.words = np.repeat(np.arange(len(words)), sizes)
         self.first = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+        self.letters = [self.codes[self.ends - k] for k in range(order)]  # those 0, 1, ... letters before each end
 
     def places(self, n: int, back: int = 0) -> np.ndarray:
         """Place of the n-gram that ends ``back`` letters before each end; 0-grams all have place 0."""
         value = np.full(len(self.ends), n, np.uint64)
         for k in range(n):
-            value = (value + self.codes[self.ends - back - k]) * _PRIME
+            value += self.letters[back + k]
+            value *= _PRIME
             value ^= value >> np.uint64(29)
         return ((value * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64) if n else np.zeros(len(self.ends), np.int64)
 
 
 def total(places: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct places and the sum of their weights."""
-    keys, inverse = np.unique(places, return_inverse=True)
-    return keys, np.bincount(inverse, weights=weights, minlength=len(keys))
+    """Distinct places and the sum of their weights, which are above zero."""
+    sums = np.bincount(places, weights=weights)
+    keys = np.flatnonzero(sums)
+    return keys, sums[keys]
 
 
 class WordScores:

@@ -67,44 +67,56 @@ class Model:
         grams = Grams(words, ORDER, BITS)
         p = np.full((len(grams.ends), len(self.langs)), 1 / 256.0)
         for n in range(1, ORDER + 1):
-            p = (self.tables[2 * n][grams.places(n)] + PRIOR * p) / (self.tables[2 * n + 1][grams.places(n - 1, 1)] + PRIOR)
-        return np.add.reduceat(np.log(p), grams.first, axis=0)
+            p *= PRIOR
+            p += self.tables[2 * n][grams.places(n)]
+            p /= self.tables[2 * n + 1][grams.places(n - 1, 1)] + PRIOR
+        return np.add.reduceat(np.log(p, out=p), grams.first, axis=0)
 
 
-def _expect(like: np.ndarray, n: np.ndarray, doc: np.ndarray, first: np.ndarray, words: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """EM rounds for many documents at once; returns proportions and log-likelihoods (up to a constant per document)."""
+def _expect(like: np.ndarray, n: np.ndarray, sizes: np.ndarray, first: np.ndarray, words: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """EM rounds for many documents at once; returns proportions and log-likelihoods (up to a constant per document).
+
+    Each language is one run of memory: ``like`` is [language, row], ``share`` [language, document]."""
+    def mixed() -> np.ndarray:
+        out = like[0] * np.repeat(share[0], sizes)
+        for k in range(1, len(like)):
+            out += like[k] * np.repeat(share[k], sizes)
+        return out
+
     for _ in range(rounds):
-        joint = like * share[doc]
-        joint *= (n / joint.sum(1))[:, None]
-        share = np.add.reduceat(joint, first, axis=0) / words[:, None]
-    return share, np.add.reduceat(n * np.log((like * share[doc]).sum(1)), first)
+        weight = n / mixed()
+        share = share * np.stack([np.add.reduceat(own * weight, first) for own in like]) / words
+    return share, np.add.reduceat(n * np.log(mixed()), first)
 
 
 def proportions(log_like: np.ndarray, n: np.ndarray, first: np.ndarray, sizes: np.ndarray, rounds: int = 12) -> np.ndarray:
     """Language proportions of documents given as runs of rows (one per distinct word, seen ``n`` times)."""
-    like = np.exp(np.maximum(log_like - log_like.max(1, keepdims=True), -60.0)) + 1e-30
+    like = np.ascontiguousarray(log_like.T)
+    like -= like.max(0)
+    like = np.exp(np.maximum(like, -60.0, out=like), out=like) + 1e-30
     words = np.add.reduceat(n, first)
-    k = like.shape[1]
-    share, fit = _expect(like, n, np.repeat(np.arange(len(sizes)), sizes), first, words, np.full((len(sizes), k), 1.0 / k), rounds)
+    k = len(like)
+    share, fit = _expect(like, n, sizes, first, words, np.full((k, len(sizes)), 1.0 / k), rounds)
     open_ = np.arange(len(sizes)) if k > 1 else np.zeros(0, np.int64)
-    active = np.ones((len(sizes), k), bool)
+    active = np.ones((k, len(sizes)), bool)
     while len(open_):
-        rows = np.repeat(np.isin(np.arange(len(sizes)), open_), sizes)
-        trial = np.where(active[open_], share[open_], 2.0)
-        drop = trial.argmin(1)
-        less = np.where(active[open_], share[open_], 0.0)
-        less[np.arange(len(open_)), drop] = 0.0
-        less = np.maximum(less, np.where(active[open_], 1e-9, 0.0))
-        less[np.arange(len(open_)), drop] = 0.0
-        less /= less.sum(1, keepdims=True)
+        chosen = np.zeros(len(sizes), bool)
+        chosen[open_] = True
+        rows = np.flatnonzero(np.repeat(chosen, sizes))
+        at = np.arange(len(open_))
+        trial = np.where(active[:, open_], share[:, open_], 2.0)
+        drop = trial.argmin(0)
+        less = np.where(active[:, open_], np.maximum(share[:, open_], 1e-9), 0.0)
+        less[drop, at] = 0.0
+        less /= less.sum(0)
         part = sizes[open_]
-        new, new_fit = _expect(like[rows], n[rows], np.repeat(np.arange(len(open_)), part), np.cumsum(part) - part, words[open_], less, 3)
+        new, new_fit = _expect(like[:, rows], n[rows], part, np.cumsum(part) - part, words[open_], less, 3)
         better = fit[open_] - new_fit < 0.5 * np.log(np.maximum(words[open_], 2))
         chosen = open_[better]
-        share[chosen], fit[chosen] = new[better], new_fit[better]
-        active[chosen, drop[better]] = False
-        open_ = chosen[active[chosen].sum(1) > 1]
-    return np.where(active, share, 0.0)
+        share[:, chosen], fit[chosen] = new[:, better], new_fit[better]
+        active[drop[better], chosen] = False
+        open_ = chosen[active[:, chosen].sum(0) > 1]
+    return np.where(active, share, 0.0).T
 
 
 def train(docs: DataFrame) -> Model | None:

@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from episodica.llm import op1_language, op2_toxicity, op3_mix, op4_html, op5_join, op6_license, op7_shard, op8_fingerprint, op9_lines, op10_decontaminate
+from episodica.llm import charmodel, op1_language, op2_toxicity, op3_mix, op4_html, op5_join, op6_license, op7_shard, op8_fingerprint, op9_lines, op10_decontaminate
 from episodica.llm.components import components
 from tests.oracle_check import compare, connect
 
@@ -37,6 +38,21 @@ def test_query_against_sql(spark, name):
     assert ok, message
 
 
+def test_language_grams_are_counted_without_a_sort(monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("sorted")
+
+    monkeypatch.setattr(np, "unique", refused)
+    found = Counter({"word": 3, "wörd": 2, "w": 1})
+    rows = op1_language._gram_rows("en", found).to_pylist()
+    by_kind = Counter()
+    for r in rows:
+        by_kind[r["kind"]] += r["n"]
+    assert set(by_kind.values()) == {3 * 5 + 2 * 5 + 1 * 2}
+    assert sorted(r["n"] for r in rows if r["kind"] == 2) == [2, 3, 5, 5, 6, 6]
+    assert charmodel.word_counts("Word WORD wörd, w1w") == Counter({"word": 2, "wörd": 1, "w": 2})
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1040)]
