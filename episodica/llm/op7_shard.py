@@ -31,7 +31,7 @@ def scatter(docs: DataFrame, seed: int, bucket_bytes: int) -> DataFrame:
     spread = docs.withColumn("_bucket", F.pmod(row, F.lit(n)).cast("int"))
     name = f"scatter_{uuid.uuid4().hex}"
     (spread.repartition(n, "_bucket").write.bucketBy(n, "_bucket").option("path", new_path(docs.sparkSession, name))
-     .saveAsTable(name))
+     .option("compression", "zstd").saveAsTable(name))
     return docs.sparkSession.table(name)
 
 

@@ -349,6 +349,14 @@ def test_shards_are_even_and_gapless(spark):
     assert op7_shard.shard(documents(spark, [])).collect() == []
 
 
+def test_scattered_rows_are_written_small(spark):
+    rng = random.Random(14)
+    rows = [(i, words(rng, 40), "en", "s") for i in range(400)]
+    files = op7_shard.scatter(documents(spark, rows), 11, 1 << 20).inputFiles()
+    codecs = {pq.ParquetFile(f.removeprefix("file:").replace("//", "/")).metadata.row_group(0).column(1).compression for f in files}
+    assert codecs == {"ZSTD"}
+
+
 # --- fingerprints ---------------------------------------------------------------------------------------------------------
 
 def brute_starts(hashes, k, s, run):
