@@ -30,8 +30,9 @@ def block_of(position: str, size: float | None = None) -> Column:
     return F.floor(F.col(position) / F.lit(size or BLOCK))
 
 
-def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """0-based position of every row inside its key in the given order.
+def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, whole: str | None = None) -> DataFrame:
+    """0-based position of every row inside its key in the given order, and with ``whole`` its place among all rows in the
+    order of keys and ``order``. Rows with a NULL key are left out.
 
     A range sort spreads even one hot key over many partitions; each row number is its place in the
     partition plus the rows of its key in earlier partitions. The sorted rows are written once, because
@@ -39,7 +40,7 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
     """
     keys = list(keys)
     rows = materialize(
-        df.orderBy(*keys, *order).withColumn("_gid", F.monotonically_increasing_id()), "sorted"
+        (df if whole is None else df.dropna(subset=keys)).orderBy(*keys, *order).withColumn("_gid", F.monotonically_increasing_id()), "sorted"
     )
     rows = rows.withColumn("_pid", F.shiftright("_gid", _LOCAL_BITS)).withColumn(
         "_off", F.col("_gid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
@@ -49,9 +50,17 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
     parts = parts.select(
         *keys, "_pid", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base")
     )
-    return rows.join(parts, [*keys, "_pid"]).select(
-        *df.columns, (F.col("_off") + F.col("_base")).cast("bigint").alias(name)
-    )
+    places = [(F.col("_off") + F.col("_base")).cast("bigint").alias(name)]
+    if whole is not None:
+        rows = rows.join(materialize(_starts(rows), "starts"), "_pid")
+        places.append((F.col("_off") + F.col("_start")).cast("bigint").alias(whole))
+    return rows.join(parts, [*keys, "_pid"]).select(*df.columns, *places)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """``_pid, _start``: rows in earlier partitions of a sorted table, from one row per partition."""
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.groupBy("_pid").agg(F.count("*").alias("_m")).select("_pid", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"))
 
 
 def halo(df: DataFrame, position: str, before: int = 0, after: int = 0, size: int | None = None) -> DataFrame:

@@ -131,8 +131,9 @@ def with_storage_position(frames: DataFrame, name: str = "pos") -> DataFrame:
     files = frames.groupBy(*keys).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*EPISODE).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    # most episodes lie in one file; only later files of an episode have something to add
-    later = files.filter("_before > 0")
+    # most episodes lie in one file; only later files of an episode have something to add, and where the join knows that they
+    # are few, the rows stay where they are
+    later = materialize(files.filter("_before > 0"), "later_files")
     return counted.join(later, keys, "left").select(
         *frames.columns, (F.col("_in_file") - 1 + F.coalesce("_before", F.lit(0))).alias(name))
 

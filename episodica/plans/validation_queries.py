@@ -26,8 +26,7 @@ def order_frames(spark, sf):
             (F.datediff("o_orderdate", F.lit("1992-01-01")) / 1000.0).alias("timestamp"),
             F.array("o_totalprice", F.left("o_orderpriority", F.lit(1)).cast("double")).alias("action"),
             F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-        numbered = series.with_position(rows, EP, ["o_orderdate", "o_orderkey"], "frame_index")
-        return series.with_position(numbered, [], ["dataset_id", "episode_index", "frame_index"], "index").drop("o_orderdate")
+        return series.with_position(rows, EP, ["o_orderdate", "o_orderkey"], "frame_index", whole="index").drop("o_orderdate")
     return t.once(spark, sf, "order_frames", build)
 
 

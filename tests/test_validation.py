@@ -119,6 +119,13 @@ def test_damaged_columns(spark, change, code):
     assert {(code, 0), (code, 1)} <= failures(v.run(dataset(spark, change(stored_frames(spark))), "full"))
 
 
+def test_rows_stay_where_they_are_when_episodes_lie_in_one_file(spark):
+    placed = v.with_storage_position(stored_frames(spark))
+    joined = [line for line in placed._jdf.queryExecution().sparkPlan().toString().splitlines() if "LeftOuter" in line]
+    assert joined and all("BroadcastHashJoin" in line for line in joined)
+    assert sorted(r.pos for r in placed.collect()) == sorted(2 * list(range(len(VALUES))))
+
+
 def test_damaged_numbers_and_metadata(spark, tiny):
     placed = v.with_storage_position(stored_frames(spark).withColumn("index", F.col("index") + 1))
     assert failures(v.index_issues(placed)) == {("global_index_mismatch", 0), ("global_index_mismatch", 1)}
