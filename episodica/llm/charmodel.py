@@ -19,19 +19,22 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
-def word_counts(text: str | None) -> Counter:
+def words_of(text: str | None) -> Iterator[list[str]]:
     """Lower-case letter runs of the whole text; long texts are read in pieces cut where a word cannot be."""
-    counts: Counter = Counter()
-    if not text:
-        return counts
     start = 0
-    while start < len(text):
+    while text and start < len(text):
         end = start + PIECE
         while end < len(text) and text[end].isalpha():
             end += 1
         piece = text[start:end].lower()
-        counts.update((ASCII_LETTERS if piece.isascii() else LETTERS).findall(piece))
+        yield (ASCII_LETTERS if piece.isascii() else LETTERS).findall(piece)
         start = end
+
+
+def word_counts(text: str | None) -> Counter:
+    counts: Counter = Counter()
+    for words in words_of(text):
+        counts.update(words)
     return counts
 
 

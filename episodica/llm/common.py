@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +30,9 @@ def held_out(doc_id: Column) -> Column:
 
 def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(4))
+
+
+def each(column: pa.Array, rows: int = 128) -> Iterator:
+    """Values of an Arrow column, a few rows at a time, so that a batch of texts is not held a second time."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()

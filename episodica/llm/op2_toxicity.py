@@ -10,7 +10,9 @@ documents that no count has seen.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 from zlib import crc32
 
 import numpy as np
@@ -19,9 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from episodica.llm.charmodel import groups
-from episodica.llm.common import broadcast_if_small, fold
-from episodica.session import materialize
+from episodica.llm.charmodel import word_counts, words_of
+from episodica.llm.common import broadcast_if_small, each, fold
+from episodica.session import materialize, scratch
 
 ORDER, DISCOUNT = 7, 0.75
 #: Discount of a class: so many occurrences of an n-gram are left to the shared model, which both classes back off to.
@@ -30,8 +32,10 @@ RARE = 5
 CALIBRATION = 10_000
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 100_000
-#: Characters of a split of texts and n-grams of a split of words, about.
-SPLIT, SPELT = 4_000_000, 1_000_000
+#: Characters and distinct words of a split of texts, n-grams of a split of words, about.
+SPLIT, SPLIT_WORDS, SPELT = 32_000_000, 250_000, 1_000_000
+#: Characters that a text counts for beside its own, as short ones take room as well.
+ROW = 256
 #: Buckets of words, at least; a bucket has the words of about ``SPLIT`` characters, those of each split once.
 BUCKETS = 512
 _CODEC = pa.Codec("zstd")
@@ -45,19 +49,20 @@ def _word_rows(words: dict[str, list[int]]) -> pa.RecordBatch:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct words with their occurrences in both classes; a document that is not learned from has a null label."""
     held: dict[str, list[int]] = {}
+    met: set[str] = set()  # words of documents without a label
     for batch in batches:
-        labels = batch.column("label").to_pylist()
-        for at, counts in groups(batch.column("text").to_pylist()):
-            for label, words in zip(labels[at:], counts):
-                for word, n in words.items():
-                    both = held.setdefault(word, [0, 0])
-                    if label is not None:
-                        both[label] += n
-                if len(held) > HELD_WORDS:
-                    yield _word_rows(held)
-                    held = {}
-    if held:
-        yield _word_rows(held)
+        for label, text in zip(batch.column("label").to_pylist(), each(batch.column("text"))):
+            if label is None:
+                for words in words_of(text):
+                    met.update(words)
+            else:
+                for word, n in word_counts(text).items():
+                    held.setdefault(word, [0, 0])[label] += n
+            if len(held) + len(met) > HELD_WORDS:
+                yield _word_rows(held | {w: (0, 0) for w in met if w not in held})
+                held, met = {}, set()
+    if held or met:
+        yield _word_rows(held | {w: (0, 0) for w in met if w not in held})
 
 
 def _spelt(words: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -122,41 +127,66 @@ def _unzip(body: bytes) -> bytes:
     return _CODEC.decompress(body[4:], int.from_bytes(body[:4], "little"), asbytes=True)
 
 
-def _packed(ids: np.ndarray, n: np.ndarray) -> bytes:
-    """Word numbers and counts of a document: the gaps between ascending numbers, then the counts, byte by byte."""
-    order = np.argsort(ids)
-    both = np.concatenate((np.diff(ids[order], prepend=0), n[order])).astype("<u4")
-    return _zip(both.view(np.uint8).reshape(-1, 4).T.tobytes())
+def _planes(*numbers: np.ndarray) -> bytes:
+    """Whole numbers byte by byte: all lowest bytes, then all second ones and so on."""
+    return _zip(np.concatenate(numbers).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _numbers(body: bytes) -> np.ndarray:
+    return np.frombuffer(_unzip(body), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
-def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(_unzip(body), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
-    return np.cumsum(both[:len(both) // 2]), both[len(both) // 2:].astype(np.float64)
+def _packed(ids: list[np.ndarray], n: list[np.ndarray]) -> bytes:
+    """Word numbers and counts of documents: how many each has, the gaps between its ascending numbers, the counts."""
+    orders = [np.argsort(x) for x in ids]
+    gaps = [np.diff(x[o], prepend=0) for x, o in zip(ids, orders)]
+    return _planes(np.fromiter(map(len, ids), np.int64, len(ids)), *gaps, *[x[o] for x, o in zip(n, orders)])
+
+
+def _unpacked(body: bytes, documents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The document, number and count of each word."""
+    all_ = _numbers(body)
+    sizes, rest = all_[:documents], all_[documents:]
+    gaps, n = rest[:len(rest) // 2], rest[len(rest) // 2:]
+    upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(gaps)))
+    first = np.cumsum(sizes) - sizes
+    return np.repeat(np.arange(documents), sizes), upto[1:] - np.repeat(upto[first], sizes), n
 
 
 def _splitter(buckets: int):
-    """Texts in splits of about ``SPLIT`` characters: a row a text with numbered words, a row for the words of each bucket.
+    """Texts in splits of about ``SPLIT`` characters or ``SPLIT_WORDS`` distinct words: a row a split with the words of its
+    texts, which have numbers in the order they are met, and a row for the words of each bucket.
+
+    The words of a bucket start at place ``at`` of the order by bucket and word, in which ``placed`` has their numbers."""
+    def rows(split: int, keys: list[bytes], ids: list[np.ndarray], n: list[np.ndarray], words: list[str]) -> pa.RecordBatch:
+        bucket = np.fromiter((crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+        by_word = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        order = by_word[np.argsort(bucket[by_word], kind="stable")]
+        found, at = np.unique(bucket[order], return_index=True)
+        runs = [_zip("\n".join([words[k] for k in order[i:j]]).encode()) for i, j in zip(at, np.append(at[1:], len(words)))]
+        none = [None] * len(runs)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([split] * (1 + len(runs)), pa.int64()), pa.array([keys, *none], pa.list_(pa.binary())), pa.array([_planes(order), *none], pa.binary()),
+             pa.array([_packed(ids, n), *runs], pa.binary()), pa.array([None, *found.tolist()], pa.int32()), pa.array([None, *at.tolist()], pa.int64())],
+            ["split", "keys", "placed", "body", "bucket", "at"])
 
-    Words are numbered by bucket, so those of a bucket are a run that starts at number ``at``."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = TaskContext.get().partitionId() << 32
+        size, keys, ids, n = 0, [], [], []
+        numbers: dict[str, int] = defaultdict(count().__next__)
         for batch in batches:
-            keys = batch.column("key")
-            for start, counts in groups(batch.column("text").to_pylist(), SPLIT):
-                words = sorted(set().union(*counts))
-                bucket = np.fromiter((crc32(w.encode()) % buckets for w in words), np.int64, len(words))
-                order = np.argsort(bucket, kind="stable")
-                words = [words[i] for i in order]
-                numbers = dict(zip(words, range(len(words))))
-                found, at = np.unique(bucket[order], return_index=True)
-                runs = [_zip("\n".join(words[i:j]).encode()) for i, j in zip(at, np.append(at[1:], len(words)))]
-                bodies = [_packed(np.fromiter((numbers[w] for w in c), np.int64, len(c)), np.fromiter(c.values(), np.int64, len(c))) for c in counts]
-                texts, pieces = len(counts), len(runs)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([split] * (texts + pieces), pa.int64()), pa.array(keys.slice(start, texts).to_pylist() + [None] * pieces, pa.binary()),
-                     pa.array(bodies + runs, pa.binary()), pa.array([None] * texts + found.tolist(), pa.int32()),
-                     pa.array([None] * texts + at.tolist(), pa.int64())], ["split", "key", "body", "bucket", "at"])
-                split += 1
+            for key, text in zip(each(batch.column("key")), each(batch.column("text"))):
+                words = word_counts(text)
+                keys.append(key)
+                ids.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                n.append(np.fromiter(words.values(), np.int32, len(words)))
+                size += len(text) + ROW
+                if size >= SPLIT or len(numbers) >= SPLIT_WORDS:
+                    yield rows(split, keys, ids, n, list(numbers))
+                    split, size, keys, ids, n = split + 1, 0, [], [], []
+                    numbers = defaultdict(count().__next__)
+        if keys:
+            yield rows(split, keys, ids, n, list(numbers))
     return cut
 
 
@@ -171,17 +201,23 @@ def _look_up(runs: pa.Table, known: pa.Table) -> pa.Table:
 
 
 def _sum_split(texts: pa.Table, known: pa.Table) -> pa.Table:
-    """``key, a, b`` of the texts of one split from the scores of its words."""
+    """``key, a, b`` of the texts of one split from the scores of its words, added up in the order by bucket and word."""
     runs = sorted(zip(known["at"].to_pylist(), known["ratios"].to_pylist()))
     scores = np.frombuffer(b"".join(r for _, r in runs), "<f4").astype(np.float64)
-    out = [[], [], []]
-    for key, body in zip(texts["key"].to_pylist(), texts["body"].to_pylist()):
-        words, n = _unpacked(body)
-        if len(words):
-            own, all_ = scores[words], n.sum()
-            for column, value in zip(out, (key, float(own @ n / all_), float(np.maximum(own - 2.0, 0.0) @ n / all_))):
-                column.append(value)
-    return pa.table({"key": pa.array(out[0], pa.binary()), "a": pa.array(out[1], pa.float64()), "b": pa.array(out[2], pa.float64())})
+    out = []
+    for keys, placed, body in zip(*(texts[c].to_pylist() for c in ("keys", "placed", "body"))):
+        place = np.zeros(len(scores), np.int64)
+        place[_numbers(placed)] = np.arange(len(scores))
+        document, words, n = _unpacked(body, len(keys))
+        words = place[words]
+        order = np.argsort((document << 32) + words)
+        document, own, n = document[order], scores[words[order]], n[order].astype(np.float64)
+        first = np.flatnonzero(np.diff(document, prepend=-1))  # documents without words have none
+        if len(first):
+            all_ = np.add.reduceat(n, first)
+            a, b = (np.add.reduceat(x * n, first) / all_ for x in (own, np.maximum(own - 2.0, 0.0)))
+            out.append(pa.table({"key": pa.array([keys[i] for i in document[first]], pa.binary()), "a": pa.array(a), "b": pa.array(b)}))
+    return pa.concat_tables(out) if out else pa.table({"key": pa.array([], pa.binary()), "a": pa.array([], pa.float64()), "b": pa.array([], pa.float64())})
 
 
 def _last(gram: str, n: int) -> Column:
@@ -279,11 +315,11 @@ def features(docs: DataFrame, scores: DataFrame) -> DataFrame:
     """
     texts = docs.filter("text is not null").select(text_key().alias("key"), "text")
     buckets = max(BUCKETS, int(texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // SPLIT)
-    split = materialize(texts.mapInArrow(_splitter(buckets), "split bigint, key binary, body binary, bucket int, at bigint"), "document_words")
+    split = materialize(texts.mapInArrow(_splitter(buckets), "split bigint, keys array<binary>, placed binary, body binary, bucket int, at bigint"), "document_words")
     runs = split.filter("bucket is not null").select("split", "body", "bucket", "at")
     dealt = scores.select("word", F.col("ratio").cast("float").alias("ratio"), (F.crc32(F.encode("word", "UTF-8")) % buckets).cast("int").alias("_bucket"))
     known = runs.groupBy("bucket").cogroup(dealt.groupBy("_bucket")).applyInArrow(_look_up, "split bigint, at bigint, ratios binary")
-    bodies = split.filter("bucket is null").select(F.col("split").alias("_split"), "key", "body")
+    bodies = split.filter("bucket is null").select(F.col("split").alias("_split"), "keys", "placed", "body")
     sums = bodies.groupBy("_split").cogroup(known.groupBy("split")).applyInArrow(_sum_split, "key binary, a double, b double")
     return sums.groupBy("key").agg(F.first("a").alias("a"), F.first("b").alias("b"))  # equal texts have equal sums
 
@@ -299,10 +335,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c != "toxic_score"]
     marks = broadcast_if_small(labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_mark")))
     marked = docs.select("doc_id", "text").withColumn("_fold", fold(F.col("doc_id"))).join(marks, "doc_id", "left")
-    scores = word_scores(marked.select("text", F.when(F.col("_fold") > 1, F.col("_mark")).alias("label")))
-    if scores is None:
-        return docs.select(*[F.col(f"`{c}`") for c in names], F.lit(0.0).alias("toxic_score"))
-    found = materialize(features(docs, scores), "toxicity_features")
+    with scratch(docs.sparkSession, "toxicity_features"):
+        with scratch(docs.sparkSession, "word_scores"):
+            scores = word_scores(marked.select("text", F.when(F.col("_fold") > 1, F.col("_mark")).alias("label")))
+        if scores is None:
+            return docs.select(*[F.col(f"`{c}`") for c in names], F.lit(0.0).alias("toxic_score"))
+        found = materialize(features(docs, scores), "toxicity_features")
     curve = Curve()
     picked = marked.filter("_fold = 1 and _mark is not null and text is not null").select("doc_id", "_mark", text_key().alias("key"), F.xxhash64("doc_id").alias("_pick"))
     chosen = picked.select("doc_id", "_pick").orderBy("_pick", "doc_id").limit(CALIBRATION).select("doc_id").distinct()

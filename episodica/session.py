@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,20 +71,45 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 _WRITTEN: dict[str, list[str]] = {}
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: columnar, prunable, and safe when executors are lost."""
     path = new_path(df.sparkSession, name)
     _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    if (inside := _SCRATCH.get()) is not None:
+        inside.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, keep: str) -> Iterator[None]:
+    """Delete the tables that are written inside, except those named ``keep``, when it ends; what is used later must not
+    read the deleted ones. Tables of other threads are left alone."""
+    outer, inside = _SCRATCH.get(), []
+    token = _SCRATCH.set(inside)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        gone = [p for p in inside if p.rsplit("/", 1)[1].rsplit("-", 1)[0] != keep]
+        if outer is not None:
+            outer += [p for p in inside if p not in gone]
+        written = _WRITTEN.get(spark.sparkContext.applicationId, [])
+        written[:] = [p for p in written if p not in gone]
+        _delete(spark, gone)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the intermediate tables this application has written; frames built on them become unreadable."""
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    return len(paths)
