@@ -14,7 +14,7 @@ share grams; there sets walk each other's tries and hand on links only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from episodica.llm.common import broadcast_if_small
+from episodica.llm.common import broadcast_if_small, each
 from episodica.llm.components import components
 from episodica.operators.series import with_position
-from episodica.session import materialize
+from episodica.session import materialize, scratch
 
 #: Sets that may share a gram before it goes to the end of the order.
 COMMON = 24
@@ -92,7 +92,7 @@ def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts)))))
 
 
-def _batched(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _batched(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     at, held, size = 0, [], 0
     for i, text in enumerate(texts):
         held.append((text or "").encode("utf-8", "surrogatepass"))
@@ -137,7 +137,7 @@ class Rule:
 def _outline(n: int, rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in _batched(batch.column("text").to_pylist()):
+            for at, texts in _batched(each(batch.column("text"))):
                 grams, offsets = shingle_sets(texts, n)
                 size = np.diff(offsets)
                 s1, s2 = _sums(grams, offsets)
@@ -154,7 +154,7 @@ def _outline(n: int, rule: Rule):
 def _whole(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in _batched(batch.column("text").to_pylist()):
+            for _, texts in _batched(each(batch.column("text"))):
                 grams, offsets = shingle_sets(texts, n)
                 s1, s2 = _sums(grams, offsets)
                 yield pa.RecordBatch.from_arrays(
@@ -416,6 +416,8 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id. Rows repeated under that id stay together,
     rows without shingles all stay, and a group in which no row has an id stays whole."""
-    gone = similar_groups(docs, n, percent).filter("n_shingles > 0 and not doc_id <=> component_id").select("doc_id").distinct()
-    away = broadcast_if_small(materialize(gone, "near_copies"))
+    with scratch(docs.sparkSession, "near_copies"):
+        gone = similar_groups(docs, n, percent).filter("n_shingles > 0 and not doc_id <=> component_id").select("doc_id").distinct()
+        away = materialize(gone, "near_copies")
+    away = broadcast_if_small(away)
     return docs.alias("d").join(away.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")), "left_anti")

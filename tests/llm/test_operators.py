@@ -627,6 +627,44 @@ def test_document_sums_against_brute_force(spark, monkeypatch):
         assert got[key] == (pytest.approx(a), pytest.approx(b))
 
 
+def test_a_split_takes_texts_of_several_batches(monkeypatch):
+    """Its words travel once, however few texts a batch has; sums of equal texts are equal to the last bit."""
+    import types
+
+    import pyarrow as pa
+    monkeypatch.setattr(op2_toxicity, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 3)))
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "kl"]) for _ in range(n)) for n in (5, 1, 9, 30, 2, 7)] + ["", "1 2"]
+    texts.append(texts[3])
+    batches = [pa.table({"key": pa.array([b"%d" % i], pa.binary()), "text": [t]}).to_batches()[0] for i, t in enumerate(texts)]
+    known = {w: float(np.float32(rng.gauss(0, 3))) for w in ("ab", "cd", "ef", "gh", "ij")}
+    scored = pa.table({"word": list(known), "ratio": pa.array(list(known.values()), pa.float64())})
+    cut = pa.Table.from_batches(op2_toxicity._splitter(4)(iter(batches)))
+    is_text = pa.compute.is_null(cut["bucket"])
+    assert cut.filter(is_text)["split"].to_pylist() == [3 << 32] and len(cut) == 1 + len({op2_toxicity.crc32(w.encode()) % 4 for w in (*known, "kl")})
+    looked = op2_toxicity._look_up(cut.filter(pa.compute.invert(is_text)), scored)
+    got = {r["key"]: (r["a"], r["b"]) for r in op2_toxicity._sum_split(cut.filter(is_text), looked).to_pylist()}
+    assert got.pop(b"8") == got[b"3"]
+    for i, t in enumerate(texts[:6]):
+        own = [known.get(w, 0.0) for w in t.split()]
+        assert got.pop(b"%d" % i) == (pytest.approx(sum(own) / len(own)), pytest.approx(sum(max(x - 2, 0) for x in own) / len(own))), t
+    assert not got
+
+
+def test_finished_tables_are_deleted(spark):
+    """Scores and near copies leave one table each; the words, n-grams and sets they were made from are gone."""
+    from pathlib import Path
+
+    from episodica.session import shared_dir
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    docs = documents(spark, [(i, f"alpha beta gamma delta epsilon {'zeta' if i % 2 else 'eta'} {chr(97 + i)}", "en", "s") for i in range(12)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, toxic int")
+    before = set(folder.iterdir())
+    scored, kept = op2_toxicity.score_toxicity(docs, labels), op5_join.keep_first(docs)
+    assert sorted(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before) == ["near_copies", "toxicity_features"]
+    assert scored.count() == 12 and kept.count() == 12
+
+
 def test_word_scores_against_their_grams(spark, monkeypatch):
     """Splits of a few words give each word the sum over its n-grams, very long words and words of no label included."""
     monkeypatch.setattr(op2_toxicity, "SPELT", 50)
