@@ -551,6 +551,63 @@ def test_short_items_with_replaced_words(spark):
     assert {k for _, k in got} == set(range(1, 14))
 
 
+def columns_from_joins(plan, above=()):
+    """Columns that the rows of each join of a plan have when they reach another operator than projections and filters."""
+    if plan.nodeName() == "Join":
+        top = plan
+        for node in above[::-1]:
+            if node.nodeName() not in ("Project", "Filter"):
+                break
+            top = node
+        yield {top.output().apply(k).name() for k in range(top.output().size())}
+    for k in range(plan.children().size()):
+        yield from columns_from_joins(plan.children().apply(k), (*above, plan))
+
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_no_join_of_seeds_hands_on_whole_documents(spark, monkeypatch, limit):
+    monkeypatch.setattr(op10_decontaminate, "BROADCAST_ROWS", limit, raising=False)
+    monkeypatch.setattr(op10_decontaminate, "broadcast_if_small", lambda df, rows=limit: F.broadcast(df) if limit else df)
+    made, write = [], op10_decontaminate.materialize
+    monkeypatch.setattr(op10_decontaminate, "materialize", lambda df, name: made.append(df) or write(df, name))
+    rng = random.Random(5)
+    items = [(1, words(rng, 20)), (2, words(rng, 3))]
+    rows = [(k, " ".join(words(rng, 30) + " " + rng.choice(items)[1] for _ in range(20))) for k in range(4)]
+    out = op10_decontaminate.overlaps(documents(spark, [(*r, "en", "s") for r in rows]), spark.createDataFrame(items, "item_id bigint, text string"))
+    handed = [names for df in [*made, out] for names in columns_from_joins(df._jdf.queryExecution().optimizedPlan())]
+    assert handed and not any("_words" in names for names in handed)
+    assert {(r.doc_id, r.item_id): r.matched for r in out.collect()} == brute_overlaps(rows, items)
+    if not limit:  # the rows of the shuffled join are one per document, text and shift
+        found = next(df for df in made if "_shift" in df.columns)
+        assert set(found.columns) == {"_row", "_key", "_size", "_shift"} and found.count() == found.distinct().count()
+
+
+@pytest.mark.parametrize("window, share, rows_broadcast, words_broadcast", [(12, 0.8, 0, 0), (12, 0.8, 500_000, 0), (5, 0.6, 0, 2_000_000), (80, 0.9, 500_000, 2_000_000)])
+def test_overlaps_are_the_same_by_every_way_of_joining(spark, monkeypatch, window, share, rows_broadcast, words_broadcast):
+    monkeypatch.setattr(op10_decontaminate, "BROADCAST_ROWS", rows_broadcast)
+    monkeypatch.setattr(op10_decontaminate, "BROADCAST_WORDS", words_broadcast)
+    rng = random.Random(window)
+    items = [(k, words(rng, rng.choice([1, 4, 12, 30, 100]), 50)) for k in range(10)]
+    items += [(20, items[0][1]), (21, items[0][1].upper()), (None, items[1][1]), (3, items[4][1]), (30, None)]
+    rows = []
+    for i in range(30):
+        body, leak = words(rng, rng.randint(0, 60), 50).split(), rng.choice(items[:10])[1].split()
+        leak[rng.randrange(len(leak))] = "zz"
+        cut = leak[rng.choice([0, 0, 3]):]
+        at = rng.choice([0, len(body)])
+        body[at:at] = cut
+        rows.append((i if i % 7 else None, " ".join(body)))
+    rows += rows[:3] + [(5, items[2][1]), (40, None), (41, "")]
+    docs = documents(spark, [(*r, "en", "s") for r in rows])
+    got = [(r.doc_id, r.item_id, r.matched) for r in op10_decontaminate.overlaps(
+        docs, spark.createDataFrame(items, "item_id bigint, text string"), window, share).collect()]
+    want = {}
+    for r, t in itertools.product(rows, items):
+        for pair, n in brute_overlaps([r], [t], window, share).items():
+            want[pair] = max(n, want.get(pair, 0))
+    assert Counter(got) == Counter((*pair, n) for pair, n in want.items())
+
+
 @pytest.mark.parametrize("share", [0.5, 0.8, 1.0])
 def test_masks_survive_allowed_replacements(share):
     for width in range(1, 13):
