@@ -582,6 +582,21 @@ def test_no_join_of_seeds_hands_on_whole_documents(spark, monkeypatch, limit):
         assert set(found.columns) == {"_row", "_key", "_size", "_shift"} and found.count() == found.distinct().count()
 
 
+def test_third_stage_of_the_pipeline_holds_no_document_per_hit(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    made, write = [], op10_decontaminate.materialize
+    monkeypatch.setattr(op10_decontaminate, "materialize", lambda df, name: made.append(df) or write(df, name))
+    rng = random.Random(6)
+    leak = words(rng, 20)
+    spark.createDataFrame([(1, leak), (2, leak)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = documents(spark, [(1, " ".join([leak, words(rng, 9)] * 30), "en", "s"), (2, words(rng, 300, 9000), "en", "s"), (None, None, "en", "s")])
+    out = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path))
+    assert {r.doc_id for r in out.collect()} == {2, None}
+    handed = [names for df in made for names in columns_from_joins(df._jdf.queryExecution().optimizedPlan())]
+    assert handed and not any("_words" in names for names in handed)
+
+
 @pytest.mark.parametrize("window, share, rows_broadcast, words_broadcast", [(12, 0.8, 0, 0), (12, 0.8, 500_000, 0), (5, 0.6, 0, 2_000_000), (80, 0.9, 500_000, 2_000_000)])
 def test_overlaps_are_the_same_by_every_way_of_joining(spark, monkeypatch, window, share, rows_broadcast, words_broadcast):
     monkeypatch.setattr(op10_decontaminate, "BROADCAST_ROWS", rows_broadcast)
